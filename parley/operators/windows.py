@@ -36,6 +36,17 @@ def auto_block_rows(spark, total: int) -> int:
     return max(MIN_BLOCK_ROWS, math.ceil(total / (4 * parallelism(spark))))
 
 
+def numeric_key(df: DataFrame, col: str) -> Column:
+    """A double that is non-decreasing in ``col`` (numbers, timestamps, dates)."""
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
 def _range_splits(df: DataFrame, key: str, n_ranges: int) -> list[float]:
     """Strictly increasing split points of ``key`` for ``n_ranges`` ranges."""
     if n_ranges <= 1:
@@ -93,7 +104,7 @@ def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequen
 
     # --- split path: hot scopes are cut into global quantile ranges --------
     n_ranges = max(2, math.ceil(total / block_rows))
-    x = x.withColumn("_okey", F.col(order[0]).cast("double"))
+    x = x.withColumn("_okey", numeric_key(x, order[0]))
     splits = _range_splits(x, "_okey", n_ranges)
     hot = counts.where(F.col("_cnt") > block_rows).select("_scope", F.lit(True).alias("_hot"))
     if total // block_rows <= BROADCAST_ROWS:  # hot scopes <= total / block_rows

@@ -1 +1,114 @@
-"""Queries (filled in below)."""
+"""Queries for packaging (P1..P14)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.operators import package as pk
+from parley.plans import views as v
+from parley.plans.catalog import register
+from parley.plans.q_clean import cleaned_chat
+
+SEED = 42
+TEST_PERC = 0.1
+SMALL_TEST_PERC = 0.05
+LENGTH, WINDOW = 2, 6
+
+_TARGET_ID = f"(SELECT id FROM members WHERE name = '{v.TARGET_NAME}' ORDER BY pos LIMIT 1)"
+
+
+def _lags(k, order, part=""):
+    cols = ",\n  ".join(f"lag(content, {i}) OVER w AS context{i}" for i in range(1, k + 1))
+    return (f"SELECT seq, author_id, content AS response,\n  {cols},\n  row_number() OVER w AS rn\n"
+            f"FROM cleaned WINDOW w AS ({part} ORDER BY {order})")
+
+
+def _ctx_cols(k):
+    return ", ".join(f"context{i}" for i in range(1, k + 1))
+
+
+def target_rows(spark, sf, k, scope):
+    msgs = cleaned_chat(spark, sf)
+    target = pk.resolve_target(v.members(spark, sf), v.TARGET_NAME)
+    return pk.package(msgs, target, k, scope)
+
+
+def all_rows(spark, sf, k, scope):
+    return pk.package(cleaned_chat(spark, sf), v.members(spark, sf), k, scope)
+
+
+@register("package_context", v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
+win AS ({_lags(2, 'seq', 'PARTITION BY channel')})""") + f"""
+SELECT seq, response, {_ctx_cols(2)} FROM win WHERE author_id = {_TARGET_ID} AND rn > 2""")
+def package_context(spark, sf):
+    return pk.flatten_context(target_rows(spark, sf, 2, "channel"), 2)
+
+
+@register("package_session", v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
+win AS ({_lags(WINDOW, 'seq')})""") + f"""
+SELECT seq, response, {_ctx_cols(WINDOW)} FROM win WHERE author_id = {_TARGET_ID} AND rn > {WINDOW}""")
+def package_session(spark, sf):
+    return pk.flatten_context(target_rows(spark, sf, WINDOW, "session"), WINDOW)
+
+
+@register("package_target", v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
+win AS ({_lags(3, 'ts, seq', 'PARTITION BY channel')})""") + f"""
+SELECT seq, author_id, response, {_ctx_cols(3)} FROM win
+WHERE author_id IN (SELECT id FROM members) AND rn > 3""")
+def package_target(spark, sf):
+    # every roster member is a target; per-channel time order
+    from parley.operators.clean import channel_time_scope
+    by, order = channel_time_scope()
+    rows = pk.package(cleaned_chat(spark, sf), v.members(spark, sf), 3, by, order)
+    return pk.flatten_context(rows, 3, keep=("seq", "author_id"))
+
+
+_ALL_SESSION = v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
+win AS ({_lags(WINDOW, 'seq')}),
+pk AS (SELECT * FROM win WHERE author_id IN (SELECT id FROM members) AND rn > {WINDOW}),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(seq AS VARCHAR)), seq) AS r,
+                  CAST(floor({TEST_PERC}::DOUBLE * count(*) OVER ()) AS BIGINT) AS n_test FROM pk)""")
+
+
+def _split_all(spark, sf):
+    rows = all_rows(spark, sf, WINDOW, "session")
+    return pk.split_exact(rows, TEST_PERC, SEED)
+
+
+@register("split_test", _ALL_SESSION + f"""
+SELECT seq, response, {_ctx_cols(WINDOW)} FROM ranked WHERE r <= n_test""")
+def split_test(spark, sf):
+    return pk.flatten_context(_split_all(spark, sf)[1], WINDOW)
+
+
+@register("split_train", _ALL_SESSION + f"""
+SELECT seq, response, {_ctx_cols(WINDOW)} FROM ranked WHERE r > n_test""")
+def split_train(spark, sf):
+    return pk.flatten_context(_split_all(spark, sf)[0], WINDOW)
+
+
+_COMBOS = "[" + ", ".join("[" + ", ".join(str(i + 1) for i in c) + "]"
+                          for c in pk.combos(LENGTH, WINDOW)) + "]"
+
+
+@register("extrapolate", _ALL_SESSION + f""",
+ctx AS (SELECT seq, response, [{_ctx_cols(WINDOW)}] AS c FROM ranked WHERE r > n_test),
+ix AS (SELECT seq, response, c, unnest({_COMBOS}) AS idx,
+              unnest(range(0, {len(pk.combos(LENGTH, WINDOW))})) AS combo FROM ctx)
+SELECT seq, combo, response, c[idx[1]] AS context1, c[idx[2]] AS context2 FROM ix""")
+def extrapolate(spark, sf):
+    train = pk.extrapolate(_split_all(spark, sf)[0], LENGTH, WINDOW)
+    return pk.flatten_context(train, LENGTH, keep=("seq", "combo"))
+
+
+@register("min_test_fallback", v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
+win AS ({_lags(2, 'seq', 'PARTITION BY channel')}),
+pk AS (SELECT * FROM win WHERE author_id = {_TARGET_ID} AND rn > 2),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(seq AS VARCHAR)), seq) AS r,
+                  CAST(floor({SMALL_TEST_PERC}::DOUBLE * count(*) OVER ()) AS BIGINT) AS n_test FROM pk)""") + f"""
+SELECT seq, response, {_ctx_cols(2)} FROM ranked
+WHERE (n_test >= 4 AND r <= n_test) OR (n_test < 4 AND r > n_test AND r <= n_test + 4)""")
+def min_test_fallback(spark, sf):
+    rows = target_rows(spark, sf, 2, "channel")
+    train, test = pk.split_exact(rows, SMALL_TEST_PERC, SEED)
+    return pk.flatten_context(pk.ensure_min_test(train, test, SEED), 2)
