@@ -89,6 +89,9 @@ def rouge_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
 
 
+WORD_SPLIT_RE = r"[ \t\n\x0b\f\r]+"
+
+
 def word_tokens(c: Column) -> Column:
-    """Whitespace tokens (no empty strings)."""
-    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
+    """Whitespace tokens (ASCII whitespace; no empty strings)."""
+    return F.filter(F.split(c, WORD_SPLIT_RE), lambda t: t != "")

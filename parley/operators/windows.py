@@ -152,17 +152,25 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "pos",
     """Add ``out`` = 0-based position of each row in the total order
     ``order`` (must be unique).  ``range_key`` is a numeric column that is
     non-decreasing in ``order`` (default: the first order column)."""
+    return dense_index_total(df, order, out, range_key, block_rows)[0]
+
+
+def dense_index_total(df: DataFrame, order: Sequence[str], out: str = "pos",
+                      range_key: Column | None = None,
+                      block_rows: int | None = None) -> tuple[DataFrame, int]:
+    """``dense_index`` plus the row count it found on the way."""
     spark = df.sparkSession
     order = list(order)
-    rk = range_key if range_key is not None else F.col(order[0])
-    total = df.count()
+    rk = range_key if range_key is not None else numeric_key(df, order[0])
+    keyed = df.withColumn("_rkv", rk.cast("double"))
+    # one pass: count + quantile sketch of the range key
+    total = keyed.count()
     block_rows = block_rows or auto_block_rows(spark, total)
     n_ranges = max(1, math.ceil(total / block_rows))
     if n_ranges == 1:
         # the whole input fits one bounded task
         w = Window.orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-    keyed = df.withColumn("_rkv", rk.cast("double"))
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long")), total
     splits = _range_splits(keyed, "_rkv", n_ranges)
     x = _with_range(keyed, F.col("_rkv"), splits, "_rng").drop("_rkv")
     counts = sorted((int(r[0]), int(r[1])) for r in
@@ -175,4 +183,4 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "pos",
     x = x.withColumn("_rng", F.col("_rng").cast("long")).join(F.broadcast(off_df), "_rng")
     w = Window.partitionBy("_rng").orderBy(*order)
     return x.withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("long")) \
-            .drop("_rng", "_off")
+            .drop("_rng", "_off"), total

@@ -1 +1,118 @@
-"""Queries (filled in below)."""
+"""Queries for evaluation (E1..E7).
+
+ROUGE pairs: consecutive turns of each conversation (the earlier turn is
+the reference, the later one the prediction).  Loss log: one event per
+step, ``value`` as the batch loss.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.operators import evaluate as ev
+from parley.operators import package as pk
+from parley.operators.windows import preceding
+from parley.plans import views as v
+from parley.plans.catalog import register
+from parley.plans.q_package import SEED, _ALL_SESSION, _split_all
+
+PAIRS_SQL = """
+pairs AS (
+  SELECT seq, label, content AS pred FROM (
+    SELECT seq, content, lag(content) OVER (PARTITION BY channel ORDER BY seq) AS label,
+           row_number() OVER (PARTITION BY channel ORDER BY seq) AS rn
+    FROM dialog WHERE content IS NOT NULL)
+  WHERE rn > 1)
+"""
+
+
+def _tok_sql(col):
+    return f"regexp_extract_all(lower({col}), '[a-z0-9]+')"
+
+
+def _grams_sql(n, col):
+    t = _tok_sql(col)
+    if n == 1:
+        return t
+    parts = " || ' ' || ".join(f"t[i + {k}]" for k in range(n))
+    return (f"(SELECT list_transform(range(1, len(t) - {n - 1} + 1), lambda i: {parts}) "
+            f"FROM (SELECT {t} AS t))")
+
+
+def _rouge_n_sql(n):
+    return f"""
+g AS (SELECT seq, {_grams_sql(n, 'pred')} AS gp, {_grams_sql(n, 'label')} AS gr FROM pairs),
+cp AS (SELECT seq, gram, count(*) AS c FROM (SELECT seq, unnest(gp) AS gram FROM g) GROUP BY ALL),
+cr AS (SELECT seq, gram, count(*) AS c FROM (SELECT seq, unnest(gr) AS gram FROM g) GROUP BY ALL),
+ov AS (SELECT cp.seq, sum(least(cp.c, cr.c)) AS o FROM cp JOIN cr USING (seq, gram) GROUP BY cp.seq),
+sc AS (SELECT g.seq, coalesce(ov.o, 0) / greatest(len(gp), 1) AS p, coalesce(ov.o, 0) / greatest(len(gr), 1) AS r
+       FROM g LEFT JOIN ov USING (seq)),
+scored AS (SELECT seq, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM sc)
+"""
+
+
+def pairs(spark, sf):
+    d = v.dialog(spark, sf).where(F.col("content").isNotNull())
+    w = preceding(d, 1, ["channel"], "seq", "content", "ctx")
+    return w.where(F.col("n_before") == 1).select(
+        "seq", F.col("ctx")[0].alias("label"), F.col("content").alias("pred"))
+
+
+def _rounded(df, prefix):
+    return df.select("seq", *[F.round(f"{prefix}_{x}", 9).alias(f"{prefix}_{x}") for x in "prf"])
+
+
+for _n in (1, 2):
+    def _make(n):
+        name = f"rouge{n}"
+
+        @register(name, v.with_views("dialog", extra=PAIRS_SQL + "," + _rouge_n_sql(n)) + f"""
+SELECT seq, round(p, 9) AS {name}_p, round(r, 9) AS {name}_r, round(f, 9) AS {name}_f FROM scored""")
+        def q(spark, sf):
+            return _rounded(ev.rouge_n(pairs(spark, sf), n), name)
+        return q
+    _make(_n)
+
+
+@register("rouge_mean", v.with_views("dialog", extra=PAIRS_SQL + "," + _rouge_n_sql(1)) + """
+SELECT 'rouge1_f' AS metric, 'mean' AS kind, round(avg(f) * 100, 4) AS value FROM scored""")
+def rouge_mean(spark, sf):
+    s = ev.rouge_n(pairs(spark, sf), 1)
+    return s.agg(F.round(F.avg("rouge1_f") * 100, 4).alias("value")) \
+            .select(F.lit("rouge1_f").alias("metric"), F.lit("mean").alias("kind"), "value")
+
+
+@register("rouge_l")
+def rouge_l(spark, sf):
+    s = ev.rouge_l(pairs(spark, sf))
+    return s.select("seq", *[F.round(c, 9).alias(c) for c in s.columns if c.startswith("rougeL")])
+
+
+@register("rouge_mid")
+def rouge_mid(spark, sf):
+    s = ev.rouge_n(ev.rouge_n(pairs(spark, sf), 1), 2)
+    return ev.rouge_mid(s, ["rouge1_f", "rouge2_f"], "seq", seed=SEED)
+
+
+@register("perplexity", """
+SELECT count(*) AS batches, round(avg(value), 9) AS mean_loss,
+       round(exp(round(avg(value), 9)), 2) AS perplexity FROM events""")
+def perplexity(spark, sf):
+    e = v.table(spark, sf, "events")
+    return ev.perplexity(e.select((F.col("event_id") + 1).alias("step"), F.col("value").alias("loss")))
+
+
+@register("loss_curve", f"""
+SELECT block, (block + 1) * {ev.LOG_EVERY} AS step, round(mean_loss, 9) AS mean_loss FROM (
+  SELECT CAST(floor(event_id / {ev.LOG_EVERY}) AS BIGINT) AS block, count(*) AS n, avg(value) AS mean_loss
+  FROM events GROUP BY 1) WHERE n = {ev.LOG_EVERY}""")
+def loss_curve(spark, sf):
+    e = v.table(spark, sf, "events")
+    return ev.loss_curve(e.select((F.col("event_id") + 1).alias("step"), F.col("value").alias("loss")))
+
+
+@register("bench_sample", _ALL_SESSION + """
+SELECT seq, response FROM ranked WHERE r <= n_test AND r <= 30""")
+def bench_sample(spark, sf):
+    test = _split_all(spark, sf)[1]
+    return ev.benchmark_sample(test, [pk.shuffle_key(SEED), F.col("seq")]).select("seq", "response")
