@@ -28,7 +28,7 @@ from parley.session import parallelism
 
 # A table is broadcast only when its row count is known to be below this.
 BROADCAST_ROWS = 2_000_000
-MIN_BLOCK_ROWS = 1024
+MIN_BLOCK_ROWS = 50_000
 
 
 def auto_block_rows(spark, total: int) -> int:

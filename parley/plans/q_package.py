@@ -27,10 +27,16 @@ def _ctx_cols(k):
     return ", ".join(f"context{i}" for i in range(1, k + 1))
 
 
-def target_rows(spark, sf, k, scope):
+# package_session cuts the one global sequence into blocks of this many
+# rows even on small inputs, so the split-and-repair path of the window
+# operator is what the check exercises (the result does not depend on it)
+SESSION_BLOCK_ROWS = 1024
+
+
+def target_rows(spark, sf, k, scope, block_rows=None):
     msgs = cleaned_chat(spark, sf)
     target = pk.resolve_target(v.members(spark, sf), v.TARGET_NAME)
-    return pk.package(msgs, target, k, scope)
+    return pk.package(msgs, target, k, scope, block_rows=block_rows)
 
 
 def all_rows(spark, sf, k, scope):
@@ -48,7 +54,7 @@ def package_context(spark, sf):
 win AS ({_lags(WINDOW, 'seq')})""") + f"""
 SELECT seq, response, {_ctx_cols(WINDOW)} FROM win WHERE author_id = {_TARGET_ID} AND rn > {WINDOW}""")
 def package_session(spark, sf):
-    return pk.flatten_context(target_rows(spark, sf, WINDOW, "session"), WINDOW)
+    return pk.flatten_context(target_rows(spark, sf, WINDOW, "session", SESSION_BLOCK_ROWS), WINDOW)
 
 
 @register("package_target", v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
