@@ -1 +1,95 @@
-"""Queries (filled in below)."""
+"""Queries for the n-gram model stand-ins (R1..R4) and E7."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.operators import clean as cl
+from parley.operators import evaluate as ev
+from parley.operators import ngram as ng
+from parley.operators import package as pk
+from parley.plans import views as v
+from parley.plans.catalog import register
+from parley.plans.q_sequences import DIALOG_CLEAN_SQL, SEED, dialog_rows
+from parley.operators import sequences as sq
+
+N = 2
+
+GRAMS_SQL = f"""
+toks AS (SELECT seq, author_id,
+                ['{ng.BOS}'] || list_filter(regexp_split_to_array(content, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> '')
+                || ['{ng.EOS_TOKEN}'] AS t FROM dclean),
+grams AS (SELECT seq, author_id, t[i - 1] AS prefix, t[i] AS token
+          FROM (SELECT seq, author_id, t, unnest(range(2, len(t) + 1)) AS i FROM toks)),
+counts AS (SELECT author_id, prefix, token, count(*) AS cnt FROM grams GROUP BY ALL),
+totals AS (SELECT author_id, prefix, sum(cnt) AS tot FROM counts GROUP BY ALL),
+vocab AS (SELECT author_id, count(DISTINCT token) AS v FROM counts GROUP BY ALL),
+model AS (SELECT c.author_id, c.prefix, c.token, c.cnt, (c.cnt + 1.0) / (t.tot + 1.0 * v.v) AS p,
+                 t.tot AS prefix_total, v.v AS vocab
+          FROM counts c JOIN totals t USING (author_id, prefix) JOIN vocab v USING (author_id))
+"""
+
+
+def dialog_model(spark, sf):
+    return ng.fit_ngram_model(cl.clean_text_only(v.dialog(spark, sf)), N)
+
+
+@register("ngram_model", v.with_views("dialog", extra=DIALOG_CLEAN_SQL + "," + GRAMS_SQL) + """
+SELECT author_id, prefix, token, cnt, round(p, 9) AS p FROM model""")
+def ngram_model(spark, sf):
+    m = dialog_model(spark, sf)
+    return m.select("author_id", "prefix", "token", "cnt", F.round("p", 9).alias("p"))
+
+
+@register("ngram_perplexity", v.with_views("dialog", extra=DIALOG_CLEAN_SQL + "," + GRAMS_SQL) + """,
+scored AS (SELECT g.seq, avg(-ln(m.p)) AS row_loss FROM grams g
+           JOIN model m USING (author_id, prefix, token) GROUP BY g.seq),
+ranked AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS pos, count(*) OVER () AS n FROM scored),
+batched AS (SELECT CAST(floor(pos / 4) AS BIGINT) AS batch_id, avg(row_loss) AS loss FROM ranked
+            WHERE pos < (n // 4) * 4 GROUP BY 1)
+SELECT count(*) AS batches, round(avg(loss), 9) AS mean_loss,
+       round(exp(round(avg(loss), 9)), 6) AS perplexity FROM batched""")
+def ngram_perplexity(spark, sf):
+    d = cl.clean_text_only(v.dialog(spark, sf))
+    return ng.score_ngram_perplexity(dialog_model(spark, sf), d, N)
+
+
+@register("decode_candidates", v.with_views("dialog", extra=DIALOG_CLEAN_SQL + "," + GRAMS_SQL) + f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY author_id, prefix ORDER BY p DESC, token) AS rank
+           FROM model),
+top AS (SELECT *, exp(ln(p) / {ng.TEMPERATURE}) AS w FROM ranked WHERE rank <= {ng.TOP_K}),
+norm AS (SELECT *, w / sum(w) OVER (PARTITION BY author_id, prefix) AS q FROM top),
+cum AS (SELECT *, sum(q) OVER (PARTITION BY author_id, prefix ORDER BY rank
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM norm)
+SELECT author_id, prefix, token, rank, round(q, 9) AS q FROM cum WHERE cum - q < {ng.TOP_P}""")
+def decode_candidates(spark, sf):
+    c = ng.decode_candidates(dialog_model(spark, sf))
+    return c.select("author_id", "prefix", "token", "rank", F.round("q", 9).alias("q"))
+
+
+def bench_prompts(spark, sf):
+    """E1 on the dialogue rows: the first 30 of the seeded permutation,
+    with their prompt text (F2) and the reference response."""
+    rows = dialog_rows(spark, sf)
+    _, test = pk.split_exact(rows, 0.1, SEED)
+    b = ev.benchmark_sample(test, [pk.shuffle_key(SEED), F.col("seq")])
+    return b.select("seq", "author_id", "response", sq.prompt_text().alias("prompt"))
+
+
+@register("generate_replies")
+def generate_replies(spark, sf):
+    model = dialog_model(spark, sf)
+    cands = ng.decode_candidates(model)
+    prompts = bench_prompts(spark, sf)
+    return ng.generate_replies(prompts, cands, N, seed=SEED)
+
+
+@register("label_pred")
+def label_pred(spark, sf):
+    model = dialog_model(spark, sf)
+    prompts = bench_prompts(spark, sf)
+    preds = ng.generate_replies(prompts, ng.decode_candidates(model), N, seed=SEED)
+    pairs = ev.label_pred_table(prompts, preds)
+    scored = ev.rouge_n(ev.rouge_n(pairs, 1), 2)
+    return scored.select("seq", "label", "pred", F.round("rouge1_f", 9).alias("rouge1_f"),
+                         F.round("rouge2_f", 9).alias("rouge2_f"))

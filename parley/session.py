@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "parley",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.ansi.enabled": "false",
     }
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "16g"   # local mode: the driver is the executor
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
