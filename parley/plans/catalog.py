@@ -34,11 +34,19 @@ def queries() -> dict[str, QueryFn]:
     return dict(_QUERIES)
 
 
+# streaming queries that must equal a batch query share its oracle
+TWINS = {"stream_clean": "clean_all", "stream_prompts": "prompts"}
+
+
 def oracles() -> dict[str, str]:
     _load()
-    return dict(_ORACLES)
+    out = dict(_ORACLES)
+    for stream_name, batch_name in TWINS.items():
+        if stream_name in _QUERIES and batch_name in out:
+            out[stream_name] = out[batch_name]
+    return out
 
 
 def _load() -> None:
     # importing the modules registers their queries
-    from parley.plans import q_clean, q_package, q_sequences, q_evaluate, q_serve, q_model  # noqa: F401
+    from parley.plans import q_clean, q_package, q_sequences, q_evaluate, q_serve, q_model, q_stream  # noqa: F401

@@ -29,7 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return chat_from(table(spark, sf_dir, "events"))
+
+
+def chat_from(e: DataFrame) -> DataFrame:
+    """The chat projection of an events DataFrame (batch or stream)."""
     eid = F.col("event_id")
     s = lambda c: c.cast("string")
     shape = eid % 8
