@@ -100,3 +100,20 @@ UNION ALL SELECT 'ts', 'timestamp_ntz', count(ts), count(*) FROM cleaned
 UNION ALL SELECT 'content', 'string', count(content), count(*) FROM cleaned""")
 def profile(spark, sf):
     return st.profile(cleaned_chat(spark, sf).select("seq", "channel", "author_id", "ts", "content"))
+
+
+@register("csv_round_trip", v.with_views("chat") + """
+SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, author_id, content FROM chat""")
+def csv_round_trip(spark, sf):
+    """S6 -> S1: the chat view written as CSV files (range-partitioned by seq,
+    so file order is message order) and read back with file-order ``seq``."""
+    from parley.sources import io
+    from parley.streaming.stream import _scratch
+    path = _scratch(spark, "chat-csv")
+    chat = v.chat(spark, sf).select("seq", "author_id", "content")
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    chat.repartitionByRange(parts, "seq").sortWithinPartitions("seq") \
+        .drop("seq").write.option("header", True).option("quote", '"').option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
+        .mode("overwrite").csv(path)
+    return io.read_messages(spark, path, newest_first=False).select("seq", "author_id", "content")
