@@ -64,9 +64,10 @@ def rouge_n(df: DataFrame, n: int, pred: str = "pred", ref: str = "label",
             prefix: str | None = None) -> DataFrame:
     """ROUGE-n precision / recall / F per row (clipped counts)."""
     p = prefix or f"rouge{n}"
-    gp = ngrams(tx.rouge_tokens(F.col(pred)), n)
-    gr = ngrams(tx.rouge_tokens(F.col(ref)), n)
-    x = df.withColumn("_gp", F.array_sort(gp)).withColumn("_gr", F.array_sort(gr))
+    # tokens become columns first: the n-gram lambda then only slices them
+    x = df.withColumn("_tp", tx.rouge_tokens(F.col(pred))).withColumn("_tr", tx.rouge_tokens(F.col(ref)))
+    x = x.withColumn("_gp", F.array_sort(ngrams(F.col("_tp"), n))) \
+         .withColumn("_gr", F.array_sort(ngrams(F.col("_tr"), n))).drop("_tp", "_tr")
     ov = multiset_overlap("_gp", "_gr")
     prec = ov / F.greatest(F.size("_gp"), F.lit(1))
     rec = ov / F.greatest(F.size("_gr"), F.lit(1))

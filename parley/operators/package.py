@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.operators.windows import BROADCAST_ROWS, preceding
+from parley.session import materialize
 
 # fixed values of the original tool
 MIN_TEST_ROWS = 4            # per-device batch size; the smallest usable test set
@@ -190,7 +191,7 @@ def package_for_training(messages: DataFrame, members: DataFrame, target_name: s
     before the split and extrapolation."""
     target = resolve_target(members, target_name)
     k = params.base_k
-    packaged = package(messages, target, k, params.scope, block_rows=block_rows)
+    packaged = materialize(package(messages, target, k, params.scope, block_rows=block_rows))
     train, test = split_exact(packaged, params.test_perc, params.seed)
     if params.window:
         train = extrapolate(train, params.length, params.window)

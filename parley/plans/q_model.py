@@ -12,6 +12,7 @@ from parley.plans import views as v
 from parley.plans.catalog import register
 from parley.plans.q_sequences import DIALOG_CLEAN_SQL, SEED, dialog_rows
 from parley.operators import sequences as sq
+from parley.session import materialize
 
 N = 2
 
@@ -70,7 +71,7 @@ def decode_candidates(spark, sf):
 def bench_prompts(spark, sf):
     """E1 on the dialogue rows: the first 30 of the seeded permutation,
     with their prompt text (F2) and the reference response."""
-    rows = dialog_rows(spark, sf)
+    rows = materialize(dialog_rows(spark, sf))
     _, test = pk.split_exact(rows, 0.1, SEED)
     b = ev.benchmark_sample(test, [pk.shuffle_key(SEED), F.col("seq")])
     return b.select("seq", "author_id", "response", sq.prompt_text().alias("prompt"))

@@ -8,6 +8,7 @@ from parley.operators import package as pk
 from parley.plans import views as v
 from parley.plans.catalog import register
 from parley.plans.q_clean import cleaned_chat
+from parley.session import materialize
 
 SEED = 42
 TEST_PERC = 0.1
@@ -77,7 +78,9 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(seq AS VA
 
 
 def _split_all(spark, sf):
-    rows = all_rows(spark, sf, WINDOW, "session")
+    # the split reads its input three times (histogram, edge, filters):
+    # cut the lineage once instead of recomputing the window each time
+    rows = materialize(all_rows(spark, sf, WINDOW, "session"))
     return pk.split_exact(rows, TEST_PERC, SEED)
 
 
@@ -115,6 +118,6 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(seq AS VA
 SELECT seq, response, {_ctx_cols(2)} FROM ranked
 WHERE (n_test >= 4 AND r <= n_test) OR (n_test < 4 AND r > n_test AND r <= n_test + 4)""")
 def min_test_fallback(spark, sf):
-    rows = target_rows(spark, sf, 2, "channel")
+    rows = materialize(target_rows(spark, sf, 2, "channel"))
     train, test = pk.split_exact(rows, SMALL_TEST_PERC, SEED)
     return pk.flatten_context(pk.ensure_min_test(train, test, SEED), 2)

@@ -132,9 +132,8 @@ fold AS (
 SELECT seq, txt AS reply FROM fold WHERE step = (SELECT count(*) FROM lroster)""")
 def link_members(spark, sf):
     m = v.members(spark, sf)
-    roster = sv.roster_literal(m)
     c = clean_messages(v.chat(spark, sf), m)
-    return c.select("seq", sv.link_members(F.col("content"), roster).alias("reply"))
+    return sv.link_members(c.select("seq", F.col("content").alias("reply")), m)
 
 
 @register("replay", v.with_views("dialog", "members") + f"""

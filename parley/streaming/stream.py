@@ -1,8 +1,9 @@
 """Structured Streaming jobs X1..X3.
 
 - X1 ``stream_clean``: file-source stream -> C1..C7 -> Parquet.  Cleaning
-  is stateless; the mention lookup uses the roster as a literal map (its
-  size is checked), so no aggregation runs in the stream.
+  is stateless; the mention lookup ships the roster once (its size is
+  checked) and resolves ids in Arrow batches, so no aggregation runs in
+  the stream.
 - X2 ``stream_triggers``: messages that mention the bot, as they arrive.
 - X3 ``stream_prompts``: per channel, the last k-1 cleaned messages live
   in state (``applyInPandasWithState``); every trigger gets its prompt.
@@ -11,6 +12,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,37 +25,49 @@ from parley.functions import text as tx
 from parley.operators.serve import strip_bot_mention
 from parley.session import ensure_checkpoint_dir
 
-MAX_MAP_ROSTER = 200_000
+MAX_MAP_ROSTER = 2_000_000
 
 
-def roster_map(members: DataFrame, limit: int = MAX_MAP_ROSTER) -> Column:
-    """First name per normalised id as a literal map (row count checked)."""
+def roster_lookup(members: DataFrame, limit: int = MAX_MAP_ROSTER):
+    """First name per normalised id, shipped to the executors once (row
+    count checked first)."""
     from parley.operators.clean import first_names
     names = first_names(members)
     n = names.count()
     if n > limit:
-        raise ValueError(f"roster of {n} ids exceeds the streaming map bound {limit}")
-    rows = names.collect()
-    if not rows:
-        return F.create_map().cast("map<string,string>")
-    return F.map_from_arrays(F.array(*[F.lit(r[0]) for r in rows]),
-                             F.array(*[F.lit(r[1]).cast("string") for r in rows]))
-
-
-def resolve_mentions_map(c: Column, names: Column) -> Column:
-    """C4 as a projection: the same one-pass rebuild as the batch join."""
-    pieces = F.split(c, tx.MENTION_RE, -1)
-    ids = F.regexp_extract_all(c, F.lit(tx.MENTION_ID_RE), 1)
-    found = F.transform(ids, lambda i: F.coalesce(F.element_at(names, tx.normalise_id(i)),
-                                                  F.lit(tx.UNKNOWN_MEMBER)))
-    fill = F.concat(found, F.array(F.lit("")))
-    return F.array_join(F.zip_with(pieces, fill, lambda p, n: F.concat(p, n)), "")
-
-
-def clean_column(c: Column, names: Column) -> Column:
-    """C1..C7 as one column expression; null when the message is dropped."""
+        raise ValueError(f"roster of {n} ids exceeds the streaming lookup bound {limit}")
+    table = {r[0]: r[1] for r in names.collect()}
+    return members.sparkSession.sparkContext.broadcast(table)
+
+
+def mention_udf(bc):
+    """C4 as a per-row helper for streams (no aggregation can run there):
+    the same one-pass rebuild as the batch join, in Arrow batches."""
+    token = re.compile(tx.MENTION_ID_RE)
+
+    def one(text, table):
+        if text is None:
+            return None
+
+        def sub(m):
+            key = m.group(1).lstrip("0") or "0"
+            name = table.get(key)
+            return tx.UNKNOWN_MEMBER if name is None else name
+        return token.sub(sub, text)
+
+    @F.pandas_udf("string")
+    def _resolve(texts: pd.Series) -> pd.Series:
+        table = bc.value
+        return pd.Series([one(t, table) for t in texts], dtype=object)
+
+    return _resolve
+
+
+def clean_column(c: Column, resolve) -> Column:
+    """C1..C7 as one column expression; null when the message is dropped.
+    Only rows holding a mention token reach the Python lookup."""
     x = tx.replace_custom_emojis(tx.replace_urls(c))
-    x = F.when(x.rlike(tx.MENTION_RE), resolve_mentions_map(x, names)).otherwise(x)
+    x = F.when(x.rlike(tx.MENTION_RE), resolve(x)).otherwise(x)
     x = tx.newline_to_space(tx.blank_non_ascii(x))
     return F.when(c.isNotNull() & tx.is_not_blank(x), x)
 
@@ -66,8 +80,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
 def stream_clean(stream: DataFrame, members: DataFrame, out_dir: str, checkpoint: str,
                  trigger: dict | None = None):
     """Cleaned messages appended to Parquet at ``out_dir``."""
-    names = roster_map(members)
-    cleaned = stream.withColumn("content", clean_column(F.col("content"), names)) \
+    resolve = mention_udf(roster_lookup(members))
+    cleaned = stream.withColumn("content", clean_column(F.col("content"), resolve)) \
                     .where(F.col("content").isNotNull())
     w = cleaned.writeStream.format("parquet").option("path", out_dir) \
                .option("checkpointLocation", checkpoint).outputMode("append")
@@ -113,11 +127,11 @@ def _prompt_state_fn(k: int, bot_id: str, eos: str):
 def prompt_stream(stream: DataFrame, members: DataFrame, bot_id: str, k: int,
                   platform: str = "none", eos: str = tx.EOS) -> DataFrame:
     """X3 as a streaming DataFrame of ``(seq, prompt)``."""
-    names = roster_map(members)
+    resolve = mention_udf(roster_lookup(members))
     c = F.col("content")
     if platform == "discord":
         c = strip_bot_mention(c, bot_id)
-    x = stream.select("seq", "channel", "author_id", "content", clean_column(c, names).alias("clean"))
+    x = stream.select("seq", "channel", "author_id", "content", clean_column(c, resolve).alias("clean"))
     return x.groupBy("channel").applyInPandasWithState(
         _prompt_state_fn(k, bot_id, eos), "seq long, prompt string", "buf array<string>",
         "append", GroupStateTimeout.NoTimeout)
