@@ -39,15 +39,30 @@ def _grams_sql(n, col):
             f"FROM (SELECT {t} AS t))")
 
 
-def _rouge_n_sql(n):
+def _rouge_n_sql(n, tag=""):
     return f"""
-g AS (SELECT seq, {_grams_sql(n, 'pred')} AS gp, {_grams_sql(n, 'label')} AS gr FROM pairs),
-cp AS (SELECT seq, gram, count(*) AS c FROM (SELECT seq, unnest(gp) AS gram FROM g) GROUP BY ALL),
-cr AS (SELECT seq, gram, count(*) AS c FROM (SELECT seq, unnest(gr) AS gram FROM g) GROUP BY ALL),
-ov AS (SELECT cp.seq, sum(least(cp.c, cr.c)) AS o FROM cp JOIN cr USING (seq, gram) GROUP BY cp.seq),
-sc AS (SELECT g.seq, coalesce(ov.o, 0) / greatest(len(gp), 1) AS p, coalesce(ov.o, 0) / greatest(len(gr), 1) AS r
-       FROM g LEFT JOIN ov USING (seq)),
-scored AS (SELECT seq, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM sc)
+g{tag} AS (SELECT seq, {_grams_sql(n, 'pred')} AS gp, {_grams_sql(n, 'label')} AS gr FROM pairs),
+cp{tag} AS (SELECT seq, gram, count(*) AS c FROM (SELECT seq, unnest(gp) AS gram FROM g{tag}) GROUP BY ALL),
+cr{tag} AS (SELECT seq, gram, count(*) AS c FROM (SELECT seq, unnest(gr) AS gram FROM g{tag}) GROUP BY ALL),
+ov{tag} AS (SELECT cp{tag}.seq, sum(least(cp{tag}.c, cr{tag}.c)) AS o FROM cp{tag} JOIN cr{tag} USING (seq, gram)
+            GROUP BY cp{tag}.seq),
+sc{tag} AS (SELECT g{tag}.seq, coalesce(ov{tag}.o, 0) / greatest(len(gp), 1) AS p,
+                   coalesce(ov{tag}.o, 0) / greatest(len(gr), 1) AS r
+            FROM g{tag} LEFT JOIN ov{tag} USING (seq)),
+scored{tag} AS (SELECT seq, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM sc{tag})
+"""
+
+
+def _bootstrap_sql(seed, samples):
+    cdf = ev._poisson_cdf()
+    w = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in cdf)
+    return f"""
+fpair AS (SELECT a.seq, a.f AS rouge1_f, b.f AS rouge2_f FROM scored1 a JOIN scored2 b USING (seq)),
+reps AS (SELECT seq, rouge1_f, rouge2_f, unnest(range(1, {samples + 1})) AS rep FROM fpair),
+uu AS (SELECT *, CAST(('0x' || substr(md5('{seed}:' || CAST(seq AS VARCHAR) || ':' || CAST(rep AS VARCHAR)), 1, 8))
+                      AS BIGINT) / 4294967296.0 AS u FROM reps),
+ww AS (SELECT *, {w} AS w FROM uu),
+per AS (SELECT rep, sum(rouge1_f * w) / sum(w) AS m1, sum(rouge2_f * w) / sum(w) AS m2 FROM ww GROUP BY rep)
 """
 
 
@@ -88,7 +103,12 @@ def rouge_l(spark, sf):
     return s.select("seq", *[F.round(c, 9).alias(c) for c in s.columns if c.startswith("rougeL")])
 
 
-@register("rouge_mid")
+@register("rouge_mid", v.with_views("dialog", extra=PAIRS_SQL + "," + _rouge_n_sql(1, "1") + "," +
+                                     _rouge_n_sql(2, "2") + "," + _bootstrap_sql(SEED, ev.BOOTSTRAP_SAMPLES)) + """
+SELECT 'rouge1_f' AS metric, 'mid' AS kind, round(quantile_cont(m1, 0.5) * 100, 4) AS value FROM per
+UNION ALL SELECT 'rouge2_f', 'mid', round(quantile_cont(m2, 0.5) * 100, 4) FROM per
+UNION ALL SELECT 'rouge1_f', 'mean', round(avg(rouge1_f) * 100, 4) FROM fpair
+UNION ALL SELECT 'rouge2_f', 'mean', round(avg(rouge2_f) * 100, 4) FROM fpair""")
 def rouge_mid(spark, sf):
     s = ev.rouge_n(ev.rouge_n(pairs(spark, sf), 1), 2)
     return ev.rouge_mid(s, ["rouge1_f", "rouge2_f"], "seq", seed=SEED)

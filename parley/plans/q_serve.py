@@ -58,7 +58,23 @@ def prompts(spark, sf):
     return _prompts(spark, sf)
 
 
-@register("prompts_discord")
+_WS_CHARS = " || ".join(f"chr({c})" for c in
+                       (32, 9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203),
+                        8232, 8233, 8239, 8287, 12288))
+_DISCORD_CHAT = f"""
+chat0 AS ({v.CHAT_SQL}),
+chat AS (
+  SELECT seq, channel, author_id, ts,
+         trim(CASE WHEN strpos(content, '<@{BOT}>') > 0
+                   THEN substr(content, 1, strpos(content, '<@{BOT}>') - 1) ||
+                        substr(content, strpos(content, '<@{BOT}>') + {len(BOT) + 3})
+                   ELSE content END, {_WS_CHARS}) AS content
+  FROM chat0)"""
+
+
+@register("prompts_discord", "WITH " + _DISCORD_CHAT.strip() + ",\nmembers AS (" + v.MEMBERS_SQL + "),\n"
+          + v.CLEAN_SQL.strip() + CLEANNULL_SQL.replace("FROM chat c LEFT JOIN", "FROM chat0 c LEFT JOIN") + """
+SELECT seq, prompt FROM prompts""")
 def prompts_discord(spark, sf):
     # the documented platform branch: the bot's first mention is removed first
     return _prompts(spark, sf, platform="discord")
