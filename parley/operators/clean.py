@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
-from parley.operators.windows import BROADCAST_ROWS
+# a roster is broadcast only below this many ids (about 30 bytes each)
+ROSTER_BROADCAST_ROWS = 500_000
 
 
 def first_names(members: DataFrame) -> DataFrame:
@@ -37,12 +38,13 @@ def resolve_mentions(df: DataFrame, members: DataFrame, col: str = "content",
     """C4: ``<@digits>`` -> member name (first roster row), else ``Human``.
 
     One pass over the original text.  ``id_col`` must be unique.  The
-    roster is broadcast when its row count is below ``BROADCAST_ROWS``.
+    roster is broadcast when its row count is below ``ROSTER_BROADCAST_ROWS``;
+    a larger one is shuffled (AQE splits an often-mentioned id).
     """
     cols = df.columns
     names = first_names(members)
     n = roster_rows if roster_rows is not None else names.count()
-    if n <= BROADCAST_ROWS:
+    if n <= ROSTER_BROADCAST_ROWS:
         names = F.broadcast(names)
     has = F.col(col).rlike(tx.MENTION_RE)
     plain = df.where(~has | F.col(col).isNull())

@@ -92,14 +92,22 @@ def score_ngram_perplexity(model: DataFrame, rows: DataFrame, n: int = 2, by: st
 
 
 def decode_candidates(model: DataFrame, by: str = "author_id", top_k: int = TOP_K,
-                      top_p: float = TOP_P, temperature: float = TEMPERATURE) -> DataFrame:
+                      top_p: float = TOP_P, temperature: float = TEMPERATURE,
+                      salts: int = 16) -> DataFrame:
     """The next tokens sampling may pick for each prefix: the ``top_k``
     most likely, re-weighted by temperature, kept while the probability
     mass before them is below ``top_p``.  Adds ``rank``, ``q`` and ``cum``."""
     part = Window.partitionBy(by, "prefix")
     ordered = part.orderBy(F.col("p").desc(), F.col("token"))
-    x = model.select(by, "prefix", "token", "p", F.row_number().over(ordered).alias("rank")) \
-             .where(F.col("rank") <= top_k)
+    # two-stage top-k: a prefix followed by very many tokens is first cut to
+    # top_k inside each of ``salts`` slices (exact: the global top_k is
+    # inside the union of the slice top_k), so no task sorts a whole hot prefix
+    salt = F.abs(F.xxhash64("token")) % salts
+    sliced = Window.partitionBy(by, "prefix", "_salt").orderBy(F.col("p").desc(), F.col("token"))
+    pre = model.select(by, "prefix", "token", "p", salt.alias("_salt")) \
+               .withColumn("_r", F.row_number().over(sliced)).where(F.col("_r") <= top_k)
+    x = pre.select(by, "prefix", "token", "p", F.row_number().over(ordered).alias("rank")) \
+           .where(F.col("rank") <= top_k)
     x = x.withColumn("_w", F.exp(F.log("p") / temperature))
     x = x.withColumn("q", F.col("_w") / F.sum("_w").over(part))
     running = part.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
