@@ -32,3 +32,12 @@ def stream_prompts(spark, sf):
     df = st.drain(spark, lambda out, ck: st.stream_prompts(events_stream(spark, sf), members, BOT, K, out, ck),
                   "stream-prompts")
     return df.select("seq", "prompt")
+
+
+@register("stream_late_prompts")
+def stream_late_prompts(spark, sf):
+    members = v.members(spark, sf)
+    df = st.drain(spark, lambda out, ck: st.stream_late_prompts(events_stream(spark, sf), members, BOT, K,
+                                                               out, ck),
+                  "stream-late-prompts")
+    return df.select("seq", "prompt")

@@ -8,6 +8,8 @@
 - X3 ``stream_prompts``: per channel, the last k-1 cleaned messages live
   in state (``applyInPandasWithState``); every trigger gets its prompt.
   State survives restarts through the checkpoint folder.
+- X4 ``stream_late_prompts``: the same state ordered by event time with a
+  watermark, so messages that arrive late still take their place.
 """
 
 from __future__ import annotations
@@ -146,6 +148,73 @@ def stream_prompts(stream: DataFrame, members: DataFrame, bot_id: str, k: int, o
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _late_state_fn(k: int, bot_id: str, eos: str):
+    """State: the k-1 newest cleaned messages by event time (ts, seq).
+    Rows are inserted at their event-time position, so a late message is
+    seen by every later trigger; a trigger is answered with what is known
+    when it arrives.  Idle channels are dropped at the event-time timeout."""
+    token = f"<@{bot_id}>"
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frames = [p for p in pdfs if len(p)]
+        buf = list(zip(*state.get)) if state.exists else []      # (ts_us, seq, text)
+        buf = [(int(t), int(s_), x) for t, s_, x in buf]
+        if not frames:
+            return
+        rows = pd.concat(frames).sort_values(["ts_us", "seq"])
+        seqs, prompts = [], []
+        for ts, seq, content, author, clean in zip(rows["ts_us"], rows["seq"], rows["content"],
+                                                   rows["author_id"], rows["clean"]):
+            clean = None if clean is None or (isinstance(clean, float) and pd.isna(clean)) else clean
+            here = (int(ts), int(seq))
+            before = [m for m in buf if (m[0], m[1]) < here]
+            history = ([m[2] for m in before[-(k - 1):]] if k > 1 else []) + [clean]
+            if isinstance(content, str) and token in content and author != bot_id:
+                seqs.append(int(seq))
+                prompts.append(eos.join(h for h in history if h is not None) + eos)
+            buf = sorted(buf + [(int(ts), int(seq), clean)])[-(k - 1):] if k > 1 else []
+        state.update(([m[0] for m in buf], [m[1] for m in buf], [m[2] for m in buf]))
+        if buf:
+            state.setTimeoutTimestamp(max(m[0] for m in buf) // 1000 + LATE_STATE_TTL_MS)
+        if seqs:
+            yield pd.DataFrame({"seq": seqs, "prompt": prompts})
+
+    return fn
+
+
+LATE_STATE_TTL_MS = 24 * 3600 * 1000
+
+
+def late_prompt_stream(stream: DataFrame, members: DataFrame, bot_id: str, k: int,
+                       watermark: str = "1 hour", platform: str = "none",
+                       eos: str = tx.EOS) -> DataFrame:
+    """Prompts with per-channel state ordered by event time."""
+    resolve = mention_udf(roster_lookup(members))
+    c = F.col("content")
+    if platform == "discord":
+        c = strip_bot_mention(c, bot_id)
+    x = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).select(
+        "seq", "channel", "author_id", "content", "ts",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        clean_column(c, resolve).alias("clean"))
+    return x.groupBy("channel").applyInPandasWithState(
+        _late_state_fn(k, bot_id, eos), "seq long, prompt string",
+        "ts array<long>, seqs array<long>, texts array<string>",
+        "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_late_prompts(stream: DataFrame, members: DataFrame, bot_id: str, k: int, out_dir: str,
+                        checkpoint: str, watermark: str = "1 hour", trigger: dict | None = None):
+    """Event-time ordered prompts appended to Parquet at ``out_dir``."""
+    p = late_prompt_stream(stream, members, bot_id, k, watermark)
+    w = p.writeStream.format("parquet").option("path", out_dir) \
+         .option("checkpointLocation", checkpoint).outputMode("append")
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def drain(spark: SparkSession, start_query, name: str) -> DataFrame:
     """Run a stream to the end of its input (availableNow) into a fresh
     folder under the checkpoint dir and read the result back."""

@@ -73,3 +73,22 @@ def test_training_round_trip_and_layout(spark):
     assert io.session_layout("/r", "g", "s") == "/r/guild=g/session=s"
     snap = io.roster_snapshot(spark.createDataFrame([("1", "A", 0)], "id string, name string, pos long"), ("9", "bot"))
     assert [tuple(r) for r in snap.orderBy("pos").collect()] == [("1", "A", 0), ("9", "bot", 1)]
+
+
+def test_late_messages_take_their_event_time_place(spark):
+    import datetime as dt
+    members = spark.createDataFrame([("1", "Bot", 0)], "id string, name string, pos long")
+    schema = "seq long, author_id string, content string, channel string, ts timestamp"
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    first = [(1, "a", "one", "c", t(1)), (3, "a", "three", "c", t(3)), (4, "b", "<@1> four", "c", t(4))]
+    late = [(2, "a", "two", "c", t(2)), (5, "b", "<@1> five", "c", t(5))]
+    src, ck, out = (tempfile.mkdtemp(prefix=p) for p in ("parley-src-", "parley-ck-", "parley-out-"))
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("overwrite").parquet(src + "/a")
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("overwrite").parquet(src + "/b")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    q = st.stream_late_prompts(stream, members, "1", 4, out, ck)
+    q.awaitTermination()
+    got = dict((r.seq, r.prompt) for r in spark.read.parquet(out).collect())
+    # seq 4 was answered before "two" arrived; seq 5 sees "two" in time order
+    assert got[4] == f"one{EOS}three{EOS}Bot four{EOS}"
+    assert got[5] == f"two{EOS}three{EOS}Bot four{EOS}Bot five{EOS}"
