@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.session import parallelism
+from parley.session import materialize, parallelism
 
 # A table is broadcast only when its row count is known to be below this.
 BROADCAST_ROWS = 2_000_000
@@ -103,11 +103,18 @@ def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequen
                         nb.cast("int").alias("n_before"))
 
     # --- split path: hot scopes are cut into global quantile ranges --------
+    # the input is read several times below (quantiles, hot list, blocks,
+    # tails, heads): cut its lineage once with a reliable checkpoint
+    x = materialize(x.withColumn("_okey", numeric_key(x, order[0])))
     n_ranges = max(2, math.ceil(total / block_rows))
-    x = x.withColumn("_okey", numeric_key(x, order[0]))
     splits = _range_splits(x, "_okey", n_ranges)
-    hot = counts.where(F.col("_cnt") > block_rows).select("_scope", F.lit(True).alias("_hot"))
-    if total // block_rows <= BROADCAST_ROWS:  # hot scopes <= total / block_rows
+    # at most total / block_rows scopes can exceed block_rows: a proven bound
+    hot_rows = x.groupBy("_scope").agg(F.count(F.lit(1)).alias("_cnt")) \
+                .where(F.col("_cnt") > block_rows).select("_scope").collect()
+    hot_schema = T.StructType([T.StructField("_scope", x.schema["_scope"].dataType, False),
+                               T.StructField("_hot", T.BooleanType(), False)])
+    hot = spark.createDataFrame([(r[0], True) for r in hot_rows], hot_schema)
+    if len(hot_rows) <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     x = x.join(hot, "_scope", "left")
     x = _with_range(x, F.col("_okey"), splits, "_rng").drop("_okey")

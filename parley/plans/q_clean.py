@@ -9,6 +9,7 @@ from parley.operators import clean as cl
 from parley.operators import standardize as st
 from parley.plans import views as v
 from parley.plans.catalog import register
+from parley.session import materialize
 
 RENAME_TARGET = "target-user"
 RENAME_ID = "7"
@@ -18,6 +19,12 @@ def cleaned_chat(spark, sf):
     return cl.clean_messages(v.chat(spark, sf), v.members(spark, sf))
 
 
+def cleaned_chat_once(spark, sf):
+    """The cleaned chat for consumers that read it several times (window
+    counts, quantiles, the window itself): computed once, lineage cut."""
+    return materialize(cleaned_chat(spark, sf))
+
+
 @register("clean_url", v.with_views("chat") + r"""
 SELECT seq, regexp_replace(content, 'https?://[!$-_a-z]+', 'url', 'g') AS content
 FROM chat WHERE content IS NOT NULL""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley.operators import package as pk
 from parley.plans import views as v
 from parley.plans.catalog import register
-from parley.plans.q_clean import cleaned_chat
+from parley.plans.q_clean import cleaned_chat_once
 from parley.session import materialize
 
 SEED = 42
@@ -35,13 +35,13 @@ SESSION_BLOCK_ROWS = 1024
 
 
 def target_rows(spark, sf, k, scope, block_rows=None):
-    msgs = cleaned_chat(spark, sf)
+    msgs = cleaned_chat_once(spark, sf)
     target = pk.resolve_target(v.members(spark, sf), v.TARGET_NAME)
     return pk.package(msgs, target, k, scope, block_rows=block_rows)
 
 
 def all_rows(spark, sf, k, scope):
-    return pk.package(cleaned_chat(spark, sf), v.members(spark, sf), k, scope)
+    return pk.package(cleaned_chat_once(spark, sf), v.members(spark, sf), k, scope)
 
 
 @register("package_context", v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
@@ -66,7 +66,7 @@ def package_target(spark, sf):
     # every roster member is a target; per-channel time order
     from parley.operators.clean import channel_time_scope
     by, order = channel_time_scope()
-    rows = pk.package(cleaned_chat(spark, sf), v.members(spark, sf), 3, by, order)
+    rows = pk.package(cleaned_chat_once(spark, sf), v.members(spark, sf), 3, by, order)
     return pk.flatten_context(rows, 3, keep=("seq", "author_id"))
 
 
