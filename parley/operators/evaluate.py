@@ -134,7 +134,7 @@ def rouge_mid(scores: DataFrame, cols: list[str], id_col: str = "seq", seed: int
     x = scores.select(id_col, *cols, rep)
     x = x.withColumn("_w", poisson_weight(bootstrap_uniform(seed, id_col, F.col("_rep"))))
     per_rep = x.groupBy("_rep").agg(
-        *[(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(c) for c in cols])
+        *[F.try_divide(F.sum(F.col(c) * F.col("_w")), F.sum("_w")).alias(c) for c in cols])
     mids = per_rep.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in cols])
     means = scores.agg(*[F.avg(c).alias(c) for c in cols])
     stack = lambda d, kind: d.select(F.explode(F.array(*[

@@ -254,10 +254,10 @@ def _generate_join(prompts: DataFrame, candidates: DataFrame, n: int, by: str,
         init = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("idx"))
         found = F.aggregate(
             F.sequence(F.lit(1), F.greatest(F.size("_qs"), F.lit(1))), init,
-            lambda st, i: F.when((st["idx"] == 0) & (F.element_at("_qs", i) > 0) &
-                                 (st["run"] + F.element_at("_qs", i) >= target),
+            lambda st, i: F.when((st["idx"] == 0) & (F.try_element_at("_qs", i) > 0) &
+                                 (st["run"] + F.try_element_at("_qs", i) >= target),
                                  F.struct(st["run"].alias("run"), i.alias("idx")))
-            .otherwise(F.struct((st["run"] + F.coalesce(F.element_at("_qs", i), F.lit(0.0))).alias("run"),
+            .otherwise(F.struct((st["run"] + F.coalesce(F.try_element_at("_qs", i), F.lit(0.0))).alias("run"),
                                 st["idx"].alias("idx"))))
         tok = F.when((mass > 0) & (found["idx"] > 0), F.element_at(cs, found["idx"])["token"])
         stop = tok.isNull() | (tok == EOS_TOKEN)
