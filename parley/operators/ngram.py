@@ -144,17 +144,20 @@ def generate_replies(prompts: DataFrame, candidates: DataFrame, n: int = 2, by:
     ``strategy='join'`` keeps the model distributed and extends every
     prompt by one token per step with a join.  Both draw the same tokens.
     """
-    if strategy == "auto":
-        strategy = "local" if candidates.count() <= LOCAL_MODEL_ROWS else "join"
+    rows = None
+    if strategy in ("auto", "local"):
+        # one pass: fetch at most bound + 1 rows; more means the model is too big to ship
+        rows = candidates.select(by, "prefix", "rank", "token", "q").limit(LOCAL_MODEL_ROWS + 1).collect()
+        if strategy == "auto":
+            strategy = "local" if len(rows) <= LOCAL_MODEL_ROWS else "join"
     if strategy == "local":
-        return _generate_local(prompts, candidates, n, by, id_col, prompt_col, seed,
+        return _generate_local(prompts, rows, n, by, id_col, prompt_col, seed,
                                max_new_tokens, no_repeat)
     return _generate_join(prompts, candidates, n, by, id_col, prompt_col, seed,
                           max_new_tokens, no_repeat)
 
 
-def _generate_local(prompts, candidates, n, by, id_col, prompt_col, seed, max_new_tokens, no_repeat):
-    rows = candidates.select(by, "prefix", "rank", "token", "q").collect()
+def _generate_local(prompts, rows, n, by, id_col, prompt_col, seed, max_new_tokens, no_repeat):
     if len(rows) > LOCAL_MODEL_ROWS:
         raise ValueError("candidate table larger than its declared bound")
     table: dict = {}
