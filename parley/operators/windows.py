@@ -6,8 +6,9 @@ rows, so a plain ``Window.partitionBy(scope)`` would put that third into
 one task.  Scopes larger than ``block_rows`` are therefore cut into
 blocks by global quantile ranges of the order key; each block is
 windowed independently, and only the first k rows of each block are
-repaired with the tail of the previous block (a table of at most
-``blocks * k`` rows).  One shuffle of the data, plus small tables.
+repaired with the tails of the previous blocks (a table with one row per
+block).  The data is windowed once; a second, narrow window over the hot
+rows only (order key and value) yields the block tails.
 
 ``dense_index`` numbers rows 0..n-1 in a total order without a global
 single-partition window: quantile ranges, one count per range, offsets
@@ -123,35 +124,37 @@ def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequen
 
     w = Window.partitionBy("_scope", "_blk").orderBy(*order)
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    vtype = T.ArrayType(df.schema[value].dataType)
+
+    # pass A, hot rows only and only (scope, block, order, value): the last
+    # k values of every block, nearest first, read off the block's last row
+    hx = x.where(F.col("_hot")).select("_scope", "_blk", *order, value)
+    ends = hx.select("_scope", "_blk",
+                     F.row_number().over(w).alias("_rn"),
+                     F.count(F.lit(1)).over(wall).alias("_cnt"),
+                     F.array(F.col(value), *lags(w)[: k - 1]).alias("_lastk")) \
+             .where(F.col("_rn") == F.col("_cnt")) \
+             .select("_scope", "_blk", F.slice("_lastk", 1, F.least(F.col("_cnt"), F.lit(k))).alias("_tail"))
+    # the k values before each block: tails of up to k earlier blocks (each
+    # non-empty block gives at least one), nearest first.  #blocks rows.
+    pw = Window.partitionBy("_scope").orderBy("_blk").rowsBetween(-k, -1)
+    prefix = ends.select("_scope", "_blk", F.slice(F.flatten(F.reverse(F.collect_list("_tail").over(pw))),
+                                                   1, k).alias("_prev"))
+
+    # pass B, all rows: the window, then the repair of each block's first k
+    # rows.  The join keys are the window's partition keys, so only the small
+    # prefix table moves.
     base = x.select(*cols, "_scope", "_hot", "_blk",
-                    F.row_number().over(w).alias("_rn"),
-                    F.count(F.lit(1)).over(wall).alias("_cnt"),
-                    F.array(*lags(w)).alias("_lags"))
+                    F.row_number().over(w).alias("_rn"), F.array(*lags(w)).alias("_lags"))
+    base = base.join(prefix, ["_scope", "_blk"], "left")
     within = F.slice(F.col("_lags"), 1, F.least(F.col("_rn") - 1, F.lit(k)))
+    prev = F.coalesce(F.col("_prev"), F.array().cast(vtype))
     head = F.col("_hot") & (F.col("_rn") <= k)
-
-    # tails of every hot block -> the last k rows up to each block end
-    tails = base.where(F.col("_hot") & (F.col("_rn") > F.col("_cnt") - k)) \
-                .select("_scope", "_blk", *order, "_rn", "_cnt",
-                        F.struct(F.col(value).alias("v")).alias("_sv"))
-    tw = Window.partitionBy("_scope").orderBy(*order).rowsBetween(-(k - 1), 0)
-    ends = tails.select("_scope", "_blk", "_rn", "_cnt",
-                        F.collect_list("_sv").over(tw).alias("_arr")) \
-                .where(F.col("_rn") == F.col("_cnt")).drop("_rn", "_cnt")
-    pw = Window.partitionBy("_scope").orderBy("_blk")
-    prefix = ends.select("_scope", "_blk", F.lag("_arr", 1).over(pw).alias("_prev"))
-
-    vtype = T.ArrayType(df.schema[value].dataType)
-    fixed_prev = F.coalesce(F.transform(F.reverse(F.col("_prev")), lambda s: s["v"]),
-                            F.array().cast(vtype))
-    heads = base.where(head).join(prefix, ["_scope", "_blk"], "left")
-    n_head = F.least(F.lit(k), F.col("_rn") - 1 + F.size(fixed_prev))
-    heads = heads.select(*cols,
-                         F.slice(F.concat(within, fixed_prev), 1, n_head).alias(out),
-                         n_head.cast("int").alias("n_before"))
-    rest = base.where(~head).select(*cols, within.alias(out),
-                                    F.least(F.col("_rn") - 1, F.lit(k)).cast("int").alias("n_before"))
-    return rest.unionByName(heads)
+    n_head = F.least(F.lit(k), F.col("_rn") - 1 + F.size(prev))
+    n_rest = F.least(F.col("_rn") - 1, F.lit(k))
+    return base.select(*cols,
+                       F.when(head, F.slice(F.concat(within, prev), 1, n_head)).otherwise(within).alias(out),
+                       F.when(head, n_head).otherwise(n_rest).cast("int").alias("n_before"))
 
 
 def dense_index(df: DataFrame, order: Sequence[str], out: str = "pos",
