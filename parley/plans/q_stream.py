@@ -41,3 +41,10 @@ def stream_late_prompts(spark, sf):
                                                                out, ck),
                   "stream-late-prompts")
     return df.select("seq", "prompt")
+
+
+@register("stream_triggers")
+def stream_triggers(spark, sf):
+    df = st.drain(spark, lambda out, ck: st.stream_triggers(events_stream(spark, sf), BOT, out, ck),
+                  "stream-triggers")
+    return df.select("seq", "author_id", "content")
