@@ -38,16 +38,15 @@ def resolve_mentions(df: DataFrame, members: DataFrame, col: str = "content",
     """C4: ``<@digits>`` -> member name (first roster row), else ``Human``.
 
     One pass over the original text.  ``id_col`` must be unique.  The
-    roster is broadcast when its size is known to be small (``roster_rows``
-    below ``ROSTER_BROADCAST_ROWS``, or AQE's runtime size check); a larger
-    one is shuffled and AQE splits an often-mentioned id.
+    roster is broadcast when its id count is below ``ROSTER_BROADCAST_ROWS``;
+    a larger one is shuffled and AQE splits an often-mentioned id.
     """
     cols = df.columns
     names = first_names(members)
-    # with a known roster size below the bound, broadcast it; otherwise AQE
-    # measures the aggregated roster at runtime and broadcasts it only when
-    # it is below spark.sql.adaptive.autoBroadcastJoinThreshold
-    if roster_rows is not None and roster_rows <= ROSTER_BROADCAST_ROWS:
+    # broadcast the roster once its size is checked (a cheap count of a small
+    # table): the exploded mention rows then never shuffle for the lookup
+    n = roster_rows if roster_rows is not None else names.count()
+    if n <= ROSTER_BROADCAST_ROWS:
         names = F.broadcast(names)
     has = F.col(col).rlike(tx.MENTION_RE)
     plain = df.where(~has | F.col(col).isNull())

@@ -90,8 +90,10 @@ def package(messages: DataFrame, targets: str | Sequence[str] | DataFrame, k: in
     w = context_window(messages, k, scope, order, block_rows)
     full = F.col("n_before") == k
     if isinstance(targets, DataFrame):
+        # the distinct target ids are broadcast after their count is checked,
+        # so the windowed rows never shuffle for this filter
         t = targets.select(F.col("id").cast("string").alias("author_id")).distinct()
-        if t.count() <= BROADCAST_ROWS:  # target set of checked size
+        if t.count() <= BROADCAST_ROWS:
             t = F.broadcast(t)
         out = w.where(full).join(t, "author_id", "left_semi")
     else:

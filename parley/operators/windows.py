@@ -88,16 +88,19 @@ def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequen
     def lags(w):
         return [F.lag(F.col(value), i).over(w) for i in range(1, k + 1)]
 
-    counts = x.groupBy("_scope").agg(F.count(F.lit(1)).alias("_cnt"))
+    # one row per scope, kept for the hot list below (released before return)
+    counts = x.groupBy("_scope").agg(F.count(F.lit(1)).alias("_cnt")).persist()
     total, biggest = counts.agg(F.sum("_cnt"), F.max("_cnt")).first()
     total = total or 0
     block_rows = block_rows or auto_block_rows(spark, total)
 
     if k == 0:
+        counts.unpersist()
         return df.withColumn(out, F.array().cast(T.ArrayType(df.schema[value].dataType))) \
                  .withColumn("n_before", F.lit(0))
 
     if not biggest or biggest <= block_rows:
+        counts.unpersist()
         w = Window.partitionBy("_scope").orderBy(*order)
         nb = F.least(F.row_number().over(w) - 1, F.lit(k))
         return x.select(*cols, F.slice(F.array(*lags(w)), 1, nb).alias(out),
@@ -110,8 +113,8 @@ def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequen
     n_ranges = max(2, math.ceil(total / block_rows))
     splits = _range_splits(x, "_okey", n_ranges)
     # at most total / block_rows scopes can exceed block_rows: a proven bound
-    hot_rows = x.groupBy("_scope").agg(F.count(F.lit(1)).alias("_cnt")) \
-                .where(F.col("_cnt") > block_rows).select("_scope").collect()
+    hot_rows = counts.where(F.col("_cnt") > block_rows).select("_scope").collect()
+    counts.unpersist()
     hot_schema = T.StructType([T.StructField("_scope", x.schema["_scope"].dataType, False),
                                T.StructField("_hot", T.BooleanType(), False)])
     hot = spark.createDataFrame([(r[0], True) for r in hot_rows], hot_schema)

@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, app: str = "parley",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoint files of materialised tables are removed once unreferenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master and master.startswith("local"):
         conf["spark.driver.memory"] = "16g"   # local mode: the driver is the executor
