@@ -115,3 +115,18 @@ def test_split_truncates_like_python(spark):
     df = spark.range(100).withColumnRenamed("id", "seq")
     _, test = pk.split_exact(df, 0.29, 1)
     assert test.count() == 28
+
+
+def test_preceding_composite_order_with_ties(spark):
+    # the first order column has heavy ties (one timestamp for many rows):
+    # ranges keep ties together, the window orders by (ts, seq)
+    rnd = random.Random(5)
+    rows = [(i, f"m{i}", "hot" if rnd.random() < 0.7 else "cold", rnd.choice([10, 10, 10, 20, 30]) + i // 500)
+            for i in range(2500)]
+    df = spark.createDataFrame(rows, "seq long, content string, channel string, ts long")
+    got = preceding(df, 4, ["channel"], ["ts", "seq"], block_rows=150).select("seq", "ctx", "n_before")
+    w = Window.partitionBy("channel").orderBy("ts", "seq")
+    lags = F.array(*[F.lag("content", i).over(w) for i in range(1, 5)])
+    nb = F.least(F.row_number().over(w) - 1, F.lit(4))
+    exp = df.select("seq", F.slice(lags, 1, nb).alias("ctx"), nb.alias("n_before"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
