@@ -196,14 +196,16 @@ def link_members(df: DataFrame, members: DataFrame, col: str = "reply", out: str
                  limit: int = MAX_ROSTER) -> DataFrame:
     """Q8: for each member in roster order whose name occurs in the text:
     ``Hi`` -> ``Hi @name``, then name -> ``<@id>``; later members see the
-    earlier rewrites.  The roster (row count checked) is shipped once; each
-    task finds occurring names with one Aho-Corasick pass per rewrite."""
+    earlier rewrites.  A roster below ``limit`` rows (counted) is shipped
+    once and each task finds occurring names with one Aho-Corasick pass per
+    rewrite; a larger roster goes through ``link_members_sharded``."""
     import ahocorasick
 
     n = members.count()
     if n > limit:
-        raise ValueError(f"roster of {n} rows exceeds the link_members bound {limit}")
-    rows = members.orderBy("pos").select("name", "id").collect()
+        # too large to ship whole: the exact sharded rounds below
+        return link_members_sharded(df, members, col, out, shard_rows=limit)
+    rows = members.orderBy("pos", "id").select("name", "id").collect()
     names = ["" if r[0] is None else str(r[0]) for r in rows]
     ids = ["" if r[1] is None else str(r[1]) for r in rows]
     bc = df.sparkSession.sparkContext.broadcast((names, ids))
@@ -226,6 +228,84 @@ def link_members(df: DataFrame, members: DataFrame, col: str = "reply", out: str
     return df.withColumn(out, _link(F.col(col)))
 
 
+def _first_hits(reps: pd.DataFrame, mem: pd.DataFrame) -> pd.DataFrame:
+    """For every text of one (shard, bucket) group: the smallest roster index
+    >= its position whose name occurs in it (one automaton per group)."""
+    import ahocorasick
+
+    if reps.empty or mem.empty:
+        return pd.DataFrame({"_k": pd.Series([], dtype=object), "_idx": pd.Series([], dtype="int64")})
+    auto = ahocorasick.Automaton()
+    by_name: dict[str, list[int]] = {}
+    for idx, name in zip(mem["idx"], mem["name"]):
+        by_name.setdefault(name, []).append(int(idx))
+    for name, idxs in by_name.items():
+        auto.add_word(name, sorted(idxs))
+    auto.make_automaton()
+    keys, found = [], []
+    for k, t, p in zip(reps["_k"], reps["_t"], reps["_p"]):
+        best = None
+        for _, idxs in auto.iter(t):
+            for i in idxs:
+                if i >= p and (best is None or i < best):
+                    best = i
+                    break
+        if best is not None:
+            keys.append(k)
+            found.append(best)
+    return pd.DataFrame({"_k": pd.Series(keys, dtype=object), "_idx": pd.Series(found, dtype="int64")})
+
+
+def link_members_sharded(df: DataFrame, members: DataFrame, col: str = "reply", out: str = "reply",
+                         key: str = "seq", shard_rows: int = MAX_ROSTER, bucket_rows: int = 1_000_000,
+                         max_rounds: int = 10_000) -> DataFrame:
+    """Q8 for rosters of any size, exactly.
+
+    The roster gets its global order index and is cut into shards of
+    ``shard_rows``.  Each round finds, for every unfinished text, the next
+    member (by index, at or after its position) whose name occurs in the
+    current text: texts are paired with every shard, members with every
+    bucket of texts, and each (shard, bucket) group runs one automaton.
+    That member's rewrite is applied and the position moves past it; a text
+    with no further hit is finished.  Rounds = rewrites of the busiest text.
+    """
+    from parley.operators.windows import dense_index_total
+    from parley.session import materialize
+
+    m = members.select(F.col("name").cast("string").alias("name"), F.col("id").cast("string").alias("id"),
+                       F.col("pos").cast("long").alias("pos"))
+    ranked, n = dense_index_total(m, ["pos", "id"], "idx")
+    ranked = materialize(ranked.where(F.col("name").isNotNull() & (F.length("name") > 0))
+                         .withColumn("shard", F.floor(F.col("idx") / shard_rows).cast("long")))
+    n_shards = max(1, -(-n // shard_rows))
+    ktype = df.schema[key].dataType.simpleString()
+    state = materialize(df.select(F.col(key).alias("_k"), F.col(col).alias("_t"), F.lit(0).cast("long").alias("_p"),
+                                  F.col(col).isNull().alias("_done")))
+    for _ in range(max_rounds):
+        active = state.where(~F.col("_done"))
+        n_active = active.count()
+        if n_active == 0:
+            break
+        buckets = max(1, -(-n_active // bucket_rows))
+        reps = active.withColumn("bucket", F.pmod(F.xxhash64("_k"), F.lit(buckets))) \
+                     .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<long>")))
+        mem = ranked.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<long>")))
+        hits = reps.select("shard", "bucket", "_k", "_t", "_p").groupBy("shard", "bucket") \
+                   .cogroup(mem.select("shard", "bucket", "idx", "name").groupBy("shard", "bucket")) \
+                   .applyInPandas(_first_hits, f"_k {ktype}, _idx long")
+        best = hits.groupBy("_k").agg(F.min("_idx").alias("_idx"))
+        named = ranked.select(F.col("idx").alias("_idx"), F.col("name").alias("_n"), F.col("id").alias("_i"))
+        upd = active.join(best, "_k", "left").join(named, "_idx", "left")
+        hit = F.col("_idx").isNotNull()
+        rewritten = F.replace(F.replace(F.col("_t"), F.lit("Hi"), F.concat(F.lit("Hi @"), F.col("_n"))),
+                              F.col("_n"), F.concat(F.lit("<@"), F.col("_i"), F.lit(">")))
+        upd = upd.select("_k", F.when(hit, rewritten).otherwise(F.col("_t")).alias("_t"),
+                         F.when(hit, F.col("_idx") + 1).otherwise(F.col("_p")).alias("_p"), (~hit).alias("_done"))
+        state = materialize(state.where(F.col("_done")).unionByName(upd))
+    done = state.select(F.col("_k").alias(key), F.col("_t").alias(out))
+    return df.drop(out).join(done, key) if out in df.columns and out != key else df.join(done, key)
+
+
 def replay_history(turns: DataFrame, k: int, conv: str = "conv_id", order: str = "seq") -> DataFrame:
     """Q9: the chat loop's history: the k newest turns of the conversation
     up to each turn (blank seeds vanish in the prompt)."""

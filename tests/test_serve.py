@@ -70,3 +70,18 @@ def test_classify_response(spark):
     assert got[2] == ("empty", 0, 0, "...")
     assert got[3] == ("failed", 4, 4, sv.FAILED_REPLY)
     assert got[4] == ("ok", 0, 0, "hello")
+
+
+def test_link_members_sharded_equals_fold(spark):
+    # a roster cut into shards of two, texts that cascade and repeat names
+    members = spark.createDataFrame(
+        [("5", "Al", 0), ("9", "<@5>", 1), ("3", "Hi @", 2), ("4", "Bo", 3), ("6", "Al", 4), ("8", "Cy", 5)],
+        "id string, name string, pos long")
+    df = spark.createDataFrame([(1, "Hi Al"), (2, "Al Al Hi Bo"), (3, "nobody"), (4, None), (5, "Cy and Bo")],
+                               "seq long, reply string")
+    got = {r.seq: r.reply for r in sv.link_members_sharded(df, members, shard_rows=2, bucket_rows=2).collect()}
+    exp = {r.seq: r.r for r in df.select("seq", sv.link_members_fold(
+        F.col("reply"), sv.roster_literal(members)).alias("r")).collect()}
+    assert got == exp
+    small = {r.seq: r.reply for r in sv.link_members(df, members).collect()}
+    assert small == exp
