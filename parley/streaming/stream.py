@@ -74,6 +74,12 @@ def clean_column(c: Column, resolve) -> Column:
     return F.when(c.isNotNull() & tx.is_not_blank(x), x)
 
 
+def roster_fits(members: DataFrame, limit: int | None = None) -> bool:
+    """Whether the roster's id count is under the in-stream lookup bound."""
+    from parley.operators.clean import first_names
+    return first_names(members).count() <= (MAX_MAP_ROSTER if limit is None else limit)
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -81,7 +87,17 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 def stream_clean(stream: DataFrame, members: DataFrame, out_dir: str, checkpoint: str,
                  trigger: dict | None = None):
-    """Cleaned messages appended to Parquet at ``out_dir``."""
+    """Cleaned messages appended to Parquet at ``out_dir``.  A roster
+    over ``MAX_MAP_ROSTER`` ids is handled by the batch join per micro-batch
+    (``foreachBatch``, one ``batch=<id>`` folder per micro-batch)."""
+    if not roster_fits(members):
+        from parley.operators.clean import clean_messages
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            clean_messages(batch, members).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+        w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        return w.trigger(**(trigger or {"availableNow": True})).start()
     resolve = mention_udf(roster_lookup(members))
     cleaned = stream.withColumn("content", clean_column(F.col("content"), resolve)) \
                     .where(F.col("content").isNotNull())
@@ -134,15 +150,50 @@ def prompt_stream(stream: DataFrame, members: DataFrame, bot_id: str, k: int,
     if platform == "discord":
         c = strip_bot_mention(c, bot_id)
     x = stream.select("seq", "channel", "author_id", "content", clean_column(c, resolve).alias("clean"))
-    return x.groupBy("channel").applyInPandasWithState(
-        _prompt_state_fn(k, bot_id, eos), "seq long, prompt string", "buf array<string>",
-        "append", GroupStateTimeout.NoTimeout)
+    return prompts_from_cleaned(x, bot_id, k, eos)
+
+
+def prompts_from_cleaned(x: DataFrame, bot_id: str, k: int, eos: str = tx.EOS) -> DataFrame:
+    """The stateful part of X3 over rows that already carry ``clean``."""
+    return x.select("seq", "channel", "author_id", "content", "clean").groupBy("channel") \
+        .applyInPandasWithState(_prompt_state_fn(k, bot_id, eos), "seq long, prompt string",
+                                "buf array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_clean_keep(stream: DataFrame, members: DataFrame, out_dir: str, checkpoint: str,
+                      bot_id: str | None = None, platform: str = "none", trigger: dict | None = None):
+    """Every micro-batch cleaned by the batch operator (explode -> join ->
+    regroup, any roster size); rows keep ``clean`` = null when dropped.
+    Each batch overwrites its own folder, so a replayed batch is idempotent."""
+    from parley.operators.serve import clean_or_null
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        clean_or_null(batch, members, platform, bot_id) \
+            .write.mode("overwrite").parquet(f"{out_dir}/{batch_id:012d}")
+
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_prompts(stream: DataFrame, members: DataFrame, bot_id: str, k: int, out_dir: str,
                    checkpoint: str, platform: str = "none", trigger: dict | None = None):
-    """Prompts appended to Parquet at ``out_dir``."""
-    p = prompt_stream(stream, members, bot_id, k, platform)
+    """Prompts appended to Parquet at ``out_dir``.
+
+    A roster under ``MAX_MAP_ROSTER`` ids resolves mentions inside the
+    stream; a larger one first runs ``stream_clean_keep`` (the batch join per
+    micro-batch) into a folder next to the checkpoint, and the prompt state
+    reads that folder as a stream."""
+    if roster_fits(members):
+        p = prompt_stream(stream, members, bot_id, k, platform)
+    else:
+        spark = stream.sparkSession
+        mid = checkpoint.rstrip("/") + "-cleaned"
+        q = stream_clean_keep(stream, members, mid, checkpoint.rstrip("/") + "-clean-ck", bot_id, platform,
+                              trigger)
+        if (trigger or {"availableNow": True}).get("availableNow"):
+            q.awaitTermination()
+        schema = "seq long, channel string, author_id string, content string, clean string"
+        p = prompts_from_cleaned(spark.readStream.schema(schema).parquet(mid + "/*"), bot_id, k)
     w = p.writeStream.format("parquet").option("path", out_dir) \
          .option("checkpointLocation", checkpoint).outputMode("append")
     return w.trigger(**(trigger or {"availableNow": True})).start()

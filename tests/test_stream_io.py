@@ -92,3 +92,36 @@ def test_late_messages_take_their_event_time_place(spark):
     # seq 4 was answered before "two" arrived; seq 5 sees "two" in time order
     assert got[4] == f"one{EOS}three{EOS}Bot four{EOS}"
     assert got[5] == f"two{EOS}three{EOS}Bot four{EOS}Bot five{EOS}"
+
+
+def test_prompt_stream_with_roster_over_the_bound(spark, monkeypatch):
+    # force the two-stage path (batch join per micro-batch, then the state)
+    monkeypatch.setattr(st, "MAX_MAP_ROSTER", 1)
+    monkeypatch.setattr(st, "roster_fits", lambda members, limit=1: False)
+    rows = chat_rows()
+    members = spark.createDataFrame([("1", "Bot", 0), ("2", "Ann", 1)], "id string, name string, pos long")
+    src = tempfile.mkdtemp(prefix="parley-src-")
+    spark.createDataFrame(rows, SCHEMA).select("seq", "channel", "author_id", "content") \
+        .coalesce(1).write.mode("overwrite").parquet(src + "/a")
+    ck = tempfile.mkdtemp(prefix="parley-ck-") + "/q"
+    out = tempfile.mkdtemp(prefix="parley-out-")
+    stream = spark.readStream.schema("seq long, channel string, author_id string, content string").parquet(src + "/*")
+    q = st.stream_prompts(stream, members, "1", 3, out, ck)
+    q.awaitTermination()
+    got = sorted((r.seq, r.prompt) for r in spark.read.parquet(out).collect())
+    batch = sv.prompts(spark.createDataFrame(rows, SCHEMA), members, "1", 3)
+    assert got == sorted((r.seq, r.prompt) for r in batch.collect())
+
+
+def test_stream_clean_with_roster_over_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(st, "roster_fits", lambda members, limit=None: False)
+    rows = chat_rows()
+    members = spark.createDataFrame([("1", "Bot", 0), ("2", "Ann", 1)], "id string, name string, pos long")
+    src = tempfile.mkdtemp(prefix="parley-src-")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("overwrite").parquet(src + "/a")
+    out, ck = tempfile.mkdtemp(prefix="parley-out-"), tempfile.mkdtemp(prefix="parley-ck-")
+    q = st.stream_clean(spark.readStream.schema(SCHEMA).parquet(src + "/*"), members, out, ck)
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("seq", "content").collect())
+    exp = clean_messages(spark.createDataFrame(rows, SCHEMA), members).select("seq", "content")
+    assert got == sorted(tuple(r) for r in exp.collect())
