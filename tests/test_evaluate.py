@@ -79,3 +79,26 @@ def test_perplexity_and_curve(spark):
     assert [(r.block, r.step) for r in curve] == [(0, 4), (1, 8)]
     empty = spark.createDataFrame([], "step long, loss double")
     assert ev.perplexity(empty).first().perplexity is None
+
+
+def test_lcs_readout_low_memory_path_matches_full_table(monkeypatch):
+    rnd = random.Random(4)
+    cases = [([rnd.choice("abcde") for _ in range(rnd.randint(1, 60))],
+              [rnd.choice("abcde") for _ in range(rnd.randint(1, 60))]) for _ in range(60)]
+    full = [L.lcs_indices(a, b) for a, b in cases]
+    monkeypatch.setattr(L, "DP_CELLS", 10)
+    low = [L.lcs_indices(a, b) for a, b in cases]
+    assert full == low
+
+
+def test_lsum_single_sentence_is_rouge_l():
+    rnd = random.Random(9)
+    for _ in range(50):
+        a = [rnd.choice("abc") for _ in range(rnd.randint(0, 15))]
+        b = [rnd.choice("abc") for _ in range(rnd.randint(0, 15))]
+        monkey = L.rouge_lsum([a], [b])
+        # the general union path on the same single pair
+        m, n = len(a), len(b)
+        if m and n:
+            hits = len(L.lcs_indices(a, b))
+            assert monkey == (hits / n, hits / m, L.fmeasure(hits / n, hits / m))
