@@ -147,7 +147,9 @@ def generate_replies(prompts: DataFrame, candidates: DataFrame, n: int = 2, by:
     rows = None
     if strategy in ("auto", "local"):
         # one pass: fetch at most bound + 1 rows; more means the model is too big to ship
-        rows = candidates.select(by, "prefix", "rank", "token", "q").limit(LOCAL_MODEL_ROWS + 1).collect()
+        # Arrow transfer of at most bound + 1 rows
+        pdf = candidates.select(by, "prefix", "rank", "token", "q").limit(LOCAL_MODEL_ROWS + 1).toPandas()
+        rows = list(pdf.itertuples(index=False, name=None))
         if strategy == "auto":
             strategy = "local" if len(rows) <= LOCAL_MODEL_ROWS else "join"
     if strategy == "local":
@@ -161,7 +163,7 @@ def _generate_local(prompts, rows, n, by, id_col, prompt_col, seed, max_new_toke
     if len(rows) > LOCAL_MODEL_ROWS:
         raise ValueError("candidate table larger than its declared bound")
     table: dict = {}
-    for r in sorted(rows, key=lambda r: (str(r[0]), str(r[1]), r[2])):
+    for r in sorted(rows, key=lambda r: (str(r[0]), str(r[1]), int(r[2]))):
         table.setdefault((r[0], r[1]), []).append((r[3], float(r[4])))
     bc = prompts.sparkSession.sparkContext.broadcast(table)
     eos_split = re.compile(re.escape(tx.EOS))

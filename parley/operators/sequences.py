@@ -71,10 +71,10 @@ def encode(df: DataFrame, vocab: DataFrame, messages: Column, out: str = "ids",
     The vocabulary is bounded by ``vocab_size`` rows, so it is shipped to
     the executors once and applied in Arrow batches; rows never shuffle.
     """
-    rows = vocab.select("token", "id").collect()
-    if len(rows) > vocab_size:
+    pdf = vocab.select("token", "id").limit(vocab_size + 1).toPandas()   # Arrow transfer
+    if len(pdf) > vocab_size:
         raise ValueError("vocabulary larger than its declared bound")
-    table = {r[0]: int(r[1]) for r in rows}
+    table = dict(zip(pdf["token"], (int(i) for i in pdf["id"])))
     bc = df.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
