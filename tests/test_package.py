@@ -130,3 +130,10 @@ def test_preceding_composite_order_with_ties(spark):
     nb = F.least(F.row_number().over(w) - 1, F.lit(4))
     exp = df.select("seq", F.slice(lags, 1, nb).alias("ctx"), nb.alias("n_before"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_preceding_null_scope_is_a_scope(spark):
+    rows = [(i, None if i % 3 else "x", f"m{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, channel string, content string")
+    got = preceding(df, 3, ["channel"], block_rows=200).select("seq", "ctx", "n_before")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute(df, 3, ["channel"]).collect()))
