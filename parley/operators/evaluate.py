@@ -21,6 +21,8 @@ from parley.functions import lcs as L
 from parley.functions import text as tx
 from parley.session import materialize
 
+# fixed values of the original tool and its scorer: 30 benchmark rows,
+# 1000 bootstrap samples, loss logged every 1000 steps
 BENCH_ROWS = 30
 BOOTSTRAP_SAMPLES = 1000
 LOG_EVERY = 1000

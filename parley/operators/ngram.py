@@ -23,6 +23,8 @@ from parley.session import ensure_checkpoint_dir
 
 BOS = "<s>"
 EOS_TOKEN = "</s>"
+# fixed values of the original generation call: top-k 100, nucleus 0.7,
+# temperature 0.8, at most 200 tokens, no repeated 3-gram
 TOP_K = 100
 TOP_P = 0.7
 TEMPERATURE = 0.8
