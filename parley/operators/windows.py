@@ -175,15 +175,16 @@ def dense_index_total(df: DataFrame, order: Sequence[str], out: str = "pos",
     spark = df.sparkSession
     order = list(order)
     rk = range_key if range_key is not None else numeric_key(df, order[0])
-    keyed = df.withColumn("_rkv", rk.cast("double"))
-    # one pass: count + quantile sketch of the range key
+    # the input is read up to four times (count, quantiles, range counts,
+    # window): compute it once and cut the lineage
+    keyed = materialize(df.withColumn("_rkv", rk.cast("double")))
     total = keyed.count()
     block_rows = block_rows or auto_block_rows(spark, total)
     n_ranges = max(1, math.ceil(total / block_rows))
     if n_ranges == 1:
         # the whole input fits one bounded task
         w = Window.orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long")), total
+        return keyed.drop("_rkv").withColumn(out, (F.row_number().over(w) - 1).cast("long")), total
     splits = _range_splits(keyed, "_rkv", n_ranges)
     x = _with_range(keyed, F.col("_rkv"), splits, "_rng").drop("_rkv")
     counts = sorted((int(r[0]), int(r[1])) for r in
