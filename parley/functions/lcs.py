@@ -58,7 +58,9 @@ def lcs_table(ref: list, can: list) -> np.ndarray:
         return t
     ref_ids, can_ids = _codes(ref, can)
     for i in range(1, n + 1):
-        t[i] = _next_row(t[i - 1], ref_ids[i - 1], can_ids)
+        prev = t[i - 1]
+        cand = np.where(can_ids == ref_ids[i - 1], prev[:-1] + 1, prev[1:])
+        np.maximum.accumulate(cand, out=t[i, 1:])
     return t
 
 
