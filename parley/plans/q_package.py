@@ -121,3 +121,21 @@ def min_test_fallback(spark, sf):
     rows = materialize(target_rows(spark, sf, 2, "channel"))
     train, test = pk.split_exact(rows, SMALL_TEST_PERC, SEED)
     return pk.flatten_context(pk.ensure_min_test(train, test, SEED), 2)
+
+
+@register("training_sets", v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
+win AS ({_lags(WINDOW, 'seq', 'PARTITION BY channel')}),
+pk AS (SELECT * FROM win WHERE author_id = {_TARGET_ID} AND rn > {WINDOW}),
+n AS (SELECT count(*) AS n, CAST(floor({TEST_PERC}::DOUBLE * count(*)) AS BIGINT) AS t FROM pk)""") + f"""
+SELECT 'packaged' AS part, n AS row_count FROM n
+UNION ALL SELECT 'train', (n - t) * {len(pk.combos(LENGTH, WINDOW))} FROM n
+UNION ALL SELECT 'test', CASE WHEN t * {len(pk.combos(LENGTH, WINDOW))} >= 4 THEN t * {len(pk.combos(LENGTH, WINDOW))}
+                             ELSE least(4, (n - t) * {len(pk.combos(LENGTH, WINDOW))}) END FROM n""")
+def training_sets(spark, sf):
+    """P14 end to end (target by name, window 6, length 2, 10 % test, seed
+    42, per-channel scope): the sizes of the three tables it writes."""
+    params = pk.PackageParams(length=LENGTH, window=WINDOW, test_perc=TEST_PERC, seed=SEED, scope="channel")
+    out = pk.package_for_training(cleaned_chat_once(spark, sf), v.members(spark, sf), v.TARGET_NAME, params)
+    parts = [out[name].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("part"), "row_count")
+             for name in ("packaged", "train", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
