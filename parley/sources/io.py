@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import schemas
@@ -32,23 +32,29 @@ def _csv(spark: SparkSession, path: str):
 def with_file_order(df: DataFrame, newest_first: bool = True, out: str = "seq") -> DataFrame:
     """``seq`` from file order: files in path order, rows in file order.
 
-    Rows of one file keep their order inside their partition, so a
-    per-file ``row_number`` over the monotonically increasing id restores
-    it; per-file counts (one row per file) give the offsets.  With
-    ``newest_first`` the numbering is reversed (ascending = oldest)."""
+    For inputs read whole-file per task (``multiLine`` CSV, which cannot be
+    split), a file's rows are consecutive in ``monotonically_increasing_id``;
+    one aggregate per file (first id, row count) gives every row its global
+    position with a broadcast join: no shuffle of the rows.  Parquet inputs
+    use the per-file ``row_index`` instead.  With ``newest_first`` the
+    numbering is reversed (ascending = oldest)."""
     spark = df.sparkSession
-    x = df.withColumn("_file", F.col("_metadata.file_path")) \
-          .withColumn("_mid", F.monotonically_increasing_id())
-    counts = sorted((r[0], int(r[1])) for r in x.groupBy("_file").count().collect())
-    offsets, acc = [], 0
-    for f, c in counts:
-        offsets.append((f, acc))
-        acc += c
-    off = spark.createDataFrame(offsets or [("", 0)], "_file string, _off long")
-    if len(offsets) <= BROADCAST_ROWS:
+    meta = df.schema["_metadata"].dataType.fieldNames() if "_metadata" in df.columns else []
+    x = df.withColumn("_file", F.col("_metadata.file_path"))
+    if "row_index" in meta:
+        x = x.withColumn("_mid", F.col("_metadata.row_index"))
+    else:
+        x = x.withColumn("_mid", F.monotonically_increasing_id())
+    stats = sorted((r[0], int(r[1]), int(r[2])) for r in
+                   x.groupBy("_file").agg(F.min("_mid"), F.count(F.lit(1))).collect())  # one row per file
+    rows, acc = [], 0
+    for f, first, cnt in stats:
+        rows.append((f, acc - first))
+        acc += cnt
+    off = spark.createDataFrame(rows or [("", 0)], "_file string, _off long")
+    if len(rows) <= BROADCAST_ROWS:
         off = F.broadcast(off)
-    w = Window.partitionBy("_file").orderBy("_mid")
-    pos = F.col("_off") + F.row_number().over(w) - 1
+    pos = F.col("_mid") + F.col("_off")
     x = x.join(off, "_file").withColumn(out, (-pos if newest_first else pos).cast("long"))
     return x.drop("_file", "_mid", "_off")
 

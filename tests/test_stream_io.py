@@ -125,3 +125,12 @@ def test_stream_clean_with_roster_over_the_bound(spark, monkeypatch):
     got = sorted(tuple(r) for r in spark.read.parquet(out).select("seq", "content").collect())
     exp = clean_messages(spark.createDataFrame(rows, SCHEMA), members).select("seq", "content")
     assert got == sorted(tuple(r) for r in exp.collect())
+
+
+def test_file_order_for_parquet_uses_row_index(spark):
+    d = tempfile.mkdtemp(prefix="parley-pq-")
+    df = spark.range(0, 3000, numPartitions=3).withColumnRenamed("id", "v")
+    df.repartitionByRange(3, "v").sortWithinPartitions("v").write.mode("overwrite").parquet(d)
+    raw = spark.read.parquet(d).select("v", "_metadata")
+    got = io.with_file_order(raw, newest_first=False).select("v", "seq").collect()
+    assert all(r.v == r.seq for r in got) and len(got) == 3000
