@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley import schemas
@@ -124,17 +124,18 @@ def classify_response(log: DataFrame, key: str = "seq", attempt: str = "attempt"
                    .otherwise(F.lit("retry"))) \
         .withColumn("wait_s", F.when(F.col("status") == "retry",
                                      F.floor(F.floor(F.col("_r.estimated_time")) * WAIT_FACTOR).cast("long")))
-    # the first non-retry attempt ends the loop; attempts beyond 3 retries never run
-    first_stop = F.min(F.when(F.col("status") != "retry", F.col(attempt))) \
-                  .over(Window.partitionBy(key))
-    x = x.withColumn("_first", first_stop)
-    waited = F.col("wait_s").isNotNull() & (F.col(attempt) <= MAX_RETRIES) & \
-        (F.col("_first").isNull() | (F.col(attempt) < F.col("_first")))
-    stop = x.groupBy(key).agg(
-        F.min("_first").alias("_stop"),
+    # the first non-retry attempt ends the loop; attempts beyond 3 retries
+    # never run.  Two partial aggregations (no window), so a trigger with a
+    # very long log is still combined map-side.
+    ends = x.groupBy(key).agg(
+        F.min(F.when(F.col("status") != "retry", F.col(attempt))).alias("_stop"),
         F.min_by(F.struct("status", F.col("_r.generated_text").alias("g")),
-                 F.when(F.col("status") != "retry", F.col(attempt))).alias("_end"),
-        F.sum(F.when(waited, F.col("wait_s"))).alias("_wait"))
+                 F.when(F.col("status") != "retry", F.col(attempt))).alias("_end"))
+    waited = F.col("wait_s").isNotNull() & (F.col(attempt) <= MAX_RETRIES) & \
+        (F.col("_stop").isNull() | (F.col(attempt) < F.col("_stop")))
+    waits = x.join(ends.select(key, "_stop"), key) \
+             .groupBy(key).agg(F.sum(F.when(waited, F.col("wait_s"))).alias("_wait"))
+    stop = ends.join(waits, key)
     failed = F.col("_stop").isNull() | (F.col("_stop") > MAX_RETRIES)
     reply = F.when(failed, F.lit(FAILED_REPLY)) \
              .when(F.col("_end.status") == "empty", F.lit(BLANK_REPLY)) \
