@@ -63,22 +63,26 @@ def multiset_overlap(sa: str, sb: str) -> Column:
     return F.aggregate(steps, init, step)["o"]
 
 
-def rouge_n(df: DataFrame, n: int, pred: str = "pred", ref: str = "label",
+def rouge_n(df: DataFrame, n: int | tuple[int, ...], pred: str = "pred", ref: str = "label",
             prefix: str | None = None) -> DataFrame:
-    """ROUGE-n precision / recall / F per row (clipped counts)."""
-    p = prefix or f"rouge{n}"
-    # tokens become columns first: the n-gram lambda then only slices them
+    """ROUGE-n precision / recall / F per row (clipped counts) for one n
+    or several (the texts are tokenised once for all of them)."""
+    ns = (n,) if isinstance(n, int) else tuple(n)
+    # tokens become columns first: the n-gram lambdas then only slice them
     x = df.withColumn("_tp", tx.rouge_tokens(F.col(pred))).withColumn("_tr", tx.rouge_tokens(F.col(ref)))
-    x = x.withColumn("_gp", F.array_sort(ngrams(F.col("_tp"), n))) \
-         .withColumn("_gr", F.array_sort(ngrams(F.col("_tr"), n))).drop("_tp", "_tr")
-    ov = multiset_overlap("_gp", "_gr")
-    prec = ov / F.greatest(F.size("_gp"), F.lit(1))
-    rec = ov / F.greatest(F.size("_gr"), F.lit(1))
-    x = x.withColumn(f"{p}_p", prec.cast("double")).withColumn(f"{p}_r", rec.cast("double"))
-    f = F.when(F.col(f"{p}_p") + F.col(f"{p}_r") > 0,
-               2 * F.col(f"{p}_p") * F.col(f"{p}_r") / (F.col(f"{p}_p") + F.col(f"{p}_r"))) \
-         .otherwise(F.lit(0.0))
-    return x.withColumn(f"{p}_f", f).drop("_gp", "_gr")
+    for k in ns:
+        p = prefix if (prefix and len(ns) == 1) else f"rouge{k}"
+        x = x.withColumn("_gp", F.array_sort(ngrams(F.col("_tp"), k))) \
+             .withColumn("_gr", F.array_sort(ngrams(F.col("_tr"), k)))
+        ov = multiset_overlap("_gp", "_gr")
+        prec = ov / F.greatest(F.size("_gp"), F.lit(1))
+        rec = ov / F.greatest(F.size("_gr"), F.lit(1))
+        x = x.withColumn(f"{p}_p", prec.cast("double")).withColumn(f"{p}_r", rec.cast("double"))
+        f = F.when(F.col(f"{p}_p") + F.col(f"{p}_r") > 0,
+                   2 * F.col(f"{p}_p") * F.col(f"{p}_r") / (F.col(f"{p}_p") + F.col(f"{p}_r"))) \
+             .otherwise(F.lit(0.0))
+        x = x.withColumn(f"{p}_f", f).drop("_gp", "_gr")
+    return x.drop("_tp", "_tr")
 
 
 _TOK = re.compile(r"[a-z0-9]+")

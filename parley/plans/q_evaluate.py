@@ -110,7 +110,7 @@ UNION ALL SELECT 'rouge2_f', 'mid', round(quantile_cont(m2, 0.5) * 100, 4) FROM
 UNION ALL SELECT 'rouge1_f', 'mean', round(avg(rouge1_f) * 100, 4) FROM fpair
 UNION ALL SELECT 'rouge2_f', 'mean', round(avg(rouge2_f) * 100, 4) FROM fpair""")
 def rouge_mid(spark, sf):
-    s = ev.rouge_n(ev.rouge_n(pairs(spark, sf), 1), 2)
+    s = ev.rouge_n(pairs(spark, sf), (1, 2))
     return ev.rouge_mid(s, ["rouge1_f", "rouge2_f"], "seq", seed=SEED)
 
 

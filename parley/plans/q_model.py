@@ -91,6 +91,6 @@ def label_pred(spark, sf):
     prompts = bench_prompts(spark, sf)
     preds = ng.generate_replies(prompts, ng.decode_candidates(model), N, seed=SEED)
     pairs = ev.label_pred_table(prompts, preds)
-    scored = ev.rouge_n(ev.rouge_n(pairs, 1), 2)
+    scored = ev.rouge_n(pairs, (1, 2))
     return scored.select("seq", "label", "pred", F.round("rouge1_f", 9).alias("rouge1_f"),
                          F.round("rouge2_f", 9).alias("rouge2_f"))
