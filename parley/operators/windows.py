@@ -30,11 +30,13 @@ from parley.session import materialize, parallelism
 # A table is broadcast only when its row count is known to be below this.
 BROADCAST_ROWS = 2_000_000
 MIN_BLOCK_ROWS = 50_000
+MAX_BLOCK_ROWS = 5_000_000
 
 
 def auto_block_rows(spark, total: int) -> int:
-    """Rows per block: about four blocks per core, never tiny."""
-    return max(MIN_BLOCK_ROWS, math.ceil(total / (4 * parallelism(spark))))
+    """Rows per block: about four blocks per core, never tiny, and never more
+    than one task should sort (``MAX_BLOCK_ROWS``) however large the input."""
+    return min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(total / (4 * parallelism(spark)))))
 
 
 def numeric_key(df: DataFrame, col: str) -> Column:
