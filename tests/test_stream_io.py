@@ -134,3 +134,20 @@ def test_file_order_for_parquet_uses_row_index(spark):
     raw = spark.read.parquet(d).select("v", "_metadata")
     got = io.with_file_order(raw, newest_first=False).select("v", "seq").collect()
     assert all(r.v == r.seq for r in got) and len(got) == 3000
+
+
+def test_prompt_state_survives_a_restart(spark):
+    # run 1 drains file a; run 2 (same checkpoint) drains file b: the prompt
+    # of the first trigger in b still sees the last messages of a
+    members = spark.createDataFrame([("1", "Bot", 0)], "id string, name string, pos long")
+    schema = "seq long, author_id string, content string, channel string"
+    src, ck, out = (tempfile.mkdtemp(prefix=p) for p in ("parley-src-", "parley-ck-", "parley-out-"))
+    spark.createDataFrame([(1, "a", "one", "c"), (2, "a", "two", "c")], schema) \
+        .coalesce(1).write.mode("overwrite").parquet(src + "/a")
+    st.stream_prompts(spark.readStream.schema(schema).parquet(src + "/*"), members, "1", 3, out, ck) \
+        .awaitTermination()
+    spark.createDataFrame([(3, "b", "<@1> three", "c")], schema).coalesce(1).write.mode("overwrite").parquet(src + "/b")
+    st.stream_prompts(spark.readStream.schema(schema).parquet(src + "/*"), members, "1", 3, out, ck) \
+        .awaitTermination()
+    got = [(r.seq, r.prompt) for r in spark.read.parquet(out).collect()]
+    assert got == [(3, f"one{EOS}two{EOS}Bot three{EOS}")]
