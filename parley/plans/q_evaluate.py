@@ -103,6 +103,36 @@ def rouge_l(spark, sf):
     return s.select("seq", *[F.round(c, 9).alias(c) for c in s.columns if c.startswith("rougeL")])
 
 
+LCS_SQL = """
+toks AS (SELECT seq, regexp_extract_all(lower(label), '[a-z0-9]+') AS a,
+                regexp_extract_all(lower(pred), '[a-z0-9]+') AS b FROM pairs),
+dp(seq, a, b, d, p2, p1) USING KEY (seq) AS (
+  SELECT seq, a, b, 1, list_transform(range(0, len(a) + 1), lambda k: 0),
+         list_transform(range(0, len(a) + 1), lambda k: 0) FROM toks
+  UNION
+  SELECT seq, a, b, d + 1, p1,
+         list_transform(range(1, len(a) + 2), lambda k:
+           CASE WHEN k - 1 >= 1 AND d + 2 - k >= 1 AND d + 2 - k <= len(b)
+                THEN CASE WHEN a[k - 1] = b[d + 2 - k] THEN p2[k - 1] + 1 ELSE greatest(p1[k - 1], p1[k]) END
+                ELSE 0 END)
+  FROM dp WHERE d < len(a) + len(b)),
+lcs AS (SELECT seq, len(a) AS n_ref, len(b) AS n_pred,
+               CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE p1[len(a) + 1] END AS l FROM dp),
+lsc AS (SELECT seq, CASE WHEN n_ref = 0 OR n_pred = 0 THEN 0.0 ELSE l / n_pred END AS p,
+                    CASE WHEN n_ref = 0 OR n_pred = 0 THEN 0.0 ELSE l / n_ref END AS r FROM lcs)
+"""
+
+
+# the LCS as dynamic programming over anti-diagonals: each diagonal is one
+# vectorised list step from the two before it (recursive CTE keyed by pair)
+@register("rouge_lcs", v.with_views("dialog", extra=PAIRS_SQL + "," + LCS_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT seq, round(p, 9) AS rougeL_p, round(r, 9) AS rougeL_r,
+       round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9) AS rougeL_f FROM lsc""")
+def rouge_lcs(spark, sf):
+    s = ev.rouge_l(pairs(spark, sf))
+    return s.select("seq", *[F.round(c, 9).alias(c) for c in ("rougeL_p", "rougeL_r", "rougeL_f")])
+
+
 @register("rouge_mid", v.with_views("dialog", extra=PAIRS_SQL + "," + _rouge_n_sql(1, "1") + "," +
                                      _rouge_n_sql(2, "2") + "," + _bootstrap_sql(SEED, ev.BOOTSTRAP_SAMPLES)) + """
 SELECT 'rouge1_f' AS metric, 'mid' AS kind, round(quantile_cont(m1, 0.5) * 100, 4) AS value FROM per
