@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import warnings
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,12 +92,16 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    out = os.path.join(tempfile.mkdtemp(prefix="parley-pkg-"), "parley.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for base, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(base, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
+    try:
+        out = os.path.join(tempfile.mkdtemp(prefix="parley-pkg-"), "parley.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for base, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(base, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(out)
+    except Exception as ex:  # noqa: BLE001 - JVM-only queries still work without it
+        warnings.warn(f"could not ship the parley package to the workers: {ex}")
+        return
     _SHIPPED.add(app)
