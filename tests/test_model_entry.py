@@ -45,3 +45,16 @@ def test_entry_contract(spark):
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
     assert len(qs) >= 45
+
+
+def test_package_is_shipped_once(spark, monkeypatch):
+    from parley import session
+    added = []
+    monkeypatch.setattr(session, "_SHIPPED", set())
+    monkeypatch.setattr(spark.sparkContext, "addPyFile", lambda p: added.append(p))
+    session.ship_package(spark)
+    session.ship_package(spark)
+    assert len(added) == 1
+    import zipfile
+    names = zipfile.ZipFile(added[0]).namelist()
+    assert "parley/operators/windows.py" in names and "parley/streaming/stream.py" in names
