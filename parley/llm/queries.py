@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import langid, mixing, neardup, pieces, quality
+from parley.llm import ann, chat, extract, langid, licenses, lm, mixing, neardup, pieces, quality
 from parley.llm.scratch import keep, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,82 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
 
 
+CHAT_ORACLE = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, {text} AS esc_text, {role} AS esc_role FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(length(esc_role) + length(esc_text) + 23) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _escape_sql(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in chat.CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+@register("op3_chat", CHAT_ORACLE.format(text=_escape_sql("text"), role=_escape_sql("role")))
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as records of mixed layouts, formatted, and read back."""
+    probe = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"),
+                                   (-1, 1, "assistant", "</s>[INST] ok [/INST]")], chat.CONVERSATION)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.format_chats(chat.canonical_turns(chat.as_records(rows))))
+
+
+@register("op4_lm_scores")
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole texts, learned from the texts that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm.score(docs, learn=~lm.held_out(F.col("doc_id")))
+    return out.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
+
+
+ANN_ORACLE = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@register("op5_neighbours", ANN_ORACLE)
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"),
+                      F.col("vec_id") % 100 == 0)
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/language/hundred/name; the first of a
+    hundred is the directory's licence file."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    home = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"),
+                       F.floor(F.col("doc_id") / 100).cast("string"))
+    path = F.when(F.col("doc_id") % 100 == 0, F.concat(home, F.lit("/LICENSE"))).otherwise(F.concat(
+        home, F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/doc"), F.col("doc_id").cast("string")))
+    return d.select("doc_id", "text", path.alias("path"))
+
+
+@register("op6_licences")
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or its directory's."""
+    return licenses.scan(files(spark, sf_dir)).select("doc_id", "path", "licence", "score", "basis")
+
+
 @register("op7_near_duplicates")
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near copies."""
@@ -68,6 +144,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "p_good")
 
 
+@register("op9_main_text")
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages, extract.fit(pages)).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 @register("op10_language")
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from two thirds of the labelled ones."""
