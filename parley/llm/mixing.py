@@ -131,9 +131,11 @@ def draw_slots(spark, targets: list[dict], *, block: int = BLOCK, slots: int = S
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(ids, len(live)), pa.int64()),
                  pa.array(np.tile(np.arange(len(live)), len(ids)), pa.int32()),
-                 pa.array(np.concatenate(got), pa.int64())], names=["shard", "k", "n"])
+                 pa.array(np.concatenate(got), pa.int64()),
+                 pa.array(np.concatenate([np.cumsum(g) - g for g in got]), pa.int64())],
+                names=["shard", "k", "n", "at"])
 
-    drawn = spark.range(shards).mapInArrow(draw, "shard long, k int, n long")
+    drawn = spark.range(shards).mapInArrow(draw, "shard long, k int, n long, at long")
     before = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = keep(drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "mix-drawn")
     sums = {r["k"]: r["n"] for r in drawn.groupBy("k").agg(F.sum("n").alias("n")).collect()}
@@ -144,9 +146,11 @@ def draw_slots(spark, targets: list[dict], *, block: int = BLOCK, slots: int = S
 
     def expand(batches):
         for b in batches:
-            shard, k, n, first = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            shard, k, n, first, place = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             k = np.repeat(k, n).astype(np.int64)
-            q = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            here = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            slot = here + np.repeat(place, n)
+            q = here + np.repeat(first, n)
             r = _feistel(q, have[k], keys[k, 0])
             extra = r >= want[k]
             g = over_from[k] + r - want[k]
@@ -157,11 +161,11 @@ def draw_slots(spark, targets: list[dict], *, block: int = BLOCK, slots: int = S
             turn, at = r // blocks[k], r % blocks[k]
             idx = _feistel(at, blocks[k], keys[k, 1] + turn.astype(np.uint64) * keys[k, 2])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(shard, n), pa.int64()), pa.array((q % slots).astype(np.int32), pa.int32()),
+                [pa.array(np.repeat(shard, n), pa.int64()), pa.array(slot.astype(np.int32), pa.int32()),
                  pa.array(no[k], pa.int32()), pa.array(idx, pa.int64()), pa.array(turn, pa.int32())],
                 names=["shard", "slot", "source_no", "block_no", "pass_no"])
 
-    return drawn.select("shard", "k", "n", "first").mapInArrow(expand, schema)
+    return drawn.select("shard", "k", "n", "first", "at").mapInArrow(expand, schema)
 
 
 def _source_table(spark, targets: list[dict], columns: str, schema: str) -> DataFrame:
