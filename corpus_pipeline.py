@@ -49,9 +49,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     prepare(spark)
-    out = pieces.decode(pieces.encode(docs))
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"),
-                      F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+    return pieces.encode(docs, exact="exact").select(
+        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"), "exact")
 
 
 STAGES = [

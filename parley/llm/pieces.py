@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 300_000             # remembered words per generation (two generations)
-FITS = 400_000              # remembered piece pairs
+CACHE = 150_000             # remembered words per generation (two generations)
+FITS = 250_000              # remembered piece pairs
 CACHED_CHARS = 48           # longer words are encoded anew each time
 COMMIT_EVERY = 64
 
@@ -314,20 +314,24 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` plus the ids of its text."""
-    base = docs.drop(ids) if ids != text else docs
-    if ids == text:
-        raise ValueError("ids must not replace the text column")
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL,
+           exact: str | None = None) -> DataFrame:
+    """``docs`` plus the ids of its text.  With ``exact`` the ids are decoded
+    again in the same pass, and that column says whether the text came back."""
+    if text in (ids, exact):
+        raise ValueError("an output must not replace the text column")
+    base = docs.drop(ids, exact) if exact else docs.drop(ids)
     proto = docs.sparkSession.sparkContext.broadcast(read_model(model))
     at = base.columns.index(text)
     schema = T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    if exact:
+        schema = schema.add(exact, "boolean")
 
     def run(batches):
         m = _model(proto.value)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
                 texts = part.column(at).to_pylist()
                 packed = [m.encode(t) if t else b"" for t in texts]
                 off = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
@@ -335,7 +339,12 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
                 null = np.array([t is None for t in texts])
                 col = pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=pa.array(null)) \
                     if null.any() else pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns, col], names=[*part.schema.names, ids])
+                cols, names = [*part.columns, col], [*part.schema.names, ids]
+                if exact:
+                    same = [t is None or m.decode(np.frombuffer(p, np.int32).tolist()) == t
+                            for t, p in zip(texts, packed)]
+                    cols, names = [*cols, pa.array(same, pa.bool_())], [*names, exact]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return base.mapInArrow(run, schema)
 

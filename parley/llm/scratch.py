@@ -15,10 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from parley.session import ensure_checkpoint_dir, ship_package
 
 
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder known, package importable in the Python workers."""
+    """Checkpoint folder known, package importable in the Python workers, and
+    Arrow batches of whole texts kept small (unless the session says otherwise)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
