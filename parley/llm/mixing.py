@@ -215,7 +215,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     targets = source_targets(size, share, max_passes, weights)
     drawn = draw_slots(docs.sparkSession, targets, block=block, slots=slots, seed=seed)
     parts = segments(offsets(size, targets), block)
-    plan = drawn.join(parts, ["source_no", "block_no"])
+    # the slots are made in Python, so their number is not known to the planner: never broadcast them
+    plan = drawn.hint("merge").join(parts, ["source_no", "block_no"])
     return size, plan, targets
 
 
