@@ -58,4 +58,5 @@ def test_frames(spark):
     got = P.decode(P.encode(df)).collect()
     assert [r["decoded"] for r in got] == [r[1] for r in rows]
     assert got[0]["ids"] is None and got[1]["ids"] == [] and got[2]["ids"] == got[3]["ids"]
+    assert all(r["exact"] for r in P.encode(df, exact="exact").collect())
     assert P.decode(P.encode(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
