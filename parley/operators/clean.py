@@ -1,11 +1,11 @@
 """Message cleaning C1..C9 as one projection chain.
 
 Only mention resolution (C4) joins: rows holding a ``<@id>`` token are
-exploded per token, looked up in the roster and regrouped by message id;
-rows without a token bypass the join entirely.  Because the explode and
-the regroup share the message id, the partial aggregation merges a
-message's tokens before the shuffle, so each mention row crosses the
-network once.
+exploded per token, looked up in the roster and regrouped by all their
+columns (so rows of several sessions or with repeated ids stay apart);
+rows without a token bypass the join entirely.  The partial aggregation
+merges a message's tokens before the shuffle, so each mention row crosses
+the network once.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ def drop_null_content(df: DataFrame, col: str = "content") -> DataFrame:
 
 
 def resolve_mentions(df: DataFrame, members: DataFrame, col: str = "content",
-                     id_col: str = "seq", roster_rows: int | None = None) -> DataFrame:
+                     roster_rows: int | None = None) -> DataFrame:
     """C4: ``<@digits>`` -> member name (first roster row), else ``Human``.
 
-    One pass over the original text.  ``id_col`` must be unique.  The
+    One pass over the original text; no key is needed.  The
     roster is broadcast when its id count is below ``ROSTER_BROADCAST_ROWS``;
     a larger one is shuffled and AQE splits an often-mentioned id.
     """
@@ -55,26 +55,27 @@ def resolve_mentions(df: DataFrame, members: DataFrame, col: str = "content",
         *cols, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(tx.MENTION_ID_RE), 1))
         .alias("_tpos", "_tid"))
     looked = exploded.join(names, tx.normalise_id(F.col("_tid")) == F.col("_mid"), "left")
-    others = [c for c in cols if c != id_col]
-    regrouped = looked.groupBy(id_col).agg(
-        *[F.first(c).alias(c) for c in others],
-        F.array_sort(F.collect_list(F.struct(
-            F.col("_tpos"), F.coalesce(F.col("_mname"), F.lit(tx.UNKNOWN_MEMBER)).alias("n"))))
-        .alias("_names"))
+    # a row is told apart by all its columns; rows equal in all of them come
+    # out equal and are repeated as often as they came in, so nothing merges
+    name = F.coalesce(F.col("_mname"), F.lit(tx.UNKNOWN_MEMBER)).alias("n")
+    regrouped = looked.groupBy(*cols).agg(
+        F.array_sort(F.collect_set(F.struct(F.col("_tpos"), name))).alias("_names"),
+        F.count_if(F.col("_tpos") == 0).cast("int").alias("_times"))
     pieces = F.split(F.col(col), tx.MENTION_RE, -1)
     fill = F.concat(F.transform(F.col("_names"), lambda s: s["n"]), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(pieces, fill, lambda p, n: F.concat(p, n)), "")
-    resolved = regrouped.withColumn(col, rebuilt).select(*cols)
+    resolved = regrouped.withColumn(col, rebuilt) \
+        .withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*cols)
     return plain.unionByName(resolved)
 
 
 def clean_messages(messages: DataFrame, members: DataFrame, col: str = "content",
-                   id_col: str = "seq", roster_rows: int | None = None) -> DataFrame:
+                   roster_rows: int | None = None) -> DataFrame:
     """C9 = C1 -> C2 -> C3 -> C4 -> C5 -> C6 -> C7.  C8 (oldest first) is
     the ``seq`` convention: nothing moves."""
     df = drop_null_content(messages, col)
     df = df.withColumn(col, tx.replace_custom_emojis(tx.replace_urls(F.col(col))))
-    df = resolve_mentions(df, members, col, id_col, roster_rows)
+    df = resolve_mentions(df, members, col, roster_rows)
     df = df.withColumn(col, tx.newline_to_space(tx.blank_non_ascii(F.col(col))))
     return df.where(tx.is_not_blank(F.col(col)))
 

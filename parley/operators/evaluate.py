@@ -110,11 +110,11 @@ def rouge_l(df: DataFrame, pred: str = "pred", ref: str = "label") -> DataFrame:
     return df.withColumn("_l", _rouge_l_udf(F.col(pred), F.col(ref))).select("*", "_l.*").drop("_l")
 
 
-def _poisson_cdf(k_max: int = 9) -> list[float]:
-    """CDF of Poisson(1) at 0..k_max (rule-built)."""
+def _poisson_cdf(resolution: float = 2.0 ** -32) -> list[float]:
+    """CDF of Poisson(1) at 0, 1, .. as far as a uniform of this resolution reaches."""
     out, acc = [], 0.0
-    for k in range(k_max + 1):
-        acc += math.exp(-1) / math.factorial(k)
+    while acc < 1 - resolution:
+        acc += math.exp(-1) / math.factorial(len(out))
         out.append(acc)
     return out
 

@@ -5,13 +5,11 @@ per-author n-gram model; evaluation becomes n-gram perplexity; the
 sampling rule of generation (temperature, top-k, nucleus) becomes a
 ranked candidate table; generation itself is a pluggable per-partition
 generator (``mapInPandas``) or the built-in sampler that extends every
-prompt one token per step with a join against the candidate table.
+prompt one token per step with a join against the ranked tokens.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
-from parley.session import ensure_checkpoint_dir
+from parley.session import materialize
 
 BOS = "<s>"
 EOS_TOKEN = "</s>"
@@ -28,10 +26,8 @@ EOS_TOKEN = "</s>"
 TOP_K = 100
 TOP_P = 0.7
 TEMPERATURE = 0.8
-MAX_NEW_TOKENS = 200
+MAX_LENGTH = 200        # prompt and reply together
 NO_REPEAT_NGRAM = 3
-LOCAL_MODEL_ROWS = 1_000_000
-_WS = re.compile(r"[ \t\n\x0b\f\r]+")
 CAND_BROADCAST_ROWS = 200_000
 
 
@@ -129,151 +125,97 @@ def generate_with(prompts: DataFrame, generator: Callable[[pd.DataFrame], pd.Ser
     return prompts.select(id_col, prompt_col).mapInPandas(run, f"{id_col} long, pred string")
 
 
-def _uniform(seed: int, id_col: str, step: int) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.lit(str(step))))
+def _uniform(seed: int, id_col: str, step: Column) -> Column:
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), step.cast("string")))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(2 ** 32)
 
 
-def generate_replies(prompts: DataFrame, candidates: DataFrame, n: int = 2, by: str = "author_id",
-                     id_col: str = "seq", prompt_col: str = "prompt", seed: int = 0,
-                     max_new_tokens: int = MAX_NEW_TOKENS, no_repeat: int = NO_REPEAT_NGRAM,
-                     strategy: str = "auto") -> DataFrame:
-    """R4 (built-in): seeded sampling from the candidate table.
-
-    ``strategy='local'`` ships the candidate table to the executors (only
-    after its row count is checked against ``LOCAL_MODEL_ROWS``) and runs
-    the whole token loop inside each task with ``mapInPandas``;
-    ``strategy='join'`` keeps the model distributed and extends every
-    prompt by one token per step with a join.  Both draw the same tokens.
-    """
-    rows = None
-    if strategy in ("auto", "local"):
-        # one pass: fetch at most bound + 1 rows; more means the model is too big to ship
-        # Arrow transfer of at most bound + 1 rows
-        pdf = candidates.select(by, "prefix", "rank", "token", "q").limit(LOCAL_MODEL_ROWS + 1).toPandas()
-        rows = list(pdf.itertuples(index=False, name=None))
-        if strategy == "auto":
-            strategy = "local" if len(rows) <= LOCAL_MODEL_ROWS else "join"
-    if strategy == "local":
-        return _generate_local(prompts, rows, n, by, id_col, prompt_col, seed,
-                               max_new_tokens, no_repeat)
-    return _generate_join(prompts, candidates, n, by, id_col, prompt_col, seed,
-                          max_new_tokens, no_repeat)
-
-
-def _generate_local(prompts, rows, n, by, id_col, prompt_col, seed, max_new_tokens, no_repeat):
-    if len(rows) > LOCAL_MODEL_ROWS:
-        raise ValueError("candidate table larger than its declared bound")
-    table: dict = {}
-    for r in sorted(rows, key=lambda r: (str(r[0]), str(r[1]), int(r[2]))):
-        table.setdefault((r[0], r[1]), []).append((r[3], float(r[4])))
-    bc = prompts.sparkSession.sparkContext.broadcast(table)
-    eos_split = re.compile(re.escape(tx.EOS))
-
-    def run(batches):
-        model = bc.value
-        for b in batches:
-            preds = []
-            for rid, author, prompt in zip(b[id_col], b[by], b[prompt_col]):
-                words = [t for t in _WS.split(eos_split.sub(" ", prompt or "")) if t]
-                preds.append(" ".join(sample_one(model, author, words + [BOS] * (n - 1), n, seed,
-                                                 int(rid), max_new_tokens, no_repeat)))
-            yield pd.DataFrame({id_col: b[id_col], "pred": pd.Series(preds, dtype=object)})
-
-    return prompts.select(id_col, by, prompt_col).mapInPandas(run, f"{id_col} long, pred string")
-
-
-def sample_one(model: dict, author, ctx: list[str], n: int, seed: int, rid: int,
-               max_new_tokens: int, no_repeat: int) -> list[str]:
-    """The token loop for one prompt (same arithmetic as the join strategy)."""
-    out: list[str] = []
-    for step in range(max_new_tokens):
-        hist = ctx + out
-        cands = model.get((author, " ".join(hist[-(n - 1):])), [])
-        if no_repeat > 1 and len(hist) >= no_repeat:
-            seen = {" ".join(hist[i:i + no_repeat]) for i in range(len(hist) - no_repeat + 1)}
-            last = " ".join(hist[-(no_repeat - 1):])
-            qs = [0.0 if f"{last} {t}" in seen else q for t, q in cands]
-        else:
-            qs = [q for _, q in cands]
-        mass = 0.0
-        for q in qs:
-            mass += q
-        h = hashlib.md5(f"{seed}:{rid}:{step}".encode()).hexdigest()
-        target = (int(h[:8], 16) / float(2 ** 32)) * mass
-        tok, run = None, 0.0
-        if mass > 0:
-            for (t, _), q in zip(cands, qs):
-                if q > 0 and run + q >= target:
-                    tok = t
-                    break
-                run += q
-        if tok is None or tok == EOS_TOKEN:
-            break
-        out.append(tok)
-        if len(out) >= max_new_tokens:
-            break
-    return out
+def sampler_entries(model: DataFrame, by: str = "author_id", limit: int = TOP_K + MAX_LENGTH,
+                    salts: int = 16) -> DataFrame:
+    """The ``limit`` most likely tokens of each prefix, not yet cut: the repeat
+    ban runs before the top-k and nucleus cut, and a history of at most
+    ``MAX_LENGTH`` tokens bans at most that many, so ``TOP_K`` always remain
+    to choose from.  One ranked array per prefix, cut per slice first."""
+    salt = F.abs(F.xxhash64("token")) % salts
+    sliced = Window.partitionBy(by, "prefix", "_salt").orderBy(F.col("p").desc(), F.col("token"))
+    ranked = Window.partitionBy(by, "prefix").orderBy(F.col("p").desc(), F.col("token"))
+    pre = model.select(by, "prefix", "token", "p", salt.alias("_salt")) \
+               .withColumn("_r", F.row_number().over(sliced)).where(F.col("_r") <= limit)
+    top = pre.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit)
+    return top.groupBy(by, "prefix").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "token", "p"))).alias("cands"))
 
 
-def _generate_join(prompts: DataFrame, candidates: DataFrame, n: int, by: str,
-                   id_col: str, prompt_col: str, seed: int,
-                   max_new_tokens: int, no_repeat: int, checkpoint_every: int = 10) -> DataFrame:
-    """R4 (built-in, distributed model): seeded sampling from the candidate table, one token
-    per step for every unfinished prompt, no repeated ``no_repeat``-gram,
-    stop at the end marker or ``max_new_tokens``.  Each step is a join of
-    the active rows with the candidates on ``(by, prefix)``; lineage is
-    cut with a reliable checkpoint every ``checkpoint_every`` steps."""
-    ensure_checkpoint_dir(prompts.sparkSession)
+def generate_replies(prompts: DataFrame, entries: DataFrame, n: int = 2, by: str = "author_id",
+                     id_col: str = "seq", prompt_col: str = "prompt", seed: int = 0,
+                     max_length: int = MAX_LENGTH, no_repeat: int = NO_REPEAT_NGRAM,
+                     top_k: int = TOP_K, top_p: float = TOP_P, temperature: float = TEMPERATURE,
+                     store_every: int = 10) -> DataFrame:
+    """R4 (built-in): seeded sampling, one token per step for every unfinished
+    prompt, by a join with ``sampler_entries`` on ``(by, prefix)``.
+
+    Per step: tokens that would repeat an ``no_repeat``-gram of prompt and reply
+    are banned; of the rest the ``top_k`` most likely are re-weighted by
+    temperature and kept while the mass before them is below ``top_p``; a
+    uniform from md5(seed:id:step) picks one.  A reply ends at the end marker,
+    when nothing is left, or when prompt (words and message ends) and reply
+    together have ``max_length`` tokens.  Finished rows leave the loop; the state
+    is stored every ``store_every`` steps.
+    """
+    ends = F.size(F.split(F.col(prompt_col), r"\Q" + tx.EOS + r"\E", -1)) - 1
+    words = F.coalesce(tx.word_tokens(F.regexp_replace(F.col(prompt_col), r"\Q" + tx.EOS + r"\E", " ")),
+                       F.array().cast("array<string>"))
     # the reply is a new message: its first prefix is the start marker; the
     # prompt's words stay in the history for the no-repeat rule
-    words = tx.word_tokens(F.regexp_replace(F.col(prompt_col), r"\Q" + tx.EOS + r"\E", " "))
-    start = F.concat(words, F.array_repeat(F.lit(BOS), n - 1))
-    # candidates per prefix as one ranked array (at most top_k entries each)
-    cand = candidates.groupBy(by, "prefix").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "token", "q"))).alias("cands"))
-    cand = cand.checkpoint(eager=True)
-    if cand.count() <= CAND_BROADCAST_ROWS:   # prefixes x top_k entries, checked
-        cand = F.broadcast(cand)
-    state = prompts.select(id_col, by, start.alias("ctx"),
-                           F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
-    for step in range(max_new_tokens):
-        # one join per step, the pick is a fold over the row's candidate array;
-        # the state is referenced once, so the plan grows linearly
-        hist = F.concat(F.col("ctx"), F.col("out"))
-        a = state.withColumn("prefix", F.when(~F.col("done"),
-                                              F.array_join(F.slice(hist, -(n - 1), n - 1), " ")))
-        j = a.join(cand, [by, "prefix"], "left")
-        cs = F.coalesce(F.col("cands"), F.array().cast("array<struct<rank:long,token:string,q:double>>"))
-        if no_repeat > 1:
-            last = F.array_join(F.slice(hist, -(no_repeat - 1), no_repeat - 1), " ")
-            seen = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hist) - no_repeat + 1, F.lit(1))),
-                               lambda i: F.array_join(F.slice(hist, i, no_repeat), " "))
-            can_repeat = F.size(hist) >= no_repeat
-            qs = F.transform(cs, lambda c: F.when(
-                can_repeat & F.array_contains(seen, F.concat(last, F.lit(" "), c["token"])), F.lit(0.0))
-                .otherwise(c["q"]))
-        else:
-            qs = F.transform(cs, lambda c: c["q"])
-        j = j.withColumn("_qs", qs)
-        mass = F.aggregate(F.col("_qs"), F.lit(0.0), lambda acc, x: acc + x)
-        target = _uniform(seed, id_col, step) * mass
-        init = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("idx"))
-        found = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.size("_qs"), F.lit(1))), init,
-            lambda st, i: F.when((st["idx"] == 0) & (F.try_element_at("_qs", i) > 0) &
-                                 (st["run"] + F.try_element_at("_qs", i) >= target),
-                                 F.struct(st["run"].alias("run"), i.alias("idx")))
-            .otherwise(F.struct((st["run"] + F.coalesce(F.try_element_at("_qs", i), F.lit(0.0))).alias("run"),
-                                st["idx"].alias("idx"))))
-        tok = F.when((mass > 0) & (found["idx"] > 0), F.element_at(cs, found["idx"])["token"])
-        stop = tok.isNull() | (tok == EOS_TOKEN)
-        state = j.select(id_col, by, "ctx",
-                         F.when(stop, F.col("out")).otherwise(F.concat("out", F.array(tok))).alias("out"),
-                         (F.col("done") | stop | (F.size("out") + 1 >= max_new_tokens)).alias("done"))
-        if (step + 1) % checkpoint_every == 0:
-            state = state.checkpoint(eager=True)
-            if state.where(~F.col("done")).limit(1).count() == 0:
+    entries = materialize(entries)
+    cand = F.broadcast(entries) if entries.count() <= CAND_BROADCAST_ROWS else entries   # rows of bounded width
+    state = materialize(prompts.select(
+        id_col, by, F.concat(words, F.array_repeat(F.lit(BOS), n - 1)).alias("ctx"),
+        (F.size(words) + F.coalesce(ends, F.lit(0))).alias("len"),
+        F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"), F.lit(0).alias("step")))
+    finished = []
+    for step in range(max_length):
+        state = _sample_step(state, cand, n, by, id_col, seed, max_length, no_repeat, top_k, top_p, temperature)
+        if (step + 1) % store_every == 0 or step + 1 == max_length:
+            state = materialize(state)
+            finished.append(state.where("done"))
+            state = state.where("NOT done")
+            if state.isEmpty():
                 break
-    return state.select(id_col, F.array_join("out", " ").alias("pred"))
-
+    out = state
+    for f in finished:
+        out = out.unionByName(f)
+    return out.select(id_col, F.array_join("out", " ").alias("pred"))
+
+
+def _sample_step(state, cand, n, by, id_col, seed, max_length, no_repeat, top_k, top_p, temperature):
+    live = ~F.col("done") & (F.col("len") + F.size("out") < max_length)
+    hist = F.concat(F.col("ctx"), F.col("out"))
+    a = state.withColumn("prefix", F.when(live, F.array_join(F.slice(hist, -(n - 1), n - 1), " ")))
+    j = a.join(cand, [by, "prefix"], "left").withColumn("_h", hist)
+    cs = F.coalesce("cands", F.array().cast("array<struct<rank:int,token:string,p:double>>"))
+    if no_repeat > 1:
+        j = j.withColumn("_last", F.array_join(F.slice("_h", -(no_repeat - 1), no_repeat - 1), " ")).withColumn(
+            "_seen", F.when(F.size("_h") >= no_repeat, F.transform(
+                F.sequence(F.lit(1), F.size("_h") - no_repeat + 1),
+                lambda i: F.array_join(F.slice("_h", i, no_repeat), " "))).otherwise(F.array().cast("array<string>")))
+        cs = F.filter(cs, lambda c: ~F.array_contains("_seen", F.concat(F.col("_last"), F.lit(" "), c["token"])))
+    j = j.withColumn("_c", F.slice(cs, 1, top_k))
+    j = j.withColumn("_w", F.transform("_c", lambda c: F.exp(F.log(c["p"]) / temperature)))
+    j = j.withColumn("_tot", F.aggregate("_w", F.lit(0.0), lambda x, w: x + w))
+    j = j.withColumn("_q", F.transform("_w", lambda w: w / F.col("_tot")))
+    zero = F.struct(F.lit(0.0).alias("cum"), F.lit(0.0).alias("mass"))
+    mass = F.aggregate("_q", zero, lambda s, q: F.struct(
+        (s["cum"] + q).alias("cum"), F.when(s["cum"] < top_p, s["mass"] + q).otherwise(s["mass"]).alias("mass")))["mass"]
+    j = j.withColumn("_target", _uniform(seed, id_col, F.col("step")) * mass)
+    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("i"), F.lit(0).alias("hit"))
+    hit = F.aggregate("_q", start, lambda s, q: F.struct(
+        (s["cum"] + q).alias("cum"), (s["i"] + 1).alias("i"),
+        F.when((s["hit"] == 0) & (s["cum"] < top_p) & (s["cum"] + q >= F.col("_target")), s["i"] + 1)
+        .otherwise(s["hit"]).alias("hit")))["hit"]
+    j = j.withColumn("_hit", hit)
+    tok = F.when(live & (F.col("_hit") > 0), F.get("_c", F.col("_hit") - 1)["token"])
+    stop = tok.isNull() | (tok == EOS_TOKEN)
+    return j.select(id_col, by, "ctx", "len",
+                    F.when(stop, F.col("out")).otherwise(F.concat("out", F.array(tok))).alias("out"),
+                    (F.col("done") | stop).alias("done"), (F.col("step") + 1).alias("step"))

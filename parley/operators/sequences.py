@@ -1,36 +1,30 @@
 """Training sequences and batches F1..F8.
 
 Vocabulary and encoding are re-aimed from a pretrained BPE to a
-corpus-built word vocabulary of bounded size (like any fixed tokenizer
-vocabulary): the top ``vocab_size`` whitespace tokens by count, ties by
-token.  Ids: 0 = end-of-sequence (also the pad value), 1 = out of
-vocabulary, 2.. = tokens by rank.
+corpus-built word vocabulary: every whitespace token, ranked by count, ties
+by token.  Ids: 0 = end-of-sequence (also the pad value), 1 = not in the
+vocabulary at hand, 2.. = tokens by rank.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parley.functions import text as tx
-from parley.operators.windows import dense_index_total
+from parley.operators.windows import dense_index, dense_index_total
+from parley.session import materialize
 
 # fixed values
 EOS_ID = 0
 OOV_ID = 1
 FIRST_TOKEN_ID = 2
 PAD_ID = 0
-DEFAULT_VOCAB = 50_000
 BATCH_SIZE = 4
 MAX_WIDTH = 1024
 
 _EOS_SPLIT = r"\Q" + tx.EOS + r"\E"
-# the same whitespace class as Java's \s in ``word_tokens``
-_WS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def turns(ctx: str = "ctx", response: str = "response") -> Column:
@@ -51,47 +45,35 @@ def prompt_text(ctx: str = "ctx", response: str = "response", eos: str = tx.EOS)
     return F.concat(F.array_join(keep, eos), F.lit(eos))
 
 
-def build_vocab(texts: DataFrame, col: str = "content", vocab_size: int = DEFAULT_VOCAB) -> DataFrame:
-    """``(token, cnt, id)`` for the ``vocab_size`` most frequent
-    whitespace tokens (ties by token).  Counting is a partial-aggregated
-    group-by; only the bounded top list is ranked in one task."""
+def build_vocab(texts: DataFrame, col: str = "content") -> DataFrame:
+    """``(token, cnt, id)`` of every whitespace token, most frequent
+    first (ties by token).  Counting is a partial-aggregated group-by; ranking
+    is by ranges (``dense_index``), so no task sees the whole vocabulary."""
     counts = texts.select(F.explode(tx.word_tokens(F.col(col))).alias("token")) \
                   .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-    top = counts.orderBy(F.col("cnt").desc(), F.col("token")).limit(vocab_size)
-    w = Window.orderBy(F.col("cnt").desc(), F.col("token"))
-    return top.select("token", F.col("cnt").cast("long").alias("cnt"),
-                      (F.row_number().over(w) - 1 + FIRST_TOKEN_ID).cast("int").alias("id"))
+    ranked = dense_index(counts.withColumn("_neg", -F.col("cnt")), ["_neg", "token"], "_pos")
+    return ranked.select("token", F.col("cnt").cast("long").alias("cnt"),
+                         (F.col("_pos") + FIRST_TOKEN_ID).cast("int").alias("id"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, messages: Column, out: str = "ids",
-           vocab_size: int = DEFAULT_VOCAB) -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, messages: Column, out: str = "ids") -> DataFrame:
     """Token ids of ``messages`` (array of texts, in order), each
     message's tokens followed by the end-of-sequence id.
 
-    The vocabulary is bounded by ``vocab_size`` rows, so it is shipped to
-    the executors once and applied in Arrow batches; rows never shuffle.
+    Tokens are exploded, joined to the vocabulary (AQE splits a frequent
+    token) and regrouped by a row number fixed when the rows are stored.
     """
-    pdf = vocab.select("token", "id").limit(vocab_size + 1).toPandas()   # Arrow transfer
-    if len(pdf) > vocab_size:
-        raise ValueError("vocabulary larger than its declared bound")
-    table = dict(zip(pdf["token"], (int(i) for i in pdf["id"])))
-    bc = df.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _encode(msgs: pd.Series) -> pd.Series:
-        lookup = bc.value
-        out_rows = []
-        for m in msgs:
-            ids: list[int] = []
-            if m is not None:
-                for text in m:
-                    if text is not None:
-                        ids.extend(lookup.get(t, OOV_ID) for t in _WS.split(text) if t)
-                    ids.append(EOS_ID)
-            out_rows.append(ids)
-        return pd.Series(out_rows)
-
-    return df.withColumn(out, _encode(messages))
+    rows = materialize(df.withColumn("_msgs", messages).withColumn("_row", F.monotonically_increasing_id()))
+    # one entry per token; a null token stands for the end of a message (no end for a null list)
+    tokens = F.flatten(F.transform("_msgs", lambda m: F.concat(
+        F.coalesce(tx.word_tokens(m), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))))
+    long = rows.select("_row", F.posexplode(tokens).alias("_i", "token"))
+    ids = F.when(F.col("token").isNull(), F.lit(EOS_ID)).otherwise(F.coalesce("id", F.lit(OOV_ID)))
+    found = long.join(vocab.select("token", "id"), "token", "left") \
+        .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", ids.alias("id")))).alias("_ids"))
+    return rows.join(found, "_row", "left") \
+        .withColumn(out, F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<int>"))) \
+        .drop("_row", "_msgs", "_ids")
 
 
 def cache_features(df: DataFrame, path: str, overwrite: bool = True) -> DataFrame:
@@ -100,8 +82,9 @@ def cache_features(df: DataFrame, path: str, overwrite: bool = True) -> DataFram
     if not overwrite:
         try:
             return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - nothing cached yet
-            pass
+        except AnalysisException as ex:                 # only "nothing cached yet" is no error
+            if "PATH_NOT_FOUND" not in str(ex):
+                raise
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -114,8 +97,7 @@ def assign_batches(df: DataFrame, size: int = BATCH_SIZE, seed: int | None = Non
     (sequential evaluation).  The incomplete last batch is dropped."""
     if seed is not None:
         x = df.withColumn("_bkey", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
-        rk = F.conv(F.substring("_bkey", 1, 13), 16, 10).cast("double")
-        x, total = dense_index_total(x, ["_bkey", id_col], "_bpos", range_key=rk)
+        x, total = dense_index_total(x, ["_bkey", id_col], "_bpos")
         x = x.drop("_bkey")
     else:
         x, total = dense_index_total(df, order or [id_col], "_bpos")

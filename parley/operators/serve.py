@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ BLANK_REPLY = "..."
 FAILED_REPLY = "\U0001F916(failed to load, please try again later)"
 MAX_RETRIES = 3
 WAIT_FACTOR = 1.3
-MAX_ROSTER = 100_000   # link_members folds over the roster; it must stay bounded
+MAX_ROSTER = 10_000   # bound of the literal roster of link_members_fold
 
 _EOS_SPLIT = r"\Q" + tx.EOS + r"\E"
 
@@ -50,8 +49,7 @@ def strip_bot_mention(c: Column, bot_id: str) -> Column:
 
 
 def clean_or_null(messages: DataFrame, members: DataFrame, platform: str = "none",
-                  bot_id: str | None = None, col: str = "content", out: str = "clean",
-                  id_col: str = "seq") -> DataFrame:
+                  bot_id: str | None = None, col: str = "content", out: str = "clean") -> DataFrame:
     """C1..C7 per message, but a dropped message keeps its row with ``out`` null."""
     x = messages.withColumn(out, F.col(col))
     if platform == "discord":
@@ -59,7 +57,7 @@ def clean_or_null(messages: DataFrame, members: DataFrame, platform: str = "none
             raise ValueError("platform 'discord' needs the bot id")
         x = x.withColumn(out, strip_bot_mention(F.col(out), bot_id))
     x = x.withColumn(out, tx.replace_custom_emojis(tx.replace_urls(F.col(out))))
-    x = resolve_mentions(x, members, out, id_col)
+    x = resolve_mentions(x, members, out)
     c = tx.newline_to_space(tx.blank_non_ascii(F.col(out)))
     return x.withColumn(out, F.when(tx.is_not_blank(c), c))
 
@@ -170,141 +168,72 @@ def link_members_fold(reply: Column, roster: Column) -> Column:
     def step(acc, m):
         hit = m["name"].isNotNull() & (F.length(m["name"]) > 0) & acc.contains(m["name"])
         hi = F.replace(acc, F.lit("Hi"), F.concat(F.lit("Hi @"), m["name"]))
-        return F.when(hit, F.replace(hi, m["name"], F.concat(F.lit("<@"), m["id"], F.lit(">")))) \
+        return F.when(hit, F.replace(hi, m["name"], F.concat(F.lit("<@"), F.coalesce(m["id"], F.lit("")), F.lit(">")))) \
                 .otherwise(acc)
     return F.aggregate(roster, reply, step)
 
 
-def link_text(text: str | None, names: list[str], ids: list[str], automaton) -> str | None:
-    """Q8 for one reply: the fold over the roster, jumping straight to the
-    next member (in roster order) whose name occurs in the current text.
-    Between two acting members the text does not change, so skipping the
-    others is exact."""
-    if text is None:
-        return None
-    pos = 0
-    while True:
-        hits = {idx for _, idxs in automaton.iter(text) for idx in idxs}
-        nxt = min((i for i in hits if i >= pos), default=None)
-        if nxt is None:
-            return text
-        name = names[nxt]
-        text = text.replace("Hi", "Hi @" + name).replace(name, f"<@{ids[nxt]}>")
-        pos = nxt + 1
-
-
-def link_members(df: DataFrame, members: DataFrame, col: str = "reply", out: str = "reply",
-                 limit: int = MAX_ROSTER) -> DataFrame:
+GRAM = 4   # names are found by a piece of up to this many characters
+
+
+def _pieces(c: Column, n: int) -> Column:
+    """The distinct pieces of ``n`` characters of a text (none if shorter)."""
+    starts = F.sequence(F.lit(1), F.length(c) - n + 1)
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))))
+
+
+def link_members(df: DataFrame, members: DataFrame, col: str = "reply", out: str = "reply") -> DataFrame:
     """Q8: for each member in roster order whose name occurs in the text:
     ``Hi`` -> ``Hi @name``, then name -> ``<@id>``; later members see the
-    earlier rewrites.  A roster below ``limit`` rows (counted) is shipped
-    once and each task finds occurring names with one Aho-Corasick pass per
-    rewrite; a larger roster goes through ``link_members_sharded``."""
-    import ahocorasick
-
-    n = members.count()
-    if n > limit:
-        # too large to ship whole: the exact sharded rounds below
-        return link_members_sharded(df, members, col, out, shard_rows=limit)
-    rows = members.orderBy("pos", "id").select("name", "id").collect()
-    names = ["" if r[0] is None else str(r[0]) for r in rows]
-    ids = ["" if r[1] is None else str(r[1]) for r in rows]
-    bc = df.sparkSession.sparkContext.broadcast((names, ids))
-
-    @F.pandas_udf("string")
-    def _link(texts: pd.Series) -> pd.Series:
-        nm, ii = bc.value
-        by_name: dict[str, list[int]] = {}
-        for i, name in enumerate(nm):
-            if name:
-                by_name.setdefault(name, []).append(i)
-        auto = ahocorasick.Automaton()
-        for name, idxs in by_name.items():
-            auto.add_word(name, idxs)
-        if by_name:
-            auto.make_automaton()
-        out_rows = [t if not by_name else link_text(t, nm, ii, auto) for t in texts]
-        return pd.Series(out_rows, dtype=object)
-
-    return df.withColumn(out, _link(F.col(col)))
-
-
-def _first_hits(reps: pd.DataFrame, mem: pd.DataFrame) -> pd.DataFrame:
-    """For every text of one (shard, bucket) group: the smallest roster index
-    >= its position whose name occurs in it (one automaton per group)."""
-    import ahocorasick
-
-    if reps.empty or mem.empty:
-        return pd.DataFrame({"_k": pd.Series([], dtype=object), "_idx": pd.Series([], dtype="int64")})
-    auto = ahocorasick.Automaton()
-    by_name: dict[str, list[int]] = {}
-    for idx, name in zip(mem["idx"], mem["name"]):
-        by_name.setdefault(name, []).append(int(idx))
-    for name, idxs in by_name.items():
-        auto.add_word(name, sorted(idxs))
-    auto.make_automaton()
-    keys, found = [], []
-    for k, t, p in zip(reps["_k"], reps["_t"], reps["_p"]):
-        best = None
-        for _, idxs in auto.iter(t):
-            for i in idxs:
-                if i >= p and (best is None or i < best):
-                    best = i
-                    break
-        if best is not None:
-            keys.append(k)
-            found.append(best)
-    return pd.DataFrame({"_k": pd.Series(keys, dtype=object), "_idx": pd.Series(found, dtype="int64")})
-
-
-def link_members_sharded(df: DataFrame, members: DataFrame, col: str = "reply", out: str = "reply",
-                         key: str = "seq", shard_rows: int = MAX_ROSTER, bucket_rows: int = 1_000_000,
-                         max_rounds: int = 10_000) -> DataFrame:
-    """Q8 for rosters of any size, exactly.
-
-    The roster gets its global order index and is cut into shards of
-    ``shard_rows``.  Each round finds, for every unfinished text, the next
-    member (by index, at or after its position) whose name occurs in the
-    current text: texts are paired with every shard, members with every
-    bucket of texts, and each (shard, bucket) group runs one automaton.
-    That member's rewrite is applied and the position moves past it; a text
-    with no further hit is finished.  Rounds = rewrites of the busiest text.
+    earlier rewrites.
+
+    Works on the distinct texts, for rosters of any size, in rounds: each
+    round finds the next member (by roster order, at or after the text's
+    position) whose name occurs, by an equi-join of the text's pieces with each
+    name's rarest piece and a check of the whole name, and applies that
+    member's rewrite.  Texts without a hit are finished; the position rises
+    with every rewrite, so the rounds end.
     """
-    from parley.operators.windows import dense_index_total
+    from parley.operators.windows import dense_index
     from parley.session import materialize
 
     m = members.select(F.col("name").cast("string").alias("name"), F.col("id").cast("string").alias("id"),
                        F.col("pos").cast("long").alias("pos"))
-    ranked, n = dense_index_total(m, ["pos", "id"], "idx")
-    ranked = materialize(ranked.where(F.col("name").isNotNull() & (F.length("name") > 0))
-                         .withColumn("shard", F.floor(F.col("idx") / shard_rows).cast("long")))
-    n_shards = max(1, -(-n // shard_rows))
-    ktype = df.schema[key].dataType.simpleString()
-    state = materialize(df.select(F.col(key).alias("_k"), F.col(col).alias("_t"), F.lit(0).cast("long").alias("_p"),
-                                  F.col(col).isNull().alias("_done")))
-    for _ in range(max_rounds):
-        active = state.where(~F.col("_done"))
-        n_active = active.count()
-        if n_active == 0:
+    ranked = materialize(dense_index(m, ["pos", "id"], "idx").where(F.length("name") > 0).drop("pos"))
+    names = ranked.groupBy("name").agg(F.array_sort(F.collect_list("idx")).alias("idxs"))
+    size = F.least(F.length("name"), F.lit(GRAM))
+    split = names.select("name", F.explode(F.coalesce(*[
+        F.when(size == n, _pieces(F.col("name"), n)) for n in range(1, GRAM + 1)])).alias("gram"))
+    split = materialize(split)
+    often = split.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = split.join(often, "gram").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    lookup = materialize(rare.join(names, "name"))
+    sizes = sorted(r[0] for r in lookup.select(F.length("gram")).distinct().collect())   # at most GRAM numbers
+    active = materialize(df.where(F.col(col).isNotNull()).select(F.col(col).alias("_k")).distinct()
+                         .withColumn("_t", F.col("_k")).withColumn("_p", F.lit(0).cast("long")))
+    done = []
+    while sizes:
+        grams = F.flatten(F.array(*[F.coalesce(_pieces(F.col("_t"), n), F.array().cast("array<string>"))
+                                    for n in sizes]))
+        hits = active.select("_k", "_t", "_p", F.explode(grams).alias("gram")).join(lookup, "gram") \
+            .where(F.col("_t").contains(F.col("name"))) \
+            .select("_k", F.array_min(F.filter("idxs", lambda i: i >= F.col("_p"))).alias("_idx"))
+        best = hits.groupBy("_k").agg(F.min("_idx").alias("_idx")).where(F.col("_idx").isNotNull())
+        now = ranked.select(F.col("idx").alias("_idx"), F.col("name").alias("_n"), F.col("id").alias("_i"))
+        upd = materialize(active.join(best, "_k", "left").join(now, "_idx", "left"))
+        done.append(upd.where(F.col("_idx").isNull() & (F.col("_p") > 0)).select("_k", "_t"))
+        hit = F.replace(F.replace(F.col("_t"), F.lit("Hi"), F.concat(F.lit("Hi @"), F.col("_n"))),
+                        F.col("_n"), F.concat(F.lit("<@"), F.coalesce("_i", F.lit("")), F.lit(">")))
+        active = upd.where(F.col("_idx").isNotNull()).select("_k", hit.alias("_t"), (F.col("_idx") + 1).alias("_p"))
+        if active.isEmpty():
             break
-        buckets = max(1, -(-n_active // bucket_rows))
-        reps = active.withColumn("bucket", F.pmod(F.xxhash64("_k"), F.lit(buckets))) \
-                     .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<long>")))
-        mem = ranked.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<long>")))
-        hits = reps.select("shard", "bucket", "_k", "_t", "_p").groupBy("shard", "bucket") \
-                   .cogroup(mem.select("shard", "bucket", "idx", "name").groupBy("shard", "bucket")) \
-                   .applyInPandas(_first_hits, f"_k {ktype}, _idx long")
-        best = hits.groupBy("_k").agg(F.min("_idx").alias("_idx"))
-        named = ranked.select(F.col("idx").alias("_idx"), F.col("name").alias("_n"), F.col("id").alias("_i"))
-        upd = active.join(best, "_k", "left").join(named, "_idx", "left")
-        hit = F.col("_idx").isNotNull()
-        rewritten = F.replace(F.replace(F.col("_t"), F.lit("Hi"), F.concat(F.lit("Hi @"), F.col("_n"))),
-                              F.col("_n"), F.concat(F.lit("<@"), F.col("_i"), F.lit(">")))
-        upd = upd.select("_k", F.when(hit, rewritten).otherwise(F.col("_t")).alias("_t"),
-                         F.when(hit, F.col("_idx") + 1).otherwise(F.col("_p")).alias("_p"), (~hit).alias("_done"))
-        state = materialize(state.where(F.col("_done")).unionByName(upd))
-    done = state.select(F.col("_k").alias(key), F.col("_t").alias(out))
-    return df.drop(out).join(done, key) if out in df.columns and out != key else df.join(done, key)
+    if not done:
+        return df.withColumn(out, F.col(col))
+    changed = done[0]
+    for d in done[1:]:
+        changed = changed.unionByName(d)
+    got = df.join(changed, df[col] == changed["_k"], "left").withColumn(out, F.coalesce("_t", F.col(col)))
+    return got.drop("_k", "_t")
 
 
 def replay_history(turns: DataFrame, k: int, conv: str = "conv_id", order: str = "seq") -> DataFrame:

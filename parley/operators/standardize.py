@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.windows import dense_index
+
 
 class UnknownMemberError(ValueError):
     """A target id that no roster row carries."""
@@ -32,7 +34,7 @@ def extend_members(members: DataFrame, missing: DataFrame,
                    overrides: DataFrame | None = None) -> DataFrame:
     """Append one ``(id, name)`` row per missing id; the name is the
     override when given, else the id itself.  New rows sort after the
-    existing roster (``pos`` above its maximum)."""
+    existing roster (``pos`` above its maximum), by id."""
     m = members.select(F.col("id").cast("string").alias("id"), "name",
                        F.col("pos").cast("long").alias("pos"))
     top = m.agg(F.max("pos")).first()[0]
@@ -44,8 +46,8 @@ def extend_members(members: DataFrame, missing: DataFrame,
         new = new.join(ov, "id", "left")
     else:
         new = new.withColumn("_ov", F.lit(None).cast("string"))
-    new = new.select("id", F.coalesce("_ov", "id").alias("name"),
-                     (F.lit(base + 1) + F.monotonically_increasing_id()).alias("pos"))
+    new = dense_index(new.select("id", F.coalesce("_ov", "id").alias("name")), ["id", "name"], "pos") \
+        .withColumn("pos", F.col("pos") + F.lit(base + 1))
     return m.unionByName(new)
 
 

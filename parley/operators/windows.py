@@ -4,14 +4,14 @@
 channel, a session, a conversation).  A scope may hold a third of all
 rows, so a plain ``Window.partitionBy(scope)`` would put that third into
 one task.  Scopes larger than ``block_rows`` are therefore cut into
-blocks by global quantile ranges of the order key; each block is
+blocks by global ranges of the full order key; each block is
 windowed independently, and only the first k rows of each block are
 repaired with the tails of the previous blocks (a table with one row per
 block).  The data is windowed once; a second, narrow window over the hot
 rows only (order key and value) yields the block tails.
 
 ``dense_index`` numbers rows 0..n-1 in a total order without a global
-single-partition window: quantile ranges, one count per range, offsets
+single-partition window: ranges of the order, one count per range, offsets
 broadcast back, ``row_number`` inside each range.
 """
 
@@ -20,8 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,33 +38,12 @@ def auto_block_rows(spark, total: int) -> int:
     return min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(total / (4 * parallelism(spark)))))
 
 
-def numeric_key(df: DataFrame, col: str) -> Column:
-    """A double that is non-decreasing in ``col`` (numbers, timestamps, dates)."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
-
-
-def _range_splits(df: DataFrame, key: str, n_ranges: int) -> list[float]:
-    """Strictly increasing split points of ``key`` for ``n_ranges`` ranges."""
-    if n_ranges <= 1:
-        return [-math.inf, math.inf]
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    rel_err = min(0.01, 0.25 / n_ranges)
-    qs = df.approxQuantile(key, probs, rel_err)
-    inner = sorted({float(q) for q in qs if q is not None})
-    return [-math.inf] + inner + [math.inf]
-
-
-def _with_range(df: DataFrame, key_expr: Column, splits: list[float], out: str) -> DataFrame:
-    """Bucket id of a monotone numeric key (JVM binary search)."""
-    tmp = "_parley_rk"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(df.withColumn(tmp, key_expr.cast("double"))).drop(tmp)
+def _in_ranges(df: DataFrame, order: Sequence[str], n_ranges: int) -> DataFrame:
+    """``df`` cut into ranges of the full order key and stored with its range
+    number ``_rng``.  Ties of the first columns are split by the later ones,
+    nulls are the first range's, any orderable type will do."""
+    return materialize(df.repartitionByRange(n_ranges, *[F.col(c) for c in order])
+                       .withColumn("_rng", F.spark_partition_id().cast("long")))
 
 
 def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequence[str] = "seq",
@@ -75,8 +53,7 @@ def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequen
     ordered by ``order`` (nearest first; null values keep their place) and
     ``n_before`` = min(k, number of earlier rows in the scope).
 
-    ``order`` (one column or several) must be unique within a scope; its
-    first column must be numeric or a timestamp (it drives the ranges).
+    ``order`` (one column or several) must be unique within a scope.
     """
     order = [order] if isinstance(order, str) else list(order)
     if k < 0:
@@ -109,11 +86,9 @@ def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequen
                         nb.cast("int").alias("n_before"))
 
     # --- split path: hot scopes are cut into global quantile ranges --------
-    # the input is read several times below (quantiles, hot list, blocks,
-    # tails, heads): cut its lineage once with a reliable checkpoint
-    x = materialize(x.withColumn("_okey", numeric_key(x, order[0])))
-    n_ranges = max(2, math.ceil(total / block_rows))
-    splits = _range_splits(x, "_okey", n_ranges)
+    # the input is read several times below (hot list, blocks, tails, heads):
+    # it is stored once, already cut into ranges of the full order key
+    x = _in_ranges(x, order, max(2, math.ceil(total / block_rows)))
     # at most total / block_rows scopes can exceed block_rows: a proven bound
     hot_rows = counts.where(F.col("_cnt") > block_rows).select("_scope").collect()
     counts.unpersist()
@@ -123,9 +98,8 @@ def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequen
     if len(hot_rows) <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     x = x.join(hot, "_scope", "left")
-    x = _with_range(x, F.col("_okey"), splits, "_rng").drop("_okey")
     x = x.withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False))) \
-         .withColumn("_blk", F.when(F.col("_hot"), F.col("_rng").cast("long")).otherwise(F.lit(-1)))
+         .withColumn("_blk", F.when(F.col("_hot"), F.col("_rng")).otherwise(F.lit(-1)))
 
     w = Window.partitionBy("_scope", "_blk").orderBy(*order)
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -163,32 +137,22 @@ def preceding(df: DataFrame, k: int, by: Sequence[str] = (), order: str | Sequen
 
 
 def dense_index(df: DataFrame, order: Sequence[str], out: str = "pos",
-                range_key: Column | None = None, block_rows: int | None = None) -> DataFrame:
+                block_rows: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row in the total order
-    ``order`` (must be unique).  ``range_key`` is a numeric column that is
-    non-decreasing in ``order`` (default: the first order column)."""
-    return dense_index_total(df, order, out, range_key, block_rows)[0]
+    ``order`` (nulls first; must be unique)."""
+    return dense_index_total(df, order, out, block_rows)[0]
 
 
 def dense_index_total(df: DataFrame, order: Sequence[str], out: str = "pos",
-                      range_key: Column | None = None,
                       block_rows: int | None = None) -> tuple[DataFrame, int]:
     """``dense_index`` plus the row count it found on the way."""
     spark = df.sparkSession
     order = list(order)
-    rk = range_key if range_key is not None else numeric_key(df, order[0])
-    # the input is read up to four times (count, quantiles, range counts,
-    # window): compute it once and cut the lineage
-    keyed = materialize(df.withColumn("_rkv", rk.cast("double")))
-    total = keyed.count()
+    # the input feeds the count, the ranges and the window: compute it once
+    stored = materialize(df)
+    total = stored.count()
     block_rows = block_rows or auto_block_rows(spark, total)
-    n_ranges = max(1, math.ceil(total / block_rows))
-    if n_ranges == 1:
-        # the whole input fits one bounded task
-        w = Window.orderBy(*order)
-        return keyed.drop("_rkv").withColumn(out, (F.row_number().over(w) - 1).cast("long")), total
-    splits = _range_splits(keyed, "_rkv", n_ranges)
-    x = _with_range(keyed, F.col("_rkv"), splits, "_rng").drop("_rkv")
+    x = _in_ranges(stored, order, max(1, math.ceil(total / block_rows)))
     counts = sorted((int(r[0]), int(r[1])) for r in
                     x.groupBy("_rng").count().collect())  # <= n_ranges rows
     offsets, acc = [], 0
@@ -196,7 +160,7 @@ def dense_index_total(df: DataFrame, order: Sequence[str], out: str = "pos",
         offsets.append((rng, acc))
         acc += cnt
     off_df = spark.createDataFrame(offsets, "_rng long, _off long")
-    x = x.withColumn("_rng", F.col("_rng").cast("long")).join(F.broadcast(off_df), "_rng")
+    x = x.join(F.broadcast(off_df), "_rng")
     w = Window.partitionBy("_rng").orderBy(*order)
     return x.withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("long")) \
             .drop("_rng", "_off"), total

@@ -52,4 +52,4 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     # importing the modules registers their queries
-    from parley.plans import q_clean, q_package, q_sequences, q_evaluate, q_serve, q_model, q_stream  # noqa: F401
+    from parley.plans import q_clean, q_package, q_sequences, q_evaluate, q_serve, q_model, q_stream, q_sources  # noqa: F401

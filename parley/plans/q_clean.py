@@ -12,7 +12,7 @@ from parley.plans.catalog import register
 from parley.session import materialize
 
 RENAME_TARGET = "target-user"
-RENAME_ID = "7"
+RENAME_ID = "17"
 
 
 def cleaned_chat(spark, sf):
@@ -116,11 +116,7 @@ def csv_round_trip(spark, sf):
     so file order is message order) and read back with file-order ``seq``."""
     from parley.sources import io
     from parley.streaming.stream import _scratch
-    path = _scratch(spark, "chat-csv")
+    from parley.plans.q_sources import ordered_csv
     chat = v.chat(spark, sf).select("seq", "author_id", "content")
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    chat.repartitionByRange(parts, "seq").sortWithinPartitions("seq") \
-        .drop("seq").write.option("header", True).option("quote", '"').option("escape", '"') \
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
-        .mode("overwrite").csv(path)
+    path = ordered_csv(chat, "seq", _scratch(spark, "chat-csv"))
     return io.read_messages(spark, path, newest_first=False).select("seq", "author_id", "content")

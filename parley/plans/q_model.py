@@ -71,72 +71,67 @@ def decode_candidates(spark, sf):
     return c.select("author_id", "prefix", "token", "rank", F.round("q", 9).alias("q"))
 
 
-def bench_prompts(spark, sf):
-    """E1 on the dialogue rows: the first 30 of the seeded permutation,
-    with their prompt text (F2) and the reference response."""
+def test_prompts(spark, sf):
+    """The test split's rows (whole), with their prompt text (F2) and the
+    reference response."""
     rows = materialize(dialog_rows(spark, sf))
     _, test = pk.split_exact(rows, 0.1, SEED)
-    b = ev.benchmark_sample(test, [pk.shuffle_key(SEED), F.col("seq")])
-    return b.select("seq", "author_id", "response", sq.prompt_text().alias("prompt"))
+    return test.select("seq", "author_id", "response", sq.prompt_text().alias("prompt"))
 
 
 # The oracle replays the seeded sampler in SQL: the candidate lists per
 # prefix, then a recursive CTE keyed by prompt that draws one token per
 # step with the same md5 uniform, running sums and no-repeat rule.
-_STEPS = ng.MAX_NEW_TOKENS
+_LEN = ng.MAX_LENGTH
 GEN_SQL = v.with_views("dialog", extra=qs.DIALOG_CLEAN_SQL + "," + GRAMS_SQL + f""",
-ranked_m AS (SELECT *, row_number() OVER (PARTITION BY author_id, prefix ORDER BY p DESC, token) AS rank FROM model),
-top AS (SELECT *, exp(ln(p) / {ng.TEMPERATURE}) AS w FROM ranked_m WHERE rank <= {ng.TOP_K}),
-norm AS (SELECT *, w / sum(w) OVER (PARTITION BY author_id, prefix) AS q FROM top),
-cum AS (SELECT *, sum(q) OVER (PARTITION BY author_id, prefix ORDER BY rank
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM norm),
-cands AS (SELECT author_id, prefix, list(struct_pack(token := token, q := q) ORDER BY rank) AS cs
-          FROM cum WHERE cum - q < {ng.TOP_P} GROUP BY author_id, prefix),
+cands AS (SELECT author_id, prefix, list(struct_pack(token := token, p := p) ORDER BY rank) AS cs FROM (
+            SELECT *, row_number() OVER (PARTITION BY author_id, prefix ORDER BY p DESC, token) AS rank FROM model)
+          WHERE rank <= {ng.TOP_K + _LEN} GROUP BY author_id, prefix),
 bench AS (SELECT seq, response, context2 || '{EOS}' || context1 || '{EOS}' AS prompt FROM (
             SELECT *, row_number() OVER (ORDER BY md5('{qs.SEED}:' || CAST(seq AS VARCHAR)), seq) AS r,
                    CAST(floor(0.1::DOUBLE * count(*) OVER ()) AS BIGINT) AS n_test FROM base)
-          WHERE r <= n_test AND r <= 30),
-gen(seq, author_id, hist, out, step, done) USING KEY (seq) AS (
-  SELECT seq, 'assistant',
-         list_filter(regexp_split_to_array(replace(prompt, '{EOS}', ' '), '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> '')
-           || ['{ng.BOS}'],
-         []::VARCHAR[], 0, false FROM bench
+          WHERE r <= n_test),
+gen(seq, author_id, hist, plen, out, step, done) USING KEY (seq) AS (
+  SELECT seq, 'assistant', words || ['{ng.BOS}'], len(words) + 2, []::VARCHAR[], 0, len(words) + 2 >= {_LEN} FROM (
+    SELECT seq, list_filter(regexp_split_to_array(replace(prompt, '{EOS}', ' '), '[ \\t\\n\\x0b\\f\\r]+'),
+                            lambda t: t <> '') AS words FROM bench)
   UNION
   SELECT seq, author_id,
-         CASE WHEN stop THEN hist ELSE list_append(hist, tok) END,
+         CASE WHEN stop THEN hist ELSE list_append(hist, tok) END, plen,
          CASE WHEN stop THEN out ELSE list_append(out, tok) END,
          step + 1,
-         stop OR (NOT stop AND len(out) + 1 >= {_STEPS})
+         stop OR plen + len(out) + 1 >= {_LEN}
   FROM (
     SELECT *, tok IS NULL OR tok = '{ng.EOS_TOKEN}' AS stop FROM (
-      SELECT *, CASE WHEN mass > 0 AND idx IS NOT NULL AND idx > 0 THEN cs[idx].token END AS tok FROM (
+      SELECT *, CASE WHEN idx IS NOT NULL AND idx > 0 THEN ok[idx].token END AS tok FROM (
         SELECT *, list_position(list_transform(range(1, len(qs) + 1), lambda i:
-                      qs[i] > 0 AND runs[i] + qs[i] >= u * mass), true) AS idx FROM (
-          SELECT *, list_reduce(list_prepend(0.0, qs), lambda a, x: a + x) AS mass,
-                    list_transform(range(1, len(qs) + 1), lambda i:
-                      list_reduce(list_prepend(0.0, qs[1:i - 1]), lambda a, x: a + x)) AS runs,
-                    CAST(('0x' || substr(md5('{qs.SEED}:' || CAST(seq AS VARCHAR) || ':' || CAST(step AS VARCHAR)), 1, 8))
-                         AS BIGINT) / 4294967296.0 AS u
-          FROM (
-            SELECT g.seq, g.author_id, g.hist, g.out, g.step,
-                   coalesce(c.cs, []) AS cs,
-                   list_transform(coalesce(c.cs, []), lambda x:
-                     CASE WHEN len(g.hist) >= {ng.NO_REPEAT_NGRAM} AND list_contains(
-                            list_transform(range(1, len(g.hist) - 1), lambda i: g.hist[i] || ' ' || g.hist[i + 1] || ' ' || g.hist[i + 2]),
-                            g.hist[-2] || ' ' || g.hist[-1] || ' ' || x.token)
-                          THEN 0.0 ELSE x.q END) AS qs
-            FROM gen g LEFT JOIN cands c ON c.author_id = g.author_id AND c.prefix = g.hist[-1]
-            WHERE NOT g.done AND g.step < {_STEPS}))))))
-""").replace("WITH ", "WITH RECURSIVE ", 1)
+                      qs[i] > 0 AND cb[i] + qs[i] >= u * list_reduce(list_prepend(0.0, qs), lambda a, x: a + x)),
+                      true) AS idx FROM (
+          SELECT *, list_transform(range(1, len(qa) + 1), lambda i:
+                      CASE WHEN cb[i] < {ng.TOP_P} THEN qa[i] ELSE 0.0 END) AS qs FROM (
+            SELECT *, list_transform(range(1, len(qa) + 1), lambda i:
+                        list_reduce(list_prepend(0.0, qa[1:i - 1]), lambda a, x: a + x)) AS cb FROM (
+              SELECT *, list_transform(ws, lambda w: w / list_reduce(list_prepend(0.0, ws), lambda a, x: a + x)) AS qa
+              FROM (
+                SELECT *, list_transform(ok, lambda x: exp(ln(x.p) / {ng.TEMPERATURE})) AS ws,
+                       CAST(('0x' || substr(md5('{qs.SEED}:' || CAST(seq AS VARCHAR) || ':' || CAST(step AS VARCHAR)),
+                            1, 8)) AS BIGINT) / 4294967296.0 AS u
+                FROM (
+                  SELECT g.seq, g.author_id, g.hist, g.plen, g.out, g.step,
+                         list_filter(coalesce(c.cs, []), lambda x: NOT (len(g.hist) >= {ng.NO_REPEAT_NGRAM}
+                           AND list_contains(list_transform(range(1, len(g.hist) - 1), lambda i:
+                                 g.hist[i] || ' ' || g.hist[i + 1] || ' ' || g.hist[i + 2]),
+                               g.hist[-2] || ' ' || g.hist[-1] || ' ' || x.token)))[1:{ng.TOP_K}] AS ok
+                  FROM gen g LEFT JOIN cands c ON c.author_id = g.author_id AND c.prefix = g.hist[-1]
+                  WHERE NOT g.done AND g.step < {_LEN}))))))))
+)""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @register("generate_replies", GEN_SQL + """
 SELECT seq, array_to_string(out, ' ') AS pred FROM gen""")
 def generate_replies(spark, sf):
     model = dialog_model(spark, sf)
-    cands = ng.decode_candidates(model)
-    prompts = bench_prompts(spark, sf)
-    return ng.generate_replies(prompts, cands, N, seed=SEED)
+    return ng.generate_replies(test_prompts(spark, sf), ng.sampler_entries(model), N, seed=SEED)
 
 
 @register("label_pred", GEN_SQL + """,
@@ -146,8 +141,8 @@ SELECT p.seq, p.label, p.pred, round(a.f, 9) AS rouge1_f, round(b.f, 9) AS rouge
 FROM pairs p JOIN scored1 a USING (seq) JOIN scored2 b USING (seq)""")
 def label_pred(spark, sf):
     model = dialog_model(spark, sf)
-    prompts = bench_prompts(spark, sf)
-    preds = ng.generate_replies(prompts, ng.decode_candidates(model), N, seed=SEED)
+    prompts = test_prompts(spark, sf)
+    preds = ng.generate_replies(prompts, ng.sampler_entries(model), N, seed=SEED)
     pairs = ev.label_pred_table(prompts, preds)
     scored = ev.rouge_n(pairs, (1, 2))
     return scored.select("seq", "label", "pred", F.round("rouge1_f", 9).alias("rouge1_f"),

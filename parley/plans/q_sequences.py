@@ -42,8 +42,7 @@ vtok AS (SELECT unnest(list_filter(regexp_split_to_array(content, '[ \t\n\x0b\f\
          FROM dclean),
 vocab AS (
   SELECT token, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 1 AS INTEGER) AS id
-  FROM (SELECT token, count(*) AS cnt FROM vtok GROUP BY token)
-  QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= 50000)
+  FROM (SELECT token, count(*) AS cnt FROM vtok GROUP BY token))
 """
 
 ENCODE_SQL = r"""

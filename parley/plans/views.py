@@ -7,8 +7,7 @@ custom emojis, non-ASCII with newlines, blanks, nulls, the row's own
 nothing is filtered or capped, so the work grows with the table.
 
 - ``chat(seq, channel, author_id, ts, content)`` from ``events``
-- ``members(id, name, pos)`` from ``customer`` (accounts in credit only,
-  so some authors and mentions have no roster row)
+- ``members(id, name, pos)`` from every ``customer`` row
 - ``dialog(seq, conv_id, turn, author_id, channel, content)`` from
   ``conversations``
 - ``docs(seq, channel, author_id, content)`` from ``documents``
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 # fixed parameters of the derived views
 BOT_ID = "1"
+ROSTER_FROM = 3        # member ids start above this, so some authors and mentions have no roster row
 TARGET_NAME = "Customer#000000007"
 
 
@@ -56,8 +56,8 @@ def chat_from(e: DataFrame) -> DataFrame:
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.where(F.col("c_acctbal") >= 0).select(
-        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"),
+    return c.select(
+        (F.col("c_custkey") + ROSTER_FROM).cast("string").alias("id"), F.col("c_name").alias("name"),
         F.col("c_custkey").cast("long").alias("pos"))
 
 
@@ -91,9 +91,9 @@ SELECT event_id AS seq, event_type AS channel, CAST(user_id AS VARCHAR) AS autho
 FROM events
 """
 
-MEMBERS_SQL = """
-SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(c_custkey AS BIGINT) AS pos
-FROM customer WHERE c_acctbal >= 0
+MEMBERS_SQL = f"""
+SELECT CAST(c_custkey + {ROSTER_FROM} AS VARCHAR) AS id, c_name AS name, CAST(c_custkey AS BIGINT) AS pos
+FROM customer
 """
 
 DIALOG_SQL = """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import warnings
 import zipfile
 
@@ -46,8 +47,8 @@ def get_spark(master: str | None = None, app: str = "parley",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local runs, tests) create a private folder under the temp dir."""
+    """The cluster's ``spark.checkpoint.dir``.  Only a local run (one machine)
+    may go without: it gets a private folder under the temp dir."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -57,19 +58,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="parley-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    """``df`` stored once as Parquet in the shared checkpoint folder and read back.
 
-    Used where a table is read several times (split, batches) so that a
-    lost executor recomputes from the checkpoint, not from the raw input.
+    Used where a table is read several times (split, batches): readers take
+    only the columns they need, and a lost executor re-reads instead of
+    recomputing from the raw input.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:

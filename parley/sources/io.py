@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import schemas
-from parley.operators.windows import BROADCAST_ROWS
+from parley.operators.windows import BROADCAST_ROWS, dense_index
 
 CUSTOM_GUILD = "CUSTOM"
 
@@ -93,11 +93,17 @@ def read_members(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def ingest_channels(spark: SparkSession, path: str, channels: Sequence[str] = (),
-                    fmt: str = "json") -> DataFrame:
-    """S3: exported channel histories -> ``author_id, content, ts, channel``.
+                    fmt: str = "json", newest_first: bool = False) -> DataFrame:
+    """S3: exported channel histories -> ``seq, author_id, content, ts, channel``.
+    ``seq`` follows time, ties file order (reversed if ``newest_first``).
     An empty list keeps every channel; an unknown channel is an error."""
     raw = spark.read.format(fmt).load(path)
-    df = raw.select(F.col("author_id").cast("string").alias("author_id"),
+    # file order: the file, the split within it, and the row within the split
+    sign = F.lit(-1 if newest_first else 1)
+    df = raw.select(F.col("_metadata.file_path").alias("_file"),
+                    (sign * F.col("_metadata.file_block_start")).alias("_split"),
+                    (sign * F.monotonically_increasing_id()).alias("_row"),
+                    F.col("author_id").cast("string").alias("author_id"),
                     F.col("content").cast("string").alias("content"),
                     F.to_timestamp(F.col("timestamp")).alias("ts"),
                     F.col("channel").cast("string").alias("channel"))
@@ -108,7 +114,8 @@ def ingest_channels(spark: SparkSession, path: str, channels: Sequence[str] = ()
         missing = [c for c in wanted if c not in found]
         if missing:
             raise ChannelError(f"not a text channel of the export: {missing}")
-    return df
+    order = ["ts", "_file", "_split", "_row"]
+    return dense_index(df, order, "seq").select("seq", "author_id", "content", "ts", "channel")
 
 
 def roster_snapshot(members: DataFrame, bot: tuple[str, str] | None = None) -> DataFrame:

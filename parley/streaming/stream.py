@@ -1,83 +1,33 @@
-"""Structured Streaming jobs X1..X3.
-
-- X1 ``stream_clean``: file-source stream -> C1..C7 -> Parquet.  Cleaning
-  is stateless; the mention lookup ships the roster once (its size is
-  checked) and resolves ids in Arrow batches, so no aggregation runs in
-  the stream.
-- X2 ``stream_triggers``: messages that mention the bot, as they arrive.
-- X3 ``stream_prompts``: per channel, the last k-1 cleaned messages live
-  in state (``applyInPandasWithState``); every trigger gets its prompt.
-  State survives restarts through the checkpoint folder.
-- X4 ``stream_late_prompts``: the same state ordered by event time with a
-  watermark, so messages that arrive late still take their place.
+"""Structured Streaming jobs X1..X4: the batch operators per micro-batch.
+
+Every job runs ``foreachBatch`` with the batch operator of the same name, for
+any roster size, and writes each micro-batch to its own ``batch=<id>`` folder
+(overwritten when a batch is replayed, so a replay changes nothing).
+
+- X1 ``stream_clean``: C1..C7 with the join-based mention lookup.
+- X2 ``stream_triggers``: Q1.
+- X3 ``stream_prompts``: Q1 + Q2 + Q4 over the batch and a tail table, the
+  k-1 newest cleaned messages of every channel after the batch before; rows
+  are ordered by ``seq``.
+- X4 ``stream_late_prompts``: the same ordered by event time (ts, then seq): a
+  message that arrives late takes its place for every later trigger.  A trigger
+  is answered with what is known when it arrives; nothing expires, and a null
+  ``ts`` counts as oldest.
+
+The tail after batch n is a table of its own next to the checkpoint, so a
+restart continues from it.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from parley.functions import text as tx
-from parley.operators.serve import strip_bot_mention
-from parley.session import ensure_checkpoint_dir
-
-MAX_MAP_ROSTER = 2_000_000
-
-
-def roster_lookup(members: DataFrame, limit: int = MAX_MAP_ROSTER):
-    """First name per normalised id, shipped to the executors once (row
-    count checked first)."""
-    from parley.operators.clean import first_names
-    names = first_names(members)
-    n = names.count()
-    if n > limit:
-        raise ValueError(f"roster of {n} ids exceeds the streaming lookup bound {limit}")
-    table = {r[0]: r[1] for r in names.collect()}
-    return members.sparkSession.sparkContext.broadcast(table)
-
-
-def mention_udf(bc):
-    """C4 as a per-row helper for streams (no aggregation can run there):
-    the same one-pass rebuild as the batch join, in Arrow batches."""
-    token = re.compile(tx.MENTION_ID_RE)
-
-    def one(text, table):
-        if text is None:
-            return None
-
-        def sub(m):
-            key = m.group(1).lstrip("0") or "0"
-            name = table.get(key)
-            return tx.UNKNOWN_MEMBER if name is None else name
-        return token.sub(sub, text)
-
-    @F.pandas_udf("string")
-    def _resolve(texts: pd.Series) -> pd.Series:
-        table = bc.value
-        return pd.Series([one(t, table) for t in texts], dtype=object)
-
-    return _resolve
-
 
-def clean_column(c: Column, resolve) -> Column:
-    """C1..C7 as one column expression; null when the message is dropped.
-    Only rows holding a mention token reach the Python lookup."""
-    x = tx.replace_custom_emojis(tx.replace_urls(c))
-    x = F.when(x.rlike(tx.MENTION_RE), resolve(x)).otherwise(x)
-    x = tx.newline_to_space(tx.blank_non_ascii(x))
-    return F.when(c.isNotNull() & tx.is_not_blank(x), x)
-
-
-def roster_fits(members: DataFrame, limit: int | None = None) -> bool:
-    """Whether the roster's id count is under the in-stream lookup bound."""
-    from parley.operators.clean import first_names
-    return first_names(members).count() <= (MAX_MAP_ROSTER if limit is None else limit)
+from parley.operators.clean import clean_messages
+from parley.operators.serve import build_prompt, clean_or_null, latest_context, trigger_filter
+from parley.session import ensure_checkpoint_dir, materialize
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -85,185 +35,65 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stream_clean(stream: DataFrame, members: DataFrame, out_dir: str, checkpoint: str,
-                 trigger: dict | None = None):
-    """Cleaned messages appended to Parquet at ``out_dir``.  A roster
-    over ``MAX_MAP_ROSTER`` ids is handled by the batch join per micro-batch
-    (``foreachBatch``, one ``batch=<id>`` folder per micro-batch)."""
-    if not roster_fits(members):
-        from parley.operators.clean import clean_messages
-
-        def run(batch: DataFrame, batch_id: int) -> None:
-            clean_messages(batch, members).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+def batch_dir(root: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/batch={batch_id}"
 
-        w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-        return w.trigger(**(trigger or {"availableNow": True})).start()
-    resolve = mention_udf(roster_lookup(members))
-    cleaned = stream.withColumn("content", clean_column(F.col("content"), resolve)) \
-                    .where(F.col("content").isNotNull())
-    w = cleaned.writeStream.format("parquet").option("path", out_dir) \
-               .option("checkpointLocation", checkpoint).outputMode("append")
-    return w.trigger(**(trigger or {"availableNow": True})).start()
 
-
-def stream_triggers(stream: DataFrame, bot_id: str, out_dir: str, checkpoint: str,
-                    trigger: dict | None = None):
-    """Messages that mention the bot and are not its own."""
-    token = f"<@{bot_id}>"
-    t = stream.where(F.col("content").contains(token) & (F.col("author_id") != bot_id))
-    w = t.writeStream.format("parquet").option("path", out_dir) \
-         .option("checkpointLocation", checkpoint).outputMode("append")
+def _each_batch(stream: DataFrame, run, checkpoint: str, trigger: dict | None):
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _prompt_state_fn(k: int, bot_id: str, eos: str):
-    token = f"<@{bot_id}>"
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = [p for p in pdfs if len(p)]
-        buf: list = list(state.get[0]) if state.exists else []
-        if not frames:
-            return
-        rows = pd.concat(frames).sort_values("seq")
-        seqs, prompts = [], []
-        for seq, content, author, clean in zip(rows["seq"], rows["content"], rows["author_id"],
-                                               rows["clean"]):
-            clean = None if clean is None or (isinstance(clean, float) and pd.isna(clean)) else clean
-            history = (buf[-(k - 1):] if k > 1 else []) + [clean]
-            if isinstance(content, str) and token in content and author != bot_id:
-                kept = [h for h in history if h is not None]
-                seqs.append(int(seq))
-                prompts.append(eos.join(kept) + eos)
-            buf = (buf + [clean])[-(k - 1):] if k > 1 else []
-        state.update((buf,))
-        if seqs:
-            yield pd.DataFrame({"seq": seqs, "prompt": prompts})
-
-    return fn
-
-
-def prompt_stream(stream: DataFrame, members: DataFrame, bot_id: str, k: int,
-                  platform: str = "none", eos: str = tx.EOS) -> DataFrame:
-    """X3 as a streaming DataFrame of ``(seq, prompt)``."""
-    resolve = mention_udf(roster_lookup(members))
-    c = F.col("content")
-    if platform == "discord":
-        c = strip_bot_mention(c, bot_id)
-    x = stream.select("seq", "channel", "author_id", "content", clean_column(c, resolve).alias("clean"))
-    return prompts_from_cleaned(x, bot_id, k, eos)
+def stream_clean(stream: DataFrame, members: DataFrame, out_dir: str, checkpoint: str,
+                 trigger: dict | None = None):
+    """Cleaned messages as Parquet at ``out_dir``."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        clean_messages(batch, members).write.mode("overwrite").parquet(batch_dir(out_dir, batch_id))
+    return _each_batch(stream, run, checkpoint, trigger)
 
 
-def prompts_from_cleaned(x: DataFrame, bot_id: str, k: int, eos: str = tx.EOS) -> DataFrame:
-    """The stateful part of X3 over rows that already carry ``clean``."""
-    return x.select("seq", "channel", "author_id", "content", "clean").groupBy("channel") \
-        .applyInPandasWithState(_prompt_state_fn(k, bot_id, eos), "seq long, prompt string",
-                                "buf array<string>", "append", GroupStateTimeout.NoTimeout)
+def stream_triggers(stream: DataFrame, bot_id: str, out_dir: str, checkpoint: str,
+                    trigger: dict | None = None):
+    """Messages that mention the bot and are not its own (as Q1)."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        trigger_filter(batch, bot_id).write.mode("overwrite").parquet(batch_dir(out_dir, batch_id))
+    return _each_batch(stream, run, checkpoint, trigger)
 
 
-def stream_clean_keep(stream: DataFrame, members: DataFrame, out_dir: str, checkpoint: str,
-                      bot_id: str | None = None, platform: str = "none", trigger: dict | None = None):
-    """Every micro-batch cleaned by the batch operator (explode -> join ->
-    regroup, any roster size); rows keep ``clean`` = null when dropped.
-    Each batch overwrites its own folder, so a replayed batch is idempotent."""
-    from parley.operators.serve import clean_or_null
+def _stream_prompts(stream, members, bot_id, k, out_dir, checkpoint, platform, order, trigger):
+    tails = checkpoint.rstrip("/") + "-tail"
+    keep = ["channel", "author_id", "content", "clean", *dict.fromkeys([*order, "seq"])]
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        clean_or_null(batch, members, platform, bot_id) \
-            .write.mode("overwrite").parquet(f"{out_dir}/{batch_id:012d}")
-
-    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+        spark = batch.sparkSession
+        new = clean_or_null(batch, members, platform, bot_id).select(*keep, F.lit(True).alias("_new"))
+        both = new
+        if batch_id > 0:
+            old = spark.read.schema(new.drop("_new").schema).parquet(batch_dir(tails, batch_id - 1))
+            both = new.unionByName(old.withColumn("_new", F.lit(False)))
+        both = materialize(both)
+        ctx = latest_context(both, k, ["channel"], order, "clean").where("_new")
+        trigger_filter(ctx, bot_id).select("seq", build_prompt(F.col("history")).alias("prompt")) \
+            .write.mode("overwrite").parquet(batch_dir(out_dir, batch_id))
+        # the k-1 newest per channel: Spark limits each task's rows of a channel before the shuffle
+        newest = Window.partitionBy("channel").orderBy(*[F.col(c).desc() for c in order])
+        both.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= max(k - 1, 0)).select(*keep) \
+            .write.mode("overwrite").parquet(batch_dir(tails, batch_id))
+
+    return _each_batch(stream, run, checkpoint, trigger)
 
 
 def stream_prompts(stream: DataFrame, members: DataFrame, bot_id: str, k: int, out_dir: str,
                    checkpoint: str, platform: str = "none", trigger: dict | None = None):
-    """Prompts appended to Parquet at ``out_dir``.
-
-    A roster under ``MAX_MAP_ROSTER`` ids resolves mentions inside the
-    stream; a larger one first runs ``stream_clean_keep`` (the batch join per
-    micro-batch) into a folder next to the checkpoint, and the prompt state
-    reads that folder as a stream."""
-    if roster_fits(members):
-        p = prompt_stream(stream, members, bot_id, k, platform)
-    else:
-        spark = stream.sparkSession
-        mid = checkpoint.rstrip("/") + "-cleaned"
-        q = stream_clean_keep(stream, members, mid, checkpoint.rstrip("/") + "-clean-ck", bot_id, platform,
-                              trigger)
-        if (trigger or {"availableNow": True}).get("availableNow"):
-            q.awaitTermination()
-        schema = "seq long, channel string, author_id string, content string, clean string"
-        p = prompts_from_cleaned(spark.readStream.schema(schema).parquet(mid + "/*"), bot_id, k)
-    w = p.writeStream.format("parquet").option("path", out_dir) \
-         .option("checkpointLocation", checkpoint).outputMode("append")
-    return w.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def _late_state_fn(k: int, bot_id: str, eos: str):
-    """State: the k-1 newest cleaned messages by event time (ts, seq).
-    Rows are inserted at their event-time position, so a late message is
-    seen by every later trigger; a trigger is answered with what is known
-    when it arrives.  Idle channels are dropped at the event-time timeout."""
-    token = f"<@{bot_id}>"
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frames = [p for p in pdfs if len(p)]
-        buf = list(zip(*state.get)) if state.exists else []      # (ts_us, seq, text)
-        buf = [(int(t), int(s_), x) for t, s_, x in buf]
-        if not frames:
-            return
-        rows = pd.concat(frames).sort_values(["ts_us", "seq"])
-        seqs, prompts = [], []
-        for ts, seq, content, author, clean in zip(rows["ts_us"], rows["seq"], rows["content"],
-                                                   rows["author_id"], rows["clean"]):
-            clean = None if clean is None or (isinstance(clean, float) and pd.isna(clean)) else clean
-            here = (int(ts), int(seq))
-            before = [m for m in buf if (m[0], m[1]) < here]
-            history = ([m[2] for m in before[-(k - 1):]] if k > 1 else []) + [clean]
-            if isinstance(content, str) and token in content and author != bot_id:
-                seqs.append(int(seq))
-                prompts.append(eos.join(h for h in history if h is not None) + eos)
-            buf = sorted(buf + [(int(ts), int(seq), clean)])[-(k - 1):] if k > 1 else []
-        state.update(([m[0] for m in buf], [m[1] for m in buf], [m[2] for m in buf]))
-        if buf:
-            state.setTimeoutTimestamp(max(m[0] for m in buf) // 1000 + LATE_STATE_TTL_MS)
-        if seqs:
-            yield pd.DataFrame({"seq": seqs, "prompt": prompts})
-
-    return fn
-
-
-LATE_STATE_TTL_MS = 24 * 3600 * 1000
-
-
-def late_prompt_stream(stream: DataFrame, members: DataFrame, bot_id: str, k: int,
-                       watermark: str = "1 hour", platform: str = "none",
-                       eos: str = tx.EOS) -> DataFrame:
-    """Prompts with per-channel state ordered by event time."""
-    resolve = mention_udf(roster_lookup(members))
-    c = F.col("content")
-    if platform == "discord":
-        c = strip_bot_mention(c, bot_id)
-    x = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).select(
-        "seq", "channel", "author_id", "content", "ts",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-        clean_column(c, resolve).alias("clean"))
-    return x.groupBy("channel").applyInPandasWithState(
-        _late_state_fn(k, bot_id, eos), "seq long, prompt string",
-        "ts array<long>, seqs array<long>, texts array<string>",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    """Prompts in order of ``seq`` as Parquet at ``out_dir``."""
+    return _stream_prompts(stream, members, bot_id, k, out_dir, checkpoint, platform, ["seq"], trigger)
 
 
 def stream_late_prompts(stream: DataFrame, members: DataFrame, bot_id: str, k: int, out_dir: str,
-                        checkpoint: str, watermark: str = "1 hour", trigger: dict | None = None):
-    """Event-time ordered prompts appended to Parquet at ``out_dir``."""
-    p = late_prompt_stream(stream, members, bot_id, k, watermark)
-    w = p.writeStream.format("parquet").option("path", out_dir) \
-         .option("checkpointLocation", checkpoint).outputMode("append")
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+                        checkpoint: str, platform: str = "none", trigger: dict | None = None):
+    """Prompts in order of event time as Parquet at ``out_dir``."""
+    x = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _stream_prompts(x, members, bot_id, k, out_dir, checkpoint, platform, ["ts", "seq"], trigger)
 
 
 def drain(spark: SparkSession, start_query, name: str) -> DataFrame:
@@ -274,4 +104,4 @@ def drain(spark: SparkSession, start_query, name: str) -> DataFrame:
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")

@@ -65,3 +65,11 @@ def test_clean_idempotent_on_plain_text(spark):
     once = cl.clean_messages(msgs, members)
     twice = cl.clean_messages(once, members)
     assert sorted(once.collect()) == sorted(twice.collect())
+
+
+def test_rows_of_several_sessions_stay_apart(spark):
+    members = spark.createDataFrame([("1", "Ann", 0)], "id string, name string, pos long")
+    rows = [("s1", 0, "hi <@1>"), ("s2", 0, "yo <@1> <@2>"), ("s1", 1, "<@1>"), ("s2", 1, "<@1>"), ("s2", 1, "<@1>")]
+    df = spark.createDataFrame(rows, "session string, seq long, content string")
+    got = sorted(tuple(r) for r in cl.clean_messages(df, members).collect())
+    assert got == [("s1", 0, "hi Ann"), ("s1", 1, "Ann"), ("s2", 0, "yo Ann Human"), ("s2", 1, "Ann"), ("s2", 1, "Ann")]

@@ -5,6 +5,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from parley.functions.text import EOS
 from parley.operators import ngram as ng
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -23,25 +24,63 @@ def test_fit_and_candidates(spark):
     c = ng.decode_candidates(m, top_k=100, top_p=0.7, temperature=0.8)
     toks = [r.token for r in c.where(F.col("prefix") == "x").orderBy("rank").collect()]
     assert toks[0] == "y"
-    assert abs(sum(r.q for r in c.where(F.col("prefix") == "<s>").collect()) - 1.0) <= 1.0
+    # the kept mass is the first to reach 0.7, and q over all candidates is one
+    assert [r.cum - r.q < 0.7 for r in c.collect()] == [True] * c.count()
+    whole = ng.decode_candidates(m, top_p=1.1)
+    sums = whole.groupBy("author_id", "prefix").agg(F.sum("q").alias("s")).collect()
+    assert all(abs(r.s - 1) < 1e-9 for r in sums)
 
 
-def test_sampler_strategies_agree(spark):
+def plain_reply(model, author, prompt, rid, seed, max_length=200, top_k=100, top_p=0.7, t=0.8):
+    """The sampling rule token by token."""
+    import hashlib
+    import math
+    words = [w for w in prompt.replace(EOS, " ").split() if w]
+    hist, out = words + [ng.BOS], []
+    length = len(words) + prompt.count(EOS)
+    for step in range(max_length):
+        if length + len(out) >= max_length:
+            break
+        seen = {tuple(hist[i:i + 3]) for i in range(len(hist) - 2)}
+        cs = [(tok, p) for tok, p in model.get((author, hist[-1]), []) if tuple(hist[-2:] + [tok]) not in seen][:top_k]
+        w = [math.exp(math.log(p) / t) for _, p in cs]
+        q = [x / sum(w) for x in w]
+        kept, cum = 0, 0.0
+        while kept < len(q) and cum < top_p:
+            cum += q[kept]
+            kept += 1
+        u = int(hashlib.md5(f"{seed}:{rid}:{step}".encode()).hexdigest()[:8], 16) / 2 ** 32
+        run, tok = 0.0, None
+        for (name, _), x in list(zip(cs, q))[:kept]:
+            if run + x >= u * cum:
+                tok = name
+                break
+            run += x
+        if tok is None or tok == ng.EOS_TOKEN:
+            break
+        out.append(tok)
+        hist.append(tok)
+    return " ".join(out)
+
+
+def test_sampler_follows_the_rule(spark):
     m = ng.fit_ngram_model(corpus(spark), 2)
-    c = ng.decode_candidates(m)
-    prompts = spark.createDataFrame([(1, "a", "x y"), (2, "a", "z")], "seq long, author_id string, prompt string")
-    a = sorted(tuple(r) for r in ng.generate_replies(prompts, c, 2, seed=3, max_new_tokens=8,
-                                                     strategy="local").collect())
-    b = sorted(tuple(r) for r in ng.generate_replies(prompts, c, 2, seed=3, max_new_tokens=8,
-                                                     strategy="join").collect())
-    assert a == b
+    table = {}
+    for r in m.orderBy(F.col("p").desc(), "token").collect():
+        table.setdefault((r.author_id, r.prefix), []).append((r.token, r.p))
+    prompts = [(1, "a", "x y"), (2, "a", "z"), (3, "a", "x y z w x y" + EOS), (4, "nobody", "x"), (5, "a", ""),
+               (6, "a", "x " * 198 + EOS)]
+    df = spark.createDataFrame(prompts, "seq long, author_id string, prompt string")
+    for length, top_p in ((200, 0.7), (12, 0.05)):
+        got = dict(ng.generate_replies(df, ng.sampler_entries(m), 2, seed=3, max_length=length, top_p=top_p).collect())
+        assert got == {i: plain_reply(table, a, p, i, 3, length, top_p=top_p) for i, a, p in prompts}
 
 
 def test_entry_contract(spark):
     sys.path.insert(0, ROOT)
     import __spark_entry__ as E
     df = E.entry(spark)
-    assert df.count() >= 0 and df.columns
+    assert df.count() > 0 and {"seq", "response"} <= set(df.columns)
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
     assert len(qs) >= 45

@@ -98,6 +98,15 @@ def test_dense_index(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
 
 
+def test_dense_index_ties_and_nulls(spark):
+    rows = [(i, None if i % 5 == 0 else i % 3) for i in range(1000)]
+    df = spark.createDataFrame(rows, "seq long, k long")
+    exp = [r[0] for r in df.orderBy("k", "seq").collect()]
+    for block in (50, 10_000):
+        got = dense_index(df, ["k", "seq"], block_rows=block).orderBy("pos").collect()
+        assert [r["seq"] for r in got] == exp and [r["pos"] for r in got] == list(range(1000))
+
+
 def test_split_exact(spark):
     df = spark.range(100003).withColumnRenamed("id", "seq").withColumn("response", F.lit("r"))
     train, test = pk.split_exact(df, 0.29, 5, max_edge_rows=500)

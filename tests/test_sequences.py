@@ -21,11 +21,20 @@ def test_training_and_prompt_text(spark):
 
 def test_vocab_and_encode(spark):
     texts = spark.createDataFrame([("a b a",), ("b a c",)], "content string")
-    vocab = sq.build_vocab(texts, vocab_size=2)
-    assert [(r.token, r.cnt, r.id) for r in vocab.orderBy("id").collect()] == [("a", 3, 2), ("b", 2, 3)]
-    df = spark.createDataFrame([(1, ["a c", "b"])], "seq long, m array<string>")
-    ids = sq.encode(df, vocab, F.col("m"), vocab_size=2).first().ids
-    assert ids == [2, sq.OOV_ID, sq.EOS_ID, 3, sq.EOS_ID]
+    vocab = sq.build_vocab(texts)
+    assert [(r.token, r.cnt, r.id) for r in vocab.orderBy("id").collect()] == [("a", 3, 2), ("b", 2, 3), ("c", 1, 4)]
+    df = spark.createDataFrame([(1, ["a d", "b"]), (2, None), (3, ["", None]), (1, ["a d", "b"])],
+                               "seq long, m array<string>")
+    ids = [(r.seq, r.ids) for r in sq.encode(df, vocab, F.col("m")).collect()]
+    assert sorted(ids) == [(1, [2, sq.OOV_ID, sq.EOS_ID, 3, sq.EOS_ID])] * 2 + [(2, []), (3, [sq.EOS_ID, sq.EOS_ID])]
+
+
+def test_vocab_keeps_every_token(spark):
+    texts = spark.range(60_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("content"))
+    vocab = sq.build_vocab(texts)
+    assert vocab.count() == 60_000 and vocab.agg(F.countDistinct("id"), F.max("id")).first() == (60_000, 60_001)
+    df = texts.select(F.array("content").alias("m"))
+    assert sq.encode(df, vocab, F.col("m")).where(F.array_contains("ids", sq.OOV_ID)).count() == 0
 
 
 def test_batches_and_padding(spark):

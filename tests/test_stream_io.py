@@ -94,37 +94,55 @@ def test_late_messages_take_their_event_time_place(spark):
     assert got[5] == f"two{EOS}three{EOS}Bot four{EOS}Bot five{EOS}"
 
 
-def test_prompt_stream_with_roster_over_the_bound(spark, monkeypatch):
-    # force the two-stage path (batch join per micro-batch, then the state)
-    monkeypatch.setattr(st, "MAX_MAP_ROSTER", 1)
-    monkeypatch.setattr(st, "roster_fits", lambda members, limit=1: False)
-    rows = chat_rows()
-    members = spark.createDataFrame([("1", "Bot", 0), ("2", "Ann", 1)], "id string, name string, pos long")
-    src = tempfile.mkdtemp(prefix="parley-src-")
-    spark.createDataFrame(rows, SCHEMA).select("seq", "channel", "author_id", "content") \
-        .coalesce(1).write.mode("overwrite").parquet(src + "/a")
-    ck = tempfile.mkdtemp(prefix="parley-ck-") + "/q"
-    out = tempfile.mkdtemp(prefix="parley-out-")
-    stream = spark.readStream.schema("seq long, channel string, author_id string, content string").parquet(src + "/*")
-    q = st.stream_prompts(stream, members, "1", 3, out, ck)
-    q.awaitTermination()
-    got = sorted((r.seq, r.prompt) for r in spark.read.parquet(out).collect())
-    batch = sv.prompts(spark.createDataFrame(rows, SCHEMA), members, "1", 3)
-    assert got == sorted((r.seq, r.prompt) for r in batch.collect())
-
-
-def test_stream_clean_with_roster_over_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(st, "roster_fits", lambda members, limit=None: False)
+def test_replayed_batch_changes_nothing(spark):
     rows = chat_rows()
     members = spark.createDataFrame([("1", "Bot", 0), ("2", "Ann", 1)], "id string, name string, pos long")
+    src, out, ck = (tempfile.mkdtemp(prefix=p) for p in ("parley-src-", "parley-out-", "parley-ck-"))
+    for i in range(4):
+        spark.createDataFrame(rows[i * 10:i * 10 + 10], SCHEMA).coalesce(1).write.parquet(f"{src}/{i}")
+    read = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    st.stream_prompts(read(), members, "1", 3, out, ck).awaitTermination()
+    once = sorted((r.seq, r.prompt) for r in spark.read.parquet(out).collect())
+    assert once == sorted((r.seq, r.prompt) for r in sv.prompts(
+        spark.createDataFrame(rows, SCHEMA), members, "1", 3).collect())
+    last = max(int(f) for f in os.listdir(ck + "/commits") if f.isdigit())
+    for f in (f"{last}", f".{last}.crc"):                    # as if the driver died before the commit
+        if os.path.exists(f"{ck}/commits/{f}"):
+            os.remove(f"{ck}/commits/{f}")
+    st.stream_prompts(read(), members, "1", 3, out, ck).awaitTermination()
+    assert sorted((r.seq, r.prompt) for r in spark.read.parquet(out).collect()) == once
+
+
+def test_null_authors_and_times(spark):
+    import datetime as dt
+    schema = "seq long, author_id string, content string, channel string, ts timestamp"
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, None, "<@1> one", "c", t), (2, "a", "two", "c", None), (3, "1", "<@1> own", "c", t),
+            (4, "b", "<@1> four", "c", None)]
+    members = spark.createDataFrame([("1", "Bot", 0)], "id string, name string, pos long")
     src = tempfile.mkdtemp(prefix="parley-src-")
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("overwrite").parquet(src + "/a")
-    out, ck = tempfile.mkdtemp(prefix="parley-out-"), tempfile.mkdtemp(prefix="parley-ck-")
-    q = st.stream_clean(spark.readStream.schema(SCHEMA).parquet(src + "/*"), members, out, ck)
-    q.awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(out).select("seq", "content").collect())
-    exp = clean_messages(spark.createDataFrame(rows, SCHEMA), members).select("seq", "content")
-    assert got == sorted(tuple(r) for r in exp.collect())
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(src + "/a")
+    read = lambda: spark.readStream.schema(schema).parquet(src + "/*")
+    got = st.drain(spark, lambda out, ck: st.stream_triggers(read(), "1", out, ck), "t")
+    assert sorted(r.seq for r in got.collect()) == [1, 4]
+    got = st.drain(spark, lambda out, ck: st.stream_late_prompts(read(), members, "1", 3, out, ck), "p")
+    assert dict((r.seq, r.prompt) for r in got.collect()) == {
+        1: f"two{EOS}Bot four{EOS}Bot one{EOS}", 4: f"two{EOS}Bot four{EOS}"}
+
+
+def test_ingest_orders_by_time_then_file(spark):
+    import json
+    d = tempfile.mkdtemp(prefix="parley-json-")
+    rows = [("a", "one", "2024-01-01T00:00:01"), ("b", "two", "2024-01-01T00:00:00"), ("a", "three", "2024-01-01T00:00:01")]
+    with open(d + "/x.json", "w") as f:
+        for a, c, ts in rows:
+            f.write(json.dumps({"author_id": a, "content": c, "timestamp": ts, "channel": "c"}) + "\n")
+    got = [(r.seq, r.content) for r in io.ingest_channels(spark, d).orderBy("seq").collect()]
+    assert got == [(0, "two"), (1, "one"), (2, "three")]
+    back = [r.content for r in io.ingest_channels(spark, d, newest_first=True).orderBy("seq").collect()]
+    assert back == ["two", "three", "one"]
+    members = spark.createDataFrame([], "id string, name string, pos long")
+    assert clean_messages(io.ingest_channels(spark, d), members).count() == 3
 
 
 def test_file_order_for_parquet_uses_row_index(spark):
