@@ -10,6 +10,8 @@ prompt one token per step with a join against the ranked tokens.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,6 +31,7 @@ TEMPERATURE = 0.8
 MAX_LENGTH = 200        # prompt and reply together
 NO_REPEAT_NGRAM = 3
 CAND_BROADCAST_ROWS = 200_000
+SHIP_ROWS = 500_000     # tokens of a sampler table that is broadcast whole (counted first)
 
 
 def token_stream(c: Column, n: int) -> Column:
@@ -150,9 +153,12 @@ def generate_replies(prompts: DataFrame, entries: DataFrame, n: int = 2, by: str
                      id_col: str = "seq", prompt_col: str = "prompt", seed: int = 0,
                      max_length: int = MAX_LENGTH, no_repeat: int = NO_REPEAT_NGRAM,
                      top_k: int = TOP_K, top_p: float = TOP_P, temperature: float = TEMPERATURE,
-                     store_every: int = 10) -> DataFrame:
+                     store_every: int = 10, ship_rows: int = SHIP_ROWS) -> DataFrame:
     """R4 (built-in): seeded sampling, one token per step for every unfinished
-    prompt, by a join with ``sampler_entries`` on ``(by, prefix)``.
+    prompt, by a join with ``sampler_entries`` on ``(by, prefix)``.  Where the
+    entries are few (counted first, at most ``ship_rows`` tokens), they are
+    broadcast instead and each task runs the same rule to the end of its
+    prompts; the replies are the same.
 
     Per step: tokens that would repeat an ``no_repeat``-gram of prompt and reply
     are banned; of the rest the ``top_k`` most likely are re-weighted by
@@ -168,11 +174,14 @@ def generate_replies(prompts: DataFrame, entries: DataFrame, n: int = 2, by: str
     # the reply is a new message: its first prefix is the start marker; the
     # prompt's words stay in the history for the no-repeat rule
     entries = materialize(entries)
+    start = prompts.select(id_col, by, F.concat(words, F.array_repeat(F.lit(BOS), n - 1)).alias("ctx"),
+                           (F.size(words) + F.coalesce(ends, F.lit(0))).alias("len"))
+    if (entries.agg(F.sum(F.size("cands"))).first()[0] or 0) <= ship_rows:
+        return _generate_in_tasks(start, entries, n, by, id_col, seed, max_length, no_repeat, top_k, top_p,
+                                  temperature)
     cand = F.broadcast(entries) if entries.count() <= CAND_BROADCAST_ROWS else entries   # rows of bounded width
-    state = materialize(prompts.select(
-        id_col, by, F.concat(words, F.array_repeat(F.lit(BOS), n - 1)).alias("ctx"),
-        (F.size(words) + F.coalesce(ends, F.lit(0))).alias("len"),
-        F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"), F.lit(0).alias("step")))
+    state = materialize(start.withColumn("out", F.array().cast("array<string>"))
+                        .withColumn("done", F.lit(False)).withColumn("step", F.lit(0)))
     finished = []
     for step in range(max_length):
         state = _sample_step(state, cand, n, by, id_col, seed, max_length, no_repeat, top_k, top_p, temperature)
@@ -188,6 +197,50 @@ def generate_replies(prompts: DataFrame, entries: DataFrame, n: int = 2, by: str
     return out.select(id_col, F.array_join("out", " ").alias("pred"))
 
 
+def _generate_in_tasks(start, entries, n, by, id_col, seed, max_length, no_repeat, top_k, top_p, temperature):
+    """The rule of ``generate_replies`` over a broadcast model (bounded by ``ship_rows``)."""
+    table = {(r[0], r[1]): [(c["token"], c["p"]) for c in r[2]]
+             for r in entries.select(by, "prefix", "cands").toLocalIterator()}
+    known = start.sparkSession.sparkContext.broadcast(table)
+
+    def reply(author, ctx, length, rid) -> str:
+        hist, out = list(ctx), []
+        seen = {tuple(hist[i:i + no_repeat]) for i in range(len(hist) - no_repeat + 1)}
+        for step in range(max(0, max_length - length)):
+            last = tuple(hist[-(no_repeat - 1):]) if no_repeat > 1 else ()
+            cands = known.value.get((author, " ".join(hist[-(n - 1):])), [])
+            cands = [c for c in cands if no_repeat <= 1 or (*last, c[0]) not in seen][:top_k]
+            w = [math.exp(math.log(p) / temperature) for _, p in cands]
+            total, cum, kept = 0.0, 0.0, []
+            for x in w:
+                total += x
+            for x in w:
+                if cum >= top_p:
+                    break
+                kept.append(x / total)
+                cum += x / total
+            h = hashlib.md5(f"{seed}:{rid}:{step}".encode()).hexdigest()
+            target, run, tok = int(h[:8], 16) / float(2 ** 32) * cum, 0.0, None
+            for (name, _), q in zip(cands, kept):
+                if run + q >= target:
+                    tok = name
+                    break
+                run += q
+            if tok is None or tok == EOS_TOKEN:
+                break
+            out.append(tok)
+            hist.append(tok)
+            seen.add(tuple(hist[-no_repeat:]))
+        return " ".join(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [reply(*row) for row in zip(b[by], b["ctx"], b["len"], b[id_col])]
+            yield pd.DataFrame({id_col: b[id_col], "pred": pd.Series(got, dtype=object)})
+
+    return start.mapInPandas(run, f"{id_col} long, pred string")
+
+
 def _sample_step(state, cand, n, by, id_col, seed, max_length, no_repeat, top_k, top_p, temperature):
     live = ~F.col("done") & (F.col("len") + F.size("out") < max_length)
     hist = F.concat(F.col("ctx"), F.col("out"))
