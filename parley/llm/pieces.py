@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 150_000             # remembered words per generation (two generations)
+CACHE = 250_000             # remembered words per generation (two generations)
 FITS = 250_000              # remembered piece pairs
 CACHED_CHARS = 48           # longer words are encoded anew each time
 COMMIT_EVERY = 64
