@@ -17,20 +17,26 @@ from parley.llm import langid, mixing, neardup, pieces, quality
 from parley.llm.scratch import keep, prepare
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(_row, text): the whole row as one value, so that none of its columns
+    clashes with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised (a text without a letter, or far
     from every centroid, goes).  Learned from the labelled two thirds."""
     prepare(spark)
     held = F.coalesce(langid.held_out(F.col("doc_id"), 3, 1), F.lit(False))
     model = langid.fit(docs.where(~held))
-    return langid.identify(docs, model).where("NOT rejected").select(*docs.columns)
+    return langid.identify(_packed(docs), model).where("NOT rejected").select("_row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighted votes of the rules accept."""
     prepare(spark)
-    measured = keep(quality.measure(docs), "measured")
-    return quality.judge(measured, quality.fit(measured)).where("kept").select(*docs.columns)
+    measured = keep(quality.measure(_packed(docs)).drop("text"), "measured")
+    return quality.judge(measured, quality.fit(measured)).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,23 +106,25 @@ def directory(path: Column) -> Column:
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``files`` plus licence, score and basis ("header", "inherited" or null)."""
-    base = files.drop(*[c for c in OUT if c not in (path, text)])
-    found = keep(header_matches(base, path, text, threshold), "licence-headers")
+    # the row travels as one value, so its columns cannot clash with the joins'
+    base = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("_row"),
+                        F.col(path).alias("path"), F.col(text).alias("text"))
+    found = keep(header_matches(base, "path", "text", threshold), "licence-headers")
     named = F.element_at(F.split("path", "/"), -1).isin(LICENCE_FILES)
     rank = F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("licence")))
     by_dir = found.where(named).groupBy(directory(F.col("path")).alias("anc")).agg(rank.alias("b")) \
         .select("anc", F.col("b.licence").alias("dir_licence"), (-F.col("b.s")).alias("dir_score"))
-    dirs = base.select(directory(F.col(path)).alias("dir")).where("dir IS NOT NULL").distinct()
+    dirs = base.select(directory(F.col("path")).alias("dir")).where("dir IS NOT NULL").distinct()
     steps = F.split("dir", "/")
     chain = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth")) \
         .select("dir", "depth", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/").alias("anc"))
     near = keep(chain.join(by_dir, "anc").groupBy("dir")
                 .agg(F.max_by(F.struct("dir_licence", "dir_score"), "depth").alias("near")), "licence-dirs")
-    own = found.withColumnRenamed("path", "_p").withColumnRenamed("text_hash", "_h")
-    out = base.withColumn("_k", F.xxhash64(text)).withColumn("_d", directory(F.col(path)))
-    out = out.join(own, (out[path] == own["_p"]) & (out["_k"] == own["_h"]), "left").drop("_p", "_h", "_k")
-    out = out.join(near, out["_d"] == near["dir"], "left").drop("_d", "dir")
-    return out.withColumn("basis", F.when(F.col("licence").isNotNull(), F.lit("header"))
-                          .when(F.col("near").isNotNull(), F.lit("inherited"))) \
-        .withColumn("score", F.coalesce("score", "near.dir_score")) \
-        .withColumn("licence", F.coalesce("licence", "near.dir_licence")).drop("near")
+    out = base.withColumn("text_hash", F.xxhash64("text")).withColumn("dir", directory(F.col("path"))).drop("text")
+    out = out.join(found, ["path", "text_hash"], "left").join(near, "dir", "left")
+    kept = [F.col("_row")[c].alias(c) for c in files.columns if c not in OUT]
+    return out.select(
+        *kept, F.coalesce("licence", "near.dir_licence").alias("licence"),
+        F.coalesce("score", "near.dir_score").alias("score"),
+        F.when(F.col("licence").isNotNull(), F.lit("header"))
+        .when(F.col("near").isNotNull(), F.lit("inherited")).alias("basis"))

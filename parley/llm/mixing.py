@@ -246,11 +246,14 @@ def remix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     per = plan.groupBy("row_no", "pass_no").agg(F.sum("n").alias("_n"), F.sort_array(F.collect_list(part)).alias("_p"))
     per = per.join(size.select("row_no", "size"), "row_no") \
         .select("row_no", "pass_no", F.when(F.col("_n") < F.col("size"), F.col("_p")).alias("_p"))
-    word = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    word = F.regexp_extract_all(F.col("_text"), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("_p", lambda p: F.slice(word, (p["first"] + 1).cast("int"),
                                                                      p["n"].cast("int")))), " ")
-    out = docs.withColumn("row_no", F.monotonically_increasing_id()).join(per, "row_no")
-    out = out.withColumn(text, F.when(F.col("_p").isNull(), F.col(text)).otherwise(cut))
+    # the row travels as one value, so its columns cannot clash with the plan's
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"),
+                       F.monotonically_increasing_id().alias("row_no"))
+    out = rows.join(per, "row_no").withColumn("_new", F.when(F.col("_p").isNull(), F.col("_text")).otherwise(cut))
+    new = {text: F.col("_new")}
     if n_chars and n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.length(text).cast("long"))
-    return out.select(*docs.columns)
+        new[n_chars] = F.length("_new").cast("long")
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -109,19 +109,19 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                             | x.endswith('"') | x.endswith("”") | x.endswith(":"))).cast("long")
     base = docs.drop(*[c for c in MEASURES if c != text])
     return (base
-            .withColumn("_w", by_word).withColumn("_l", by_line)
-            .withColumn("n_words", F.col("_w.n"))
+            .withColumn("__words", by_word).withColumn("__lines", by_line)
+            .withColumn("n_words", F.col("__words.n"))
             .withColumn("word_chars", F.length(bare).cast("long"))
             .withColumn("n_symbols", (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long"))
-            .withColumn("n_dup_lines", F.col("_l.dup"))
-            .withColumn("n_repeat_words", F.col("_w.r"))
-            .withColumn("n_lines", F.col("_l.n"))
+            .withColumn("n_dup_lines", F.col("__lines.dup"))
+            .withColumn("n_repeat_words", F.col("__words.r"))
+            .withColumn("n_lines", F.col("__lines.n"))
             .withColumn("n_ended_lines", ended)
             .withColumn("n_upper", F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")).cast("long"))
             .withColumn("n_shouts", ((F.length(t) - F.length(F.replace(t, F.lit("!!"), F.lit("")))) / 2)
                         .cast("long"))
             .withColumn("n_bars", (F.length(t) - F.length(_without(t, "|"))).cast("long"))
-            .drop("_w", "_l"))
+            .drop("__words", "__lines"))
 
 
 def base_failed() -> Column:
