@@ -76,3 +76,25 @@ def test_stages(spark):
     assert sorted(key(r["doc_id"], sp.encode(r["text"])) for r in before) == \
         sorted(key(r["doc_id"], r["ids"]) for r in after)
     assert quality and C.ORACLE_SQL is None
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls in every column, repeated rows, clashing extra columns, an empty table."""
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, score string, rejected string, "
+              "kept string, n_words string, class_id string, row_no string, pass_no string, ids string, size string")
+    good = " ".join(a + b + c for a in ("plain", "text", "word") for b in "aeiou" for c in ("ly", "ness", "ed", "ing"))
+    good += ". "
+    extra = ("x",) * 9
+    rows = [(i, f"{good} Number {i} {'abc ' * i}.", "en", "s", 9, *extra) for i in range(12)]
+    rows += [(None, good + "null id here.", "en", None, None, *extra), (3, None, None, None, None, *(None,) * 9),
+             (4, "", "en", "s", 0, *extra), (5, f"{good} Number 5 {'abc ' * 5}.", "en", "s", 9, *extra),
+             (6, "word and text of that " * 30_000, "en", "s", 9, *extra)]
+    for data in (rows, []):
+        docs = keep(spark.createDataFrame(data, schema), "odd")
+        for name, stage in C.STAGES:
+            out = keep(stage(spark, docs, SF), "odd-stage")
+            if name != "SentencePiece":
+                assert out.columns == docs.columns
+                assert out.where("score != 'x' OR row_no != 'x' OR kept != 'x'").count() == 0
+            docs = out
+        assert (docs.count() > 0) == bool(data)
