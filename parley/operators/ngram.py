@@ -31,7 +31,7 @@ TEMPERATURE = 0.8
 MAX_LENGTH = 200        # prompt and reply together
 NO_REPEAT_NGRAM = 3
 CAND_BROADCAST_ROWS = 200_000
-SHIP_ROWS = 500_000     # tokens of a sampler table that is broadcast whole (counted first)
+SHIP_ROWS = 1_000_000     # tokens of a sampler table that is broadcast whole (counted first)
 
 
 def token_stream(c: Column, n: int) -> Column:
