@@ -144,8 +144,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     n_query = wanted.count()
     packed = wanted.select("id", "v").repartition(max(1, -(-n_query // query_block)), "id") \
         .mapInArrow(pack, "qid binary, q binary")
-    # the stated query set against all rows, block by block
-    pairs = index.crossJoin(keep(packed, "ann-queries")) \
+    # the stated query set against all rows, block by block; neither side is broadcast
+    pairs = index.crossJoin(keep(packed, "ann-queries").hint("shuffle_replicate_nl")) \
         .select("ids", "x", "bits", "norm", "corr", "qid", "q")
     dims = len(centre)
 
