@@ -42,7 +42,7 @@ SHARE = 1.5
 MAX_PASSES = 2
 WEIGHTS = (3, 1, 2)
 SEED = 17
-CHUNK = 20_000              # documents in a range whose word offsets are summed on their own
+CHUNK = 4_000               # documents in a range whose word offsets are summed on their own
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
