@@ -10,9 +10,10 @@ connected components of verified pairs.
 
 Texts with equal word sequences are one node from the start.  In a bucket
 every text is compared with the bucket's centre (the text that shares the most
-keys with others), so the work is linear in the bucket.  What a centre does not
-explain goes on: up to ``SMALL`` left-over texts are compared with one another,
-more are dealt anew by longer keys of the same order, until nothing is left.
+keys with others).  A bucket whose texts are not all in one group by then stays
+open, with all its texts: it meets 16, 256, 4096 .. of its texts as centres until
+it is one group or every pair that is not linked has been compared.  Pairs are
+left out only where lengths or word counts rule the similarity out.
 
 Defined results for odd input
 - null, empty or blank text: all of them count as equal (no words)
@@ -43,6 +44,9 @@ BANDS = 32
 KEEP = 2                    # shingles retained per band
 SIMILARITY = 0.8
 SMALL = 8                   # left-over texts of a bucket that are compared with one another
+CENTRES = 16                # each round compares the open buckets with so many times more centres
+COUNTS = 256                # classes of words in the counts that rule pairs out
+SALT = 2_000                # members of a bucket in one piece of work
 BROADCAST_IDS = 2_000_000   # id lists up to this (counted) length are broadcast
 
 _RNG = np.random.default_rng(20240607)
@@ -142,7 +146,8 @@ def sketch_batches(bands: int, kept: int, shingle: int):
 
 
 def word_batches(batches):
-    """Arrow batches (node, text) -> (node, words as packed 32-bit hashes)."""
+    """Arrow batches (node, text) -> (node, words as packed 32-bit hashes, number
+    of words, words counted by their last byte, up to 255)."""
     for b in batches:
         raw, s, e = W.text_buffers(b.column(1))
         for i, j in W.slices(s, e):
@@ -150,8 +155,12 @@ def word_batches(batches):
             h32 = (h >> np.uint64(32)).astype(np.uint32)
             ends = np.cumsum(c)
             packed = [h32[q - m:q].tobytes() for q, m in zip(ends.tolist(), c.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(packed, pa.binary())],
-                                             names=["node", "words"])
+            doc = np.repeat(np.arange(len(c)), c)
+            counts = np.bincount(doc * COUNTS + h32 % COUNTS, minlength=len(c) * COUNTS)
+            counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, COUNTS)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(i, j - i), pa.array(packed, pa.binary()), pa.array(c.astype(np.int64)),
+                 pa.array([x.tobytes() for x in counts], pa.binary())], names=["node", "words", "len", "counts"])
 
 
 def banded_edits(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -289,42 +298,102 @@ def _ids_join(docs: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return docs.join(ids, on, how)
 
 
-def link(nodes: DataFrame, docs: DataFrame, *, bands: int, shingle: int, similarity: float) -> DataFrame:
-    """Verified pairs (a, b) among ``nodes`` (node, keys); ``docs`` is (node, text)."""
-    entry = nodes.select(F.posexplode("keys").alias("band", "key"), "node")
+def _comparable(a: str, b: str, similarity: float) -> str:
+    """SQL: lengths ``a`` and ``b`` allow the similarity."""
+    longest = f"greatest({a}, {b})"
+    return f"least({a}, {b}) >= {longest} - floor({1 - similarity!r}D * {longest} + 1e-9D)"
+
+
+def pair_batches(similarity: float):
+    """Arrow batches (key, salt, role, node, label, len, counts), sorted by key,
+    salt and role, -> the pairs (a, b) of a centre (role 0) and a member (role 1)
+    of the same key and salt that can be similar.
+
+    Pairs of one label are linked already; the others are left out only if
+    their lengths or word counts rule the similarity out.
+    """
+    def fits(centres, members):
+        (cn, cl, cw, cc), (mn, ml, mw, mc) = centres, members
+        step = max(1, 1_000_000 // len(mn))
+        for i in range(0, len(cn), step):
+            w = np.maximum(cw[i:i + step, None], mw)
+            need = w - np.floor((1 - similarity) * w + 1e-9).astype(np.int64)
+            c, m = np.nonzero((cl[i:i + step, None] != ml) & (np.minimum(cw[i:i + step, None], mw) >= need))
+            need = need[c, m]
+            c += i
+            for j in range(0, len(c), 20_000):
+                u, v = c[j:j + 20_000], m[j:j + 20_000]
+                x, y = cc[u], mc[v]
+                least = np.minimum(x, y)
+                ok = (least.sum(axis=1, dtype=np.int64) >= need[j:j + 20_000]) | (least == 255).any(axis=1)
+                if ok.any():
+                    yield cn[u[ok]], mn[v[ok]]
+
+    def run(batches):
+        at, centres = None, []
+        for b in batches:
+            key, salt, role, node, label, length = (b.column(i).to_numpy() for i in range(6))
+            counts = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, COUNTS)
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+                if i == j:
+                    continue
+                if at != (key[i], salt[i]):
+                    at, centres = (key[i], salt[i]), []
+                q = i + int((role[i:j] == 0).sum())
+                if q > i:
+                    centres.append([x[i:q] for x in (node, label, length, counts)])
+                if j > q and centres:
+                    if len(centres) > 1:
+                        centres = [[np.concatenate(x) for x in zip(*centres)]]
+                    for x, y in fits(centres[0], [x[q:j] for x in (node, label, length, counts)]):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
+                                                         names=["a", "b"])
+    return run
+
+
+def _open_pairs(open_: DataFrame, words: DataFrame, centres: int, similarity: float) -> DataFrame:
+    """Pairs to verify in the buckets ``open_`` (key, node, label, size): every
+    member with about ``centres`` of its bucket, with all if there are no more."""
+    picked = F.pmod(F.xxhash64("node"), F.lit(1_000_000)) * F.col("size") < 1_000_000 * centres
+    salts = F.ceil(F.col("size") / SALT).cast("int")
+    rows = open_.join(words.select("node", "len", "counts"), "node")
+    members = rows.select("key", F.pmod(F.xxhash64("node", F.lit(7)), salts).cast("int").alias("salt"),
+                          F.lit(1).alias("role"), "node", "label", "len", "counts")
+    chosen = rows.where(picked).select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
+                                       F.lit(0).alias("role"), "node", "label", "len", "counts")
+    return members.unionByName(chosen).repartition("key", "salt").sortWithinPartitions("key", "salt", "role") \
+        .mapInArrow(pair_batches(similarity), "a long, b long").distinct()
+
+
+def link(nodes: DataFrame, docs: DataFrame, *, similarity: float) -> DataFrame:
+    """Verified pairs (a, b) among ``nodes`` (node, keys) that connect all similar
+    nodes of a bucket; ``docs`` is (node, text)."""
+    entry = nodes.select(F.explode("keys").alias("key"), "node")
     multi = keep(entry.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     member = keep(entry.join(multi, "key"), "members")
     rank = keep(member.groupBy("node").agg(F.sum("n").alias("pop")), "popularity")
     words = keep(_ids_join(docs, rank.select("node"), "node", "left_semi").select("node", "text")
-                 .mapInArrow(word_batches, "node long, words binary"), "words")
-    ranked = keep(member.select("key", "band", "node").join(rank, "node"), "ranked")
-    found, kept, step = [], KEEP, 0
+                 .mapInArrow(word_batches, "node long, words binary, len long, counts binary"), "words")
+    ranked = keep(member.join(rank.join(words.select("node", "len"), "node"), "node"), "ranked")
+    centre = keep(ranked.groupBy("key").agg(
+        F.max_by(F.struct("node", "len"), F.struct(F.col("pop"), -F.col("node"))).alias("c")), "centres")
+    pairs = ranked.join(centre, "key").where("node != c.node").where(_comparable("len", "c.len", similarity)) \
+        .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    checked = _verify(pairs, words, similarity, "checked")
+    met, centres = 2, 1                          # buckets up to ``met`` members have met all pairs
     while True:
-        centre = keep(ranked.groupBy("key").agg(
-            F.max_by("node", F.struct(F.col("pop"), -F.col("node"))).alias("centre")), "centres")
-        to_centre = keep(ranked.join(centre, "key").where("node != centre"), "to-centre")
-        pairs = to_centre.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-        checked = _verify(pairs, words, similarity, f"checked-{step}")
-        found.append(checked.where("ok").select("a", "b"))
-        no = checked.where("NOT ok").select(F.col("a").alias("node"), F.col("b").alias("centre"))
-        left = keep(to_centre.join(no, ["node", "centre"]).select("key", "band", "node", "pop"), "left")
-        if left.isEmpty():
-            break
-        size = left.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        left = keep(left.join(size, "key"), "left-over")
-        few = left.where(F.col("size") <= SMALL).select("key", "node")
-        pairs = few.select("key", F.col("node").alias("a")).join(
-            few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-        found.append(_verify(pairs, words, similarity, f"few-{step}").where("ok").select("a", "b"))
-        many = left.where(F.col("size") > SMALL)
-        if many.isEmpty():
-            break
-        step, kept = step + 1, kept * 2
-        ranked = keep(_deal_anew(many, words, bands, kept, shingle), "ranked")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        label = components(checked.where("ok").select("a", "b"))
+        now = keep(member.where(F.col("n") > met).select("key", "node").join(label, "node", "left")
+                   .select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+        size = keep(now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"),
+                                           F.max("label").alias("hi")).where("lo != hi").select("key", "size"), "open")
+        if size.isEmpty():
+            return checked.where("ok").select("a", "b")
+        met = centres = centres * CENTRES
+        pairs = _open_pairs(now.join(size, "key"), words, centres, similarity) \
+            .join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        checked = checked.unionByName(_verify(pairs, words, similarity, f"checked-{centres}"))
 
 
 def _deal_anew(many: DataFrame, words: DataFrame, bands: int, kept: int, shingle: int) -> DataFrame:
@@ -359,7 +428,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = keep(sk.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys")),
                  "nodes")
     edges = link(nodes.select("node", "keys"), base.select(F.col("id").alias("node"), "text"),
-                 bands=bands, shingle=shingle, similarity=similarity)
+                 similarity=similarity)
     label = components(edges)
     by_digest = keep(nodes.select("digest", "node").join(label, "node", "left")
                      .select("digest", F.coalesce("label", "node").alias("class_id")), "classes")
