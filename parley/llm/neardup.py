@@ -43,7 +43,6 @@ SHINGLE = 5
 BANDS = 32
 KEEP = 2                    # shingles retained per band
 SIMILARITY = 0.8
-SMALL = 8                   # left-over texts of a bucket that are compared with one another
 CENTRES = 16                # each round compares the open buckets with so many times more centres
 COUNTS = 256                # classes of words in the counts that rule pairs out
 SALT = 2_000                # members of a bucket in one piece of work
@@ -396,29 +395,6 @@ def link(nodes: DataFrame, docs: DataFrame, *, similarity: float) -> DataFrame:
         checked = checked.unionByName(_verify(pairs, words, similarity, f"checked-{centres}"))
 
 
-def _deal_anew(many: DataFrame, words: DataFrame, bands: int, kept: int, shingle: int) -> DataFrame:
-    """The left-over members keyed by (their bucket, the band's longer key)."""
-    nodes = many.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_list("band").alias("at"),
-                                     F.first("pop").alias("pop"))      # at most one entry per band and node
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for node, keys, at, pop, packed in zip(*(b.column(i).to_pylist() for i in range(5))):
-                h = W.mix64(np.frombuffer(packed, np.uint32).astype(np.uint64) + np.uint64(1))
-                x, _ = labelled_shingles(h, np.array([len(h)]), shingle)
-                longer = order_keys(x, bands, kept)[np.array(at)]
-                old = np.array(keys, np.int64).view(np.uint64)
-                new = W.mix64(old * np.uint64(3) + longer).view(np.int64)
-                out += [(k, c, node, pop) for k, c in zip(new.tolist(), at)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, t in enumerate(
-                    (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["key", "band", "node", "pop"])
-
-    return nodes.join(words, "node").select("node", "keys", "at", "pop", "words") \
-        .mapInArrow(run, "key long, band int, node long, pop long")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, bands: int = BANDS,
                     kept: int = KEEP, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id): one row per row of ``docs``; the class is its smallest id."""

@@ -33,3 +33,12 @@ def test_large_drifting_family_is_one_group(spark):
         family.append(" ".join(at))
         at = edited(at, 0.15, rng)
     assert linked(spark, family, [1, 2]) == [0] * 60
+
+
+def test_many_groups_in_one_bucket(spark):
+    rng, texts = random.Random(4), []
+    passage = [f"p{i}" for i in range(40)]
+    for g in range(30):                         # pairs with 18% of their words edited, and a passage that all share
+        base = passage + [f"g{g}w{i}" for i in range(80)]
+        texts += [" ".join(base), " ".join(edited(base, 0.18, rng))]
+    assert linked(spark, texts, [1]) == [i - i % 2 for i in range(60)]
