@@ -42,3 +42,18 @@ def test_many_groups_in_one_bucket(spark):
         base = passage + [f"g{g}w{i}" for i in range(80)]
         texts += [" ".join(base), " ".join(edited(base, 0.18, rng))]
     assert linked(spark, texts, [1]) == [i - i % 2 for i in range(60)]
+
+
+def test_recall_near_the_threshold(spark):
+    rng, docs = random.Random(7), []
+    for i in range(300):
+        n = rng.choice([5, 10, 15, 25, 60, 150])
+        a = [f"t{i}w{j}" for j in range(n)]
+        b = edited(a, int((1 - rng.choice([0.8, 0.8, 0.85, 0.9])) * n + 1e-9) / n, rng)
+        if i % 3 == 0:                          # evenly spread instead
+            b = [f"new{i}w{j}" if j % 5 == 2 else w for j, w in enumerate(a)]
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = dict(N.near_duplicates(df).collect())
+    assert all(got[2 * i] == 2 * i for i in range(300))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(300)) >= 297
