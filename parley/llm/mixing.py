@@ -208,10 +208,12 @@ def segments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *,
         weights: tuple = WEIGHTS, share: float = SHARE, max_passes: int = MAX_PASSES,
-        block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, list[dict]]:
+        block: int = BLOCK, slots: int = SLOTS, seed: int = SEED,
+        size: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[dict]]:
     """(sizes, plan, targets).  The plan has a row per output slot and document
-    part: shard, slot, pass_no, row_no, first (word in the document), n (words)."""
-    size = sizes(docs, id_col, text, source)
+    part: shard, slot, pass_no, row_no, first (word in the document), n (words).
+    ``size`` is the size table if it is written already."""
+    size = sizes(docs, id_col, text, source) if size is None else size
     targets = source_targets(size, share, max_passes, weights)
     drawn = draw_slots(docs.sparkSession, targets, block=block, slots=slots, seed=seed)
     parts = segments(offsets(size, targets), block)
@@ -238,10 +240,16 @@ def remix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     """The mixture as documents: each document once per pass that takes of it,
     its text cut to the words taken (whole, byte for byte, where all are).
 
-    The rows of ``docs`` are numbered once more with the same numbering as in
-    the size table, so ``docs`` must be a stored table (it is read twice).
+    The rows of ``docs`` are numbered once and written with their numbers; the
+    size table and the texts both come from that table.
     """
-    size, plan, _ = mix(docs, id_col, text, source, **options)
+    # the row travels as one value, so its columns cannot clash with the plan's
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("row_no"),
+                            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), "mix-rows")
+    row = F.col("_row")
+    size = keep(rows.select("row_no", row[id_col].alias("doc_id"), row[source].alias("source"),
+                            n_words(row[text]).alias("size")), "mix-sizes")
+    size, plan, _ = mix(docs, id_col, text, source, size=size, **options)
     part = F.struct("first", "n")
     per = plan.groupBy("row_no", "pass_no").agg(F.sum("n").alias("_n"), F.sort_array(F.collect_list(part)).alias("_p"))
     per = per.join(size.select("row_no", "size"), "row_no") \
@@ -249,11 +257,8 @@ def remix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     word = F.regexp_extract_all(F.col("_text"), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("_p", lambda p: F.slice(word, (p["first"] + 1).cast("int"),
                                                                      p["n"].cast("int")))), " ")
-    # the row travels as one value, so its columns cannot clash with the plan's
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"),
-                       F.monotonically_increasing_id().alias("row_no"))
-    out = rows.join(per, "row_no").withColumn("_new", F.when(F.col("_p").isNull(), F.col("_text")).otherwise(cut))
+    out = rows.withColumn("_text", row[text]).join(per, "row_no").withColumn("_new", F.when(F.col("_p").isNull(), F.col("_text")).otherwise(cut))
     new = {text: F.col("_new")}
     if n_chars and n_chars in docs.columns:
         new[n_chars] = F.length("_new").cast("long")
-    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
