@@ -11,11 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import ann, chat, extract, langid, licenses, lm, mixing, neardup, pieces, quality
+from parley.llm import (
+    ann, audit, chat, codes, decontam, extract, langid, licenses, lm, mixing, neardup, pieces, quality,
+)
 from parley.llm.scratch import keep, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+LABELS = 100_000         # sums per label are broadcast up to so many labels, joined beyond
 
 
 def register(name: str, oracle: str | None = None):
@@ -159,3 +162,125 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~held))
     return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), model) \
         .select("doc_id", "held_out", "lang_pred", "score")
+
+
+CODES_ORACLE = """
+WITH RECURSIVE kept AS (
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS v,
+         row_number() OVER () AS rid
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT rid, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM kept, range(16) r(p)),
+start AS (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept WHERE vec_id IS NOT NULL),
+book0 AS (SELECT p, e, x AS c FROM start JOIN parts USING (rid) WHERE e < 64),
+{rounds},
+final AS ({assign2}),
+coded AS (
+  SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM final GROUP BY rid),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT h FROM books) AS codebooks_sha256
+FROM kept JOIN coded USING (rid)
+"""
+_ASSIGN = """SELECT rid, p, e, d, x FROM (
+    SELECT rid, q.p, e, x, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d,
+           row_number() OVER (PARTITION BY rid, q.p ORDER BY d, e) AS r
+    FROM parts q JOIN book{0} b ON q.p = b.p) WHERE r = 1"""
+_ROUND = """near{0} AS MATERIALIZED ({1}),
+sums{0} AS (SELECT p, e, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n
+  FROM near{0}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) GROUP BY p, e, j),
+book{2} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{0} b LEFT JOIN (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM sums{0} GROUP BY p, e) m
+  ON b.p = m.p AND b.e = m.e)"""
+
+
+@register("op11_vector_codes", CODES_ORACLE.format(
+    rounds=",\n".join(_ROUND.format(i, _ASSIGN.format(i), i + 1) for i in range(2)), assign2=_ASSIGN.format(2)))
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors, and the error of each label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codes.fit(vectors)
+    coded = keep(codes.encode(vectors, books, carry=("vec_id", "label")), "codes")
+    per_label = keep(coded.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error")), "label-error")
+    if per_label.count() <= LABELS:
+        per_label = F.broadcast(per_label)
+    return coded.join(per_label, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id", codes.hex_code(F.col("codes")).alias("code"), "error", "label_error",
+        F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+AUDIT_ORACLE = """
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                     min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                 max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > first_id, false)] AS f
+  FROM words d LEFT JOIN marks m ON d.doc_id = m.doc_id),
+cells AS (SELECT part, good, toxic, f, count(*) AS n FROM flags GROUP BY ALL),
+orders(filter_order) AS (VALUES {orders}),
+steps AS (SELECT filter_order, s AS step, instr('ABCDE', substr(filter_order, s, 1)) AS i,
+                 [instr('ABCDE', substr(filter_order, k, 1)) FOR k IN range(1, s)] AS earlier
+          FROM orders, range(1, 6) r(s)),
+met AS (
+  SELECT part, filter_order, step, i, n, good, toxic, f[i] AS fails,
+         len([k FOR k IN earlier IF f[k]]) > 0 AS gone, len([x FOR x IN f IF x]) AS n_fails
+  FROM cells, steps),
+counts AS (
+  SELECT part, filter_order, step, i,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND fails), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails AND n_fails = 1), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (NOT gone AND fails AND good = 1), 0) AS good_lost,
+    coalesce(sum(n) FILTER (NOT gone AND fails AND toxic = 1), 0) AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley
+FROM counts
+"""
+
+
+@register("op12_filter_audit", AUDIT_ORACLE.format(
+    orders=", ".join(f"('{''.join(audit.LETTERS[i] for i in o)}')" for o in audit.orders())))
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every filter removes at every place of every order, per language."""
+    return audit.audit(audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+DECONTAM_ORACLE = """
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, '{upper}', '{lower}'), '{word}') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), {k}) AS k, array_to_string(w[i:i + least(len(w), {k}) - 1], ' ') AS g
+  FROM items, LATERAL (SELECT unnest(range(1, greatest(len(w) - {k}, 0) + 2)) AS i) WHERE len(w) > 0),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, '{upper}', '{lower}'), '{word}'), []) AS w FROM documents),
+lengths AS (SELECT DISTINCT k FROM windows),
+spots AS (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, lengths WHERE len(w) >= k),
+met AS (SELECT rid, i, s.k, item FROM spots s JOIN windows ON s.k = windows.k AND array_to_string(w[i:i + s.k - 1], ' ') = g),
+hits AS (SELECT rid, count(DISTINCT j) AS n_hit FROM met, LATERAL (SELECT unnest(range(i, i + k)) AS j) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
+@register("op13_decontamination", DECONTAM_ORACLE.format(
+    upper=decontam.UPPER, lower=decontam.LOWER, word="[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", k=decontam.WINDOW))
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages in every whole text."""
+    found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                          table(spark, sf_dir, "benchmark"), return_text=False)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
