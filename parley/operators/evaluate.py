@@ -3,8 +3,8 @@
 ROUGE-N is computed inside each row (sorted n-gram arrays merged by a
 fold), so no n-gram ever shuffles.  ROUGE-L needs an LCS per pair, which
 runs in an Arrow-batched pandas UDF.  Corpus scores are aggregations; the
-bootstrap "mid" score explodes replicate weights and aggregates them with
-map-side partial sums, so only one row per replicate is shuffled.
+bootstrap "mid" score keeps one vector of replicate sums per task, and only these
+vectors are shuffled and added up, element by element.
 """
 
 from __future__ import annotations
@@ -12,20 +12,25 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import lcs as L
 from parley.functions import text as tx
-from parley.session import materialize
+from parley.session import parallelism
 
 # fixed values of the original tool and its scorer: 30 benchmark rows,
 # 1000 bootstrap samples, loss logged every 1000 steps
 BENCH_ROWS = 30
 BOOTSTRAP_SAMPLES = 1000
 LOG_EVERY = 1000
+PRIME = 2 ** 31 - 1      # of the bootstrap's uniforms
+MERGE_WAYS = 64          # tasks that add up the vectors of all others
+CHUNK_ROWS = 256         # rows whose replicate weights are held at a time
 
 
 def benchmark_sample(test: DataFrame, order: list[Column], n: int | None = BENCH_ROWS) -> DataFrame:
@@ -119,40 +124,74 @@ def _poisson_cdf(resolution: float = 2.0 ** -32) -> list[float]:
     return out
 
 
-def poisson_weight(u: Column) -> Column:
-    """Inverse CDF of Poisson(1) for a uniform ``u`` in [0, 1)."""
-    w = F.lit(0)
-    for c in _poisson_cdf():
-        w = w + F.when(u >= F.lit(c), 1).otherwise(0)
-    return w
+def bootstrap_weights(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) weights, rows by replicates, from reproducible uniforms: two
+    rounds of x^5 (a bijection modulo the prime) over id, replicate and seed."""
+    def fifth(x):
+        y = x * x % PRIME
+        return y * y % PRIME * x % PRIME
 
-
-def bootstrap_uniform(seed: int, id_col: str, rep: Column) -> Column:
-    """A reproducible uniform from md5(seed:id:replicate) (first 32 bits)."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), rep.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(2 ** 32)
+    a, r = (ids % PRIME)[:, None], reps[None, :]
+    h = fifth((a * 48271 + r * 69621 + seed) % PRIME)
+    h = fifth((h + a * 16807 + r) % PRIME)
+    return np.searchsorted(np.array(_poisson_cdf()), h / PRIME, side="right")
 
 
 def rouge_mid(scores: DataFrame, cols: list[str], id_col: str = "seq", seed: int = 0,
               samples: int = BOOTSTRAP_SAMPLES) -> DataFrame:
     """Corpus score per metric = median of ``samples`` Poisson-bootstrap
-    means, x100, 4 decimals.  Also the plain mean."""
-    # the scores feed two aggregations: compute them once (a narrow table)
-    scores = materialize(scores.select(id_col, *cols))
-    rep = F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_rep")
-    x = scores.select(id_col, *cols, rep)
-    # the uniform is a column of its own: the ten threshold tests read it
-    # instead of recomputing the hash
-    x = x.withColumn("_u", bootstrap_uniform(seed, id_col, F.col("_rep"))) \
-         .withColumn("_w", poisson_weight(F.col("_u")))
-    per_rep = x.groupBy("_rep").agg(
-        *[F.try_divide(F.sum(F.col(c) * F.col("_w")), F.sum("_w")).alias(c) for c in cols])
-    mids = per_rep.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in cols])
-    means = scores.agg(*[F.avg(c).alias(c) for c in cols])
-    stack = lambda d, kind: d.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.lit(kind).alias("kind"),
-                 F.round(F.col(c) * 100, 4).alias("value")) for c in cols])).alias("s")).select("s.*")
-    return stack(mids, "mid").unionByName(stack(means, "mean"))
+    means, x100, 4 decimals.  Also the plain mean.  Integer ids weigh by their
+    value, others by a hash; a null score counts in neither sum.
+
+    Every task adds its rows into one vector (a sum of scores and of weights per
+    metric and replicate; replicate 0 weighs every row once), the vectors are
+    dealt to ``MERGE_WAYS`` tasks and the sums of these to one.
+    """
+    spark = scores.sparkSession
+    width = len(cols)
+    integral = isinstance(scores.schema[id_col].dataType, T.IntegralType)
+    number = F.coalesce(F.col(id_col).cast("long") if integral else F.xxhash64(id_col), F.lit(0))
+    reps = np.arange(1, samples + 1, dtype=np.int64)
+
+    def vector(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    def add_rows(batches):
+        total = np.zeros((2, width, samples + 1))
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:]])
+            for i in range(0, len(ids), CHUNK_ROWS):
+                part = x[i:i + CHUNK_ROWS].T
+                known = ~np.isnan(part)
+                w = np.ones((part.shape[1], samples + 1))
+                w[:, 1:] = bootstrap_weights(ids[i:i + CHUNK_ROWS], reps, seed)
+                total[0] += np.where(known, part, 0.0) @ w
+                total[1] += known.astype(float) @ w
+        yield vector(total)
+
+    def add_vectors(batches):
+        total = np.zeros(2 * width * (samples + 1))
+        for b in batches:
+            for v in b.column(0):
+                total += v.values.to_numpy()
+        yield vector(total)
+
+    sums = scores.select(F.pmod(number, F.lit(PRIME)), *[F.col(c).cast("double") for c in cols]) \
+        .mapInArrow(add_rows, "v array<double>")
+    ways = min(MERGE_WAYS, parallelism(spark))
+    merged = sums.repartition(ways).mapInArrow(add_vectors, "v array<double>") \
+        .repartition(1).mapInArrow(add_vectors, "v array<double>")
+    size = samples + 1
+    rep = F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("rep")
+    at = lambda half, i: F.get("v", F.lit((half * width + i) * size) + F.col("rep"))
+    means = merged.select("v", rep).select("rep", *[
+        F.try_divide(at(0, i), at(1, i)).alias(c) for i, c in enumerate(cols)])
+    long = means.select("rep", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).alias("m")) for c in cols])).alias("s")).select("rep", "s.*")
+    kind = F.when(F.col("rep") == 0, F.lit("mean")).otherwise(F.lit("mid"))
+    return long.groupBy("metric", kind.alias("kind")).agg(
+        F.round(F.percentile("m", F.lit(0.5)) * 100, 4).alias("value"))
 
 
 def perplexity(losses: DataFrame, loss_col: str = "loss") -> DataFrame:
@@ -175,6 +214,32 @@ def loss_curve(log: DataFrame, every: int = LOG_EVERY, step_col: str = "step",
                 F.round("mean_loss", 9).alias("mean_loss"))
 
 
+def loss_summary(log: DataFrame, step_col: str = "step", loss_col: str = "loss") -> DataFrame:
+    """The number of steps and the mean loss over all of them (null: none)."""
+    return log.agg(F.max(step_col).cast("long").alias("steps"),
+                   F.round(F.try_divide(F.sum(loss_col), F.max(step_col)), 9).alias("mean_loss"))
+
+
+ROUGE = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
+
+
+def score_replies(pairs: DataFrame, pred: str = "pred", ref: str = "label") -> DataFrame:
+    """ROUGE-1, -2, -L and -Lsum of every pair."""
+    return rouge_l(rouge_n(pairs, (1, 2), pred, ref), pred, ref)
+
+
+def reply_report(pairs: DataFrame, perplexity_table: DataFrame | None = None, id_col: str = "seq", seed: int = 0,
+                 samples: int = BOOTSTRAP_SAMPLES) -> DataFrame:
+    """E7 -> S8: ``(metric, value)``: the mid F of the four ROUGE scores over all
+    pairs, and the perplexity."""
+    mids = rouge_mid(score_replies(pairs), [f"{m}_f" for m in ROUGE], id_col, seed, samples)
+    out = mids.where(F.col("kind") == "mid").select(F.regexp_replace("metric", "_f$", "").alias("metric"), "value")
+    if perplexity_table is not None:
+        out = out.unionByName(perplexity_table.select(F.lit("perplexity").alias("metric"),
+                                                      F.col("perplexity").alias("value")))
+    return out
+
+
 def label_pred_table(labels: DataFrame, preds: DataFrame, id_col: str = "seq") -> DataFrame:
     """The reference answer beside the prediction, by row id."""
     return labels.select(id_col, F.col("response").alias("label")) \

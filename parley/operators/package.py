@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.operators.windows import BROADCAST_ROWS, preceding
+from parley.operators.windows import BROADCAST_ROWS, counted_broadcast, preceding
 from parley.session import materialize
 
 # fixed values of the original tool
@@ -60,10 +60,20 @@ def resolve_target(members: DataFrame, name: str) -> str:
     return str(row[0])
 
 
-def resolve_targets(members: DataFrame, names: Sequence[str]) -> DataFrame:
-    """P1 for many targets: ``(name, id)``, first roster row per name."""
-    return members.where(F.col("name").isin(list(names))) \
-                  .groupBy("name").agg(F.min_by("id", "pos").alias("id"))
+def resolve_targets(members: DataFrame, names: Sequence[str] | DataFrame) -> DataFrame:
+    """P1 for many targets: ``(target, id)``, the first roster row of every
+    distinct name of ``names`` (a list, or a table with a column ``name``).
+    Names without a roster row are an error that names some of them."""
+    if not isinstance(names, DataFrame):
+        names = members.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    wanted = names.select(F.col("name").alias("target")).where(F.col("target").isNotNull()).distinct()
+    first = members.groupBy(F.col("name").alias("target")).agg(
+        F.min_by(F.col("id").cast("string"), "pos").alias("id"))
+    found = materialize(wanted.join(first, "target", "left"))
+    missing = [r[0] for r in found.where(F.col("id").isNull()).orderBy("target").limit(5).collect()]
+    if missing:
+        raise TargetNotFoundError(f"no member called {missing}")
+    return found
 
 
 def scope_columns(scope: str | Sequence[str]) -> list[str]:
@@ -159,6 +169,50 @@ def split_exact(df: DataFrame, test_perc: float, seed: int, id_col: str = "seq",
     return train, test
 
 
+def split_exact_by(df: DataFrame, by: Sequence[str], test_perc: float, seed: int, id_col: str = "seq",
+                   max_edge_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """P7 inside every group ``by``: test = the first ``int(test_perc * n)`` rows
+    of the group's seeded permutation, train = the rest.
+
+    One histogram of (group, key prefix) finds in every group the bucket that
+    holds its cut; while a bucket is larger than ``max_edge_rows`` its rows are
+    counted by four more hex digits.  Only edge buckets are ranked, so a group
+    of any size is never sorted by one task, and the groups are worked on
+    together: at most eight passes, whatever their number.
+    """
+    group = F.struct(*[F.col(c) for c in by])
+    k = df.withColumn("_g", group).withColumn("_skey", shuffle_key(seed, id_col))
+    up_to = Window.partitionBy("_g").orderBy("_p")
+    digits = 4
+
+    def edges(counted: DataFrame, need: Column) -> DataFrame:
+        """(_g, _p, _need, _n): the bucket of every group in which its cut lies."""
+        x = counted.withColumn("_need", need).withColumn("_cum", F.sum("_n").over(up_to))
+        return materialize(x.where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_n") < F.col("_need")))
+                           .select("_g", "_p", (F.col("_need") - F.col("_cum") + F.col("_n")).alias("_need"), "_n"))
+
+    hist = k.groupBy("_g", F.substring("_skey", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy("_g"))
+    edge = edges(hist, F.floor(F.lit(float(test_perc)) * total.cast("double")).cast("long"))
+
+    def inside(columns: list) -> DataFrame:
+        x = k.select("_g", F.substring("_skey", 1, digits).alias("_p"), *columns)
+        return x.join(counted_broadcast(edge), ["_g", "_p"])      # a large group is spread over its prefixes
+
+    while digits < 32 and (edge.agg(F.max("_n")).first()[0] or 0) > max_edge_rows:
+        deeper = inside([F.substring("_skey", 1, digits + 4).alias("_q")])
+        hist = deeper.groupBy("_g", "_need", F.col("_q").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        digits += 4
+        edge = edges(hist, F.col("_need"))
+    ranked = Window.partitionBy("_g").orderBy("_ck", "_ci")
+    cuts = inside([F.col("_skey").alias("_ck"), F.col(id_col).alias("_ci")]) \
+        .withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") == F.col("_need")).select("_g", "_ck", "_ci")
+    j = k.join(counted_broadcast(materialize(cuts)), "_g", "left")
+    before = (F.col("_skey") < F.col("_ck")) | ((F.col("_skey") == F.col("_ck")) & (F.col(id_col) <= F.col("_ci")))
+    is_test = F.coalesce(before, F.lit(False))          # a group without a cut has no test rows
+    return j.where(~is_test).select(*df.columns), j.where(is_test).select(*df.columns)
+
+
 def combos(length: int, window: int) -> list[tuple[int, ...]]:
     """All order-preserving choices of ``length`` of ``window`` positions,
     in lexicographic order."""
@@ -187,16 +241,47 @@ def ensure_min_test(train: DataFrame, test: DataFrame, seed: int, n: int = MIN_T
     return train.orderBy(*order).limit(n)
 
 
-def package_for_training(messages: DataFrame, members: DataFrame, target_name: str,
+def ensure_min_test_by(train: DataFrame, test: DataFrame, by: Sequence[str], seed: int, n: int = MIN_TEST_ROWS,
+                       id_col: str = "seq") -> DataFrame:
+    """P9 inside every group ``by``: the test set of a group with fewer than ``n``
+    rows is replaced by its first ``n`` train rows (in permutation order)."""
+    group = F.struct(*[F.col(c) for c in by])
+    cols = train.columns
+    enough = materialize(test.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+                         .where(F.col("_n") >= n).select("_g"))
+    enough = counted_broadcast(enough)
+    order = [shuffle_key(seed, id_col), F.col(id_col), *([F.col("combo")] if "combo" in cols else [])]
+    # the rank filter is applied before the rows are moved, so a group sends few of them
+    first = train.withColumn("_g", group).join(enough, "_g", "left_anti") \
+        .withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).where(F.col("_r") <= n)
+    kept = test.withColumn("_g", group).join(enough, "_g", "left_semi")
+    return kept.select(*cols).unionByName(first.select(*cols))
+
+
+def package_for_training(messages: DataFrame, members: DataFrame, targets: str | Sequence[str] | DataFrame,
                          params: PackageParams, block_rows: int | None = None) -> dict[str, DataFrame]:
     """P1 -> P2..P5 -> P6/P7 -> P8 -> P9.  ``packaged`` is the table
-    before the split and extrapolation."""
-    target = resolve_target(members, target_name)
+    before the split and extrapolation.
+
+    ``targets`` is one name, or several (a list, or a table with a column
+    ``name``): then all tables have a column ``target``, and every target is
+    split, and its small test set replaced, on its own.
+    """
     k = params.base_k
-    packaged = materialize(package(messages, target, k, params.scope, block_rows=block_rows))
-    train, test = split_exact(packaged, params.test_perc, params.seed)
+    if isinstance(targets, str):
+        target = resolve_target(members, targets)
+        packaged = materialize(package(messages, target, k, params.scope, block_rows=block_rows))
+        train, test = split_exact(packaged, params.test_perc, params.seed)
+    else:
+        wanted = resolve_targets(members, targets)
+        rows = package(messages, wanted, k, params.scope, block_rows=block_rows)
+        packaged = materialize(rows.join(counted_broadcast(wanted), rows["author_id"] == wanted["id"]).drop("id"))
+        train, test = split_exact_by(packaged, ["target"], params.test_perc, params.seed)
     if params.window:
         train = extrapolate(train, params.length, params.window)
         test = extrapolate(test, params.length, params.window)
-    test = ensure_min_test(train, test, params.seed)
+    if isinstance(targets, str):
+        test = ensure_min_test(train, test, params.seed)
+    else:
+        test = ensure_min_test_by(train, test, ["target"], params.seed)
     return {"packaged": packaged, "train": train, "test": test}

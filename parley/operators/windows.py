@@ -38,6 +38,11 @@ def auto_block_rows(spark, total: int) -> int:
     return min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(total / (4 * parallelism(spark)))))
 
 
+def counted_broadcast(small: DataFrame) -> DataFrame:
+    """A table to join with: broadcast where its counted rows allow it."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def _in_ranges(df: DataFrame, order: Sequence[str], n_ranges: int) -> DataFrame:
     """``df`` cut into ranges of the full order key and stored with its range
     number ``_rng``.  Ties of the first columns are split by the later ones,
@@ -164,3 +169,22 @@ def dense_index_total(df: DataFrame, order: Sequence[str], out: str = "pos",
     w = Window.partitionBy("_rng").orderBy(*order)
     return x.withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("long")) \
             .drop("_rng", "_off"), total
+
+
+def running_totals(df: DataFrame, order: Sequence[str], value: str, out: str,
+                   block_rows: int | None = None) -> DataFrame:
+    """Add ``out`` = the sum of ``value`` over all rows before each one in the
+    total order ``order`` (unique): ranges of the order, one sum per range,
+    their offsets broadcast, a window inside each range."""
+    spark = df.sparkSession
+    stored = materialize(df)
+    total = stored.count()
+    x = _in_ranges(stored, order, max(1, math.ceil(total / (block_rows or auto_block_rows(spark, total)))))
+    sums = sorted((int(r[0]), r[1]) for r in x.groupBy("_rng").agg(F.sum(value)).collect())  # <= n_ranges rows
+    offsets, acc = [], 0
+    for rng, n in sums:
+        offsets.append((rng, acc))
+        acc += n or 0
+    x = x.join(F.broadcast(spark.createDataFrame(offsets, "_rng long, _acc long")), "_rng")
+    past = Window.partitionBy("_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return x.withColumn(out, F.col("_acc") + F.coalesce(F.sum(value).over(past), F.lit(0))).drop("_rng", "_acc")

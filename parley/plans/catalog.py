@@ -35,10 +35,7 @@ def queries() -> dict[str, QueryFn]:
 
 
 # streaming queries that must equal a batch query share its oracle
-# (event time follows event id in the driver data, so the event-time
-# ordered stream has the same batch twin)
-TWINS = {"stream_clean": "clean_all", "stream_prompts": "prompts", "stream_late_prompts": "prompts",
-         "stream_triggers": "triggers"}
+TWINS = {"stream_clean": "clean_all", "stream_prompts": "prompts", "stream_triggers": "triggers"}
 
 
 def oracles() -> dict[str, str]:

@@ -53,16 +53,25 @@ scored{tag} AS (SELECT seq, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) E
 """
 
 
-def _bootstrap_sql(seed, samples):
-    cdf = ev._poisson_cdf()
-    w = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in cdf)
+def _fifth_sql(x, src, out):
+    m = ev.PRIME
+    return (f"SELECT * EXCLUDE (_y), _y * _y % {m} * {x} % {m} AS {out} FROM "
+            f"(SELECT *, {x} * {x} % {m} AS _y FROM {src})")
+
+
+def _bootstrap_sql(seed, samples, cols, src):
+    """(rep, m_<col>...): the bootstrap means of ``cols`` of the table ``src``."""
+    m = ev.PRIME
+    w = " + ".join(f"CASE WHEN h4 / {float(m)!r} >= {c!r} THEN 1 ELSE 0 END" for c in ev._poisson_cdf())
+    means = ", ".join(f"sum({c} * w) / sum(w) AS m_{c}" for c in cols)
     return f"""
-fpair AS (SELECT a.seq, a.f AS rouge1_f, b.f AS rouge2_f FROM scored1 a JOIN scored2 b USING (seq)),
-reps AS (SELECT seq, rouge1_f, rouge2_f, unnest(range(1, {samples + 1})) AS rep FROM fpair),
-uu AS (SELECT *, CAST(('0x' || substr(md5('{seed}:' || CAST(seq AS VARCHAR) || ':' || CAST(rep AS VARCHAR)), 1, 8))
-                      AS BIGINT) / 4294967296.0 AS u FROM reps),
-ww AS (SELECT *, {w} AS w FROM uu),
-per AS (SELECT rep, sum(rouge1_f * w) / sum(w) AS m1, sum(rouge2_f * w) / sum(w) AS m2 FROM ww GROUP BY rep)
+b0 AS (SELECT *, CAST(seq % {m} AS BIGINT) AS a, unnest(range(1, {samples + 1})) AS rep FROM {src}),
+b1 AS (SELECT *, (a * 48271 + rep * 69621 + {seed}) % {m} AS h1 FROM b0),
+b2 AS ({_fifth_sql('h1', 'b1', 'h2')}),
+b3 AS (SELECT *, (h2 + a * 16807 + rep) % {m} AS h3 FROM b2),
+b4 AS ({_fifth_sql('h3', 'b3', 'h4')}),
+ww AS (SELECT *, {w} AS w FROM b4),
+per AS (SELECT rep, {means} FROM ww GROUP BY rep)
 """
 
 
@@ -97,12 +106,6 @@ def rouge_mean(spark, sf):
             .select(F.lit("rouge1_f").alias("metric"), F.lit("mean").alias("kind"), "value")
 
 
-@register("rouge_l")
-def rouge_l(spark, sf):
-    s = ev.rouge_l(pairs(spark, sf))
-    return s.select("seq", *[F.round(c, 9).alias(c) for c in s.columns if c.startswith("rougeL")])
-
-
 LCS_SQL = """
 toks AS (SELECT seq, regexp_extract_all(lower(label), '[a-z0-9]+') AS a,
                 regexp_extract_all(lower(pred), '[a-z0-9]+') AS b FROM pairs),
@@ -133,10 +136,67 @@ def rouge_lcs(spark, sf):
     return s.select("seq", *[F.round(c, 9).alias(c) for c in ("rougeL_p", "rougeL_r", "rougeL_f")])
 
 
-@register("rouge_mid", v.with_views("dialog", extra=PAIRS_SQL + "," + _rouge_n_sql(1, "1") + "," +
-                                     _rouge_n_sql(2, "2") + "," + _bootstrap_sql(SEED, ev.BOOTSTRAP_SAMPLES)) + """
-SELECT 'rouge1_f' AS metric, 'mid' AS kind, round(quantile_cont(m1, 0.5) * 100, 4) AS value FROM per
-UNION ALL SELECT 'rouge2_f', 'mid', round(quantile_cont(m2, 0.5) * 100, 4) FROM per
+# summary level: one table per pair of sentences, row by row (each row is the running
+# maximum of its candidates), then the read-out from its last cell; the tokens of a
+# reference sentence hit by any of them count once, and no oftener than either text has them
+LSUM_SQL = """
+sref AS (SELECT seq, i, regexp_extract_all(lower(s), '[a-z0-9]+') AS a FROM (
+           SELECT seq, unnest(l) AS s, unnest(range(len(l))) AS i FROM (
+             SELECT seq, list_filter(string_split(label, chr(10)), lambda x: x <> '') AS l FROM {pairs}))),
+spred AS (SELECT seq, j, regexp_extract_all(lower(s), '[a-z0-9]+') AS b FROM (
+            SELECT seq, unnest(l) AS s, unnest(range(len(l))) AS j FROM (
+              SELECT seq, list_filter(string_split(pred, chr(10)), lambda x: x <> '') AS l FROM {pairs}))),
+tab(seq, i, j, a, b, n, rows) USING KEY (seq, i, j) AS (
+  SELECT seq, i, j, a, b, 0, [list_transform(range(len(b) + 1), lambda k: 0)] FROM sref JOIN spred USING (seq)
+  UNION
+  SELECT seq, i, j, a, b, n + 1, list_append(rows, list_prepend(0,
+      list_transform(range(1, len(b) + 1), lambda k: list_max(cand[1:k]))))
+  FROM (SELECT *, list_transform(range(1, len(b) + 1), lambda k:
+                 CASE WHEN b[k] = a[n + 1] THEN rows[n + 1][k] + 1 ELSE rows[n + 1][k + 1] END) AS cand
+        FROM tab WHERE n < len(a))),
+walk(seq, i, j, a, b, rows, x, y, hits) USING KEY (seq, i, j) AS (
+  SELECT seq, i, j, a, b, rows, len(a), len(b), []::BIGINT[] FROM tab
+  UNION
+  SELECT seq, i, j, a, b, rows,
+         CASE WHEN a[x] = b[y] OR rows[x + 1][y] <= rows[x][y + 1] THEN x - 1 ELSE x END,
+         CASE WHEN a[x] = b[y] OR rows[x + 1][y] > rows[x][y + 1] THEN y - 1 ELSE y END,
+         CASE WHEN a[x] = b[y] THEN list_append(hits, x) ELSE hits END
+  FROM walk WHERE x > 0 AND y > 0),
+hit AS (SELECT DISTINCT seq, i, a[h] AS tok, h FROM (SELECT seq, i, a, unnest(hits) AS h FROM walk)),
+hitn AS (SELECT seq, tok, count(*) AS n FROM hit GROUP BY ALL),
+prn AS (SELECT seq, tok, count(*) AS n FROM (SELECT seq, unnest(b) AS tok FROM spred) GROUP BY ALL),
+clip AS (SELECT seq, sum(least(hitn.n, prn.n)) AS o FROM hitn JOIN prn USING (seq, tok) GROUP BY seq),
+lsum AS (
+  SELECT p.seq, coalesce(o, 0) / greatest(coalesce(np, 0), 1) AS p, coalesce(o, 0) / greatest(coalesce(nr, 0), 1) AS r
+  FROM {pairs} p LEFT JOIN clip USING (seq)
+  LEFT JOIN (SELECT seq, sum(len(a)) AS nr FROM sref GROUP BY seq) USING (seq)
+  LEFT JOIN (SELECT seq, sum(len(b)) AS np FROM spred GROUP BY seq) USING (seq))
+"""
+
+
+def _f(p="p", r="r"):
+    return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
+
+
+@register("rouge_l", v.with_views("dialog", extra=PAIRS_SQL + "," + LCS_SQL + "," + LSUM_SQL.format(pairs="pairs"))
+          .replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT seq, round(l.p, 9) AS rougeL_p, round(l.r, 9) AS rougeL_r, round({_f('l.p', 'l.r')}, 9) AS rougeL_f,
+       round(s.p, 9) AS rougeLsum_p, round(s.r, 9) AS rougeLsum_r, round({_f('s.p', 's.r')}, 9) AS rougeLsum_f
+FROM lsc l JOIN lsum s USING (seq)""")
+def rouge_l(spark, sf):
+    s = ev.rouge_l(pairs(spark, sf))
+    return s.select("seq", *[F.round(c, 9).alias(c) for c in s.columns if c.startswith("rougeL")])
+
+
+_FPAIR = """
+fpair AS (SELECT a.seq, a.f AS rouge1_f, b.f AS rouge2_f FROM scored1 a JOIN scored2 b USING (seq))"""
+
+
+@register("rouge_mid", v.with_views("dialog", extra=PAIRS_SQL + "," + _rouge_n_sql(1, "1") + "," + _rouge_n_sql(2, "2")
+                                    + "," + _FPAIR + "," + _bootstrap_sql(SEED, ev.BOOTSTRAP_SAMPLES,
+                                                                           ["rouge1_f", "rouge2_f"], "fpair")) + """
+SELECT 'rouge1_f' AS metric, 'mid' AS kind, round(quantile_cont(m_rouge1_f, 0.5) * 100, 4) AS value FROM per
+UNION ALL SELECT 'rouge2_f', 'mid', round(quantile_cont(m_rouge2_f, 0.5) * 100, 4) FROM per
 UNION ALL SELECT 'rouge1_f', 'mean', round(avg(rouge1_f) * 100, 4) FROM fpair
 UNION ALL SELECT 'rouge2_f', 'mean', round(avg(rouge2_f) * 100, 4) FROM fpair""")
 def rouge_mid(spark, sf):
@@ -161,6 +221,12 @@ def loss_curve(spark, sf):
     return ev.loss_curve(e.select((F.col("event_id") + 1).alias("step"), F.col("value").alias("loss")))
 
 
+@register("loss_summary", "SELECT max(event_id + 1) AS steps, round(sum(value) / max(event_id + 1), 9) AS mean_loss FROM events")
+def loss_summary(spark, sf):
+    e = v.table(spark, sf, "events")
+    return ev.loss_summary(e.select((F.col("event_id") + 1).alias("step"), F.col("value").alias("loss")))
+
+
 @register("bench_sample", _ALL_SESSION + """
 SELECT seq, response FROM ranked WHERE r <= n_test AND r <= 30""")
 def bench_sample(spark, sf):

@@ -123,19 +123,60 @@ def min_test_fallback(spark, sf):
     return pk.flatten_context(pk.ensure_min_test(train, test, SEED), 2)
 
 
+# the three tables of P14 in SQL, for the rows `pk` with their `target`
+_SETS_SQL = f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('{SEED}:' || CAST(seq AS VARCHAR)), seq) AS r,
+                  CAST(floor({TEST_PERC}::DOUBLE * count(*) OVER (PARTITION BY target)) AS BIGINT) AS n_test FROM pk),
+ix AS (SELECT target, seq, response, [{_ctx_cols(WINDOW)}] AS c, r, r <= n_test AS is_test,
+              n_test * {len(pk.combos(LENGTH, WINDOW))} >= {pk.MIN_TEST_ROWS} AS enough,
+              unnest({_COMBOS}) AS idx, unnest(range(0, {len(pk.combos(LENGTH, WINDOW))})) AS combo FROM ranked),
+fallback AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY r, combo) AS f FROM ix
+             WHERE NOT enough AND NOT is_test),
+sets AS (
+  SELECT 'train' AS part, target, seq, response, c, idx, combo FROM ix WHERE NOT is_test
+  UNION ALL SELECT 'test', target, seq, response, c, idx, combo FROM ix WHERE is_test AND enough
+  UNION ALL SELECT 'test', target, seq, response, c, idx, combo FROM fallback WHERE f <= {pk.MIN_TEST_ROWS}
+  UNION ALL SELECT 'packaged', target, seq, response, c, [1, 2], NULL FROM (
+    SELECT target, seq, response, [{_ctx_cols(WINDOW)}] AS c FROM ranked))
+"""
+
+
+def _sets(out, *extra):
+    """The three tables as one: the first contexts of a packaged row stand for it."""
+    parts = []
+    for name in ("packaged", "train", "test"):
+        x = out[name] if "combo" in out[name].columns else out[name].withColumn("combo", F.lit(None).cast("long"))
+        parts.append(pk.flatten_context(x, LENGTH, keep=(*extra, "seq", "combo")).withColumn("part", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_PARAMS = pk.PackageParams(length=LENGTH, window=WINDOW, test_perc=TEST_PERC, seed=SEED, scope="channel")
+
+
 @register("training_sets", v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
 win AS ({_lags(WINDOW, 'seq', 'PARTITION BY channel')}),
-pk AS (SELECT * FROM win WHERE author_id = {_TARGET_ID} AND rn > {WINDOW}),
-n AS (SELECT count(*) AS n, CAST(floor({TEST_PERC}::DOUBLE * count(*)) AS BIGINT) AS t FROM pk)""") + f"""
-SELECT 'packaged' AS part, n AS row_count FROM n
-UNION ALL SELECT 'train', (n - t) * {len(pk.combos(LENGTH, WINDOW))} FROM n
-UNION ALL SELECT 'test', CASE WHEN t * {len(pk.combos(LENGTH, WINDOW))} >= 4 THEN t * {len(pk.combos(LENGTH, WINDOW))}
-                             ELSE least(4, (n - t) * {len(pk.combos(LENGTH, WINDOW))}) END FROM n""")
+pk AS (SELECT *, 1 AS target FROM win WHERE author_id = {_TARGET_ID} AND rn > {WINDOW})""" + _SETS_SQL) + """
+SELECT part, seq, combo, response, c[idx[1]] AS context1, c[idx[2]] AS context2 FROM sets""")
 def training_sets(spark, sf):
-    """P14 end to end (target by name, window 6, length 2, 10 % test, seed
-    42, per-channel scope): the sizes of the three tables it writes."""
-    params = pk.PackageParams(length=LENGTH, window=WINDOW, test_perc=TEST_PERC, seed=SEED, scope="channel")
-    out = pk.package_for_training(cleaned_chat_once(spark, sf), v.members(spark, sf), v.TARGET_NAME, params)
-    parts = [out[name].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("part"), "row_count")
-             for name in ("packaged", "train", "test")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """P14 end to end for one target (window 6, length 2, 10 % test, seed 42,
+    per-channel scope): the rows of its three tables."""
+    return _sets(pk.package_for_training(cleaned_chat_once(spark, sf), v.members(spark, sf), v.TARGET_NAME, _PARAMS))
+
+
+@register("training_targets", v.with_views("chat", "members", extra=v.CLEAN_SQL + f""",
+win AS ({_lags(WINDOW, 'seq', 'PARTITION BY channel')}),
+wanted AS (SELECT name AS target, arg_min(id, pos) AS id FROM members GROUP BY name),
+pk AS (SELECT w.*, t.target FROM win w JOIN wanted t ON w.author_id = t.id WHERE rn > {WINDOW})""" + _SETS_SQL) + """
+SELECT part, target, seq, combo, response, c[idx[1]] AS context1, c[idx[2]] AS context2 FROM sets""")
+def training_targets(spark, sf):
+    """P14 for every member of the roster at once: an exact split of each."""
+    m = v.members(spark, sf)
+    return _sets(pk.package_for_training(cleaned_chat_once(spark, sf), m, m.select("name"), _PARAMS), "target")
+
+
+@register("targets", v.with_views("members") + """
+SELECT name AS target, arg_min(id, pos) AS id FROM members GROUP BY name""")
+def targets(spark, sf):
+    """P1 for every name of the roster."""
+    m = v.members(spark, sf)
+    return pk.resolve_targets(m, m.select("name"))

@@ -80,14 +80,25 @@ def training_round_trip(spark, sf):
 
 
 @register("session_round_trip", v.with_views("chat") + """
-SELECT seq, author_id, content FROM chat""")
+SELECT 's1' AS session, seq, author_id, content FROM chat
+UNION ALL SELECT 's2', seq, author_id, 'other' FROM chat
+UNION ALL SELECT 's3', seq, author_id, content FROM chat WHERE seq % 2 = 1""")
 def session_round_trip(spark, sf):
+    """Sessions written in turn to one folder, one of them twice: each write
+    replaces its own session and no other."""
     root = _scratch(spark, "sessions")
-    chat = v.chat(spark, sf).select("seq", "author_id", "content").withColumn("guild", F.lit(io.CUSTOM_GUILD))
-    both = chat.withColumn("session", F.lit("s1")).unionByName(
-        chat.withColumn("session", F.lit("s2")).withColumn("content", F.lit("other")))
-    io.write_dataset(both, root, partition_by=("guild", "session"))
-    return io.read_session(spark, root, io.CUSTOM_GUILD, "s1").select("seq", "author_id", "content")
+    chat = v.chat(spark, sf).select("seq", "author_id", "content")
+    rows = lambda s, x: x.withColumn("guild", F.lit(io.CUSTOM_GUILD)).withColumn("session", F.lit(s))
+    for part in (rows("s1", chat.withColumn("content", F.lit("old"))),
+                 rows("s2", chat.withColumn("content", F.lit("other"))),
+                 rows("s1", chat)):
+        io.write_dataset(part, root, partition_by=("guild", "session"))
+    io.write_session(chat, root, io.CUSTOM_GUILD, "s3")
+    # a run may be made from the one it replaces
+    before = io.read_session(spark, root, io.CUSTOM_GUILD, "s3").select(*chat.columns)
+    io.write_session(before.where("seq % 2 = 1"), root, io.CUSTOM_GUILD, "s3")
+    back = [io.read_session(spark, root, io.CUSTOM_GUILD, s) for s in ("s1", "s2", "s3")]
+    return back[0].unionByName(back[1]).unionByName(back[2]).select("session", "seq", "author_id", "content")
 
 
 @register("multi_session_clean", v.with_views("chat", "members", extra=v.CLEAN_SQL) + """

@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from parley.functions import lcs as L
 from parley.operators import evaluate as ev
 
@@ -64,11 +67,57 @@ def test_rouge_l_udf(spark):
     assert got[2].rougeL_f == 0.0 and got[2].rougeLsum_f == 0.0
 
 
-def test_poisson_weights_have_mean_one(spark):
-    from pyspark.sql import functions as F
-    df = spark.range(20000).withColumnRenamed("id", "seq")
-    m = df.select(ev.poisson_weight(ev.bootstrap_uniform(1, "seq", F.lit(1))).alias("w")).agg(F.avg("w")).first()[0]
-    assert abs(m - 1.0) < 0.03
+def test_bootstrap_weights_are_poisson():
+    ids, reps = np.arange(20_000), np.arange(1, 4)
+    w = ev.bootstrap_weights(ids, reps, 1)
+    assert abs(w.mean() - 1.0) < 0.02 and abs(w.var() - 1.0) < 0.03
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.03 and abs(np.corrcoef(w[:-1, 0], w[1:, 0])[0, 1]) < 0.03
+    assert (ev.bootstrap_weights(ids[5:9], reps, 1) == w[5:9]).all()
+
+
+def test_bootstrap_against_plain_sums(spark):
+    rnd = random.Random(3)
+    rows = [(i * 7, rnd.random(), None if i % 9 == 0 else rnd.random()) for i in range(700)]
+    df = spark.createDataFrame(rows, "seq long, a double, b double").repartition(5)
+    got = {(r.metric, r.kind): r.value for r in ev.rouge_mid(df, ["a", "b"], seed=4, samples=51).collect()}
+    w = ev.bootstrap_weights(np.array([r[0] for r in rows]), np.arange(1, 52), 4)
+    for i, m in ((1, "a"), (2, "b")):
+        x = np.array([np.nan if r[i] is None else r[i] for r in rows])
+        ok = ~np.isnan(x)
+        means = (x[ok][:, None] * w[ok]).sum(axis=0) / w[ok].sum(axis=0)
+        assert abs(got[m, "mid"] - 100 * np.median(means)) < 1e-4 and abs(got[m, "mean"] - 100 * x[ok].mean()) < 1e-4
+    none = ev.rouge_mid(df.where("false"), ["a", "b"], samples=5).collect()
+    assert {r.value for r in none} == {None} and len(none) == 4
+
+
+def test_bootstrap_moves_vectors_not_pairs(spark):
+    df = spark.range(5000).select(F.col("id").alias("seq"), F.rand(1).alias("a")).repartition(6)
+    plan = ev.rouge_mid(df, ["a"])._jdf.queryExecution().executedPlan().toString()
+    head = plan[:plan.rindex("MapInArrow add_rows")]       # everything above the sums of the tasks
+    assert head.count("MapInArrow") == 2 and "seq" not in head
+
+
+def test_lsum_against_the_plain_union(spark):
+    rnd = random.Random(5)
+    text = lambda: "\n".join(" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(0, 4)))
+    rows = [(i, text(), text()) for i in range(60)]
+    got = {r.seq: r for r in ev.rouge_l(spark.createDataFrame(rows, "seq long, pred string, label string")).collect()}
+    for i, pred, ref in rows:
+        ps, rs = ([s.split() for s in t.split("\n") if s] for t in (pred, ref))
+        n, m = sum(map(len, ps)), sum(map(len, rs))
+        hits = Counter()
+        for r in rs:
+            for k in set().union(*[L.lcs_indices(r, p) for p in ps]):
+                hits[r[k]] += 1
+        o = sum(min(c, sum(p.count(t) for p in ps)) for t, c in hits.items())
+        assert abs(got[i].rougeLsum_p - (o / n if n and m else 0)) < 1e-12
+        assert abs(got[i].rougeLsum_r - (o / m if n and m else 0)) < 1e-12
+
+
+def test_loss_summary(spark):
+    log = spark.createDataFrame([(i + 1, float(i % 3)) for i in range(10)], "step long, loss double")
+    assert tuple(ev.loss_summary(log).first()) == (10, 0.9)
+    assert tuple(ev.loss_summary(log.where("false")).first()) == (None, None)
 
 
 def test_perplexity_and_curve(spark):

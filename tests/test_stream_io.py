@@ -69,6 +69,7 @@ def test_training_round_trip_and_layout(spark):
     assert back.response == "r" and back.ctx == ["a", "b"]
     t = df.withColumn("guild", F.lit(io.CUSTOM_GUILD)).withColumn("session", F.lit("s1"))
     io.write_dataset(t, d + "/runs", partition_by=("guild", "session"))
+    io.write_dataset(t.withColumn("session", F.lit("s2")), d + "/runs", partition_by=("guild", "session"))
     assert io.read_session(spark, d + "/runs", io.CUSTOM_GUILD, "s1").count() == 1
     assert io.session_layout("/r", "g", "s") == "/r/guild=g/session=s"
     snap = io.roster_snapshot(spark.createDataFrame([("1", "A", 0)], "id string, name string, pos long"), ("9", "bot"))
