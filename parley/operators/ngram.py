@@ -4,22 +4,26 @@ Fine-tuning a language model on one person's messages becomes fitting a
 per-author n-gram model; evaluation becomes n-gram perplexity; the
 sampling rule of generation (temperature, top-k, nucleus) becomes a
 ranked candidate table; generation itself is a pluggable per-partition
-generator (``mapInPandas``) or the built-in sampler that extends every
-prompt one token per step with a join against the ranked tokens.
+generator (``mapInPandas``) or the built-in sampler, which moves every prompt to
+the part of the model that holds its next prefixes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import text as tx
-from parley.session import materialize
+from parley.operators.windows import counted_broadcast
+from parley.session import materialize, parallelism
 
 BOS = "<s>"
 EOS_TOKEN = "</s>"
@@ -30,8 +34,8 @@ TOP_P = 0.7
 TEMPERATURE = 0.8
 MAX_LENGTH = 200        # prompt and reply together
 NO_REPEAT_NGRAM = 3
-CAND_BROADCAST_ROWS = 200_000
-SHIP_ROWS = 1_000_000     # tokens of a sampler table that is broadcast whole (counted first)
+BUCKET_TOKENS = 500_000   # candidates of the sampler that one task holds
+TASK_PROMPTS = 20_000     # prompts that one task holds
 
 
 def token_stream(c: Column, n: int) -> Column:
@@ -70,26 +74,42 @@ def score_ngram_perplexity(model: DataFrame, rows: DataFrame, n: int = 2, by: st
                            batch_size: int = 4) -> DataFrame:
     """R2 -> E5: per-row mean negative log-likelihood, per-batch mean
     (sequential batches of ``batch_size`` rows by ``id_col``, incomplete
-    tail dropped), perplexity = exp(mean of batch means)."""
+    tail dropped), perplexity = exp(mean of batch means).  A gram the author never
+    wrote has the smoothed mass of its prefix, or of the vocabulary where the
+    prefix is new as well.  Rows without a text, or of an author without a
+    model, are left out.
+
+    A mean of means is a weighted sum, and a gram's weight is known from its row
+    alone, so nothing is looked up per gram: the model's counts and the weights
+    of the rows' grams go through one grouped sum per gram, then per prefix, then
+    per author.
+    """
     from parley.operators.sequences import assign_batches
 
-    g = grams(rows, n, by, col, keep=(id_col,))
-    probs = model.select(by, "prefix", "token", "p")
-    totals = model.select(by, "prefix", "prefix_total", "vocab").distinct()
-    vocab = model.select(by, "vocab").distinct()
-    x = g.join(probs, [by, "prefix", "token"], "left") \
-         .join(totals.drop("vocab"), [by, "prefix"], "left") \
-         .join(vocab, by, "left")
-    p = F.coalesce(F.col("p"),
-                   F.when(F.col("prefix_total").isNotNull(),
-                          F.lit(add_k) / (F.col("prefix_total") + F.lit(add_k) * F.col("vocab"))),
-                   F.lit(1.0) / F.col("vocab"))
-    per_row = x.groupBy(id_col).agg(F.avg(-F.log(p)).alias("row_loss"))
-    batched = assign_batches(per_row, size=batch_size, id_col=id_col)
-    per_batch = batched.groupBy("batch_id").agg(F.avg("row_loss").alias("loss"))
-    return per_batch.agg(F.count(F.lit(1)).alias("batches"),
-                         F.round(F.avg("loss"), 9).alias("mean_loss")) \
-                    .withColumn("perplexity", F.round(F.exp("mean_loss"), 6))
+    known = model.select(by).distinct()
+    rows = rows.where(F.col(col).isNotNull()).join(known, by, "left_semi").select(id_col, by, col)
+    batched = materialize(assign_batches(rows, size=batch_size, id_col=id_col))
+    kept = batched.count()
+    size = (F.size(token_stream(F.col(col), n)) - (n - 1)).cast("double")
+    asked = grams(batched.withColumn("_w", 1.0 / size), n, by, col, keep=("_w",))
+    none = F.lit(0).cast("long")
+    both = model.select(by, "prefix", "token", F.col("cnt"), F.lit(0.0).alias("_w"), F.col("vocab")) \
+        .unionByName(asked.select(by, "prefix", "token", none.alias("cnt"), "_w", none.alias("vocab")))
+    per_gram = both.groupBy(by, "prefix", "token").agg(
+        F.sum("cnt").alias("cnt"), F.sum("_w").alias("_w"), F.max("vocab").alias("vocab"))
+    per_prefix = per_gram.groupBy(by, "prefix").agg(
+        F.sum("cnt").alias("tot"), F.sum("_w").alias("_w"), F.max("vocab").alias("vocab"),
+        F.sum(F.col("_w") * F.log(F.col("cnt") + F.lit(add_k))).alias("_top"))
+    seen = F.col("tot") > 0
+    per_author = per_prefix.groupBy(by).agg(
+        F.max("vocab").alias("vocab"),
+        F.sum(F.when(seen, F.col("_w") * F.log(F.col("tot") + F.lit(add_k) * F.col("vocab")) - F.col("_top"))
+              .otherwise(0.0)).alias("_seen"),
+        F.sum(F.when(seen, 0.0).otherwise(F.col("_w"))).alias("_new"))
+    loss = F.sum(F.col("_seen") + F.col("_new") * F.log("vocab")) / F.lit(float(max(kept, 1)))
+    return per_author.agg(F.when(F.lit(kept > 0), F.round(loss, 9)).alias("mean_loss")) \
+        .select(F.lit(kept // batch_size).cast("long").alias("batches"), "mean_loss",
+                F.round(F.exp("mean_loss"), 6).alias("perplexity"))
 
 
 def decode_candidates(model: DataFrame, by: str = "author_id", top_k: int = TOP_K,
@@ -128,11 +148,6 @@ def generate_with(prompts: DataFrame, generator: Callable[[pd.DataFrame], pd.Ser
     return prompts.select(id_col, prompt_col).mapInPandas(run, f"{id_col} long, pred string")
 
 
-def _uniform(seed: int, id_col: str, step: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), step.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(2 ** 32)
-
-
 def sampler_entries(model: DataFrame, by: str = "author_id", limit: int = TOP_K + MAX_LENGTH,
                     salts: int = 16) -> DataFrame:
     """The ``limit`` most likely tokens of each prefix, not yet cut: the repeat
@@ -149,126 +164,128 @@ def sampler_entries(model: DataFrame, by: str = "author_id", limit: int = TOP_K
         F.array_sort(F.collect_list(F.struct("rank", "token", "p"))).alias("cands"))
 
 
+def sampler_bucket(by: Column, prefix: Column, buckets: int) -> Column:
+    """The bucket of the model that holds a prefix of an author."""
+    return F.pmod(F.crc32(F.concat(F.coalesce(by.cast("string"), F.lit("")), F.lit("\0"), prefix)),
+                  F.lit(buckets)).cast("int")
+
+
 def generate_replies(prompts: DataFrame, entries: DataFrame, n: int = 2, by: str = "author_id",
                      id_col: str = "seq", prompt_col: str = "prompt", seed: int = 0,
                      max_length: int = MAX_LENGTH, no_repeat: int = NO_REPEAT_NGRAM,
                      top_k: int = TOP_K, top_p: float = TOP_P, temperature: float = TEMPERATURE,
-                     store_every: int = 10, ship_rows: int = SHIP_ROWS) -> DataFrame:
-    """R4 (built-in): seeded sampling, one token per step for every unfinished
-    prompt, by a join with ``sampler_entries`` on ``(by, prefix)``.  Where the
-    entries are few (counted first, at most ``ship_rows`` tokens), they are
-    broadcast instead and each task runs the same rule to the end of its
-    prompts; the replies are the same.
+                     bucket_tokens: int = BUCKET_TOKENS, task_prompts: int = TASK_PROMPTS) -> DataFrame:
+    """R4 (built-in): seeded sampling from ``sampler_entries``, token by token.
 
     Per step: tokens that would repeat an ``no_repeat``-gram of prompt and reply
     are banned; of the rest the ``top_k`` most likely are re-weighted by
     temperature and kept while the mass before them is below ``top_p``; a
     uniform from md5(seed:id:step) picks one.  A reply ends at the end marker,
     when nothing is left, or when prompt (words and message ends) and reply
-    together have ``max_length`` tokens.  Finished rows leave the loop; the state
-    is stored every ``store_every`` steps.
+    together have ``max_length`` tokens.
+
+    The entries are bucketed once by (author, prefix), about ``bucket_tokens`` of
+    them to a bucket.  In every round the unfinished prompts move to the bucket of
+    their last prefix and take as many steps as stay inside it; a bucket with more
+    than ``task_prompts`` of them (each reply begins with the same prefix) is
+    repeated for as many tasks.  So a model of one bucket takes one round, a
+    larger one at most ``max_length``, and no task holds more than one bucket.
     """
+    spark = prompts.sparkSession
     ends = F.size(F.split(F.col(prompt_col), r"\Q" + tx.EOS + r"\E", -1)) - 1
     words = F.coalesce(tx.word_tokens(F.regexp_replace(F.col(prompt_col), r"\Q" + tx.EOS + r"\E", " ")),
                        F.array().cast("array<string>"))
+    stored = materialize(entries)
+    tokens = stored.agg(F.sum(F.size("cands"))).first()[0] or 0
+    buckets = max(1, -(-tokens // bucket_tokens))
+    model = materialize(stored.withColumn("_b", sampler_bucket(F.col(by), F.col("prefix"), buckets))) \
+        if buckets > 1 else stored.withColumn("_b", F.lit(0))
     # the reply is a new message: its first prefix is the start marker; the
     # prompt's words stay in the history for the no-repeat rule
-    entries = materialize(entries)
-    start = prompts.select(id_col, by, F.concat(words, F.array_repeat(F.lit(BOS), n - 1)).alias("ctx"),
-                           (F.size(words) + F.coalesce(ends, F.lit(0))).alias("len"))
-    if (entries.agg(F.sum(F.size("cands"))).first()[0] or 0) <= ship_rows:
-        return _generate_in_tasks(start, entries, n, by, id_col, seed, max_length, no_repeat, top_k, top_p,
-                                  temperature)
-    cand = F.broadcast(entries) if entries.count() <= CAND_BROADCAST_ROWS else entries   # rows of bounded width
-    state = materialize(start.withColumn("out", F.array().cast("array<string>"))
-                        .withColumn("done", F.lit(False)).withColumn("step", F.lit(0)))
+    state = materialize(prompts.select(
+        F.col(id_col).cast("string").alias("_id"), F.col(id_col), F.col(by).cast("string").alias("_by"),
+        F.concat(words, F.array_repeat(F.lit(BOS), n - 1)).alias("_ctx"),
+        (F.size(words) + F.coalesce(ends, F.lit(0))).alias("_len"), F.array().cast("array<string>").alias("_out"),
+        F.lit(False).alias("_done"))
+        .withColumn("_b", sampler_bucket(F.col("_by"), F.array_join(F.slice("_ctx", -(n - 1), n - 1), " "), buckets)))
+    rule = _Rule(n, seed, max_length, no_repeat, top_k, top_p, temperature, buckets)
+    columns = state.columns
+    schema = T.StructType([*state.schema.fields, T.StructField("_s", T.IntegerType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = {(r["by"], r["prefix"]): r["cands"] for r in right.select(["by", "prefix", "cands"]).to_pylist()}
+        mine = [rule.steps(known, **r) for r in left.select(["_id", "_by", "_ctx", "_len", "_out", "_b"]).to_pylist()]
+        out = left
+        for i, c in enumerate(("_out", "_done", "_b")):
+            at = out.schema.get_field_index(c)
+            out = out.set_column(at, out.schema.field(at), pa.array([m[i] for m in mine], out.schema.field(at).type))
+        return out
+
     finished = []
-    for step in range(max_length):
-        state = _sample_step(state, cand, n, by, id_col, seed, max_length, no_repeat, top_k, top_p, temperature)
-        if (step + 1) % store_every == 0 or step + 1 == max_length:
-            state = materialize(state)
-            finished.append(state.where("done"))
-            state = state.where("NOT done")
-            if state.isEmpty():
-                break
+    while True:
+        live = state.where("NOT _done")
+        total = live.count()
+        if not total:
+            break
+        share = max(1, min(task_prompts, -(-total // parallelism(spark))))
+        tasks = live.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_n"))
+        tasks = counted_broadcast(materialize(tasks))
+        asked = live.join(tasks, "_b").withColumn("_s", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int")) \
+            .select(*columns, "_s")
+        copies = model.join(tasks, "_b").select(
+            "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"),
+            F.col(by).cast("string").alias("by"), "prefix", "cands")
+        moved = asked.groupBy("_b", "_s").cogroup(copies.groupBy("_b", "_s")).applyInArrow(run, schema)
+        state = materialize(moved.select(*columns))
+        finished.append(state.where("_done"))
     out = state
-    for f in finished:
+    for f in finished[:-1]:
         out = out.unionByName(f)
-    return out.select(id_col, F.array_join("out", " ").alias("pred"))
-
-
-def _generate_in_tasks(start, entries, n, by, id_col, seed, max_length, no_repeat, top_k, top_p, temperature):
-    """The rule of ``generate_replies`` over a broadcast model (bounded by ``ship_rows``)."""
-    table = {(r[0], r[1]): [(c["token"], c["p"]) for c in r[2]]
-             for r in entries.select(by, "prefix", "cands").toLocalIterator()}
-    known = start.sparkSession.sparkContext.broadcast(table)
-
-    def reply(author, ctx, length, rid) -> str:
-        hist, out = list(ctx), []
-        seen = {tuple(hist[i:i + no_repeat]) for i in range(len(hist) - no_repeat + 1)}
-        for step in range(max(0, max_length - length)):
-            last = tuple(hist[-(no_repeat - 1):]) if no_repeat > 1 else ()
-            cands = known.value.get((author, " ".join(hist[-(n - 1):])), [])
-            cands = [c for c in cands if no_repeat <= 1 or (*last, c[0]) not in seen][:top_k]
-            w = [math.exp(math.log(p) / temperature) for _, p in cands]
-            total, cum, kept = 0.0, 0.0, []
-            for x in w:
-                total += x
-            for x in w:
-                if cum >= top_p:
-                    break
-                kept.append(x / total)
-                cum += x / total
-            h = hashlib.md5(f"{seed}:{rid}:{step}".encode()).hexdigest()
-            target, run, tok = int(h[:8], 16) / float(2 ** 32) * cum, 0.0, None
-            for (name, _), q in zip(cands, kept):
-                if run + q >= target:
-                    tok = name
-                    break
-                run += q
-            if tok is None or tok == EOS_TOKEN:
+    return out.select(id_col, F.array_join("_out", " ").alias("pred"))
+
+
+class _Rule:
+    """The sampling rule over the candidates of one bucket."""
+
+    def __init__(self, n, seed, max_length, no_repeat, top_k, top_p, temperature, buckets):
+        self.n, self.seed, self.max_length, self.no_repeat = n, seed, max_length, no_repeat
+        self.top_k, self.top_p, self.temperature, self.buckets = top_k, top_p, temperature, buckets
+
+    def steps(self, known, _id, _by, _ctx, _len, _out, _b):
+        """(reply so far, finished, bucket of the next prefix) after the steps that
+        can be taken inside bucket ``_b``."""
+        k = self.no_repeat
+        hist, out = _ctx + _out, list(_out)
+        seen = {tuple(hist[i:i + k]) for i in range(len(hist) - k + 1)}
+        while len(out) + _len < self.max_length:
+            prefix = " ".join(hist[len(hist) - self.n + 1:])
+            if self.buckets > 1:
+                at = zlib.crc32(f"{_by or ''}\0{prefix}".encode()) % self.buckets
+                if at != _b:
+                    return out, False, at
+            last = tuple(hist[len(hist) - k + 1:])
+            cands = known.get((_by, prefix)) or []
+            token = self.draw([c for c in cands if k <= 1 or (*last, c["token"]) not in seen][:self.top_k], _id, len(out))
+            if token is None or token == EOS_TOKEN:
                 break
-            out.append(tok)
-            hist.append(tok)
-            seen.add(tuple(hist[-no_repeat:]))
-        return " ".join(out)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [reply(*row) for row in zip(b[by], b["ctx"], b["len"], b[id_col])]
-            yield pd.DataFrame({id_col: b[id_col], "pred": pd.Series(got, dtype=object)})
-
-    return start.mapInPandas(run, f"{id_col} long, pred string")
-
-
-def _sample_step(state, cand, n, by, id_col, seed, max_length, no_repeat, top_k, top_p, temperature):
-    live = ~F.col("done") & (F.col("len") + F.size("out") < max_length)
-    hist = F.concat(F.col("ctx"), F.col("out"))
-    a = state.withColumn("prefix", F.when(live, F.array_join(F.slice(hist, -(n - 1), n - 1), " ")))
-    j = a.join(cand, [by, "prefix"], "left").withColumn("_h", hist)
-    cs = F.coalesce("cands", F.array().cast("array<struct<rank:int,token:string,p:double>>"))
-    if no_repeat > 1:
-        j = j.withColumn("_last", F.array_join(F.slice("_h", -(no_repeat - 1), no_repeat - 1), " ")).withColumn(
-            "_seen", F.when(F.size("_h") >= no_repeat, F.transform(
-                F.sequence(F.lit(1), F.size("_h") - no_repeat + 1),
-                lambda i: F.array_join(F.slice("_h", i, no_repeat), " "))).otherwise(F.array().cast("array<string>")))
-        cs = F.filter(cs, lambda c: ~F.array_contains("_seen", F.concat(F.col("_last"), F.lit(" "), c["token"])))
-    j = j.withColumn("_c", F.slice(cs, 1, top_k))
-    j = j.withColumn("_w", F.transform("_c", lambda c: F.exp(F.log(c["p"]) / temperature)))
-    j = j.withColumn("_tot", F.aggregate("_w", F.lit(0.0), lambda x, w: x + w))
-    j = j.withColumn("_q", F.transform("_w", lambda w: w / F.col("_tot")))
-    zero = F.struct(F.lit(0.0).alias("cum"), F.lit(0.0).alias("mass"))
-    mass = F.aggregate("_q", zero, lambda s, q: F.struct(
-        (s["cum"] + q).alias("cum"), F.when(s["cum"] < top_p, s["mass"] + q).otherwise(s["mass"]).alias("mass")))["mass"]
-    j = j.withColumn("_target", _uniform(seed, id_col, F.col("step")) * mass)
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("i"), F.lit(0).alias("hit"))
-    hit = F.aggregate("_q", start, lambda s, q: F.struct(
-        (s["cum"] + q).alias("cum"), (s["i"] + 1).alias("i"),
-        F.when((s["hit"] == 0) & (s["cum"] < top_p) & (s["cum"] + q >= F.col("_target")), s["i"] + 1)
-        .otherwise(s["hit"]).alias("hit")))["hit"]
-    j = j.withColumn("_hit", hit)
-    tok = F.when(live & (F.col("_hit") > 0), F.get("_c", F.col("_hit") - 1)["token"])
-    stop = tok.isNull() | (tok == EOS_TOKEN)
-    return j.select(id_col, by, "ctx", "len",
-                    F.when(stop, F.col("out")).otherwise(F.concat("out", F.array(tok))).alias("out"),
-                    (F.col("done") | stop).alias("done"), (F.col("step") + 1).alias("step"))
+            out.append(token)
+            hist.append(token)
+            seen.add(tuple(hist[len(hist) - k:]))
+        return out, True, _b
+
+    def draw(self, cands: list[dict], rid: str, step: int) -> str | None:
+        w = [math.exp(math.log(c["p"]) / self.temperature) for c in cands]
+        total = sum(w)
+        kept, mass = [], 0.0
+        for x in w:
+            if mass >= self.top_p:
+                break
+            kept.append(x / total)
+            mass += x / total
+        u = int(hashlib.md5(f"{self.seed}:{rid}:{step}".encode()).hexdigest()[:8], 16) / 2 ** 32
+        run = 0.0
+        for c, q in zip(cands, kept):
+            run += q
+            if run >= u * mass:
+                return c["token"]
+        return None

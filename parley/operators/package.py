@@ -52,6 +52,17 @@ class PackageParams:
         return self.window if self.window else self.length
 
 
+def check_params(sets: DataFrame) -> DataFrame:
+    """P13 for a table of parameter sets (``length``, ``window``, ``test_perc``; null: the
+    default): the set that would be used, and ``error`` (null: valid)."""
+    length = F.coalesce(F.col("length"), F.lit(DEFAULT_LENGTH))
+    perc = F.coalesce(F.col("test_perc"), F.lit(DEFAULT_TEST_PERC))
+    error = F.when(length < 1, "context length must be at least 1") \
+        .when(F.col("window") <= length, "context window must be larger than the context length") \
+        .when(~((perc > 0) & (perc < 1)), "test percentage must be between 0 and 1")
+    return sets.withColumn("error", error).withColumn("length", length).withColumn("test_perc", perc)
+
+
 def resolve_target(members: DataFrame, name: str) -> str:
     """Id of the first roster row called ``name``."""
     row = members.where(F.col("name") == name).orderBy("pos").select("id").first()

@@ -8,13 +8,21 @@ vocabulary at hand, 2.. = tokens by rank.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import hashlib
+import json
+from collections.abc import Callable, Mapping
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import text as tx
 from parley.operators.windows import dense_index, dense_index_total
 from parley.session import materialize
+from parley.sources.commit import missing, replace_folder, settle
 
 # fixed values
 EOS_ID = 0
@@ -23,6 +31,8 @@ FIRST_TOKEN_ID = 2
 PAD_ID = 0
 BATCH_SIZE = 4
 MAX_WIDTH = 1024
+HEAD_TOKENS = 200_000    # tokens of the vocabulary that are broadcast
+TAIL = -1                # a token outside them, until it is looked up
 
 _EOS_SPLIT = r"\Q" + tx.EOS + r"\E"
 
@@ -56,37 +66,98 @@ def build_vocab(texts: DataFrame, col: str = "content") -> DataFrame:
                          (F.col("_pos") + FIRST_TOKEN_ID).cast("int").alias("id"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, messages: Column, out: str = "ids") -> DataFrame:
+def _head_lookup(head: list) -> Callable[[Column], Column]:
+    """Ids of token arrays by a broadcast of the most frequent tokens; a null token
+    is the end of a message, a token not among them becomes ``TAIL``."""
+    from pyspark.sql import SparkSession
+    known = SparkSession.active().sparkContext.broadcast(
+        (pa.array([r[0] for r in head], pa.string()), np.array([r[1] for r in head], np.int32)))
+
+    @F.arrow_udf("array<int>")
+    def lookup(col: pa.Array) -> pa.Array:
+        tokens, ids = known.value
+        flat = col.flatten()
+        at = pc.index_in(flat, value_set=tokens, skip_nulls=True).fill_null(len(ids)).to_numpy(zero_copy_only=False)
+        found = np.append(ids, np.int32(TAIL))[at]
+        found[flat.is_null().to_numpy(zero_copy_only=False)] = EOS_ID
+        sizes = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found))
+    return lookup
+
+
+def encode(df: DataFrame, vocab: DataFrame, messages: Column, out: str = "ids",
+           head_tokens: int = HEAD_TOKENS) -> DataFrame:
     """Token ids of ``messages`` (array of texts, in order), each
     message's tokens followed by the end-of-sequence id.
 
-    Tokens are exploded, joined to the vocabulary (AQE splits a frequent
-    token) and regrouped by a row number fixed when the rows are stored.
+    The ``head_tokens`` most frequent tokens are broadcast and looked up where the
+    row is, so nothing is moved for them.  A larger vocabulary has a tail: only
+    tokens outside the head are then exploded, joined to it and put back by
+    a row number fixed when the rows are stored.
     """
-    rows = materialize(df.withColumn("_msgs", messages).withColumn("_row", F.monotonically_increasing_id()))
     # one entry per token; a null token stands for the end of a message (no end for a null list)
     tokens = F.flatten(F.transform("_msgs", lambda m: F.concat(
         F.coalesce(tx.word_tokens(m), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))))
-    long = rows.select("_row", F.posexplode(tokens).alias("_i", "token"))
-    ids = F.when(F.col("token").isNull(), F.lit(EOS_ID)).otherwise(F.coalesce("id", F.lit(OOV_ID)))
-    found = long.join(vocab.select("token", "id"), "token", "left") \
-        .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", ids.alias("id")))).alias("_ids"))
+    words = vocab.select("token", "id")
+    head = words.where(F.col("id") < FIRST_TOKEN_ID + head_tokens).collect()        # at most head_tokens rows
+    tail = words.where(F.col("id") >= FIRST_TOKEN_ID + head_tokens)
+    x = df.withColumn("_msgs", messages).withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>"))) \
+        .drop("_msgs").withColumn("_ids", _head_lookup(head)(F.col("_tokens")))
+    final = F.transform("_ids", lambda i: F.when(i == TAIL, F.lit(OOV_ID)).otherwise(i))
+    if tail.isEmpty():
+        return x.withColumn(out, final).drop("_tokens", "_ids")
+    rows = materialize(x.withColumn("_row", F.monotonically_increasing_id()))
+    open_at = F.filter(F.sequence(F.lit(0), F.size("_ids") - 1), lambda i: F.get("_ids", i) == TAIL)
+    open_at = F.when(F.size("_ids") > 0, open_at).otherwise(F.array().cast("array<int>"))
+    asked = rows.select("_row", "_tokens", F.explode(open_at).alias("_i")) \
+        .select("_row", "_i", F.get("_tokens", F.col("_i")).alias("token"))
+    found = asked.join(tail, "token", "left").groupBy("_row").agg(
+        F.collect_list(F.struct("_i", F.coalesce("id", F.lit(OOV_ID)).alias("id"))).alias("_found"))
+    placed = F.filter(F.transform("_ids", lambda i, n: F.struct(n.alias("_i"), i.alias("id"))), lambda s: s["id"] != TAIL)
+    whole = F.transform(F.array_sort(F.concat(placed, F.col("_found"))), lambda s: s["id"])
     return rows.join(found, "_row", "left") \
-        .withColumn(out, F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<int>"))) \
-        .drop("_row", "_msgs", "_ids")
-
-
-def cache_features(df: DataFrame, path: str, overwrite: bool = True) -> DataFrame:
-    """reuse encoded rows stored at ``path`` unless ``overwrite``."""
-    spark = df.sparkSession
-    if not overwrite:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as ex:                 # only "nothing cached yet" is no error
-            if "PATH_NOT_FOUND" not in str(ex):
-                raise
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        .withColumn(out, F.when(F.col("_found").isNull(), F.col("_ids")).otherwise(whole)) \
+        .drop("_row", "_tokens", "_ids", "_found")
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of a table's columns and rows that does not depend on their order:
+    row count and two sums of row hashes (repeated rows count)."""
+    cells = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        nested = isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
+        # a hash skips nulls, so each cell says whether it is one; nested values are hashed as written out
+        cells += [c.isNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if nested else c]
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), *cells).cast("decimal(38,0)")).cast("string")
+    r = df.agg(F.count(F.lit(1)).alias("n"), total(1).alias("a"), total(2).alias("b")).first()
+    return hashlib.sha256(f"{df.schema.simpleString()}|{r['n']}|{r['a']}|{r['b']}".encode()).hexdigest()
+
+
+def cache_features(build: Callable[[], DataFrame], path: str, inputs: Mapping[str, DataFrame],
+                   params: Mapping[str, object] | None = None, overwrite: bool = True) -> DataFrame:
+    """the table that ``build`` makes of ``inputs`` and ``params``, stored at ``path``.
+
+    A manifest beside the rows names what they were made of: a fingerprint of
+    every input (texts, vocabulary, ..) and the parameters.  Without ``overwrite``
+    the stored rows are taken if the manifest says the same of today's inputs;
+    anything else, a missing manifest included, builds and replaces them.
+    """
+    sources = {k: fingerprint(v) for k, v in sorted(inputs.items())}
+    made_of = json.dumps({"inputs": sources, "params": dict(params or {})}, sort_keys=True, default=str)
+    spark = next(iter(inputs.values())).sparkSession
+    settle(spark, path)
+    rows, manifest = f"{path.rstrip('/')}/rows", f"{path.rstrip('/')}/manifest"
+    if not overwrite and not missing(spark, manifest):
+        if [r[0] for r in spark.read.text(manifest).collect()] == [made_of]:       # one line
+            return spark.read.parquet(rows)
+
+    def write(folder: str) -> None:
+        build().write.parquet(f"{folder}/rows")
+        spark.createDataFrame([(made_of,)], "value string").coalesce(1).write.text(f"{folder}/manifest")
+
+    replace_folder(spark, path, write)
+    return spark.read.parquet(rows)
 
 
 def assign_batches(df: DataFrame, size: int = BATCH_SIZE, seed: int | None = None,

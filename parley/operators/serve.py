@@ -182,17 +182,56 @@ def _pieces(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))))
 
 
+def _link(text: Column, name: Column, member: Column) -> Column:
+    """One member's rewrite of a text."""
+    hi = F.replace(text, F.lit("Hi"), F.concat(F.lit("Hi @"), name))
+    return F.replace(hi, name, F.concat(F.lit("<@"), F.coalesce(member, F.lit("")), F.lit(">")))
+
+
+def _fold_links(text: str, candidates: str) -> Column:
+    """The candidates' rewrites in roster order: every text after a rewrite, with the
+    rewriting member's place and the place of the next one."""
+    kind = "array<struct<idx:bigint,text:string>>"
+    start = F.struct(F.col(text).alias("text"), F.array().cast(kind).alias("states"))
+
+    def step(acc: Column, m: Column) -> Column:
+        new = F.struct(m["idx"].alias("idx"), _link(acc["text"], m["name"], m["id"]).alias("text"))
+        states = F.when(acc["text"].contains(m["name"]), F.concat(acc["states"], F.array(new))).otherwise(acc["states"])
+        return F.struct(acc["text"].alias("text"), states.cast(kind).alias("states"))
+
+    # the text of the next step is that of the newest state
+    def forward(acc: Column, m: Column) -> Column:
+        nxt = step(acc, m)
+        return F.struct(F.coalesce(F.try_element_at(nxt["states"], F.lit(-1))["text"], acc["text"]).alias("text"),
+                        nxt["states"].alias("states"))
+
+    states = F.aggregate(F.array_sort(candidates), start, forward, lambda acc: acc["states"])
+    return F.get(F.transform(F.array(states), lambda s: F.transform(s, lambda x, i: F.struct(
+        x["idx"].alias("idx"), F.coalesce(F.get(s, i + 1)["idx"], F.lit(2 ** 62)).alias("until"),
+        x["text"].alias("text")))), F.lit(0))
+
+
+def _names_in(texts: DataFrame, lookup: DataFrame, sizes: list[int], keys: list[str]) -> DataFrame:
+    """(keys, text, name): the names that occur in each text, by an equi-join of the
+    text's pieces with each name's rarest piece and a check of the whole name."""
+    grams = F.array_distinct(F.flatten(F.array(*[
+        F.coalesce(_pieces(F.col("text"), n), F.array().cast("array<string>")) for n in sizes])))
+    return texts.select(*keys, "text", F.explode(grams).alias("gram")).join(lookup, "gram") \
+        .where(F.col("text").contains(F.col("name"))).select(*keys, "name")
+
+
 def link_members(df: DataFrame, members: DataFrame, col: str = "reply", out: str = "reply") -> DataFrame:
     """Q8: for each member in roster order whose name occurs in the text:
     ``Hi`` -> ``Hi @name``, then name -> ``<@id>``; later members see the
     earlier rewrites.
 
-    Works on the distinct texts, for rosters of any size, in rounds: each
-    round finds the next member (by roster order, at or after the text's
-    position) whose name occurs, by an equi-join of the text's pieces with each
-    name's rarest piece and a check of the whole name, and applies that
-    member's rewrite.  Texts without a hit are finished; the position rises
-    with every rewrite, so the rounds end.
+    Works on the distinct texts, for rosters of any size.  One join finds the
+    names in every text; the first member of each is a candidate, and all
+    candidates of a text are applied by one ordered fold.  Rewrites may bring up
+    further names (inside an id, across a mention's edge): a second join looks for
+    members whose name occurs in a rewritten text while it is their turn.  Those
+    become candidates and their texts are folded again, until there are none.
+    The number of joins does not grow with the rewrites of a text.
     """
     from parley.operators.windows import dense_index
     from parley.session import materialize
@@ -200,38 +239,40 @@ def link_members(df: DataFrame, members: DataFrame, col: str = "reply", out: str
     m = members.select(F.col("name").cast("string").alias("name"), F.col("id").cast("string").alias("id"),
                        F.col("pos").cast("long").alias("pos"))
     ranked = materialize(dense_index(m, ["pos", "id"], "idx").where(F.length("name") > 0).drop("pos"))
-    names = ranked.groupBy("name").agg(F.array_sort(F.collect_list("idx")).alias("idxs"))
+    names = materialize(ranked.groupBy("name").agg(F.min(F.struct("idx", "id")).alias("first")))
     size = F.least(F.length("name"), F.lit(GRAM))
-    split = names.select("name", F.explode(F.coalesce(*[
-        F.when(size == n, _pieces(F.col("name"), n)) for n in range(1, GRAM + 1)])).alias("gram"))
-    split = materialize(split)
+    split = materialize(names.select("name", F.explode(F.coalesce(*[
+        F.when(size == n, _pieces(F.col("name"), n)) for n in range(1, GRAM + 1)])).alias("gram")))
     often = split.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rare = split.join(often, "gram").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    lookup = materialize(rare.join(names, "name"))
+    lookup = materialize(split.join(often, "gram").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
     sizes = sorted(r[0] for r in lookup.select(F.length("gram")).distinct().collect())   # at most GRAM numbers
-    active = materialize(df.where(F.col(col).isNotNull()).select(F.col(col).alias("_k")).distinct()
-                         .withColumn("_t", F.col("_k")).withColumn("_p", F.lit(0).cast("long")))
-    done = []
-    while sizes:
-        grams = F.flatten(F.array(*[F.coalesce(_pieces(F.col("_t"), n), F.array().cast("array<string>"))
-                                    for n in sizes]))
-        hits = active.select("_k", "_t", "_p", F.explode(grams).alias("gram")).join(lookup, "gram") \
-            .where(F.col("_t").contains(F.col("name"))) \
-            .select("_k", F.array_min(F.filter("idxs", lambda i: i >= F.col("_p"))).alias("_idx"))
-        best = hits.groupBy("_k").agg(F.min("_idx").alias("_idx")).where(F.col("_idx").isNotNull())
-        now = ranked.select(F.col("idx").alias("_idx"), F.col("name").alias("_n"), F.col("id").alias("_i"))
-        upd = materialize(active.join(best, "_k", "left").join(now, "_idx", "left"))
-        done.append(upd.where(F.col("_idx").isNull() & (F.col("_p") > 0)).select("_k", "_t"))
-        hit = F.replace(F.replace(F.col("_t"), F.lit("Hi"), F.concat(F.lit("Hi @"), F.col("_n"))),
-                        F.col("_n"), F.concat(F.lit("<@"), F.coalesce("_i", F.lit("")), F.lit(">")))
-        active = upd.where(F.col("_idx").isNotNull()).select("_k", hit.alias("_t"), (F.col("_idx") + 1).alias("_p"))
-        if active.isEmpty():
-            break
-    if not done:
+    if not sizes:
         return df.withColumn(out, F.col(col))
+    texts = materialize(df.where(F.col(col).isNotNull()).select(F.col(col).alias("text")).distinct()
+                        .withColumn("_k", F.col("text")))
+    one = F.struct(F.col("idx"), F.col("name"), F.col("id"))
+    found = _names_in(texts, lookup, sizes, ["_k"]).join(names, "name").select("_k", "name", "first.*")
+    folded = found.groupBy("_k").agg(F.collect_list(one).alias("_c")) \
+        .withColumn("_s", _fold_links("_k", "_c"))
+    done, pending = [], materialize(folded)
+    while True:
+        states = materialize(pending.select("_k", F.explode("_s").alias("s")).select("_k", "s.*"))
+        seen = _names_in(states, lookup, sizes, ["_k", "idx", "until"])
+        turn = seen.join(ranked.select("name", F.col("idx").alias("_i"), "id"), "name") \
+            .where((F.col("_i") > F.col("idx")) & (F.col("_i") < F.col("until")))
+        new = turn.groupBy("_k", "name", "idx").agg(F.min(F.struct(F.col("_i").alias("idx"), "id")).alias("first")) \
+            .select("_k", F.struct("first.idx", "name", "first.id").alias("c"))
+        more = materialize(new.groupBy("_k").agg(F.collect_set("c").alias("_more")))
+        if more.isEmpty():
+            done.append(pending)
+            break
+        done.append(pending.join(more, "_k", "left_anti"))
+        pending = materialize(pending.join(more, "_k").select("_k", F.array_union("_c", "_more").alias("_c"))
+                              .withColumn("_s", _fold_links("_k", "_c")))
     changed = done[0]
     for d in done[1:]:
         changed = changed.unionByName(d)
+    changed = changed.select("_k", F.try_element_at("_s", F.lit(-1))["text"].alias("_t"))
     got = df.join(changed, df[col] == changed["_k"], "left").withColumn(out, F.coalesce("_t", F.col(col)))
     return got.drop("_k", "_t")
 

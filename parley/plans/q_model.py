@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from parley.operators import clean as cl
@@ -12,10 +14,11 @@ from parley.plans import views as v
 from parley.plans.catalog import register
 from parley.plans.q_sequences import DIALOG_CLEAN_SQL, SEED, dialog_rows
 from parley.plans import q_sequences as qs
-from parley.plans.q_evaluate import _rouge_n_sql
+from parley.plans.q_evaluate import LCS_SQL, LSUM_SQL, _bootstrap_sql, _f, _rouge_n_sql
 from parley.functions.text import EOS
 from parley.operators import sequences as sq
 from parley.session import materialize
+from parley.streaming.stream import _scratch
 
 N = 2
 
@@ -45,17 +48,39 @@ def ngram_model(spark, sf):
     return m.select("author_id", "prefix", "token", "cnt", F.round("p", 9).alias("p"))
 
 
-@register("ngram_perplexity", v.with_views("dialog", extra=DIALOG_CLEAN_SQL + "," + GRAMS_SQL) + """,
-scored AS (SELECT g.seq, avg(-ln(m.p)) AS row_loss FROM grams g
-           JOIN model m USING (author_id, prefix, token) GROUP BY g.seq),
+# held-out perplexity: the model knows the training rows only, so unknown grams and
+# unknown prefixes take their shares
+_HELD_SQL = f"""
+dsplit AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(seq AS VARCHAR)), seq)
+                     <= CAST(floor(0.1::DOUBLE * count(*) OVER ()) AS BIGINT) AS is_test FROM dclean),
+""" + GRAMS_SQL.replace("FROM dclean)", "FROM dsplit WHERE NOT is_test)") + f""",
+ttoks AS (SELECT seq, author_id,
+                 ['{ng.BOS}'] || list_filter(regexp_split_to_array(content, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> '')
+                 || ['{ng.EOS_TOKEN}'] AS t FROM dsplit WHERE is_test),
+tgrams AS (SELECT seq, author_id, t[i - 1] AS prefix, t[i] AS token
+           FROM (SELECT seq, author_id, t, unnest(range(2, len(t) + 1)) AS i FROM ttoks)),
+asked AS (SELECT g.seq, CASE WHEN m.p IS NOT NULL THEN m.p WHEN t.tot IS NOT NULL THEN 1.0 / (t.tot + 1.0 * v.v)
+                             ELSE 1.0 / v.v END AS p
+          FROM tgrams g JOIN vocab v USING (author_id) LEFT JOIN totals t USING (author_id, prefix)
+          LEFT JOIN model m USING (author_id, prefix, token)),
+scored AS (SELECT seq, avg(-ln(p)) AS row_loss FROM asked GROUP BY seq),
 ranked AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS pos, count(*) OVER () AS n FROM scored),
 batched AS (SELECT CAST(floor(pos / 4) AS BIGINT) AS batch_id, avg(row_loss) AS loss FROM ranked
             WHERE pos < (n // 4) * 4 GROUP BY 1)
+"""
+
+
+@register("ngram_perplexity", v.with_views("dialog", extra=DIALOG_CLEAN_SQL + "," + _HELD_SQL) + """
 SELECT count(*) AS batches, round(avg(loss), 9) AS mean_loss,
        round(exp(round(avg(loss), 9)), 6) AS perplexity FROM batched""")
 def ngram_perplexity(spark, sf):
-    d = cl.clean_text_only(v.dialog(spark, sf))
-    return ng.score_ngram_perplexity(dialog_model(spark, sf), d, N)
+    """R2 on rows the model was not fitted on."""
+    return held_out_perplexity(spark, sf)
+
+
+def held_out_perplexity(spark, sf):
+    train, test = pk.split_exact(materialize(cl.clean_text_only(v.dialog(spark, sf))), 0.1, SEED)
+    return ng.score_ngram_perplexity(ng.fit_ngram_model(train, N), test, N)
 
 
 @register("decode_candidates", v.with_views("dialog", extra=DIALOG_CLEAN_SQL + "," + GRAMS_SQL) + f""",
@@ -147,3 +172,36 @@ def label_pred(spark, sf):
     scored = ev.rouge_n(pairs, (1, 2))
     return scored.select("seq", "label", "pred", F.round("rouge1_f", 9).alias("rouge1_f"),
                          F.round("rouge2_f", 9).alias("rouge2_f"))
+
+
+def _renamed(sql: str, tag: str, names: str) -> str:
+    """``sql`` with its tables of these names called ``tag`` + name."""
+    return re.sub(rf"\b({names})\b(?!\()", rf"{tag}\1", sql)
+
+
+_REPORT = [f"{m}_f" for m in ev.ROUGE]
+_MIDS = " UNION ALL ".join(f"SELECT '{m}' AS metric, round(quantile_cont(m_{m}_f, 0.5) * 100, 4) AS value FROM per"
+                           for m in ev.ROUGE)
+
+
+@register("reply_report", GEN_SQL + """,
+pairs AS (SELECT b.seq, b.response AS label, array_to_string(g.out, ' ') AS pred
+          FROM bench b JOIN gen g USING (seq)),""" + _rouge_n_sql(1, "1") + "," + _rouge_n_sql(2, "2") + ","
+          + _renamed(LCS_SQL, "l_", "toks") + "," + LSUM_SQL.format(pairs="pairs") + f""",
+fpair AS (SELECT a.seq, a.f AS rouge1_f, b.f AS rouge2_f, {_f('l.p', 'l.r')} AS rougeL_f, {_f('s.p', 's.r')} AS rougeLsum_f
+          FROM scored1 a JOIN scored2 b USING (seq) JOIN lsc l USING (seq) JOIN lsum s USING (seq)),"""
+          + _bootstrap_sql(SEED, ev.BOOTSTRAP_SAMPLES, _REPORT, "fpair") + ","
+          + _renamed(_HELD_SQL, "h_", "dsplit|toks|grams|counts|totals|vocab|model|ttoks|tgrams|asked|scored|ranked|batched")
+          + f""",
+report AS ({_MIDS} UNION ALL
+           SELECT 'perplexity', round(exp(round(avg(loss), 9)), 6) FROM h_batched)
+SELECT metric || ' = ' || CAST(value AS VARCHAR) AS line FROM report""")
+def reply_report(spark, sf):
+    """The report on all generated replies of the test split: four mid ROUGE
+    scores and the held-out perplexity, written as lines and read back."""
+    prompts = test_prompts(spark, sf)
+    preds = ng.generate_replies(prompts, ng.sampler_entries(dialog_model(spark, sf)), N, seed=SEED)
+    report = ev.reply_report(ev.label_pred_table(prompts, preds), held_out_perplexity(spark, sf), seed=SEED)
+    path = _scratch(spark, "reply-report")
+    ev.write_eval_report(report, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))

@@ -180,3 +180,25 @@ def targets(spark, sf):
     """P1 for every name of the roster."""
     m = v.members(spark, sf)
     return pk.resolve_targets(m, m.select("name"))
+
+
+_SETS = """SELECT event_id AS set_id, CASE WHEN event_id % 11 <> 3 THEN event_id % 5 END AS length,
+  CASE WHEN event_id % 3 <> 1 THEN event_id % 9 END AS window_,
+  CASE WHEN event_id % 13 <> 2 THEN (event_id % 12 - 1) / 10.0 END AS test_perc FROM events"""
+
+
+@register("param_sets", f"""
+WITH s AS ({_SETS}), d AS (SELECT set_id, coalesce(length, {pk.DEFAULT_LENGTH}) AS length, window_,
+                                  coalesce(test_perc, {pk.DEFAULT_TEST_PERC}) AS test_perc FROM s)
+SELECT set_id, length, window_ AS "window", round(test_perc, 6) AS test_perc,
+       CASE WHEN length < 1 THEN 'context length must be at least 1'
+            WHEN window_ <= length THEN 'context window must be larger than the context length'
+            WHEN NOT (test_perc > 0 AND test_perc < 1) THEN 'test percentage must be between 0 and 1' END AS error
+FROM d""")
+def param_sets(spark, sf):
+    """P13 over a table of parameter sets, one per event."""
+    e = F.col("event_id")
+    sets = v.table(spark, sf, "events").select(
+        e.alias("set_id"), F.when(e % 11 != 3, e % 5).alias("length"), F.when(e % 3 != 1, e % 9).alias("window"),
+        F.when(e % 13 != 2, (e % 12 - 1) / 10.0).alias("test_perc"))
+    return pk.check_params(sets).withColumn("test_perc", F.round("test_perc", 6))

@@ -18,6 +18,7 @@ from parley.plans import q_package as qp
 from parley.plans import q_sequences as qs
 from parley.plans import views as v
 from parley.plans.catalog import register
+from parley.session import materialize
 from parley.sources import io
 from parley.streaming.stream import _scratch
 
@@ -112,10 +113,21 @@ def multi_session_clean(spark, sf):
 
 @register("cache_features", qs._BASE + "," + qs.VOCAB_SQL + "," + qs.ENCODE_SQL + "SELECT seq, ids FROM encoded")
 def cache_features(spark, sf):
+    """Features cached for older texts, then for today's: those are built anew, and
+    taken from the cache the next time (that build would fail)."""
     path = _scratch(spark, "features")
-    rows = qs.encoded_rows(spark, sf).select("seq", qs._joined_ids(F.col("ids")).alias("ids"))
-    sq.cache_features(rows, path, overwrite=False)                          # nothing cached yet: written
-    return sq.cache_features(rows.where("false"), path, overwrite=False)    # now it is read
+    base, vocab = materialize(qs.dialog_rows(spark, sf)), materialize(qs.dialog_vocab(spark, sf))
+    older = base.withColumn("response", F.upper("response"))
+
+    def features(rows):
+        return lambda: sq.encode(rows, vocab, sq.turns()).select("seq", qs._joined_ids(F.col("ids")).alias("ids"))
+
+    def fails():
+        raise AssertionError("equal input was built again")
+
+    sq.cache_features(features(older), path, {"rows": older, "vocab": vocab}, {"k": qs.K}, overwrite=False)
+    sq.cache_features(features(base), path, {"rows": base, "vocab": vocab}, {"k": qs.K}, overwrite=False)
+    return sq.cache_features(fails, path, {"rows": base.repartition(3), "vocab": vocab}, {"k": qs.K}, overwrite=False)
 
 
 @register("narrow_batches", qs._BASE + "," + qs.VOCAB_SQL + "," + qs.ENCODE_SQL + f"""

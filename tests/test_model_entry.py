@@ -71,12 +71,62 @@ def test_sampler_follows_the_rule(spark):
     prompts = [(1, "a", "x y"), (2, "a", "z"), (3, "a", "x y z w x y" + EOS), (4, "nobody", "x"), (5, "a", ""),
                (6, "a", "x " * 198 + EOS)]
     df = spark.createDataFrame(prompts, "seq long, author_id string, prompt string")
-    for length, top_p, ship in ((200, 0.7, 10_000), (12, 0.05, 10_000), (12, 0.7, 0)):
+    for length, top_p, bucket, share in ((200, 0.7, 10_000, 2), (12, 0.05, 10_000, 1), (12, 0.7, 2, 9), (200, 0.7, 4, 1)):
         got = dict(ng.generate_replies(df, ng.sampler_entries(m), 2, seed=3, max_length=length, top_p=top_p,
-                                       ship_rows=ship).collect())
+                                       bucket_tokens=bucket, task_prompts=share).collect())
         assert got == {i: plain_reply(table, a, p, i, 3, length, top_p=top_p) for i, a, p in prompts}
 
 
+def test_no_prompt_and_no_model(spark):
+    m = ng.fit_ngram_model(corpus(spark), 2)
+    schema = "seq long, author_id string, prompt string"
+    assert ng.generate_replies(spark.createDataFrame([], schema), ng.sampler_entries(m)).count() == 0
+    got = ng.generate_replies(spark.createDataFrame([(1, "a", "x"), (2, None, None)], schema),
+                              ng.sampler_entries(m.where("false"))).collect()
+    assert sorted(map(tuple, got)) == [(1, ""), (2, "")]
+
+
+def test_generate_with_a_function(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(7)], "seq long, prompt string").repartition(3)
+    got = ng.generate_with(df, lambda b: b["prompt"].str.upper()).collect()
+    assert sorted(map(tuple, got)) == [(i, f"P{i}") for i in range(7)]
+
+
+def plain_perplexity(train, test, size):
+    """R2 row by row: (batches, mean loss)."""
+    import math
+    from collections import Counter
+    cnt, tot, words = Counter(), Counter(), {}
+    pairs = lambda t: list(zip([ng.BOS, *t.split()], [*t.split(), ng.EOS_TOKEN]))
+    for _, a, t in train:
+        for p, w in pairs(t):
+            cnt[a, p, w] += 1
+            tot[a, p] += 1
+            words.setdefault(a, set()).add(w)
+    losses = []
+    for _, a, t in sorted(r for r in test if r[2] is not None and r[1] in words):
+        ps = [(cnt[a, p, w] + 1) / (tot[a, p] + len(words[a])) if tot[a, p] else 1 / len(words[a]) for p, w in pairs(t)]
+        losses.append(sum(-math.log(p) for p in ps) / len(ps))
+    n = len(losses) // size
+    return n, sum(losses[:n * size]) / (n * size) if n else None
+
+
+def test_perplexity_of_unseen_grams(spark):
+    import random
+    rnd = random.Random(6)
+    make = lambda i, ws: (i, rnd.choice("ab"), " ".join(rnd.choice(ws) for _ in range(rnd.randrange(0, 8))))
+    train = [make(i, "xyzw") for i in range(80)]
+    test = [make(100 + i, "xyzwQR") for i in range(41)] + [(300, "nobody", "x y"), (301, "a", None), (302, None, "x")]
+    schema = "seq long, author_id string, content string"
+    m = ng.fit_ngram_model(spark.createDataFrame(train, schema), 2)
+    for size in (4, 7):
+        got = ng.score_ngram_perplexity(m, spark.createDataFrame(test, schema), 2, batch_size=size).first()
+        n, mean = plain_perplexity(train, test, size)
+        assert got.batches == n and abs(got.mean_loss - mean) < 1e-8
+    none = ng.score_ngram_perplexity(m, spark.createDataFrame(test[:3], schema), 2).first()
+    assert tuple(none) == (0, None, None)
+
+
 def test_entry_contract(spark):
     sys.path.insert(0, ROOT)
     import __spark_entry__ as E

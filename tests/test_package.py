@@ -146,3 +146,15 @@ def test_preceding_null_scope_is_a_scope(spark):
     df = spark.createDataFrame(rows, "seq long, channel string, content string")
     got = preceding(df, 3, ["channel"], block_rows=200).select("seq", "ctx", "n_before")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute(df, 3, ["channel"]).collect()))
+
+
+def test_check_params_says_what_the_constructor_says(spark):
+    import pytest
+    rows = [(n, w, p) for n in (None, 0, 1, 3) for w in (None, 0, 1, 4) for p in (None, 0.0, 0.3, 1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, length int, window int, test_perc double")
+    for r in pk.check_params(df).collect():
+        if r.error is None:
+            pk.PackageParams(r.length, r.window, r.test_perc)
+        else:
+            with pytest.raises(pk.ParamError, match=r.error):
+                pk.PackageParams(r.length, r.window, r.test_perc)

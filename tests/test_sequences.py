@@ -37,6 +37,18 @@ def test_vocab_keeps_every_token(spark):
     assert sq.encode(df, vocab, F.col("m")).where(F.array_contains("ids", sq.OOV_ID)).count() == 0
 
 
+def test_encode_is_the_same_with_any_head(spark):
+    texts = spark.createDataFrame([(i, [" ".join(f"w{(i * j) % 23}" for j in range(i % 9)), None, f"w{i % 30} new"])
+                                   for i in range(120)] + [(500, None), (501, [])], "seq long, m array<string>")
+    vocab = sq.build_vocab(texts.where("seq < 90").select(F.explode("m").alias("content")))
+    known = {r.token: r.id for r in vocab.collect()}
+    want = {r.seq: [i for m in (r.m or []) for i in [*(known.get(t, sq.OOV_ID) for t in (m or "").split()), sq.EOS_ID]]
+            for r in texts.collect()}
+    for head in (200_000, 7, 1, 0):
+        got = {r.seq: r.ids for r in sq.encode(texts, vocab, F.col("m"), head_tokens=head).collect()}
+        assert got == want, head
+
+
 def test_batches_and_padding(spark):
     df = rows(spark).withColumn("ids", F.sequence(F.lit(1), F.col("seq").cast("int")))
     b = sq.assign_batches(df, size=2)                      # sequential: 5 rows -> 2 full batches

@@ -87,3 +87,27 @@ def test_link_members_cascades_like_the_fold(spark):
     assert got == exp
     none = sv.link_members(df, members.where("false")).select("reply").collect()
     assert sorted(map(str, (r[0] for r in none))) == sorted(map(str, (r[1] for r in df.collect())))
+
+
+def test_link_members_random_rosters_equal_the_fold(spark):
+    import random
+    for seed in range(4):
+        rnd = random.Random(seed)
+        word = lambda n: "".join(rnd.choice(["a", "b", "Hi", "@", "<", ">", "1", "2", " "]) for _ in range(rnd.randint(1, n)))
+        roster = [(rnd.choice([word(3), str(i)]), word(4), i) for i in range(25)]
+        roster += [("1a", roster[0][1], 30), ("12", roster[0][1], 31), (roster[1][1], "2", 32)]
+        members = spark.createDataFrame(roster, "id string, name string, pos long")
+        df = spark.createDataFrame([(i, word(8)) for i in range(40)], "seq long, reply string")
+        got = sorted(map(tuple, sv.link_members(df, members).collect()))
+        exp = sorted(map(tuple, df.select("seq", sv.link_members_fold(F.col("reply"), sv.roster_literal(members))).collect()))
+        assert got == exp, seed
+
+
+def test_link_members_joins_do_not_grow_with_the_rewrites(spark, monkeypatch):
+    calls = []
+    plain = sv._names_in
+    monkeypatch.setattr(sv, "_names_in", lambda *a: calls.append(1) or plain(*a))
+    members = spark.createDataFrame([(str(i), f"name{i:02d};", i) for i in range(40)], "id string, name string, pos long")
+    df = spark.createDataFrame([(1, "Hi " + " ".join(f"name{i:02d};" for i in range(40)))], "seq long, reply string")
+    got = sv.link_members(df, members).first().reply
+    assert got.endswith(" ".join(f"<@{i}>" for i in range(40))) and len(calls) == 2

@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from parley.operators import evaluate as ev
 from parley.operators import sequences as sq
@@ -61,8 +62,41 @@ def test_eval_report_and_feature_cache(spark):
     ev.write_eval_report(scores, d + "/report")
     lines = [r.value for r in spark.read.text(d + "/report").collect()]
     assert lines == ["perplexity = 3.0", "rouge2 = 1.5"]
-    df = spark.createDataFrame([(1, [1, 2])], "seq long, ids array<int>")
-    a = sq.cache_features(df, d + "/feat")
-    b = sq.cache_features(spark.createDataFrame([(2, [3])], "seq long, ids array<int>"), d + "/feat",
-                          overwrite=False)
-    assert a.collect() == b.collect()
+
+
+def test_feature_cache_follows_its_input(spark):
+    path = tempfile.mkdtemp(prefix="parley-feat-") + "/feat"
+    texts = spark.createDataFrame([(1, "a b"), (2, None), (2, None)], "seq long, content string")
+    built = []
+
+    def cached(rows, overwrite=False, **params):
+        def build():
+            built.append(1)
+            return rows.withColumn("n", F.length("content"))
+        return sorted(map(tuple, sq.cache_features(build, path, {"rows": rows}, params, overwrite).collect()), key=str)
+
+    first = cached(texts, k=2)
+    assert cached(texts.repartition(3), k=2) == first and len(built) == 1      # equal rows in another order
+    assert cached(texts.orderBy("content"), overwrite=True, k=2) == first and len(built) == 2
+    assert cached(texts, k=3) == first and len(built) == 3                     # another parameter
+    for changed in (texts.limit(2), texts.withColumn("content", F.upper("content")), texts.where("false"),
+                    texts.select("content", "seq"), texts.withColumnRenamed("seq", "id")):
+        before = len(built)
+        cached(changed, k=3)
+        assert len(built) == before + 1
+
+    def fails():
+        raise RuntimeError("no")
+    cached(texts, k=2)
+    with pytest.raises(RuntimeError):
+        sq.cache_features(fails, path, {"rows": texts}, {"k": 9}, overwrite=False)
+    assert cached(texts, k=2) == first                                         # the failed build left the rows
+
+
+def test_fingerprint_sees_nulls_and_nesting(spark):
+    def of(rows, schema="a string, b string, c array<string>"):
+        return sq.fingerprint(spark.createDataFrame(rows, schema))
+    tables = [[("x", None, None)], [(None, "x", None)], [(None, None, ["x", None])], [(None, None, [None, "x"])],
+              [("x", None, None)] * 2, [("x", None, [])], []]
+    assert len({of(t) for t in tables}) == len(tables)
+    assert of([("1", "2", ["3"]), ("4", None, None)]) == of([("4", None, None), ("1", "2", ["3"])])
