@@ -19,8 +19,8 @@ Defined results for odd input
 - vectors of another dimension than the most common one: take no part (ties:
   the larger dimension)
 - null id: takes no part;  repeated ids: every row is a candidate; no candidate
-  shares the query's id; a query id that repeats with other values is answered
-  as one query, by the nearest to any of them
+  shares the query's id; a query id that repeats, with equal or other values, is
+  answered as one query, and a candidate row found once, by the nearest of them
 - ties: the smaller id;  fewer candidates than k: all of them
 - empty table: an empty result;  extra columns: not returned
 """
@@ -74,8 +74,8 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
 
 
 def build(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(index, centre, rotation); an index row is one block of vectors: ids, the
-    original values, packed bits and scalars."""
+    """(index, centre, rotation); an index row is one numbered block of vectors: ids,
+    the original values, packed bits and scalars."""
     first = rows.select(F.size("v").alias("d")).first()
     dims = first["d"] if first else 0
     n = rows.count()
@@ -97,7 +97,7 @@ def build(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFr
                     names=["ids", "x", "bits", "norm", "corr"])
 
     index = rows.select("id", "v").mapInArrow(pack, "ids binary, x binary, bits binary, norm binary, corr binary")
-    return keep(index, "ann-index"), centre, turn
+    return keep(index.withColumn("no", F.monotonically_increasing_id()), "ann-index"), centre, turn
 
 
 def bounds(q: np.ndarray, bits: np.ndarray, norm: np.ndarray, corr: np.ndarray, centre: np.ndarray,
@@ -130,7 +130,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     """(query_id, rank, vec_id, score): the k nearest found of each query."""
     rows = usable(vectors, id_col, vec)
     index, centre, turn = build(rows, block)
-    wanted = usable(vectors.where(is_query), id_col, vec).where(F.size("v") == len(centre))
+    wanted = usable(vectors.where(is_query), id_col, vec).where(F.size("v") == len(centre)).distinct()
 
     def pack(batches):
         for b in batches:
@@ -146,17 +146,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         .mapInArrow(pack, "qid binary, q binary")
     # the stated query set against all rows, block by block; neither side is broadcast
     pairs = index.crossJoin(keep(packed, "ann-queries").hint("shuffle_replicate_nl")) \
-        .select("ids", "x", "bits", "norm", "corr", "qid", "q")
+        .select("ids", "x", "bits", "norm", "corr", "qid", "q", "no")
     dims = len(centre)
 
     def run(batches):
         for b in batches:
-            for ids, x, bits, norm, corr, qid, q in zip(*(b.column(i).to_pylist() for i in range(7))):
+            for ids, x, bits, norm, corr, qid, q, no in zip(*(b.column(i).to_pylist() for i in range(8))):
                 ids, qid = np.frombuffer(ids, "<i8"), np.frombuffer(qid, "<i8")
                 x, q = np.frombuffer(x, "<f8").reshape(-1, dims), np.frombuffer(q, "<f8").reshape(-1, dims)
                 bits = np.frombuffer(bits, np.uint8).reshape(len(ids), -1)
                 norm, corr = np.frombuffer(norm, "<f8"), np.frombuffer(corr, "<f8")
-                out_q, out_v, out_d = [], [], []
+                out_q, out_v, out_d, out_at = [], [], [], []
                 for i in range(0, len(qid), 64):
                     low, high = bounds(q[i:i + 64], bits, norm, corr, centre, turn, epsilon)
                     own = ids[None, :] == qid[i:i + 64, None]
@@ -171,12 +171,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                         out_q.append(np.full(len(best), qid[i + r]))
                         out_v.append(ids[cand][best])
                         out_d.append(d[best])
+                        out_at.append(cand[best])
                 if out_q:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_v), pa.int64()),
-                         pa.array(np.concatenate(out_d), pa.float64())], names=["query_id", "vec_id", "score"])
+                         pa.array(np.concatenate(out_d), pa.float64()),
+                         pa.array(np.full(sum(map(len, out_at)), no), pa.int64()),
+                         pa.array(np.concatenate(out_at), pa.int64())],
+                        names=["query_id", "vec_id", "score", "no", "at"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double, no long, at long") \
+        .groupBy("query_id", "no", "at", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

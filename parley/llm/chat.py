@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprint (op 3, DataFrame functions only).
 
 A record is one JSON object in any of several layouts (prompt/response pairs,
-instruction records, message lists, single turns).  Its nested field paths,
-types left out, are hashed to a fingerprint; the fingerprint selects a
+instruction records, message lists, single turns).  Those of its nested field
+paths that some layout uses are hashed to a fingerprint, whatever the types of
+their values and whatever other fields there are; the fingerprint selects a
 declarative mapping (``LAYOUTS``) that says where the turns are.  Turns are
 then written with one template:
 
@@ -14,9 +15,11 @@ loss mask is kept as segments (text, loss) whose concatenation is the formatted
 text; it covers exactly the assistants' texts.
 
 Defined results for odd input
-- null text or role: empty
+- null text or role: empty;  a text that is a number, a list or an object: as it
+  is written in JSON
+- further fields of a record or message, such as ids: ignored
 - a record with an unknown fingerprint, or that is not JSON: no turn; such
-  fingerprints are counted by ``unknown_layouts``
+  records are returned by ``unmatched`` and counted by ``unknown_layouts``
 - no turns: no conversation;  null conversation id: a conversation of its own
 - ties in order: by role, then text; repeated rows: repeated turns
 - very long texts: whole
@@ -37,7 +40,6 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROLS = [TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>",
             "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>"]
 ASSISTANT = "assistant"
-SCALARS = "STRING|VOID|BIGINT|BOOLEAN|DOUBLE|FLOAT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|UUID|DECIMAL\\(\\d+,\\s*\\d+\\)"
 
 
 @dataclass(frozen=True)
@@ -54,14 +56,11 @@ class Layout:
     single: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
 
-    def shape(self) -> str:
-        inner = ", ".join(f"{k}: " + ("" if v is None else
-                                      "ARRAY<OBJECT<" + ", ".join(f"{x}: " for x in sorted(v)) + ">>")
-                          for k, v in sorted(self.fields.items()))
-        return f"OBJECT<{inner}>"
+    def paths(self) -> list[str]:
+        return sorted([*self.fields, *(f"{k}[].{x}" for k, inner in self.fields.items() for x in inner or ())])
 
     def fingerprint(self) -> str:
-        return hashlib.sha256(self.shape().encode()).hexdigest()
+        return hashlib.sha256("\n".join(self.paths()).encode()).hexdigest()
 
 
 LAYOUTS = [
@@ -87,9 +86,19 @@ def _let(value: Column, body) -> Column:
 
 
 def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a VARIANT record."""
-    shape = F.regexp_replace(F.schema_of_variant(record), f": ({SCALARS})(?=[,>])", ": ")
-    return F.sha2(shape, 256)
+    """Hash of those nested field paths of a VARIANT record that a layout uses
+    (null: not an object)."""
+    used = sorted({p for x in LAYOUTS for p in x.paths()})
+    lists = sorted({x.items[0] for x in LAYOUTS if x.items})
+    top = F.map_keys(F.try_variant_get(record, "$", "map<string,variant>"))
+
+    def inside(field: str) -> Column:
+        keys = F.flatten(F.transform(F.try_variant_get(record, f"$.{field}", "array<map<string,variant>>"), F.map_keys))
+        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{field}[]."), k)), F.array().cast("array<string>"))
+
+    inner = [inside(f) for f in lists]
+    paths = F.array_sort(F.array_intersect(F.concat(top, *inner), F.array(*[F.lit(p) for p in used])))
+    return F.sha2(F.array_join(paths, "\n"), 256)
 
 
 _TURN = "array<struct<role string, text string>>"
@@ -99,7 +108,7 @@ def _mapped(layout: Layout, v: Column) -> Column:
     """The turns of a record in this layout."""
     if layout.items:
         field, role, text = layout.items
-        got = F.variant_get(v, f"$.{field}", f"array<struct<`{role}` string, `{text}` string>>")
+        got = F.try_variant_get(v, f"$.{field}", f"array<struct<`{role}` string, `{text}` string>>")
 
         def turn(m):
             r = m[role]
@@ -108,9 +117,9 @@ def _mapped(layout: Layout, v: Column) -> Column:
             return F.struct(F.coalesce(r, F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
         return F.transform(got, turn)
     return F.array(*[F.struct(
-        (F.coalesce(F.variant_get(v, f"$.{role[1:]}", "string"), F.lit("")) if role[0] == "=" else F.lit(role))
+        (F.coalesce(F.try_variant_get(v, f"$.{role[1:]}", "string"), F.lit("")) if role[0] == "=" else F.lit(role))
         .alias("role"),
-        F.coalesce(F.variant_get(v, f"$.{field}", "string"), F.lit("")).alias("text"))
+        F.coalesce(F.try_variant_get(v, f"$.{field}", "string"), F.lit("")).alias("text"))
         for role, field in layout.single])
 
 
@@ -127,13 +136,17 @@ def canonical_turns(records: DataFrame, conv: str = "conv_id", order: str = "tur
         .select("conv_id", "turn", "pos", "t.role", "t.text")
 
 
-def unknown_layouts(records: DataFrame, record: str = "record") -> DataFrame:
-    """(fingerprint, records) of records that no layout matches (null: not JSON)."""
+def unmatched(records: DataFrame, record: str = "record") -> DataFrame:
+    """The records that no layout matches, with their ``fingerprint`` (null: not a
+    JSON object)."""
     known = [x.fingerprint() for x in LAYOUTS]
     fp = fingerprint(F.try_parse_json(F.col(record)))
-    return records.select(fp.alias("fingerprint")).where(F.col("fingerprint").isNull()
-                                                         | ~F.col("fingerprint").isin(known)) \
-        .groupBy("fingerprint").agg(F.count(F.lit(1)).alias("records"))
+    return records.withColumn("fingerprint", fp).where(F.col("fingerprint").isNull() | ~F.col("fingerprint").isin(known))
+
+
+def unknown_layouts(records: DataFrame, record: str = "record") -> DataFrame:
+    """(fingerprint, records) of records that no layout matches."""
+    return unmatched(records, record).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("records"))
 
 
 def escape(text: Column) -> Column:

@@ -18,8 +18,9 @@ Defined results for odd input
   which replace them
 - very long texts: vectorised whole, in slices of bounded size
 
-The sample: at most about ``sample_per_lang`` labelled texts of each language,
-chosen by a hash of the text, so the model does not follow the corpus size.
+The sample: at most ``sample_per_lang`` different labelled texts of each language,
+those with the smallest hashes (all, if there are no more), so the model does
+not follow the corpus size, and a text that repeats counts once.
 Counting languages, predicting and rejecting cover every row.
 """
 
@@ -30,7 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,15 +223,16 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", *, dims: int =
     """Fit on labelled rows (rows with a null language or text take no part)."""
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")) \
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per_lang = {r["lang"]: r["n"] for r in
-                train.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang"))
-                .agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not per_lang:
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # per language the largest hash to take: each task sends no more than the sample's hashes
+    rank = Window.partitionBy("lang").orderBy("h")
+    last = {r["lang"]: r["h"] for r in rows.select("lang", "h").distinct()
+            .withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample_per_lang)
+            .groupBy("lang").agg(F.max("h").alias("h")).collect()}           # one row per language
+    if not last:
         return CentroidModel(dims=dims, idf=np.ones(dims, np.float32))
-    share = F.create_map(*[x for name, n in sorted(per_lang.items())
-                           for x in (F.lit(name), F.lit(min(1.0, sample_per_lang / n)))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = rows.where(draw < share[F.col("lang")])
+    limit = F.create_map(*[x for name, h in sorted(last.items()) for x in (F.lit(name), F.lit(h))])
+    sample = rows.where(F.col("h") <= limit[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def vectors(batches):
         for b in batches:

@@ -1,11 +1,17 @@
 """License scans (op 6, DataFrame functions only).
 
-Every sentence of a file's whole text that holds a cue word is compared with
-licence templates by the cosine of sparse TF-IDF vectors; the best template at
-or above ``threshold`` is the file's licence.  Document frequencies of template
-terms are counted over all files; other terms weigh as much as the rarest.  A
-licence file (LICENSE, COPYING ..) also speaks for its directory: a file
-without a licence of its own takes that of its nearest ancestor directory.
+A file's units are the sentences of its lines and of its paragraphs (the lines of
+a header or licence file joined, comment marks left out).  Every unit of
+the whole text that holds a cue word is compared with licence templates by the
+cosine of sparse TF-IDF vectors; the best template at or above ``threshold`` is
+the file's licence.  Versions and clauses are terms like any other, so
+the nearer of two related licences is the one that names them.  Document
+frequencies of template terms are counted over all files; other terms weigh as
+much as the rarest.  A licence file (LICENSE, COPYING ..) also speaks for its
+directory: a file without a licence of its own takes that of its nearest
+ancestor directory.
+
+``templates`` is a table (licence, phrase), by default ``TEMPLATES``.
 
 Defined results for odd input
 - null or empty text: no licence of its own; null path: nothing to inherit
@@ -25,26 +31,61 @@ from pyspark.sql import functions as F
 from parley.llm.scratch import keep
 
 # fixed values: public licence notices and opening phrases
+_GPL = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version {} of the License, or (at your "
+        "option) any later version.")
+_LGPL = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} General "
+         "Public License as published by the Free Software Foundation; either version {} of the License, or (at your "
+         "option) any later version.")
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met")
 TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
-                "GNU General Public License"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", _CC.format("Attribution")),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
-                     "International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, "
-                     "are permitted"),
+    ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial")),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", _CC.format("Attribution-ShareAlike")),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring "
+                "rights to this work to the public domain worldwide under CC0 1.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GPL.format(2)),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", _GPL.format(3)),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", _LGPL.format("Lesser", "2.1")),
+    ("LGPL-3.0", _LGPL.format("Lesser", "3")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files, to deal in the Software without restriction"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-CUES = "(?i)licen[sc]e|copyright|permission|redistribut|spdx|cc by"
+# a licence whose text opens with another one's words: the clause that only it has decides
+NARROWER = {"BSD-3-Clause": "BSD-2-Clause"}
+CUES = "(?i)licen[sc]e|copyright|permission|redistribut|spdx|cc by|public domain"
 LICENCE_FILES = ["LICENSE", "LICENCE", "COPYING", "UNLICENSE", "LICENSE.txt", "LICENCE.txt", "LICENSE.md",
                  "LICENCE.md", "COPYING.txt"]
 TERM = "[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"
 SENTENCE = "\\n|(?<=[.!?])[ \\t]+"
+PARAGRAPH = "\\n(?:[ \\t\\r#*;/%-]*+\\n)++"
+COMMENT = "(?m)^[ \\t]*(?:[#*;%]+|//+|/[*]+|--+)?[ \\t]*|(?<![ \\t\\r])[ \\t\\r]++$"
 THRESHOLD = 0.6
 OUT = ["licence", "score", "basis"]
 
@@ -53,12 +94,20 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def _vectors(files: DataFrame, text: str) -> tuple[DataFrame, float]:
+def units(text: Column) -> Column:
+    """The sentences of every line, and those of every paragraph of several lines."""
+    cued = lambda a: F.filter(a, lambda s: s.rlike(CUES))
+    lines = cued(F.split(text, SENTENCE))
+    blocks = F.filter(F.split(text, PARAGRAPH), lambda b: b.contains("\n") & b.rlike(CUES))
+    joined = F.transform(blocks, lambda b: F.replace(F.regexp_replace(b, COMMENT, ""), F.lit("\n"), F.lit(" ")))
+    return F.concat(lines, cued(F.flatten(F.transform(joined, lambda b: F.split(b, SENTENCE)))))
+
+
+def _vectors(files: DataFrame, text: str, templates: DataFrame) -> tuple[DataFrame, float]:
     """(template, licence, term, w) with rows of length one, the idf of each
     template term, and the idf of any other term."""
     spark = files.sparkSession
-    t = spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(TEMPLATES)],
-                              "template int, licence string, phrase string")
+    t = keep(templates.select(F.monotonically_increasing_id().alias("template"), "licence", "phrase"), "licence-phrases")
     tf = t.select("template", "licence", F.explode(terms(F.col("phrase"))).alias("term")) \
         .groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocab = sorted(r["term"] for r in tf.select("term").distinct().collect())     # the templates' terms
@@ -76,13 +125,12 @@ def _vectors(files: DataFrame, text: str) -> tuple[DataFrame, float]:
     return keep(w, "licence-templates"), rarest
 
 
-def header_matches(files: DataFrame, path: str, text: str, threshold: float) -> DataFrame:
+def header_matches(files: DataFrame, path: str, text: str, threshold: float, templates: DataFrame) -> DataFrame:
     """(path, text_hash, licence, score): the best template of each file that has one."""
-    weights, rarest = _vectors(files, text)
-    unit = F.filter(F.split(F.col(text), SENTENCE), lambda s: s.rlike(CUES))
-    units = files.select(F.col(path).alias("path"), F.xxhash64(text).alias("text_hash"),
-                         F.posexplode(unit).alias("unit", "s")).distinct()
-    tf = units.select("path", "text_hash", "unit", F.explode(terms(F.col("s"))).alias("term")) \
+    weights, rarest = _vectors(files, text, templates)
+    said = files.select(F.col(path).alias("path"), F.xxhash64(text).alias("text_hash"),
+                        F.posexplode(F.array_distinct(units(F.col(text)))).alias("unit", "s")).distinct()
+    tf = said.select("path", "text_hash", "unit", F.explode(terms(F.col("s"))).alias("term")) \
         .groupBy("path", "text_hash", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.broadcast(weights.select("term", "idf").distinct())                  # the templates' terms
     tf = keep(tf.join(idf, "term", "left")
@@ -96,20 +144,27 @@ def header_matches(files: DataFrame, path: str, text: str, threshold: float) ->
         dot["path"], dot["text_hash"], "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")) \
         .where(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("licence")))
-    return cos.groupBy("path", "text_hash").agg(best.alias("b")) \
-        .select("path", "text_hash", "b.licence", (-F.col("b.s")).alias("score"))
+    found = cos.groupBy("path", "text_hash").agg(best.alias("b"), F.collect_set("licence").alias("all")) \
+        .select("path", "text_hash", "b.licence", (-F.col("b.s")).alias("score"), "all")     # at most one per licence
+    licence = F.col("licence")
+    for narrow, wide in NARROWER.items():
+        licence = F.when((F.col("licence") == wide) & F.array_contains("all", narrow), F.lit(narrow)).otherwise(licence)
+    return found.withColumn("licence", licence).drop("all")
 
 
 def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD,
+         templates: DataFrame | None = None) -> DataFrame:
     """``files`` plus licence, score and basis ("header", "inherited" or null)."""
+    if templates is None:
+        templates = files.sparkSession.createDataFrame(TEMPLATES, "licence string, phrase string")
     # the row travels as one value, so its columns cannot clash with the joins'
     base = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("_row"),
                         F.col(path).alias("path"), F.col(text).alias("text"))
-    found = keep(header_matches(base, "path", "text", threshold), "licence-headers")
+    found = keep(header_matches(base, "path", "text", threshold, templates), "licence-headers")
     named = F.element_at(F.split("path", "/"), -1).isin(LICENCE_FILES)
     rank = F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("licence")))
     by_dir = found.where(named).groupBy(directory(F.col("path")).alias("anc")).agg(rank.alias("b")) \
@@ -121,7 +176,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
     near = keep(chain.join(by_dir, "anc").groupBy("dir")
                 .agg(F.max_by(F.struct("dir_licence", "dir_score"), "depth").alias("near")), "licence-dirs")
     out = base.withColumn("text_hash", F.xxhash64("text")).withColumn("dir", directory(F.col("path"))).drop("text")
-    out = out.join(found, ["path", "text_hash"], "left").join(near, "dir", "left")
+    own = found.select(F.col("path").alias("_p"), F.col("text_hash").alias("_h"), "licence", "score")
+    out = out.join(own, F.col("path").eqNullSafe(F.col("_p")) & (F.col("text_hash") == F.col("_h")), "left") \
+        .join(near, "dir", "left")
     kept = [F.col("_row")[c].alias(c) for c in files.columns if c not in OUT]
     return out.select(
         *kept, F.coalesce("licence", "near.dir_licence").alias("licence"),

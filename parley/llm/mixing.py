@@ -19,8 +19,8 @@ Targets: the sources (by code point, null last) weigh 3, 1, 2, repeating (or
 Defined results for odd input
 - null or empty text: size 0, taken 0
 - null source: a source of its own, last in order
-- null id: such documents come first in their source; repeated ids or rows are
-  separate documents (told apart by a row number, fixed in the size table)
+- null id: such documents are dealt by row; repeated ids or rows are separate
+  documents (told apart by a row number, fixed in the size table)
 - empty table, or no word at all: targets 0, nothing taken
 - extra columns: ``document_counts`` returns its own columns only; ``remix``
   keeps those of its input
@@ -31,10 +31,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.scratch import keep
+from parley.operators.windows import counted_broadcast, running_totals
 
 BLOCK = 64                  # words in a block
 SLOTS = 4096                # blocks in an output shard
@@ -43,6 +45,7 @@ MAX_PASSES = 2
 WEIGHTS = (3, 1, 2)
 SEED = 17
 CHUNK = 4_000               # documents in a range whose word offsets are summed on their own
+TASK_SHARDS = 16            # output shards whose slots one task makes
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -136,10 +139,11 @@ def draw_slots(spark, targets: list[dict], *, block: int = BLOCK, slots: int = S
                 names=["shard", "k", "n", "at"])
 
     drawn = spark.range(shards).mapInArrow(draw, "shard long, k int, n long, at long")
-    before = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = keep(drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "mix-drawn")
+    # a source's slots before each shard: running sums by ranges, less those of the sources before it
+    drawn = keep(running_totals(drawn, ["k", "shard"], "n", "first"), "mix-drawn")
     sums = {r["k"]: r["n"] for r in drawn.groupBy("k").agg(F.sum("n").alias("n")).collect()}
     have = np.array([sums.get(k, 0) for k in range(len(live))], np.int64)
+    base = np.cumsum(have) - have
     over, under = np.maximum(have - want, 0), np.maximum(want - have, 0)
     over_from = np.cumsum(over) - over              # a handed-on slot's number over all sources
     under_to = np.cumsum(under)
@@ -150,7 +154,7 @@ def draw_slots(spark, targets: list[dict], *, block: int = BLOCK, slots: int = S
             k = np.repeat(k, n).astype(np.int64)
             here = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
             slot = here + np.repeat(place, n)
-            q = here + np.repeat(first, n)
+            q = here + np.repeat(first, n) - base[k]
             r = _feistel(q, have[k], keys[k, 0])
             extra = r >= want[k]
             g = over_from[k] + r - want[k]
@@ -165,7 +169,9 @@ def draw_slots(spark, targets: list[dict], *, block: int = BLOCK, slots: int = S
                  pa.array(no[k], pa.int32()), pa.array(idx, pa.int64()), pa.array(turn, pa.int32())],
                 names=["shard", "slot", "source_no", "block_no", "pass_no"])
 
-    return drawn.select("shard", "k", "n", "first", "at").mapInArrow(expand, schema)
+    # the drawn counts are a small table, the slots are not: shards are dealt before they are made
+    return drawn.select("shard", "k", "n", "first", "at") \
+        .repartition(max(1, -(-shards // TASK_SHARDS)), "shard").mapInArrow(expand, schema)
 
 
 def _source_table(spark, targets: list[dict], columns: str, schema: str) -> DataFrame:
@@ -175,21 +181,25 @@ def _source_table(spark, targets: list[dict], columns: str, schema: str) -> Data
 
 def offsets(size: DataFrame, targets: list[dict], chunk: int = CHUNK) -> DataFrame:
     """``size`` with source_no and ``start``, the document's first word in its
-    source's stream.  The stream's order is (range, id): the ranges are hash
-    buckets of the id of about ``chunk`` documents.  Each range of a
-    source is summed on its own and starts where the ranges before it end, so
-    a hot source is not one task."""
-    ranges = max(1, -(-sum(s["docs"] for s in targets) // chunk))
-    no = _source_table(size.sparkSession, targets, "source no", "_s string, source_no int")
+    source's stream.  The stream's order is (range, id): a source has a range,
+    a hash bucket of the id, for about every ``chunk`` documents (a null id is
+    dealt by its row).  Each range is summed on its own and starts where
+    the ranges before it end, so a hot source is not one task."""
+    spark = size.sparkSession
+    info, base = [], 0
+    for s in targets:
+        info.append((s["source"], s["no"], max(1, -(-s["docs"] // chunk)), base))
+        base += s["size"]
+    no = F.broadcast(spark.createDataFrame(info, "_s string, source_no int, ranges int, source_base long"))   # a row per source
+    dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("row_no")).otherwise(F.xxhash64("doc_id"))
     t = size.join(no, size["source"].eqNullSafe(no["_s"])).drop("_s") \
-        .withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)))
-    per = t.groupBy("source_no", "range").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    per = keep(per.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-               .select("source_no", "range", "base"), "mix-ranges")
+        .withColumn("range", F.pmod(dealt, F.col("ranges"))).drop("ranges")
+    per = t.groupBy("source_no", "range", "source_base").agg(F.sum("size").alias("n"))
+    per = keep(running_totals(per, ["source_no", "range"], "n", "base")
+               .select("source_no", "range", (F.col("base") - F.col("source_base")).alias("base")), "mix-ranges")
     inner = Window.partitionBy("source_no", "range").orderBy("doc_id", "size", "row_no") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))) \
+    return t.drop("source_base").withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))) \
         .join(per, ["source_no", "range"]) \
         .withColumn("start", F.col("base") + F.col("inner")).drop("range", "base", "inner")
 
@@ -235,17 +245,36 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row_no, _row): the rows with numbers that are the same in every pass.  Rows read
+    from Parquet files have their place in them; others are written with a number.
+
+    The row travels as one value, so its columns cannot clash with the plan's.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    try:
+        at = docs.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"), row)
+    except AnalysisException:
+        at = None
+    if at is not None:
+        n = F.col("_n").cast("decimal(38,0)")
+        files = keep(at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_at").cast("decimal(38,0)")).alias("_s"),
+                                             F.max("_at").alias("_top")), "mix-files")
+        # whole files, every row once: else a row's place does not tell it from others
+        if files.where((F.col("_top") != F.col("_n") - 1) | (F.col("_s") * 2 != n * (n - 1))).isEmpty():
+            first = keep(running_totals(files, ["_file"], "_n", "_first").select("_file", "_first"), "mix-files")
+            return at.join(counted_broadcast(first), "_file").select((F.col("_first") + F.col("_at")).alias("row_no"), "_row")
+    return keep(docs.select(F.monotonically_increasing_id().alias("row_no"), row), "mix-rows")
+
+
 def remix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
           n_chars: str | None = "n_chars", **options) -> DataFrame:
     """The mixture as documents: each document once per pass that takes of it,
     its text cut to the words taken (whole, byte for byte, where all are).
 
-    The rows of ``docs`` are numbered once and written with their numbers; the
-    size table and the texts both come from that table.
+    The size table and the texts go by the same row numbers (``numbered``).
     """
-    # the row travels as one value, so its columns cannot clash with the plan's
-    rows = keep(docs.select(F.monotonically_increasing_id().alias("row_no"),
-                            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), "mix-rows")
+    rows = numbered(docs)
     row = F.col("_row")
     size = keep(rows.select("row_no", row[id_col].alias("doc_id"), row[source].alias("source"),
                             n_words(row[text]).alias("size")), "mix-sizes")

@@ -57,3 +57,12 @@ def test_few_and_none(spark):
     got = ann.search(df, F.col("vec_id") % 100 == 0).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 0.5)]
     assert ann.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_repeated_queries_are_one(spark):
+    rows = [(0, [1.0, 0.0], "x"), (0, [1.0, 0.0], "x"), (0, [5.0, 0.0], "x")] + [(i, [float(i), 1.0], "x") for i in range(1, 9)]
+    rows += [(3, [3.0, 1.0], "x")]                          # a candidate row that repeats counts twice
+    got = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, k=6, block=4).collect()
+    want = sorted((min(math.dist(v, q) for _, q, _ in rows[:3]), i) for i, v, _ in rows[3:])[:6]
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(k + 1, i) for k, (_, i) in enumerate(want)]
+    assert all(abs(r["score"] - want[r["rank"] - 1][0]) < 1e-12 for r in got)

@@ -50,3 +50,19 @@ def test_edges(spark):
     assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 0
     assert got[2]["formatted_chars"] == 300_000 + len("user") + len(C.TURN + C.TEXT + C.END)
     assert C.format_chats(C.canonical_turns(C.as_records(spark.createDataFrame([], C.CONVERSATION)))).count() == 0
+
+
+def test_extra_fields_and_mixed_types(spark):
+    rows = [(1, 0, '{"messages":[{"role":"user","content":"a"}],"id":7}'),
+            (1, 1, '{"messages":[{"role":"user","content":5},{"content":"b","role":"assistant","name":"x"}],"meta":{"k":[1]}}'),
+            (1, 2, '{"conversations":[{"from":"human","value":true},{"from":"gpt","value":null},{"from":"gpt"}],"lang":"en"}'),
+            (1, 3, '{"prompt":["d",1],"response":{"t":"e"},"score":0.5,"tags":["x"]}'),
+            (1, 4, '{"text":3.5,"role":"tool","messages_id":1}'),
+            (2, 0, '{"messages":"none"}'), (2, 1, '{"messages":[]}'), (2, 2, '{"prompt":"a","text":"b"}'),
+            (2, 3, '["a"]'), (2, 4, '{"messages":[1,{"role":"user","content":"x"}]}')]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, record string")
+    got = [(r["turn"], r["role"], r["text"]) for r in C.canonical_turns(df).orderBy("turn", "pos").collect()]
+    assert got == [(0, "user", "a"), (1, "user", "5"), (1, "assistant", "b"), (2, "user", "true"), (2, "assistant", ""),
+                   (2, "assistant", ""), (3, "user", '["d",1]'), (3, "assistant", '{"t":"e"}'), (4, "tool", "3.5")]
+    assert sorted(r["turn"] for r in C.unmatched(df).collect()) == [0, 1, 2, 3, 4]
+    assert {r["conv_id"] for r in C.unmatched(df).collect()} == {2}

@@ -51,3 +51,17 @@ def test_counts_match_a_plain_loop():
     assert got[0].sum() == (len(squeezed) - 1) + sum(squeezed[i + 1] != " " for i in range(len(squeezed) - 2))
     alone, _ = L.count_vectors([text], 4096)
     assert np.array_equal(alone[0], got[0])
+
+
+def test_repeated_texts_are_learned_and_bounded(spark):
+    import random
+    rnd = random.Random(2)
+    word = lambda abc: "".join(rnd.choice(abc) for _ in range(rnd.randint(2, 7)))
+    texts = [(" ".join(word("aeionrst") for _ in range(60)), "xa") for _ in range(300)]
+    for trial in range(4):
+        one = " ".join(word("bdfgukmw") for _ in range(60))
+        df = spark.createDataFrame(texts + [(one, "yb")] * 700, "text string, lang string").repartition(4)
+        model = L.fit(df, sample_per_lang=50)
+        assert set(model.langs) == {"xa", "yb"}, trial
+        lang, _, rejected = model.predict([one, texts[0][0]])
+        assert list(lang) == ["yb", "xa"] and not any(rejected)
