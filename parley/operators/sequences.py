@@ -32,6 +32,7 @@ PAD_ID = 0
 BATCH_SIZE = 4
 MAX_WIDTH = 1024
 HEAD_TOKENS = 200_000    # tokens of the vocabulary that are broadcast
+HEAD_CHARS = 64          # their length at most
 TAIL = -1                # a token outside them, until it is looked up
 
 _EOS_SPLIT = r"\Q" + tx.EOS + r"\E"
@@ -90,17 +91,19 @@ def encode(df: DataFrame, vocab: DataFrame, messages: Column, out: str = "ids",
     """Token ids of ``messages`` (array of texts, in order), each
     message's tokens followed by the end-of-sequence id.
 
-    The ``head_tokens`` most frequent tokens are broadcast and looked up where the
-    row is, so nothing is moved for them.  A larger vocabulary has a tail: only
-    tokens outside the head are then exploded, joined to it and put back by
-    a row number fixed when the rows are stored.
+    The ``head_tokens`` most frequent tokens (of at most ``HEAD_CHARS`` characters)
+    are broadcast and looked up where the row is, so nothing is moved for them.
+    Other tokens of the vocabulary are its tail: only tokens outside the head are
+    then exploded, joined to it and put back by a row number fixed when the rows
+    are stored.
     """
     # one entry per token; a null token stands for the end of a message (no end for a null list)
     tokens = F.flatten(F.transform("_msgs", lambda m: F.concat(
         F.coalesce(tx.word_tokens(m), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))))
     words = vocab.select("token", "id")
-    head = words.where(F.col("id") < FIRST_TOKEN_ID + head_tokens).collect()        # at most head_tokens rows
-    tail = words.where(F.col("id") >= FIRST_TOKEN_ID + head_tokens)
+    frequent = (F.col("id") < FIRST_TOKEN_ID + head_tokens) & (F.length("token") <= HEAD_CHARS)
+    head = words.where(frequent).collect()               # at most head_tokens rows of bounded length
+    tail = words.where(~frequent)
     x = df.withColumn("_msgs", messages).withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>"))) \
         .drop("_msgs").withColumn("_ids", _head_lookup(head)(F.col("_tokens")))
     final = F.transform("_ids", lambda i: F.when(i == TAIL, F.lit(OOV_ID)).otherwise(i))

@@ -9,6 +9,7 @@ from parley.operators import serve as sv
 from parley.operators.clean import clean_messages
 from parley.plans import views as v
 from parley.plans.catalog import register
+from parley.sources.io import roster_snapshot
 
 K = 3
 BOT = v.BOT_ID
@@ -58,6 +59,18 @@ def prompts(spark, sf):
     return _prompts(spark, sf)
 
 
+_BOT_ROSTER = "chat AS (" + v.CHAT_SQL + "),\nmembers AS (" + v.MEMBERS_SQL + f"""
+UNION ALL SELECT '{BOT}', 'bot', (SELECT max(c_custkey) + 1 FROM customer))"""
+
+
+@register("prompts_bot_roster", "WITH " + _BOT_ROSTER + ",\n" + v.CLEAN_SQL.strip() + CLEANNULL_SQL + """
+SELECT seq, prompt FROM prompts""")
+def prompts_bot_roster(spark, sf):
+    """The roster with the bot's own row: a mention of the bot reads as its name."""
+    roster = roster_snapshot(v.members(spark, sf), (BOT, "bot"))
+    return sv.prompts(v.chat(spark, sf), roster, BOT, K)
+
+
 _WS_CHARS = " || ".join(f"chr({c})" for c in
                        (32, 9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203),
                         8232, 8233, 8239, 8287, 12288))

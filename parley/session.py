@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import time
 import uuid
 import warnings
 import zipfile
@@ -11,6 +13,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# tables written by `materialize` and its like: a name and a uuid
+SCRATCH_NAME = re.compile(r"^[A-Za-z].*-[0-9a-f]{32}(-tail|-clock)?$")
+
+
 def get_spark(master: str | None = None, app: str = "parley",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
@@ -78,6 +84,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_scratch(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Remove the tables that jobs have left in the checkpoint folder and that were
+    not written to for so long; returns how many.  A result that is still read
+    needs its tables, so leave more time than the longest job takes."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    before, gone = (time.time() - older_than_hours * 3600) * 1000, 0
+    for f in fs.listStatus(base) if fs.exists(base) else []:
+        if SCRATCH_NAME.search(f.getPath().getName()) and f.getModificationTime() < before:
+            gone += bool(fs.delete(f.getPath(), True))
+    return gone
+
+
 def parallelism(spark: SparkSession) -> int:
     try:
         return max(1, spark.sparkContext.defaultParallelism)

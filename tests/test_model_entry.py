@@ -148,3 +148,18 @@ def test_package_is_shipped_once(spark, monkeypatch):
     import zipfile
     names = zipfile.ZipFile(added[0]).namelist()
     assert "parley/operators/windows.py" in names and "parley/streaming/stream.py" in names
+
+
+def test_remove_scratch_takes_old_tables_only(spark):
+    from parley import session
+    df = session.materialize(spark.range(5))
+    path = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    base = os.path.dirname(path)
+    os.makedirs(f"{base}/keep-me", exist_ok=True)
+    session.remove_scratch(spark, older_than_hours=1)
+    assert os.path.isdir(path) and df.count() == 5
+    old = f"{base}/table-{'0' * 32}"
+    os.makedirs(old, exist_ok=True)
+    os.utime(old, (1, 1))
+    assert session.remove_scratch(spark, older_than_hours=1) >= 1
+    assert not os.path.isdir(old) and os.path.isdir(path) and os.path.isdir(f"{base}/keep-me")

@@ -38,7 +38,8 @@ def test_vocab_keeps_every_token(spark):
 
 
 def test_encode_is_the_same_with_any_head(spark):
-    texts = spark.createDataFrame([(i, [" ".join(f"w{(i * j) % 23}" for j in range(i % 9)), None, f"w{i % 30} new"])
+    texts = spark.createDataFrame([(i, [" ".join(f"w{(i * j) % 23}" for j in range(i % 9)), None, f"w{i % 30} new",
+                                        "long" * (10 + i % 10)])
                                    for i in range(120)] + [(500, None), (501, [])], "seq long, m array<string>")
     vocab = sq.build_vocab(texts.where("seq < 90").select(F.explode("m").alias("content")))
     known = {r.token: r.id for r in vocab.collect()}
