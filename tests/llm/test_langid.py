@@ -65,3 +65,21 @@ def test_repeated_texts_are_learned_and_bounded(spark):
         assert set(model.langs) == {"xa", "yb"}, trial
         lang, _, rejected = model.predict([one, texts[0][0]])
         assert list(lang) == ["yb", "xa"] and not any(rejected)
+
+
+def test_nearest_centroid_by_hand(spark, model):
+    import math
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    for r in L.identify(docs, model).collect()[::7]:
+        counts, has = L.count_vectors([r["text"]], model.dims)
+        v = [math.log1p(c) * float(w) for c, w in zip(counts[0], model.idf)]
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        cos = [sum(x * float(y) for x, y in zip(v, c) if x) / norm for c in model.centroids]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        if not has[0]:
+            assert r["lang_pred"] == "und" and r["rejected"]
+            continue
+        assert abs(r["score"] - cos[best]) < 1e-5
+        near = [k for k, c in enumerate(cos) if c > cos[best] - 1e-6]          # float32 may break a tie
+        assert r["lang_pred"] in {model.langs[k] for k in near}
+        assert r["rejected"] == (r["score"] < model.radius[near[0]]) or len(near) > 1
