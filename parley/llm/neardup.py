@@ -15,9 +15,12 @@ connected components of verified pairs.
 Texts with equal word sequences are one node from the start.  In a bucket
 every text is compared with the bucket's centre (the text that shares the most
 keys with others).  A bucket whose texts are not all in one group by then stays
-open, with all its texts: it meets 16, 256, 4096 .. of its texts as centres until
-it is one group or every pair that is not linked has been compared.  Pairs are
-left out only where lengths or word counts rule the similarity out.
+open, with all its texts, and is gone through once more: two of its texts in
+different groups are compared if lengths allow and they share a word among the
+rarest fifth of each (with fewer than four fifths of the words in common none of that fifth need
+be shared, and a passage that all texts of the bucket hold is not rare in it),
+and if they have enough words in common.  So no pair of a bucket that could be
+similar is left out, and a common passage alone makes no pair.
 
 Defined results for odd input
 - null, empty or blank text: all of them count as equal (no words)
@@ -37,7 +40,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm import words as W
@@ -48,9 +51,11 @@ BANDS = 32
 KEEP = 2                    # shingles retained per band
 SHORT = 24                  # shingles up to which a text has keys of single minima too
 SIMILARITY = 0.8
-CENTRES = 16                # each round compares the open buckets with so many times more centres
-COUNTS = 256                # classes of words in the counts that rule pairs out
-SALT = 2_000                # members of a bucket in one piece of work
+BLOCK = 500                 # texts of an open bucket in a block; two blocks are one piece of work
+BLOCK_WORDS = 400_000       # words in a block, about
+CLASSES = 512               # classes of words in a text's signature
+FULL = 15                   # count of a class from which it is not told how many
+COARSE = 2_048              # words up to which a text's words are compared by 16 bits of their hashes
 BROADCAST_IDS = 2_000_000   # id lists up to this (counted) length are broadcast
 
 _RNG = np.random.default_rng(20240607)
@@ -137,8 +142,34 @@ def _digests(h: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in out]
 
 
+def signatures(h: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The words of each text counted by class, up to ``FULL``, two classes to a byte."""
+    out = []
+    for q, m in zip(np.cumsum(counts).tolist(), counts.tolist()):
+        c = np.bincount((h[q - m:q] >> np.uint64(32)).astype(np.int64) % CLASSES, minlength=CLASSES)
+        c = np.minimum(c, FULL).astype(np.uint8)
+        out.append((c[0::2] | (c[1::2] << 4)).tobytes())
+    return out
+
+
+def _classes(signs: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1)
+    return np.concatenate([packed & 15, packed >> 4], axis=1)
+
+
+def may_share(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Row by row: the class counts allow ``need`` words in common."""
+    least = np.minimum(x, y)
+    return (least.sum(axis=1, dtype=np.int64) >= need) | (least == FULL).any(axis=1)
+
+
+def words_needed(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    longest = np.maximum(a, b)
+    return longest - np.floor((1 - similarity) * longest + 1e-9).astype(np.int64)
+
+
 def sketch_batches(bands: int, kept: int, shingle: int):
-    """Arrow batches (id, text) -> (id, digest, keys)."""
+    """Arrow batches (id, text) -> (id, digest, keys, number of words, signature)."""
     def run(batches):
         for b in batches:
             raw, s, e = W.text_buffers(b.column(1))
@@ -151,27 +182,45 @@ def sketch_batches(bands: int, kept: int, shingle: int):
                 off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(i, j - i), pa.array(_digests(h, c), pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))],
-                    names=["id", "digest", "keys"])
+                    pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64))), pa.array(c.astype(np.int64)),
+                    pa.array(signatures(h, c), pa.binary())], names=["id", "digest", "keys", "len", "sign"])
     return run
 
 
 def word_batches(batches):
-    """Arrow batches (node, text) -> (node, words as packed 32-bit hashes, number
-    of words, words counted by their last byte, up to 255)."""
+    """Arrow batches (node, text) -> (node, words as packed 32-bit hashes)."""
     for b in batches:
         raw, s, e = W.text_buffers(b.column(1))
         for i, j in W.slices(s, e):
             h, c = W.word_hashes(raw, s[i:j], e[i:j])
             h32 = (h >> np.uint64(32)).astype(np.uint32)
             ends = np.cumsum(c)
-            packed = [h32[q - m:q].tobytes() for q, m in zip(ends.tolist(), c.tolist())]
-            doc = np.repeat(np.arange(len(c)), c)
-            counts = np.bincount(doc * COUNTS + h32 % COUNTS, minlength=len(c) * COUNTS)
-            counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, COUNTS)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, j - i), pa.array(packed, pa.binary()), pa.array(c.astype(np.int64)),
-                 pa.array([x.tobytes() for x in counts], pa.binary())], names=["node", "words", "len", "counts"])
+                [b.column(0).slice(i, j - i),
+                 pa.array([h32[q - m:q].tobytes() for q, m in zip(ends.tolist(), c.tolist())], pa.binary())],
+                names=["node", "words"])
+
+
+def sign_batches(batches):
+    """Arrow batches (node, text) -> (node, number of words, signature)."""
+    for b in batches:
+        raw, s, e = W.text_buffers(b.column(1))
+        for i, j in W.slices(s, e):
+            h, c = W.word_hashes(raw, s[i:j], e[i:j])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(i, j - i), pa.array(c.astype(np.int64)), pa.array(signatures(h, c), pa.binary())],
+                names=["node", "len", "sign"])
+
+
+def bag_batches(batches):
+    """Arrow batches (node, text) -> (node, its words' hashes, sorted and packed:
+    32 bits each, 16 for texts of up to ``COARSE`` words)."""
+    for b in word_batches(batches):
+        bags = []
+        for w in b.column(1).to_pylist():
+            h = np.frombuffer(w, np.uint32)
+            bags.append((np.sort(h) if len(h) > COARSE else np.sort(h >> 16).astype(np.uint16)).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary())], names=["node", "bag"])
 
 
 def banded_edits(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -276,30 +325,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component.
 
     Alternating large-star and small-star steps; every step is a grouped
-    minimum (combined before the shuffle) and a join, its result a table.
+    minimum (combined before the shuffle) and a join, its result a table.  Done when
+    every node points to one that points nowhere.
     """
     e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
              .where("u != v").distinct(), "edges")
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    mark = None
     while True:
         # large star: every neighbour above u points to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
-        e1 = both.where("v > u").join(low, "u").where("v != m") \
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        e1 = keep(both.where("v > u").join(low, "u").where("v != m")
+                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
         # small star: u and its neighbours below u point to the smallest of them
-        e1 = keep(e1, "star")
-        low1 = keep(e1.groupBy("u").agg(F.min("v").alias("m")), "small")
-        e2 = e1.join(low1, "u")
-        e = keep(e2.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        low1 = e1.groupBy("u").agg(F.min("v").alias("m"))
+        e = keep(e1.join(low1, "u").select(F.col("m").alias("v"), F.col("v").alias("u")).where("u != v").select("u", "v")
                  .unionByName(low1.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-                    F.count_distinct("u").alias("d")).first()
-        if now["n"] == now["d"] and now == mark:
+        # one row per node that points somewhere; a row more if it points to a second node or is pointed to
+        bad = e.select("u", F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct()) \
+            .groupBy("u").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0 AND rows > 1")
+        if bad.isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        mark = now
 
 
 def _ids_join(docs: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
@@ -315,96 +362,222 @@ def _comparable(a: str, b: str, similarity: float) -> str:
     return f"least({a}, {b}) >= {longest} - floor({1 - similarity!r}D * {longest} + 1e-9D)"
 
 
-def pair_batches(similarity: float):
-    """Arrow batches (key, salt, role, node, label, len, counts), sorted by key,
-    salt and role, -> the pairs (a, b) of a centre (role 0) and a member (role 1)
-    of the same key and salt that can be similar.
+def _tokens(bag: bytes, length: int, coarse: bool) -> np.ndarray:
+    """Distinct tokens of a sorted bag: a word's hash and its occurrence."""
+    if length <= COARSE:
+        h = np.frombuffer(bag, np.uint16).astype(np.uint64)
+    else:
+        h = np.frombuffer(bag, np.uint32).astype(np.uint64)
+        h = h >> np.uint64(16) if coarse else h
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    run = np.flatnonzero(first)
+    occ = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
+    return (h << np.uint64(32)) | occ.astype(np.uint64)
+
+
+def unit_pairs(key: int, crossed: bool, block: np.ndarray, node: np.ndarray, label: np.ndarray, length: np.ndarray,
+               keys: list, bags: list, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of different labels that can be similar, in one piece of an open bucket;
+    of different blocks if ``crossed``, and only those whose smallest common open
+    key is ``key`` (the pair's other buckets leave it to this one)."""
+    values, counts = np.unique(label, return_counts=True)
+    home = values[counts.argmax()]
+    others = np.flatnonzero(label != home)
+    if not len(others):
+        return []
+    coarse = bool((length <= COARSE).any())
+    tokens = [_tokens(b, n, coarse) for b, n in zip(bags, length.tolist())]
+    size = np.array([len(t) for t in tokens])
+    at = np.concatenate([[0], np.cumsum(size)])
+    _, word, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(node)), size)
+    order = np.lexsort((word, often[word], owner))              # each text's words, the rarest of this bucket first
+    place = np.arange(len(order)) - np.repeat(at[:-1], size)
+    rare = (place <= np.floor((1 - similarity) * length + 1e-9)[owner]) & (often[word[order]] > 1)
+    rare_word, rare_owner = word[order][rare], owner[rare]
+    by_word = np.argsort(rare_word, kind="stable")
+    texts = rare_owner[by_word]
+    begin = np.searchsorted(rare_word[by_word], np.arange(len(often) + 1))
+    own = np.searchsorted(rare_owner, np.arange(len(node) + 1))
+    has = np.zeros(len(often), bool)
+    out = []
+    for o in others.tolist():
+        lists = [texts[begin[w]:begin[w + 1]] for w in rare_word[own[o]:own[o + 1]]]
+        if not lists:
+            continue
+        c = np.unique(np.concatenate(lists))
+        need = words_needed(length[c], length[o], similarity)
+        fine = (label[c] != label[o]) & (np.minimum(length[c], length[o]) >= need) & ((label[c] == home) | (c > o))
+        if crossed:
+            fine &= block[c] != block[o]
+        c, need = c[fine], need[fine]
+        if not len(c):
+            continue
+        has[word[at[o]:at[o + 1]]] = True
+        mine = set(keys[o])
+        for x, n in zip(c.tolist(), need.tolist()):
+            if int(np.count_nonzero(has[word[at[x]:at[x + 1]]])) >= n and min(mine.intersection(keys[x])) == key:
+                out.append((min(int(node[o]), int(node[x])), max(int(node[o]), int(node[x]))))
+        has[word[at[o]:at[o + 1]]] = False
+    return out
 
-    Pairs of one label are linked already; the others are left out only if
-    their lengths or word counts rule the similarity out.
-    """
-    def fits(centres, members):
-        (cn, cl, cw, cc), (mn, ml, mw, mc) = centres, members
-        step = max(1, 1_000_000 // len(mn))
-        for i in range(0, len(cn), step):
-            w = np.maximum(cw[i:i + step, None], mw)
-            need = w - np.floor((1 - similarity) * w + 1e-9).astype(np.int64)
-            c, m = np.nonzero((cl[i:i + step, None] != ml) & (np.minimum(cw[i:i + step, None], mw) >= need))
-            need = need[c, m]
-            c += i
-            for j in range(0, len(c), 20_000):
-                u, v = c[j:j + 20_000], m[j:j + 20_000]
-                x, y = cc[u], mc[v]
-                least = np.minimum(x, y)
-                ok = (least.sum(axis=1, dtype=np.int64) >= need[j:j + 20_000]) | (least == 255).any(axis=1)
-                if ok.any():
-                    yield cn[u[ok]], mn[v[ok]]
 
+def with_partner(crossed: bool, block: np.ndarray, label: np.ndarray, length: np.ndarray, signs: list[bytes],
+                 similarity: float) -> np.ndarray:
+    """Which texts of a piece of an open bucket have another one that lengths and
+    signatures allow to be similar."""
+    counts, has = _classes(signs), np.zeros(len(label), bool)
+    for o in range(len(label)):
+        c = np.arange(o + 1, len(label))
+        c = c[(label[c] != label[o]) & ~(has[c] & has[o])]
+        if crossed:
+            c = c[block[c] != block[o]]
+        need = words_needed(length[c], length[o], similarity)
+        fine = np.minimum(length[c], length[o]) >= need
+        c, need = c[fine], need[fine]
+        if len(c) and (fine := may_share(counts[c], counts[o][None, :], need)).any():
+            has[o] = True
+            has[c[fine]] = True
+    return has
+
+
+def _units(batches):
+    """((key, i, j), rows) of batches sorted by key, i and j."""
+    now, rows = None, []
+    for b in batches:
+        for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if (key, i, j) != now:
+                if len(rows) > 1:
+                    yield now, rows
+                now, rows = (key, i, j), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield now, rows
+
+
+def partner_batches(similarity: float):
+    """Arrow batches (key, i, j, block, node, label, len, sign), sorted by key, i and j ->
+    the rows of texts that have a possible partner there, without the signature."""
     def run(batches):
-        at, centres = None, []
-        for b in batches:
-            key, salt, role, node, label, length = (b.column(i).to_numpy() for i in range(6))
-            counts = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, COUNTS)
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
-            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
-                if i == j:
-                    continue
-                if at != (key[i], salt[i]):
-                    at, centres = (key[i], salt[i]), []
-                q = i + int((role[i:j] == 0).sum())
-                if q > i:
-                    centres.append([x[i:q] for x in (node, label, length, counts)])
-                if j > q and centres:
-                    if len(centres) > 1:
-                        centres = [[np.concatenate(x) for x in zip(*centres)]]
-                    for x, y in fits(centres[0], [x[q:j] for x in (node, label, length, counts)]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
-                                                         names=["a", "b"])
+        for (key, i, j), rows in _units(batches):
+            block, node, label, length = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+            has = with_partner(i != j, block, label, length, [r[4] for r in rows], similarity)
+            n = int(has.sum())
+            if n:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, key, np.int64)), pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, j, np.int32)),
+                     pa.array(block[has].astype(np.int32)), pa.array(node[has]), pa.array(label[has]), pa.array(length[has])],
+                    names=["key", "i", "j", "block", "node", "label", "len"])
     return run
 
 
-def _open_pairs(open_: DataFrame, words: DataFrame, centres: int, similarity: float) -> DataFrame:
-    """Pairs to verify in the buckets ``open_`` (key, node, label, size): every
-    member with about ``centres`` of its bucket, with all if there are no more."""
-    picked = F.pmod(F.xxhash64("node"), F.lit(1_000_000)) * F.col("size") < 1_000_000 * centres
-    salts = F.ceil(F.col("size") / SALT).cast("int")
-    rows = open_.join(words.select("node", "len", "counts"), "node")
-    members = rows.select("key", F.pmod(F.xxhash64("node", F.lit(7)), salts).cast("int").alias("salt"),
-                          F.lit(1).alias("role"), "node", "label", "len", "counts")
-    chosen = rows.where(picked).select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
-                                       F.lit(0).alias("role"), "node", "label", "len", "counts")
-    return members.unionByName(chosen).repartition("key", "salt").sortWithinPartitions("key", "salt", "role") \
-        .mapInArrow(pair_batches(similarity), "a long, b long").distinct()
+def unit_batches(similarity: float):
+    """Arrow batches (key, i, j, block, node, label, len, keys, bag), sorted by key, i and
+    j -> pairs (a, b) to verify."""
+    def run(batches):
+        for (key, i, j), rows in _units(batches):
+            block, node, label, length = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+            got = unit_pairs(key, i != j, block, node, label, length, [r[4] for r in rows], [r[5] for r in rows], similarity)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()),
+                                                  pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
+    return run
 
 
-def link(nodes: DataFrame, docs: DataFrame, *, similarity: float) -> DataFrame:
-    """Verified pairs (a, b) among ``nodes`` (node, keys) that connect all similar
-    nodes of a bucket; ``docs`` is (node, text)."""
+def _open_pairs(open_: DataFrame, docs: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs to verify in the open buckets ``open_`` (key, node, label, len): texts
+    without a possible partner by signature go first, the others' words are compared."""
+    blocks = open_.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK),
+                                                 F.ceil(F.sum("len") / BLOCK_WORDS), F.lit(1)).cast("int").alias("blocks"))
+    # block i and block j of a bucket are one piece of work, i and i another
+    i = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = open_.join(blocks, "key").withColumn("block", i) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
+                "label", "len")
+    unit = "key long, i int, j int, block int, node long, label long, len long"
+    left = keep(dealt.join(signs.select("node", "sign"), "node")
+                .select("key", "i", "j", "block", "node", "label", "len", "sign")
+                .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                .mapInArrow(partner_batches(similarity), unit), "open-rows")
+    own = left.groupBy("node").agg(F.collect_set("key").alias("keys"))            # at most the keys of a text
+    bags = _ids_join(docs, left.select("node").distinct(), "node", "left_semi").select("node", "text") \
+        .mapInArrow(bag_batches, "node long, bag binary")
+    return left.join(own, "node").join(bags, "node") \
+        .select("key", "i", "j", "block", "node", "label", "len", "keys", "bag") \
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j") \
+        .mapInArrow(unit_batches(similarity), "a long, b long")
+
+
+def _by_signature(pairs: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that signatures allow to be similar."""
+    left = signs.select(F.col("node").alias("a"), F.col("len").alias("la"), F.col("sign").alias("sa"))
+    right = signs.select(F.col("node").alias("b"), F.col("len").alias("lb"), F.col("sign").alias("sb"))
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                need = words_needed(t.column(2).to_numpy(), t.column(3).to_numpy(), similarity)
+                ok = may_share(_classes(t.column(4).to_pylist()), _classes(t.column(5).to_pylist()), need)
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "sa", "sb") \
+        .mapInArrow(run, "a long, b long")
+
+
+def _open_runs(member: DataFrame, label: DataFrame, size: DataFrame, centre: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, label, len): what is left to compare.  The texts of a bucket, in order
+    of length, are cut where two neighbours' lengths rule the similarity out; each
+    run is a bucket of its own, if it has texts of several groups and is not one
+    pair that its centre has made."""
+    rows = member.where("n > 2").select("key", "node").join(label, "node", "left").join(size, "node") \
+        .select("key", "node", F.coalesce("label", "node").alias("label"), "len")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    by_length = Window.partitionBy("key").orderBy("len", "node")
+    before = F.lag("len").over(by_length)
+    cut = rows.join(mixed, "key").withColumn("before", before) \
+        .withColumn("cut", (~F.coalesce(F.expr(_comparable("before", "len", similarity)), F.lit(False))).cast("int")) \
+        .withColumn("run", F.sum("cut").over(by_length.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = keep(cut.select("key", "run", "node", "label", "len"), "runs")
+    runs = cut.join(centre.select("key", F.col("c.node").alias("c")), "key").groupBy("key", "run").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.max(F.col("node") == F.col("c")).alias("met")).where("lo != hi AND NOT (n = 2 AND met)").select("key", "run")
+    return keep(cut.join(runs, ["key", "run"]).select(F.xxhash64("key", "run").alias("key"), "node", "label", "len"), "open")
+
+
+def link(nodes: DataFrame, docs: DataFrame, signs: DataFrame | None = None, *, similarity: float) -> DataFrame:
+    """Verified pairs (a, b) among ``nodes`` (node, keys) that connect all similar nodes of
+    a bucket; ``docs`` is (node, text), ``signs`` (node, len, sign) if it is known."""
+    if signs is None:
+        signs = keep(docs.select("node", "text").mapInArrow(sign_batches, "node long, len long, sign binary"), "signs")
     entry = nodes.select(F.explode("keys").alias("key"), "node")
     multi = keep(entry.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     member = keep(entry.join(multi, "key"), "members")
-    rank = keep(member.groupBy("node").agg(F.sum("n").alias("pop")), "popularity")
-    words = keep(_ids_join(docs, rank.select("node"), "node", "left_semi").select("node", "text")
-                 .mapInArrow(word_batches, "node long, words binary, len long, counts binary"), "words")
-    ranked = keep(member.join(rank.join(words.select("node", "len"), "node"), "node"), "ranked")
+    rank = member.groupBy("node").agg(F.sum("n").alias("pop"))
+    rank = keep(rank.join(signs.select("node", "len"), "node"), "popularity")
+    ranked = member.select("key", "node").join(rank, "node")
     centre = keep(ranked.groupBy("key").agg(
         F.max_by(F.struct("node", "len"), F.struct(F.col("pop"), -F.col("node"))).alias("c")), "centres")
     pairs = ranked.join(centre, "key").where("node != c.node").where(_comparable("len", "c.len", similarity)) \
         .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-    checked = _verify(pairs, words, similarity, "checked")
-    met, centres = 2, 1                          # buckets up to ``met`` members have met all pairs
-    while True:
-        label = components(checked.where("ok").select("a", "b"))
-        now = keep(member.where(F.col("n") > met).select("key", "node").join(label, "node", "left")
-                   .select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
-        size = keep(now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"),
-                                           F.max("label").alias("hi")).where("lo != hi").select("key", "size"), "open")
-        if size.isEmpty():
-            return checked.where("ok").select("a", "b")
-        met = centres = centres * CENTRES
-        pairs = _open_pairs(now.join(size, "key"), words, centres, similarity) \
-            .join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        checked = checked.unionByName(_verify(pairs, words, similarity, f"checked-{centres}"))
+    pairs = keep(_by_signature(pairs, signs, similarity), "pairs")
+    first = _verified(pairs, docs, similarity, "checked")
+    label = components(first)
+    # a bucket of two has met its only pair
+    open_ = _open_runs(member, label, rank.select("node", "len"), centre, similarity)
+    if open_.isEmpty():
+        return first
+    pairs = keep(_open_pairs(open_, docs, signs, similarity), "open-pairs")
+    return first.unionByName(_verified(pairs, docs, similarity, "checked-open"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, name: str) -> DataFrame:
+    """The similar ones of ``pairs`` (a, b); only texts that occur in a pair are read as words."""
+    ids = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-ids")
+    words = keep(_ids_join(docs, ids, "node", "left_semi").select("node", "text")
+                 .mapInArrow(word_batches, "node long, words binary"), f"{name}-words")
+    return _verify(pairs, words, similarity, name).where("ok").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, bands: int = BANDS,
@@ -412,11 +585,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(id, class_id): one row per row of ``docs``; the class is its smallest id."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sk = keep(base.where("id IS NOT NULL").mapInArrow(sketch_batches(bands, kept, shingle),
-                                                      "id long, digest binary, keys array<long>"), "sketch")
-    nodes = keep(sk.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys")),
-                 "nodes")
+                                                      "id long, digest binary, keys array<long>, len long, sign binary"),
+              "sketch")
+    nodes = keep(sk.groupBy("digest").agg(F.min("id").alias("node"), F.min_by(F.struct("keys", "len", "sign"), "id").alias("x"))
+                 .select("digest", "node", "x.*"), "nodes")
     edges = link(nodes.select("node", "keys"), base.select(F.col("id").alias("node"), "text"),
-                 similarity=similarity)
+                 nodes.select("node", "len", "sign"), similarity=similarity)
     label = components(edges)
     by_digest = keep(nodes.select("digest", "node").join(label, "node", "left")
                      .select("digest", F.coalesce("label", "node").alias("class_id")), "classes")
