@@ -4,15 +4,16 @@ Fine-tuning a language model on one person's messages becomes fitting a
 per-author n-gram model; evaluation becomes n-gram perplexity; the
 sampling rule of generation (temperature, top-k, nucleus) becomes a
 ranked candidate table; generation itself is a pluggable per-partition
-generator (``mapInPandas``) or the built-in sampler, which moves every prompt to
-the part of the model that holds its next prefixes.
+generator (``mapInPandas``) or the built-in sampler, whose tasks hold the prefixes
+visited most and fetch the others by joins.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
-import zlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import text as tx
-from parley.operators.windows import counted_broadcast
-from parley.session import materialize, parallelism
+from parley.operators.windows import BROADCAST_ROWS, counted_broadcast
+from parley.session import ensure_checkpoint_dir, materialize, parallelism
 
 BOS = "<s>"
 EOS_TOKEN = "</s>"
@@ -34,8 +35,10 @@ TOP_P = 0.7
 TEMPERATURE = 0.8
 MAX_LENGTH = 200        # prompt and reply together
 NO_REPEAT_NGRAM = 3
-BUCKET_TOKENS = 500_000   # candidates of the sampler that one task holds
-TASK_PROMPTS = 20_000     # prompts that one task holds
+BUCKET_TOKENS = 2_000_000   # candidates of the sampler that one task holds, as Arrow columns
+HELD_OBJECTS = 200_000      # of these, as Python objects
+TASK_PROMPTS = 20_000       # prompts that one task holds, at most
+TASK_LEAST = 32             # and at least, where there are so many
 
 
 def token_stream(c: Column, n: int) -> Column:
@@ -164,12 +167,6 @@ def sampler_entries(model: DataFrame, by: str = "author_id", limit: int = TOP_K
         F.array_sort(F.collect_list(F.struct("rank", "token", "p"))).alias("cands"))
 
 
-def sampler_bucket(by: Column, prefix: Column, buckets: int) -> Column:
-    """The bucket of the model that holds a prefix of an author."""
-    return F.pmod(F.crc32(F.concat(F.coalesce(by.cast("string"), F.lit("")), F.lit("\0"), prefix)),
-                  F.lit(buckets)).cast("int")
-
-
 def generate_replies(prompts: DataFrame, entries: DataFrame, n: int = 2, by: str = "author_id",
                      id_col: str = "seq", prompt_col: str = "prompt", seed: int = 0,
                      max_length: int = MAX_LENGTH, no_repeat: int = NO_REPEAT_NGRAM,
@@ -184,97 +181,144 @@ def generate_replies(prompts: DataFrame, entries: DataFrame, n: int = 2, by: str
     when nothing is left, or when prompt (words and message ends) and reply
     together have ``max_length`` tokens.
 
-    The entries are bucketed once by (author, prefix), about ``bucket_tokens`` of
-    them to a bucket.  In every round the unfinished prompts move to the bucket of
-    their last prefix and take as many steps as stay inside it; a bucket with more
-    than ``task_prompts`` of them (each reply begins with the same prefix) is
-    repeated for as many tasks.  So a model of one bucket takes one round, a
-    larger one at most ``max_length``, and no task holds more than one bucket.
+    Of the asked authors' entries those likeliest to be visited, at most
+    ``bucket_tokens`` candidates, are held by every task; a prompt takes steps as
+    long as they have its prefix.  All other entries stay a table: at a prefix of
+    theirs a prompt stops, a join fetches that entry for the next round.  A model
+    of up to ``bucket_tokens`` takes one round, a larger one at most
+    ``max_length``; a round reads the table's keys and moves the asked entries only.
     """
     spark = prompts.sparkSession
     ends = F.size(F.split(F.col(prompt_col), r"\Q" + tx.EOS + r"\E", -1)) - 1
     words = F.coalesce(tx.word_tokens(F.regexp_replace(F.col(prompt_col), r"\Q" + tx.EOS + r"\E", " ")),
                        F.array().cast("array<string>"))
-    stored = materialize(entries)
-    tokens = stored.agg(F.sum(F.size("cands"))).first()[0] or 0
-    buckets = max(1, -(-tokens // bucket_tokens))
-    model = materialize(stored.withColumn("_b", sampler_bucket(F.col(by), F.col("prefix"), buckets))) \
-        if buckets > 1 else stored.withColumn("_b", F.lit(0))
     # the reply is a new message: its first prefix is the start marker; the
     # prompt's words stay in the history for the no-repeat rule
     state = materialize(prompts.select(
         F.col(id_col).cast("string").alias("_id"), F.col(id_col), F.col(by).cast("string").alias("_by"),
         F.concat(words, F.array_repeat(F.lit(BOS), n - 1)).alias("_ctx"),
         (F.size(words) + F.coalesce(ends, F.lit(0))).alias("_len"), F.array().cast("array<string>").alias("_out"),
-        F.lit(False).alias("_done"))
-        .withColumn("_b", sampler_bucket(F.col("_by"), F.array_join(F.slice("_ctx", -(n - 1), n - 1), " "), buckets)))
-    rule = _Rule(n, seed, max_length, no_repeat, top_k, top_p, temperature, buckets)
-    columns = state.columns
-    schema = T.StructType([*state.schema.fields, T.StructField("_s", T.IntegerType())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = {(r["by"], r["prefix"]): r["cands"] for r in right.select(["by", "prefix", "cands"]).to_pylist()}
-        mine = [rule.steps(known, **r) for r in left.select(["_id", "_by", "_ctx", "_len", "_out", "_b"]).to_pylist()]
-        out = left
-        for i, c in enumerate(("_out", "_done", "_b")):
-            at = out.schema.get_field_index(c)
-            out = out.set_column(at, out.schema.field(at), pa.array([m[i] for m in mine], out.schema.field(at).type))
-        return out
-
-    finished = []
-    while True:
-        live = state.where("NOT _done")
-        total = live.count()
-        if not total:
-            break
-        share = max(1, min(task_prompts, -(-total // parallelism(spark))))
-        tasks = live.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_n"))
-        tasks = counted_broadcast(materialize(tasks))
-        asked = live.join(tasks, "_b").withColumn("_s", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int")) \
-            .select(*columns, "_s")
-        copies = model.join(tasks, "_b").select(
-            "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"),
-            F.col(by).cast("string").alias("by"), "prefix", "cands")
-        moved = asked.groupBy("_b", "_s").cogroup(copies.groupBy("_b", "_s")).applyInArrow(run, schema)
-        state = materialize(moved.select(*columns))
-        finished.append(state.where("_done"))
-    out = state
-    for f in finished[:-1]:
-        out = out.unionByName(f)
-    return out.select(id_col, F.array_join("_out", " ").alias("pred"))
+        F.lit(False).alias("_done"), F.lit(None).cast("string").alias("_prefix")))
+    authors = materialize(state.groupBy("_by").agg(F.count(F.lit(1)).alias("_asked")))
+    model = entries.select(F.col(by).cast("string").alias("by"), "prefix", "cands")
+    model = materialize(model.join(counted_broadcast(authors), F.col("by").eqNullSafe(F.col("_by")))
+                        .withColumn("_heat", _heat(F.col("cands"), F.col("_asked"))).drop("_by", "_asked"))
+    least, whole = _head_heat(model, bucket_tokens)
+    head = spark.sparkContext.broadcast(_Head(
+        model.where(F.col("_heat") >= least).select("by", "prefix", "cands").toArrow(), whole))
+    rest = model.where(F.col("_heat") < least).select("by", "prefix", "cands")
+    rule = _Rule(n, seed, max_length, no_repeat, top_k, top_p, temperature)
+    schema = state.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mine = [rule.steps(head.value, **r)
+                    for r in b.select(["_id", "_by", "_ctx", "_len", "_out", "_prefix", "_cands"]).to_pylist()]
+            b = b.drop_columns(["_cands"])
+            for i, c in enumerate(("_out", "_done", "_prefix")):
+                at = b.schema.get_field_index(c)
+                b = b.set_column(at, b.schema.field(at), pa.array([m[i] for m in mine], b.schema.field(at).type))
+            yield b
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/replies-{uuid.uuid4().hex}"
+    live, rounds = state.withColumn("_cands", F.lit(None).cast(model.schema["cands"].dataType)), 0
+    total = state.count()
+    while total or not rounds:
+        tasks = -(-total // max(TASK_LEAST, min(task_prompts, -(-total // parallelism(spark)))))
+        live.repartition(max(1, tasks)).mapInArrow(run, schema).write.parquet(f"{path}/round={rounds}")
+        state = spark.read.schema(schema).parquet(f"{path}/round={rounds}").where("NOT _done")
+        rounds += 1
+        total = state.count()
+        asked = state.select(F.col("_by").alias("_a"), F.col("_prefix").alias("_p")).distinct()
+        found = rest.join(F.broadcast(asked) if total <= BROADCAST_ROWS else asked,
+                          F.col("by").eqNullSafe(F.col("_a")) & (F.col("prefix") == F.col("_p"))) \
+            .select("by", "prefix", F.col("cands").alias("_cands"))
+        live = state.join(found, F.col("_by").eqNullSafe(F.col("by")) & (F.col("_prefix") == F.col("prefix")), "left") \
+            .select(*schema.names, "_cands")
+    out = spark.read.schema(T.StructType([*schema.fields, T.StructField("round", T.IntegerType())])).parquet(path)
+    return out.where("_done").select(id_col, F.array_join("_out", " ").alias("pred"))
+
+
+def _heat(cands: Column, asked: Column) -> Column:
+    """How worth holding an entry is: the candidates' mean probability (which grows
+    with the times its prefix was seen, per candidate), times the author's prompts;
+    in eighths of a power of two, so that its values are few."""
+    mean = F.aggregate(cands, F.lit(0.0), lambda a, c: a + c["p"]) / F.size(cands)
+    return F.floor(F.log2(mean * asked) * 8).cast("int")
+
+
+def _head_heat(model: DataFrame, limit: int) -> tuple[int, bool]:
+    """(least heat of the entries that tasks hold, whether these are all)."""
+    sizes = model.groupBy("_heat").agg(F.sum(F.size("cands")).alias("n")).orderBy(F.desc("_heat")).collect()
+    least, held = 2 ** 31 - 1, 0
+    for r in sizes:                               # a few hundred values
+        if held + r["n"] > limit:
+            return least, False
+        least, held = r["_heat"], held + r["n"]
+    return least, True
+
+
+class _Head:
+    """The entries that every task holds, as Arrow columns; a prefix's candidates
+    become Python objects when it is visited."""
+
+    def __init__(self, table: pa.Table, whole: bool):
+        self.table, self.whole, self.rows = table.combine_chunks(), whole, None
+
+    def get(self, by: str | None, prefix: str) -> list[tuple[str, float]] | None:
+        if self.rows is None:
+            self.rows, self.used, self.held = {}, {}, 0
+            keys = zip(self.table.column("by").to_pylist(), self.table.column("prefix").to_pylist())
+            for i, (b, p) in enumerate(keys):
+                self.rows.setdefault(b, {})[p] = i
+        i = self.rows.get(by, {}).get(prefix)
+        if i is None:
+            return [] if self.whole else None
+        if i not in self.used:
+            if self.held > HELD_OBJECTS:
+                self.used, self.held = {}, 0
+            self.used[i] = _pairs(self.table.column("cands")[i].as_py())
+            self.held += len(self.used[i])
+        return self.used[i]
+
+
+def _pairs(cands: list[dict] | None) -> list[tuple[str, float]]:
+    return [(c["token"], c["p"]) for c in cands or []]
 
 
 class _Rule:
-    """The sampling rule over the candidates of one bucket."""
+    """The sampling rule over the candidates at hand."""
 
-    def __init__(self, n, seed, max_length, no_repeat, top_k, top_p, temperature, buckets):
+    def __init__(self, n, seed, max_length, no_repeat, top_k, top_p, temperature):
         self.n, self.seed, self.max_length, self.no_repeat = n, seed, max_length, no_repeat
-        self.top_k, self.top_p, self.temperature, self.buckets = top_k, top_p, temperature, buckets
+        self.top_k, self.top_p, self.temperature = top_k, top_p, temperature
 
-    def steps(self, known, _id, _by, _ctx, _len, _out, _b):
-        """(reply so far, finished, bucket of the next prefix) after the steps that
-        can be taken inside bucket ``_b``."""
+    def steps(self, head, _id, _by, _ctx, _len, _out, _prefix, _cands):
+        """(reply so far, finished, prefix to fetch) after the steps that the head's
+        entries and the fetched one of ``_prefix`` allow."""
         k = self.no_repeat
         hist, out = _ctx + _out, list(_out)
+        if len(out) + _len >= self.max_length:
+            return out, True, None
         seen = {tuple(hist[i:i + k]) for i in range(len(hist) - k + 1)}
+        fetched = _pairs(_cands)
         while len(out) + _len < self.max_length:
             prefix = " ".join(hist[len(hist) - self.n + 1:])
-            if self.buckets > 1:
-                at = zlib.crc32(f"{_by or ''}\0{prefix}".encode()) % self.buckets
-                if at != _b:
-                    return out, False, at
+            cands = fetched if prefix == _prefix else head.get(_by, prefix)
+            if cands is None:
+                return out, False, prefix
             last = tuple(hist[len(hist) - k + 1:])
-            cands = known.get((_by, prefix)) or []
-            token = self.draw([c for c in cands if k <= 1 or (*last, c["token"]) not in seen][:self.top_k], _id, len(out))
+            free = (c for c in cands if k <= 1 or (*last, c[0]) not in seen)
+            token = self.draw(list(itertools.islice(free, self.top_k)), _id, len(out))
             if token is None or token == EOS_TOKEN:
                 break
             out.append(token)
             hist.append(token)
             seen.add(tuple(hist[len(hist) - k:]))
-        return out, True, _b
+        return out, True, None
 
-    def draw(self, cands: list[dict], rid: str, step: int) -> str | None:
-        w = [math.exp(math.log(c["p"]) / self.temperature) for c in cands]
+    def draw(self, cands: list[tuple[str, float]], rid: str, step: int) -> str | None:
+        w = [math.exp(math.log(p) / self.temperature) for _, p in cands]
         total = sum(w)
         kept, mass = [], 0.0
         for x in w:
@@ -284,8 +328,8 @@ class _Rule:
             mass += x / total
         u = int(hashlib.md5(f"{self.seed}:{rid}:{step}".encode()).hexdigest()[:8], 16) / 2 ** 32
         run = 0.0
-        for c, q in zip(cands, kept):
+        for (token, _), q in zip(cands, kept):
             run += q
             if run >= u * mass:
-                return c["token"]
+                return token
         return None

@@ -77,6 +77,31 @@ def test_sampler_follows_the_rule(spark):
         assert got == {i: plain_reply(table, a, p, i, 3, length, top_p=top_p) for i, a, p in prompts}
 
 
+def test_a_model_beyond_one_task_takes_few_rounds(spark):
+    """Frequent prefixes are at hand in every task: a reply of some 60 tokens over a model
+    larger than a task holds stops only at rare ones, and writes no tables for its steps."""
+    import random
+    rng = random.Random(5)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(rare) if rng.random() < 0.05 else rng.choice(common) for _ in range(60)) for _ in range(100)]
+    m = ng.fit_ngram_model(spark.createDataFrame([(i, a, t) for i, t in enumerate(texts) for a in ("a", None)],
+                                                 "seq long, author_id string, content string"), 2)
+    table = {}
+    for r in m.orderBy(F.col("p").desc(), "token").collect():
+        table.setdefault((r.author_id, r.prefix), []).append((r.token, r.p))
+    prompts = [(i, "a" if i % 3 else None, f"c{i % 12} c1") for i in range(40)]
+    df = spark.createDataFrame(prompts, "seq long, author_id string, prompt string")
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(base))
+    got = dict(ng.generate_replies(df, ng.sampler_entries(m), 2, seed=3, bucket_tokens=600).collect())
+    new = set(os.listdir(base)) - before
+    assert got == {i: plain_reply(table, a, p, i, 3) for i, a, p in prompts}
+    assert max(len(t.split()) for t in got.values()) > 40
+    assert m.count() > 600 and len(new) < 10
+    rounds = [f for d in new for f in os.listdir(os.path.join(base, d)) if f.startswith("round=")]
+    assert 1 < len(rounds) < 30, len(rounds)
+
+
 def test_no_prompt_and_no_model(spark):
     m = ng.fit_ngram_model(corpus(spark), 2)
     schema = "seq long, author_id string, prompt string"
