@@ -173,7 +173,7 @@ def link_members_fold(reply: Column, roster: Column) -> Column:
     return F.aggregate(roster, reply, step)
 
 
-GRAM = 4   # names are found by a piece of up to this many characters
+GRAM = 8   # names are found by a piece of up to this many characters: few names share one, however large the roster
 
 
 def _pieces(c: Column, n: int) -> Column:
@@ -216,7 +216,7 @@ def _names_in(texts: DataFrame, lookup: DataFrame, sizes: list[int], keys: list[
     text's pieces with each name's rarest piece and a check of the whole name."""
     grams = F.array_distinct(F.flatten(F.array(*[
         F.coalesce(_pieces(F.col("text"), n), F.array().cast("array<string>")) for n in sizes])))
-    return texts.select(*keys, "text", F.explode(grams).alias("gram")).join(lookup, "gram") \
+    return texts.select(*dict.fromkeys([*keys, "text"]), F.explode(grams).alias("gram")).join(lookup, "gram") \
         .where(F.col("text").contains(F.col("name"))).select(*keys, "name")
 
 
@@ -233,7 +233,7 @@ def link_members(df: DataFrame, members: DataFrame, col: str = "reply", out: str
     become candidates and their texts are folded again, until there are none.
     The number of joins does not grow with the rewrites of a text.
     """
-    from parley.operators.windows import dense_index
+    from parley.operators.windows import counted_broadcast, dense_index
     from parley.session import materialize
 
     m = members.select(F.col("name").cast("string").alias("name"), F.col("id").cast("string").alias("id"),
@@ -248,10 +248,11 @@ def link_members(df: DataFrame, members: DataFrame, col: str = "reply", out: str
     sizes = sorted(r[0] for r in lookup.select(F.length("gram")).distinct().collect())   # at most GRAM numbers
     if not sizes:
         return df.withColumn(out, F.col(col))
-    texts = materialize(df.where(F.col(col).isNotNull()).select(F.col(col).alias("text")).distinct()
-                        .withColumn("_k", F.col("text")))
+    df = materialize(df)                        # read for its texts and for the result
+    lookup = counted_broadcast(lookup)          # the pieces of the texts stay where they are
+    texts = materialize(df.where(F.col(col).isNotNull()).select(F.col(col).alias("text")).distinct())
     one = F.struct(F.col("idx"), F.col("name"), F.col("id"))
-    found = _names_in(texts, lookup, sizes, ["_k"]).join(names, "name").select("_k", "name", "first.*")
+    found = _names_in(texts, lookup, sizes, ["text"]).join(names, "name").select(F.col("text").alias("_k"), "name", "first.*")
     folded = found.groupBy("_k").agg(F.collect_list(one).alias("_c")) \
         .withColumn("_s", _fold_links("_k", "_c"))
     done, pending = [], materialize(folded)

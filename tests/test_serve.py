@@ -111,3 +111,17 @@ def test_link_members_joins_do_not_grow_with_the_rewrites(spark, monkeypatch):
     df = spark.createDataFrame([(1, "Hi " + " ".join(f"name{i:02d};" for i in range(40)))], "seq long, reply string")
     got = sv.link_members(df, members).first().reply
     assert got.endswith(" ".join(f"<@{i}>" for i in range(40))) and len(calls) == 2
+
+
+def test_link_members_tells_numbered_names_apart(spark, monkeypatch):
+    # a text meets the names that share a piece with it: their number must not grow with the roster
+    met, names_in = [], sv._names_in
+    monkeypatch.setattr(sv, "_names_in", lambda texts, lookup, *rest: met.append(lookup) or names_in(texts, lookup, *rest))
+    number = F.col("id") * 7919 % 1_000_000_007
+    members = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.col("id").alias("pos"),
+                                         F.format_string("Customer#%09d", number).alias("name"))
+    df = spark.createDataFrame([(1, "Hi Customer#000015838, Customer#00001583"), (2, "to Customer#158372081Customer#000000000")],
+                               "seq long, reply string")
+    got = {r.seq: r.reply for r in sv.link_members(df, members).collect()}
+    assert got == {1: "Hi @<@2> <@2>, Customer#00001583", 2: "to <@19999><@0>"}
+    assert all(lookup.groupBy("gram").count().agg(F.max("count")).first()[0] <= 3 for lookup in met)
