@@ -7,8 +7,11 @@ block by block.  An n-gram with count c >= ``min_count`` gets the level
 ``1 + floor(log_b(c / min_count))`` and is put into the filter once per level
 up to its own; a probe walks up the levels until one is missing, which bounds
 the count within a factor b.  The filter is broadcast.  Its size is bounded by
-``max_bytes``: where the kept n-grams need more, the smallest count that is
-kept goes up until they fit.
+``max_bytes``: where the n-grams need more, those of the lowest levels stay out
+of it.  They are kept as a table: tokens for which the filter holds no count ask
+it by a join, and what it has, rounded to the same levels, corrects the score.
+So a bounded filter gives the scores of one with room for all n-grams, but for
+its false positives.
 
     P(w | h) = weight * c(h w) / c(h) + (1 - weight) * (c(w) + 0.1) / (N + 0.1 (V + 1))
 
@@ -190,14 +193,21 @@ def count_of(level: np.ndarray, least: int, base: float = LEVEL_BASE) -> np.ndar
 
 @dataclass
 class Part:
-    """One order's filter: a bitmap per block, all of ``size`` bits."""
+    """One order's filter: a bitmap per block, all of ``size`` bits, with the levels
+    (of counts from ``low`` on) from ``first`` to ``top``; ``least`` is the smallest
+    count in it."""
     kind: int
     block_bits: int
     size: int
     least: int
     top: int
+    low: int = 1
+    first: int = 1
     data: bytes = b""
 
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return count_of(self.levels(h), self.low)
+
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Largest level present for each n-gram hash, by repeated probes."""
         out = np.zeros(len(h), np.int64)
@@ -207,7 +217,7 @@ class Part:
         base = _block(h, self.block_bits) * self.size
         low = h & _LOW48
         todo = np.arange(len(h))
-        for j in range(1, self.top + 1):
+        for j in range(self.first, self.top + 1):
             for p in range(PROBES):
                 at = base[todo] + probe(low[todo], j, p, self.size)
                 todo = todo[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0]
@@ -223,7 +233,7 @@ def probe(low: np.ndarray, level: int, p: int, size: int) -> np.ndarray:
     return (((k & np.uint64(0xFFFFFFFF)) + np.uint64(p) * step) % np.uint64(size)).astype(np.int64)
 
 
-def _fill(kind_size: dict[int, int], least: dict[int, int]):
+def _fill(kind_size: dict[int, int], least: dict[int, int], low: dict[int, int], first: dict[int, int]):
     def run(batches):
         for b in batches:
             for kind, block, h, c in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -232,8 +242,8 @@ def _fill(kind_size: dict[int, int], least: dict[int, int]):
                 h = np.frombuffer(h, "<u8") & _LOW48
                 h, c = h[c >= least[kind]], c[c >= least[kind]]
                 on = np.zeros(size, bool)
-                lev = level_of(c, least[kind])
-                for j in range(1, int(lev.max(initial=0)) + 1):
+                lev = level_of(c, low[kind])
+                for j in range(first[kind], int(lev.max(initial=0)) + 1):
                     h, lev = h[lev >= j], lev[lev >= j]
                     for p in range(PROBES):
                         on[probe(h, j, p, size)] = True
@@ -253,18 +263,20 @@ class BloomModel:
 
     def unigram(self, h: np.ndarray) -> np.ndarray:
         u, back = np.unique(h, return_inverse=True)
-        p = self.parts[1]
-        return count_of(p.levels(u), p.least)[back]
+        return self.parts[1].counts(u)[back]
 
-    def log10(self, tok: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 probability of every token after the one before it."""
-        pair, before = bigrams(tok, n)
+    def counts(self, tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For every token the filter's count of it, of the one before it and of both,
+        and the hash of both."""
+        pair, _ = bigrams(tok, n)
         c1 = self.unigram(tok)
         ch = np.empty_like(c1)
         ch[1:] = c1[:-1]
         ch[np.cumsum(n) - n] = self.texts
-        p2 = self.parts[2]
-        c2 = count_of(p2.levels(pair), p2.least)
+        return c1, ch, self.parts[2].counts(pair), pair
+
+    def log10(self, c1: np.ndarray, ch: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """log10 probability of every token after the one before it."""
         follow = np.minimum(c2 / np.maximum(ch, np.maximum(c2, 1.0)), 1.0)
         single = (c1 + 0.1) / (self.tokens + 0.1 * (self.types + 1))
         return np.log10(self.weight * follow + (1 - self.weight) * np.minimum(single, 1.0))
@@ -291,24 +303,24 @@ def fit(train: DataFrame, text: str = "text", *, max_bytes: int = MAX_FILTER_BYT
     for r in merged.select("kind", "c").mapInArrow(_histogram, "kind int, c long, n long") \
             .groupBy("kind", "c").agg(F.sum("n").alias("n")).collect():
         hist[r["kind"]][r["c"]] = r["n"]
-    size, least, top = {}, {}, {}
+    size, least, top, low, first = {}, {}, {}, {1: 1, 2: min_bigram}, {1: 1, 2: 1}
     for kind in (1, 2):
-        low = 1 if kind == 1 else min_bigram
         c = np.array(sorted(hist[kind]), np.int64)
         m = np.array([hist[kind][int(x)] for x in c], np.int64)
+        lev = level_of(c, low[kind])
         while True:
-            ok = c >= low
-            keys = int((level_of(c[ok], low) * m[ok]).sum())
+            ok = lev >= first[kind]
+            keys = int(((lev[ok] - first[kind] + 1) * m[ok]).sum())
             per_block = -(-int(keys * bits_per_key * 1.05) // (1 << bits))
             per_block = max(64, -(-per_block // 8) * 8) if keys else 0
             if per_block * (1 << bits) // 8 <= max_bytes // 2 or not keys:
                 break
-            low += 1
-        size[kind], least[kind] = per_block, low
-        top[kind] = int(level_of(c[ok], low).max(initial=0))
-    parts = {k: Part(k, bits, size[k], least[k], top[k], bytes(size[k] // 8 << bits)) for k in (1, 2)}
+            first[kind] += 1                            # the level below is asked from the counts
+        size[kind], top[kind] = per_block, int(lev[ok].max(initial=0))
+        least[kind] = int(c[ok].min(initial=1 + int(c.max(initial=0)))) if first[kind] > 1 else low[kind]
+    parts = {k: Part(k, bits, size[k], least[k], top[k], low[k], first[k], bytes(size[k] // 8 << bits)) for k in (1, 2)}
     data = {k: bytearray(p.data) for k, p in parts.items()}
-    for r in merged.mapInArrow(_fill(size, least), "kind int, block long, bits binary").collect():
+    for r in merged.mapInArrow(_fill(size, least, low, first), "kind int, block long, bits binary").collect():
         step = size[r["kind"]] // 8                     # all rows together: at most max_bytes
         data[r["kind"]][r["block"] * step:(r["block"] + 1) * step] = r["bits"]
     for k, p in parts.items():
@@ -330,6 +342,80 @@ def _unpack_counts(below: int | None = None, from_: int | None = None):
     return run
 
 
+def _pair_key(h: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """What is kept of a bigram's hash, as one number."""
+    return (h & _LOW48) | (block.astype(np.uint64) << np.uint64(48))
+
+
+def _left_out(parts: dict[int, Part]):
+    """Packed counts (kind, block, h, c) -> (kind, h, n) of the n-grams that are not in
+    the filter, their counts rounded as its levels are."""
+    limits = {k: (p.first, p.low) for k, p in parts.items()}
+
+    def run(batches):
+        for b in batches:
+            for kind, block, h, c in zip(*(b.column(i).to_pylist() for i in range(4))):
+                first, low = limits[kind]
+                h, lev = np.frombuffer(h, "<u8"), level_of(np.frombuffer(c, "<i8"), low)
+                h, lev = h[lev < first], lev[lev < first]
+                if kind == 2:
+                    h = _pair_key(h, np.full(len(h), block))
+                for i in range(0, len(h), 100_000):
+                    n = count_of(lev[i:i + 100_000], low)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(n), kind), pa.int32()), pa.array(h[i:i + 100_000].view(np.int64), pa.int64()),
+                         pa.array(n, pa.float64())], names=["kind", "h", "n"])
+    return run
+
+
+_ASK = "struct<pos:int,role:int,h:bigint,c1:double,ch:double,c2:double>"
+
+
+def _asks(model: BloomModel, tok, n, c1, ch, c2, pair) -> pa.Array:
+    """Per text, the n-grams (role 0: token, 1: the one before, 2: both) that the filter
+    does not hold but the table of those left out may; with the filter's counts."""
+    start = np.cumsum(n) - n
+    inner = np.ones(len(tok), bool)
+    inner[start] = False
+    before = np.empty_like(tok)
+    before[1:] = tok[:-1]
+    p1, p2 = model.parts[1], model.parts[2]
+    wanted = [(0, np.flatnonzero(c1 == 0) if p1.first > 1 else [], tok),
+              (1, np.flatnonzero((ch == 0) & inner) if p1.first > 1 else [], before),
+              (2, np.flatnonzero(c2 == 0) if p2.first > 1 else [], _pair_key(pair, _block(pair, p2.block_bits)))]
+    at = np.concatenate([np.asarray(w, np.int64) for _, w, _ in wanted])
+    role = np.concatenate([np.full(len(w), r, np.int32) for r, w, _ in wanted])
+    h = np.concatenate([x[np.asarray(w, np.int64)] for _, w, x in wanted])
+    order = np.argsort(at, kind="stable")
+    at, role, h = at[order], role[order], h[order]
+    doc = np.searchsorted(start, at, side="right") - 1
+    off = np.searchsorted(at, np.concatenate([start, [len(tok)]])).astype(np.int32)
+    rows = pa.StructArray.from_arrays(
+        [pa.array((at - start[doc]).astype(np.int32)), pa.array(role), pa.array(h.view(np.int64)),
+         *(pa.array(c[at].astype(float)) for c in (c1, ch, c2))], names=["pos", "role", "h", "c1", "ch", "c2"])
+    return pa.ListArray.from_arrays(pa.array(off), rows)
+
+
+def _corrections(part: DataFrame, merged: DataFrame, model: BloomModel) -> DataFrame:
+    """(row_no, more): what the n-grams left out of the filter add to the scores."""
+    kinds = [k for k, p in model.parts.items() if p.first > 1]
+    held = merged.where(F.col("kind").isin(kinds)).select("kind", "block", "h", "c") \
+        .mapInArrow(_left_out(model.parts), "kind int, h long, n double")
+    asked = part.select("row_no", F.explode("asks").alias("a")).select("row_no", "a.*") \
+        .withColumn("kind", F.when(F.col("role") == 2, 2).otherwise(1))
+    got = asked.join(held, ["kind", "h"])
+    known = got.groupBy("row_no", "pos").agg(*[
+        x for i, c in enumerate(("c1", "ch", "c2"))
+        for x in (F.max(c).alias(c), F.greatest(F.max(c), F.max(F.when(F.col("role") == i, F.col("n")))).alias(f"{c}_"))])
+
+    def log10(c1: str, ch: str, c2: str) -> Column:
+        follow = F.least(F.col(c2) / F.greatest(ch, c2, F.lit(1.0)), F.lit(1.0))
+        single = F.least((F.col(c1) + 0.1) / F.lit(model.tokens + 0.1 * (model.types + 1)), F.lit(1.0))
+        return F.log10(F.lit(model.weight) * follow + F.lit(1 - model.weight) * single)
+
+    return known.groupBy("row_no").agg(F.sum(log10("c1_", "ch_", "c2_") - log10("c1", "ch", "c2")).alias("more"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn: Column | None = None,
           hot_types: int = HOT_TYPES, **options) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row; the
@@ -350,6 +436,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn:
     order = np.argsort(hot_h)
     known = spark.sparkContext.broadcast((model, hot_h[order], got.column("c").to_numpy()[order]))
     rare_left = least > 1
+    left_out = any(p.first > 1 for p in model.parts.values())
 
     def run(batches):
         m, hh, hc = known.value
@@ -360,7 +447,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn:
                 tok, n = tokens(raw, s[i:j], e[i:j])
                 end = np.cumsum(n)
                 start = end - n
-                lp = np.add.reduceat(m.log10(tok, n), start)
+                c1, ch, c2, pair = m.counts(tok, n)
+                lp = np.add.reduceat(m.log10(c1, ch, c2), start)
                 if len(hh):
                     at = np.minimum(np.searchsorted(hh, tok), len(hh) - 1)
                     hit = hh[at] == tok
@@ -373,13 +461,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()),
                      pa.array(base, pa.float64()), pa.array(lp, pa.float64()),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(rest))],
-                    names=["id", "n_tokens", "n_hot", "hot_sum", "score", "rest"])
+                     pa.ListArray.from_arrays(pa.array(off), pa.array(rest)),
+                     *([_asks(m, tok, n, c1, ch, c2, pair)] if left_out else [])],
+                    names=["id", "n_tokens", "n_hot", "hot_sum", "score", "rest", *(["asks"] if left_out else [])])
 
     part = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(
         run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_hot long, hot_sum double, "
-             "score double, rest array<long>")
+             "score double, rest array<long>" + (f", asks array<{_ASK}>" if left_out else ""))
     part = keep(part.withColumn("row_no", F.monotonically_increasing_id()), "lm-scored")
+    if left_out:
+        more = _corrections(part, merged, model)
     if rare_left:
         counts = unis.mapInArrow(_unpack_counts(below=least), "h long, c long")
         rare = part.select("row_no", F.explode("rest").alias("h")).join(counts, "h") \
@@ -387,6 +478,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn:
         part = part.drop("rest").join(rare, "row_no", "left")
     else:
         part = part.withColumn("n_rare", F.lit(0)).withColumn("rare_sum", F.lit(0.0))
+    if left_out:
+        part = part.join(more, "row_no", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     known_n = F.col("n_hot") + F.coalesce("n_rare", F.lit(0))
     norm = math.log10(model.tokens + 0.1 * (model.types + 1))
     base = F.col("hot_sum") + F.coalesce("rare_sum", F.lit(0.0)) - (F.col("n_tokens") - known_n) - F.col("n_tokens") * norm

@@ -96,3 +96,19 @@ def test_score_by_hand(spark):
             total += math.log10(lm.WEIGHT * follow + (1 - lm.WEIGHT) * min((c1 + 0.1) / (n + 0.1 * (v + 1)), 1.0))
             before = w
         assert abs(got[i] - total) < 1e-6, i
+
+
+def test_a_bounded_filter_leaves_no_ngram_out(spark):
+    """The scores do not depend on how many n-grams the filter has room for (bits enough
+    for no false positive): those left out are asked from their table."""
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learn = ~lm.held_out(F.col("doc_id"))
+    key = lambda r: (str(r["doc_id"]), r["score"])
+    whole = sorted(lm.score(df, learn=learn, docs_per_block=40, bits_per_key=90).collect(), key=key)
+    for size in (30_000, 10_000, 1_000):
+        model, _, _ = lm.fit(df.where(learn), docs_per_block=40, bits_per_key=90, max_bytes=size)
+        assert sum(len(p.data) for p in model.parts.values()) <= size and any(p.least > p.low for p in model.parts.values())
+        got = sorted(lm.score(df, learn=learn, docs_per_block=40, bits_per_key=90, max_bytes=size).collect(), key=key)
+        assert [r["doc_id"] for r in got] == [r["doc_id"] for r in whole]
+        assert all(abs(a["score"] - b["score"]) < 1e-6 for a, b in zip(got, whole)), size
