@@ -51,6 +51,7 @@ WEIGHT = 0.3
 HOT_TYPES = 400_000         # types whose exact counts are broadcast
 DOCS_PER_BLOCK = 4_000
 FLUSH = 1_000_000           # tokens a task combines at once
+FIRST = 255                 # in place of the level of the token before a text's first
 
 END = np.uint64(0x5A5A17E9C3D4B2F1)
 BEGIN = np.uint64(0x1B873593CC9E2D51)
@@ -205,9 +206,6 @@ class Part:
     first: int = 1
     data: bytes = b""
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        return count_of(self.levels(h), self.low)
-
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Largest level present for each n-gram hash, by repeated probes."""
         out = np.zeros(len(h), np.int64)
@@ -261,22 +259,26 @@ class BloomModel:
     parts: dict[int, Part]
     weight: float = WEIGHT
 
-    def unigram(self, h: np.ndarray) -> np.ndarray:
-        u, back = np.unique(h, return_inverse=True)
-        return self.parts[1].counts(u)[back]
-
-    def counts(self, tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For every token the filter's count of it, of the one before it and of both,
+    def levels(self, tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For every token the filter's level of it, of the one before it and of both,
         and the hash of both."""
         pair, _ = bigrams(tok, n)
-        c1 = self.unigram(tok)
-        ch = np.empty_like(c1)
-        ch[1:] = c1[:-1]
-        ch[np.cumsum(n) - n] = self.texts
-        return c1, ch, self.parts[2].counts(pair), pair
+        u, back = np.unique(tok, return_inverse=True)
+        l1 = self.parts[1].levels(u)[back]
+        lh = np.empty_like(l1)
+        lh[1:] = l1[:-1]
+        lh[np.cumsum(n) - n] = FIRST
+        return l1, lh, self.parts[2].levels(pair), pair
+
+    def counts_of(self, kind: int) -> np.ndarray:
+        """The count of every level; that of ``FIRST`` is the number of texts."""
+        out = count_of(np.arange(FIRST + 1), self.parts[kind].low)
+        out[FIRST] = self.texts
+        return out
 
-    def log10(self, c1: np.ndarray, ch: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    def log10(self, l1: np.ndarray, lh: np.ndarray, l2: np.ndarray) -> np.ndarray:
         """log10 probability of every token after the one before it."""
+        c1, ch, c2 = self.counts_of(1)[l1], self.counts_of(1)[lh], self.counts_of(2)[l2]
         follow = np.minimum(c2 / np.maximum(ch, np.maximum(c2, 1.0)), 1.0)
         single = (c1 + 0.1) / (self.tokens + 0.1 * (self.types + 1))
         return np.log10(self.weight * follow + (1 - self.weight) * np.minimum(single, 1.0))
@@ -342,14 +344,17 @@ def _unpack_counts(below: int | None = None, from_: int | None = None):
     return run
 
 
-def _pair_key(h: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """What is kept of a bigram's hash, as one number."""
-    return (h & _LOW48) | (block.astype(np.uint64) << np.uint64(48))
+def _table_key(h: np.ndarray, kind: int, block: np.ndarray | None = None) -> np.ndarray:
+    """An n-gram's key in the table of those left out: of a bigram's hash its block and
+    48 bits are kept."""
+    if kind == 2:
+        h = (h & _LOW48) | (block.astype(np.uint64) << np.uint64(48))
+    return W.mix64(h + np.uint64(kind)).view(np.int64)
 
 
 def _left_out(parts: dict[int, Part]):
-    """Packed counts (kind, block, h, c) -> (kind, h, n) of the n-grams that are not in
-    the filter, their counts rounded as its levels are."""
+    """Packed counts (kind, block, h, c) -> (h, level) of the n-grams that are not in
+    the filter."""
     limits = {k: (p.first, p.low) for k, p in parts.items()}
 
     def run(batches):
@@ -358,62 +363,59 @@ def _left_out(parts: dict[int, Part]):
                 first, low = limits[kind]
                 h, lev = np.frombuffer(h, "<u8"), level_of(np.frombuffer(c, "<i8"), low)
                 h, lev = h[lev < first], lev[lev < first]
-                if kind == 2:
-                    h = _pair_key(h, np.full(len(h), block))
+                h = _table_key(h, kind, np.full(len(h), block))
                 for i in range(0, len(h), 100_000):
-                    n = count_of(lev[i:i + 100_000], low)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(n), kind), pa.int32()), pa.array(h[i:i + 100_000].view(np.int64), pa.int64()),
-                         pa.array(n, pa.float64())], names=["kind", "h", "n"])
+                        [pa.array(h[i:i + 100_000], pa.int64()), pa.array(lev[i:i + 100_000], pa.int32())],
+                        names=["h", "level"])
     return run
 
 
-_ASK = "struct<pos:int,role:int,h:bigint,c1:double,ch:double,c2:double>"
-
-
-def _asks(model: BloomModel, tok, n, c1, ch, c2, pair) -> pa.Array:
+def _asks(model: BloomModel, tok, n, l1, lh, l2, pair) -> pa.Array:
     """Per text, the n-grams (role 0: token, 1: the one before, 2: both) that the filter
-    does not hold but the table of those left out may; with the filter's counts."""
+    does not hold but the table of those left out may: (h, at), ``at`` being place, role
+    and the filter's three levels in one number (shuffled for every ask)."""
     start = np.cumsum(n) - n
-    inner = np.ones(len(tok), bool)
-    inner[start] = False
     before = np.empty_like(tok)
     before[1:] = tok[:-1]
     p1, p2 = model.parts[1], model.parts[2]
-    wanted = [(0, np.flatnonzero(c1 == 0) if p1.first > 1 else [], tok),
-              (1, np.flatnonzero((ch == 0) & inner) if p1.first > 1 else [], before),
-              (2, np.flatnonzero(c2 == 0) if p2.first > 1 else [], _pair_key(pair, _block(pair, p2.block_bits)))]
-    at = np.concatenate([np.asarray(w, np.int64) for _, w, _ in wanted])
-    role = np.concatenate([np.full(len(w), r, np.int32) for r, w, _ in wanted])
-    h = np.concatenate([x[np.asarray(w, np.int64)] for _, w, x in wanted])
-    order = np.argsort(at, kind="stable")
-    at, role, h = at[order], role[order], h[order]
-    doc = np.searchsorted(start, at, side="right") - 1
-    off = np.searchsorted(at, np.concatenate([start, [len(tok)]])).astype(np.int32)
-    rows = pa.StructArray.from_arrays(
-        [pa.array((at - start[doc]).astype(np.int32)), pa.array(role), pa.array(h.view(np.int64)),
-         *(pa.array(c[at].astype(float)) for c in (c1, ch, c2))], names=["pos", "role", "h", "c1", "ch", "c2"])
-    return pa.ListArray.from_arrays(pa.array(off), rows)
+    none = np.zeros(0, np.int64)
+    wanted = [(0, np.flatnonzero(l1 == 0) if p1.first > 1 else none, lambda w: _table_key(tok[w], 1)),
+              (1, np.flatnonzero(lh == 0) if p1.first > 1 else none, lambda w: _table_key(before[w], 1)),
+              (2, np.flatnonzero(l2 == 0) if p2.first > 1 else none,
+               lambda w: _table_key(pair[w], 2, _block(pair[w], p2.block_bits)))]
+    i = np.concatenate([w for _, w, _ in wanted])
+    role = np.concatenate([np.full(len(w), r, np.int64) for r, w, _ in wanted])
+    h = np.concatenate([key(w) for _, w, key in wanted])
+    order = np.argsort(i, kind="stable")
+    i, role, h = i[order], role[order], h[order]
+    doc = np.searchsorted(start, i, side="right") - 1
+    off = np.searchsorted(i, np.concatenate([start, [len(tok)]])).astype(np.int32)
+    at = (i - start[doc]) << 26 | role << 24 | l1[i] << 16 | lh[i] << 8 | l2[i]
+    return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(h), pa.array(at)], names=["h", "at"]))
 
 
 def _corrections(part: DataFrame, merged: DataFrame, model: BloomModel) -> DataFrame:
     """(row_no, more): what the n-grams left out of the filter add to the scores."""
     kinds = [k for k, p in model.parts.items() if p.first > 1]
     held = merged.where(F.col("kind").isin(kinds)).select("kind", "block", "h", "c") \
-        .mapInArrow(_left_out(model.parts), "kind int, h long, n double")
-    asked = part.select("row_no", F.explode("asks").alias("a")).select("row_no", "a.*") \
-        .withColumn("kind", F.when(F.col("role") == 2, 2).otherwise(1))
-    got = asked.join(held, ["kind", "h"])
-    known = got.groupBy("row_no", "pos").agg(*[
-        x for i, c in enumerate(("c1", "ch", "c2"))
-        for x in (F.max(c).alias(c), F.greatest(F.max(c), F.max(F.when(F.col("role") == i, F.col("n")))).alias(f"{c}_"))])
-
-    def log10(c1: str, ch: str, c2: str) -> Column:
-        follow = F.least(F.col(c2) / F.greatest(ch, c2, F.lit(1.0)), F.lit(1.0))
-        single = F.least((F.col(c1) + 0.1) / F.lit(model.tokens + 0.1 * (model.types + 1)), F.lit(1.0))
+        .mapInArrow(_left_out(model.parts), "h long, level int")
+    got = part.select("row_no", F.explode("asks").alias("a")).select("row_no", "a.h", "a.at").join(held, "h")
+    place = F.shiftright("at", 26).alias("place")
+    field = lambda bits, size=255: F.shiftright("at", bits).bitwiseAND(F.lit(size)).cast("int")
+    levels = {c: field(b) for c, b in (("l1", 16), ("lh", 8), ("l2", 0))}
+    known = got.groupBy("row_no", place).agg(*[
+        x for i, (c, level) in enumerate(levels.items()) for x in (
+            F.max(level).alias(c), F.greatest(F.max(level), F.max(F.when(field(24, 3) == i, F.col("level")))).alias(f"{c}_"))])
+    tables = {k: F.array(*[F.lit(float(x)) for x in model.counts_of(k)]) for k in (1, 2)}
+
+    def log10(l1: str, lh: str, l2: str) -> Column:
+        c1, ch, c2 = F.get(tables[1], F.col(l1)), F.get(tables[1], F.col(lh)), F.get(tables[2], F.col(l2))
+        follow = F.least(c2 / F.greatest(ch, c2, F.lit(1.0)), F.lit(1.0))
+        single = F.least((c1 + 0.1) / F.lit(model.tokens + 0.1 * (model.types + 1)), F.lit(1.0))
         return F.log10(F.lit(model.weight) * follow + F.lit(1 - model.weight) * single)
 
-    return known.groupBy("row_no").agg(F.sum(log10("c1_", "ch_", "c2_") - log10("c1", "ch", "c2")).alias("more"))
+    return known.groupBy("row_no").agg(F.sum(log10("l1_", "lh_", "l2_") - log10("l1", "lh", "l2")).alias("more"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn: Column | None = None,
@@ -447,8 +449,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn:
                 tok, n = tokens(raw, s[i:j], e[i:j])
                 end = np.cumsum(n)
                 start = end - n
-                c1, ch, c2, pair = m.counts(tok, n)
-                lp = np.add.reduceat(m.log10(c1, ch, c2), start)
+                l1, lh, l2, pair = m.levels(tok, n)
+                lp = np.add.reduceat(m.log10(l1, lh, l2), start)
                 if len(hh):
                     at = np.minimum(np.searchsorted(hh, tok), len(hh) - 1)
                     hit = hh[at] == tok
@@ -462,12 +464,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn:
                     [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()),
                      pa.array(base, pa.float64()), pa.array(lp, pa.float64()),
                      pa.ListArray.from_arrays(pa.array(off), pa.array(rest)),
-                     *([_asks(m, tok, n, c1, ch, c2, pair)] if left_out else [])],
+                     *([_asks(m, tok, n, l1, lh, l2, pair)] if left_out else [])],
                     names=["id", "n_tokens", "n_hot", "hot_sum", "score", "rest", *(["asks"] if left_out else [])])
 
     part = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(
         run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_hot long, hot_sum double, "
-             "score double, rest array<long>" + (f", asks array<{_ASK}>" if left_out else ""))
+             "score double, rest array<long>" + (", asks array<struct<h:bigint,at:bigint>>" if left_out else ""))
     part = keep(part.withColumn("row_no", F.monotonically_increasing_id()), "lm-scored")
     if left_out:
         more = _corrections(part, merged, model)
