@@ -1,30 +1,32 @@
 """Language-model scoring with a log-frequency Bloom filter (op 4).
 
 Tokens are words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and one end per
-text.  Uni- and bigram counts are gathered from all training texts: each task
-combines its own slices, the packed counts are dealt by hash block and merged,
-block by block.  An n-gram with count c >= ``min_count`` gets the level
+text.  The texts are packed into chunks of bounded size, written once.  Every
+chunk's distinct uni- and bigrams, with their counts in training texts, are
+dealt by hash block and merged, block by block; with a block's counts come the
+replies to its chunks: for each n-gram the chunk sent, the count (unigrams) or
+the level (bigrams).  An n-gram with count c >= ``min_count`` gets the level
 ``1 + floor(log_b(c / min_count))`` and is put into the filter once per level
 up to its own; a probe walks up the levels until one is missing, which bounds
 the count within a factor b.  The filter is broadcast.  Its size is bounded by
 ``max_bytes``: where the n-grams need more, those of the lowest levels stay out
-of it.  They are kept as a table: tokens for which the filter holds no count ask
-it by a join, and what it has, rounded to the same levels, corrects the score.
+of it.  A chunk is scored beside its replies: an n-gram for which the filter
+holds no count takes the level in them, if that is one of those left out.
 So a bounded filter gives the scores of one with room for all n-grams, but for
 its false positives.
 
     P(w | h) = weight * c(h w) / c(h) + (1 - weight) * (c(w) + 0.1) / (N + 0.1 (V + 1))
 
-with every c read from the filter.  The exact unigram score (``base_score``) is
-kept apart: the most frequent types (a bounded number) are broadcast, all other
-tokens are joined to their counts.
+with every c read from the filter or, where left out of it, from the replies.
+The exact unigram score (``base_score``) is kept apart: its counts are those in
+the replies.
 
 Defined results for odd input
 - null or empty text: one token, the end
 - null id: not held out, learned from; repeated rows: each scored
 - no training text: N and V are 0, nothing is known
 - empty table: an empty result;  ties: none
-- very long texts: whole, in slices of bounded size
+- very long texts: whole, one to a chunk
 - extra columns: not returned by ``score``
 - n-grams are told apart by 64 bits (unigrams) and 48 bits within a block
 """
@@ -48,9 +50,10 @@ PROBES = 6
 LEVEL_BASE = 1.5
 MIN_BIGRAM = 2              # bigrams seen once are not kept, at any size
 WEIGHT = 0.3
-HOT_TYPES = 400_000         # types whose exact counts are broadcast
 DOCS_PER_BLOCK = 4_000
-FLUSH = 1_000_000           # tokens a task combines at once
+MAX_BLOCK_BITS = 16         # a bigram's key holds its block above 48 bits
+CHUNK_BYTES = 6_000_000     # text a task combines at once
+CHUNK_ROWS = 100_000
 FIRST = 255                 # in place of the level of the token before a text's first
 
 END = np.uint64(0x5A5A17E9C3D4B2F1)
@@ -87,88 +90,141 @@ def _block(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _pack48(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _keys(kind: int, h: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes as they are told apart, in an order in which blocks are ranges: a bigram's
+    block above its low 48 bits."""
+    return h if kind == 1 else (_block(h, bits).astype(np.uint64) << np.uint64(48)) | (h & _LOW48)
 
 
-def _unpack48(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(b), 8), np.uint8)
-    out[:, :6] = b
-    return out.reshape(-1).view("<u8")
+def _key_blocks(kind: int, key: np.ndarray, bits: int) -> np.ndarray:
+    return _block(key, bits) if kind == 1 else (key >> np.uint64(48)).astype(np.int64)
 
 
-def _gather(bits: int):
-    """Arrow batches (text) -> packed counts (kind, block, h, c) of slices."""
-    def rows(kind: int, h: np.ndarray):
-        u, c = np.unique(h, return_counts=True)          # sorted: blocks are ranges
-        block = _block(u, bits)
-        if kind == 2:                                     # counts above 255 take several entries
-            times = (c + 254) // 255
-            if (times > 1).any():
-                rest = c - 255 * (times - 1)
-                u, block = np.repeat(u, times), np.repeat(block, times)
-                full = np.full(len(u), 255)
-                full[np.cumsum(times) - 1] = rest
-                c = full
-        edge = np.searchsorted(block, np.arange((1 << bits) + 1))
-        for b in np.flatnonzero(np.diff(edge)):
-            i, j = edge[b], edge[b + 1]
-            if kind == 1:
-                yield kind, int(b), u[i:j].astype("<u8").tobytes(), c[i:j].astype("<u4").tobytes()
-            else:
-                yield kind, int(b), _pack48(u[i:j]), c[i:j].astype(np.uint8).tobytes()
-
-    def batch(got):
-        cols = list(zip(*got))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()),
-             pa.array(cols[3], pa.binary())], names=["kind", "block", "h", "c"])
+def _squeeze(x: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte of equal weight, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    def run(batches):
-        uni, bi, size = [], [], 0
 
-        def flush():
-            got = [*rows(1, np.concatenate(uni)), *rows(2, np.concatenate(bi))]
-            uni.clear()
-            bi.clear()
-            return batch(got)
+def _unsqueeze(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view("<u8")
 
-        for b in batches:
-            raw, s, e = W.text_buffers(b.column(0))
-            for i, j in W.slices(s, e):
-                tok, n = tokens(raw, s[i:j], e[i:j])
-                uni.append(tok)
-                bi.append(bigrams(tok, n)[0])
-                size += len(tok)
-                if size >= FLUSH:
+
+def _pack(batches):
+    """Arrow batches (id, learn, text) -> chunks of whole texts."""
+    from pyspark import TaskContext
+    at = TaskContext.get().partitionId() << 32
+    ids, learn, texts, lengths = [], [], [], []
+
+    def flush():
+        nonlocal at
+        at += 1
+        flags, size, raw = np.concatenate(learn), np.concatenate(lengths), b"".join(texts)
+        both = pa.concat_arrays(ids)
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([at], pa.int64()), pa.array([len(flags)], pa.int64()), pa.array([int(flags.sum())], pa.int64()),
+             pa.ListArray.from_arrays(pa.array([0, len(both)], pa.int32()), both),
+             pa.array([np.packbits(flags).tobytes()], pa.binary()), pa.array([_squeeze(size)], pa.binary()),
+             pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary())],
+            names=["chunk", "n", "n_learn", "ids", "learn", "lengths", "text"])
+        for x in (ids, learn, texts, lengths):
+            x.clear()
+        return out
+
+    rows = held = 0
+    for b in batches:
+        raw, s, e = W.text_buffers(b.column(2))
+        flags = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for i, j in W.slices(s, e):
+            for k in range(i, j, CHUNK_ROWS):
+                to = min(j, k + CHUNK_ROWS)
+                ids.append(b.column(0).slice(k, to - k))
+                learn.append(flags[k:to])
+                texts.append(raw[s[k]:e[to - 1]].tobytes())
+                lengths.append(e[k:to] - s[k:to])
+                rows, held = rows + to - k, held + len(texts[-1])
+                if held >= CHUNK_BYTES or rows >= CHUNK_ROWS:
                     yield flush()
-                    size = 0
-        if uni:
-            yield flush()
+                    rows = held = 0
+    if rows:
+        yield flush()
+
+
+def pack(docs: DataFrame, id_col: str | None = None, text: str = "text", learn: Column | None = None) -> DataFrame:
+    """Chunks of the texts, kept: each with its rows' ids and which of them are learned from."""
+    flag = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    rows = docs.select((F.col(id_col) if id_col else F.lit(0)).alias("id"), flag.alias("learn"),
+                       F.coalesce(text, F.lit("")).alias("text"))
+    return keep(rows.mapInArrow(_pack, f"chunk long, n long, n_learn long, ids array<{rows.schema['id'].dataType.simpleString()}>, "
+                                       "learn binary, lengths binary, text binary"), "lm-texts")
+
+
+def _chunk_tokens(lengths: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of a chunk."""
+    size = _unsqueeze(lengths).astype(np.int64)
+    e = np.cumsum(size)
+    s = e - size
+    raw = np.frombuffer(pa.decompress(text, int(e[-1]), codec="zstd", asbytes=True), np.uint8)
+    got = [tokens(raw, s[i:j], e[i:j]) for i, j in W.slices(s, e)]
+    return np.concatenate([t for t, _ in got]), np.concatenate([n for _, n in got])
+
+
+def _gather(bits: int):
+    """Chunks (chunk, learn, lengths, text) -> per block and kind, its distinct n-grams
+    (ascending keys, as gaps) and their counts in training texts."""
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                chunk, learn, lengths, text = (b.column(i)[r].as_py() for i in range(4))
+                tok, n = _chunk_tokens(lengths, text)
+                flags = np.repeat(np.unpackbits(np.frombuffer(learn, np.uint8))[:len(n)].astype(bool), n)
+                for kind, h in ((1, tok), (2, bigrams(tok, n)[0])):
+                    key = _keys(kind, h, bits)
+                    known, times = np.unique(key[flags], return_counts=True)
+                    u = np.unique(np.concatenate([known, np.unique(key[~flags])]))
+                    c = np.zeros(len(u), np.int64)
+                    c[np.searchsorted(u, known)] = times
+                    edge = np.searchsorted(_key_blocks(kind, u, bits), np.arange((1 << bits) + 1))
+                    blocks = np.flatnonzero(np.diff(edge))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(blocks), kind), pa.int32()), pa.array(blocks, pa.int64()),
+                         pa.array(np.full(len(blocks), chunk), pa.int64()),
+                         pa.array([_squeeze(np.diff(u[edge[x]:edge[x + 1]], prepend=np.uint64(0))) for x in blocks], pa.binary()),
+                         pa.array([_squeeze(c[edge[x]:edge[x + 1]]) for x in blocks], pa.binary())],
+                        names=["kind", "block", "chunk", "h", "c"])
     return run
 
 
-def _merge(min_bigram: int):
-    """All packed counts of one block -> its merged counts."""
+def _merge(min_bigram: int, bits: int):
+    """All n-grams of one block -> its merged counts (no chunk), and a reply to each chunk."""
     def run(key, table):
         kind, block = key[0].as_py(), key[1].as_py()
-        hs, cs = table.column("h").to_pylist(), table.column("c").to_pylist()
-        if kind == 1:
-            h = np.concatenate([np.frombuffer(x, "<u8") for x in hs])
-            c = np.concatenate([np.frombuffer(x, "<u4") for x in cs]).astype(np.int64)
-        else:
-            h = np.concatenate([_unpack48(x) for x in hs])
-            c = np.concatenate([np.frombuffer(x, np.uint8) for x in cs]).astype(np.int64)
+        hs = [np.cumsum(_unsqueeze(x.as_py()), dtype=np.uint64) for x in table.column("h")]
+        cs = [_unsqueeze(x.as_py()).astype(np.int64) for x in table.column("c")]
+        ends = np.cumsum([len(x) for x in hs])
+        h, c = np.concatenate(hs), np.concatenate(cs)
+        del hs, cs
         order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        h, c = h[first], np.add.reduceat(c, first)
+        sorted_h = h[order]
+        new = np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])
+        first = np.flatnonzero(new)
+        h, c = sorted_h[first], np.add.reduceat(c[order], first)
+        least = 1 if kind == 1 else min_bigram
+        told = np.where(c >= least, c if kind == 1 else level_of(c, least), 0)
+        reply = np.empty(len(order), np.int64)
+        reply[order] = told[np.cumsum(new) - 1]
+        h, c = h[c >= least], c[c >= least]
         if kind == 2:
-            h, c = h[c >= min_bigram], c[c >= min_bigram]
-        return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int64()),
-                         "h": pa.array([h.astype("<u8").tobytes()], pa.binary()),
-                         "c": pa.array([c.astype("<i8").tobytes()], pa.binary())})
+            h = (h & _LOW48) | (np.uint64(block) << np.uint64(64 - bits) if bits else np.uint64(0))
+        chunks = table.column("chunk").to_pylist()
+        n = 1 + len(chunks)
+        return pa.table({"kind": pa.array([kind] * n, pa.int32()), "block": pa.array([block] * n, pa.int64()),
+                         "chunk": pa.array([None, *chunks], pa.int64()),
+                         "h": pa.array([h.astype("<u8").tobytes()] + [None] * len(chunks), pa.binary()),
+                         "c": pa.array([c.astype("<i8").tobytes()] + [_squeeze(reply[i:j]) for i, j in
+                                                                       zip(np.concatenate([[0], ends[:-1]]), ends)], pa.binary())})
     return run
 
 
@@ -232,22 +288,32 @@ def probe(low: np.ndarray, level: int, p: int, size: int) -> np.ndarray:
 
 
 def _fill(kind_size: dict[int, int], least: dict[int, int], low: dict[int, int], first: dict[int, int]):
+    """(kind, filter block, its packed counts) -> the block's bitmap."""
+    def run(key, table):
+        kind, block = key[0].as_py(), key[1].as_py()
+        size = kind_size[kind]
+        on = np.zeros(size, bool)
+        for h, c in zip(table.column("h").to_pylist(), table.column("c").to_pylist()):
+            c = np.frombuffer(c, "<i8")
+            h = np.frombuffer(h, "<u8") & _LOW48
+            h, c = h[c >= least[kind]], c[c >= least[kind]]
+            lev = level_of(c, low[kind])
+            for j in range(first[kind], int(lev.max(initial=0)) + 1):
+                h, lev = h[lev >= j], lev[lev >= j]
+                for p in range(PROBES):
+                    on[probe(h, j, p, size)] = True
+        return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int64()),
+                         "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+    return run
+
+
+def _fill_rows(fill):
+    """``fill`` where every row is a filter block."""
     def run(batches):
         for b in batches:
-            for kind, block, h, c in zip(*(b.column(i).to_pylist() for i in range(4))):
-                size = kind_size[kind]
-                c = np.frombuffer(c, "<i8")
-                h = np.frombuffer(h, "<u8") & _LOW48
-                h, c = h[c >= least[kind]], c[c >= least[kind]]
-                on = np.zeros(size, bool)
-                lev = level_of(c, low[kind])
-                for j in range(first[kind], int(lev.max(initial=0)) + 1):
-                    h, lev = h[lev >= j], lev[lev >= j]
-                    for p in range(PROBES):
-                        on[probe(h, j, p, size)] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind], pa.int32()), pa.array([block], pa.int64()),
-                     pa.array([np.packbits(on).tobytes()], pa.binary())], names=["kind", "block", "bits"])
+            for r in range(b.num_rows):
+                one = pa.Table.from_batches([b.slice(r, 1)])
+                yield from fill((one.column("kind")[0], one.column("block")[0]), one).to_batches()
     return run
 
 
@@ -259,16 +325,15 @@ class BloomModel:
     parts: dict[int, Part]
     weight: float = WEIGHT
 
-    def levels(self, tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For every token the filter's level of it, of the one before it and of both,
-        and the hash of both."""
-        pair, _ = bigrams(tok, n)
-        u, back = np.unique(tok, return_inverse=True)
-        l1 = self.parts[1].levels(u)[back]
-        lh = np.empty_like(l1)
-        lh[1:] = l1[:-1]
-        lh[np.cumsum(n) - n] = FIRST
-        return l1, lh, self.parts[2].levels(pair), pair
+    def level(self, kind: int, h: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """Levels of n-grams: the filter's or, where it holds none, that ``told`` of those
+        left out of it."""
+        p = self.parts[kind]
+        out = p.levels(h)
+        if p.first > 1:
+            none = out == 0
+            out[none] = np.where(told[none] < p.first, told[none], 0)
+        return out
 
     def counts_of(self, kind: int) -> np.ndarray:
         """The count of every level; that of ``FIRST`` is the number of texts."""
@@ -284,25 +349,37 @@ class BloomModel:
         return np.log10(self.weight * follow + (1 - self.weight) * np.minimum(single, 1.0))
 
 
-def count_ngrams(train: DataFrame, text: str = "text", min_bigram: int = MIN_BIGRAM,
-                 docs_per_block: int = DOCS_PER_BLOCK) -> tuple[DataFrame, int, int]:
-    """(merged packed counts by kind and block, block bits, number of texts)."""
-    n = train.count()
-    bits = max(0, math.ceil(math.log2(max(1, n / docs_per_block))))
-    packed = train.select(F.coalesce(text, F.lit("")).alias("text")) \
-        .mapInArrow(_gather(bits), "kind int, block long, h binary, c binary")
-    merged = packed.groupBy("kind", "block").applyInArrow(_merge(min_bigram), "kind int, block long, h binary, c binary")
-    return keep(merged, "ngram-counts"), bits, n
+def count_ngrams(chunks: DataFrame, min_bigram: int = MIN_BIGRAM,
+                 docs_per_block: int = DOCS_PER_BLOCK) -> tuple[DataFrame, int, int, int]:
+    """(merged packed counts and replies by kind and block, bits of a filter block, bits
+    of a block, number of training texts)."""
+    r = chunks.agg(F.sum("n_learn").alias("learn"), F.sum("n").alias("n")).first()
+    n, rows = r["learn"] or 0, r["n"] or 0
+    bits = min(MAX_BLOCK_BITS, max(0, math.ceil(math.log2(max(1, n / docs_per_block)))))
+    # few training texts of many: smaller blocks, each part of a filter block
+    deal = min(MAX_BLOCK_BITS, max(bits, math.ceil(math.log2(max(1, rows / docs_per_block))) - 1))
+    sent = chunks.select("chunk", "learn", "lengths", "text") \
+        .mapInArrow(_gather(deal), "kind int, block long, chunk long, h binary, c binary")
+    merged = sent.groupBy("kind", "block").applyInArrow(
+        _merge(min_bigram, deal), "kind int, block long, chunk long, h binary, c binary")
+    return keep(merged, "ngram-counts"), bits, deal, n
 
 
-def fit(train: DataFrame, text: str = "text", *, max_bytes: int = MAX_FILTER_BYTES,
-        bits_per_key: int = BITS_PER_KEY, min_bigram: int = MIN_BIGRAM, weight: float = WEIGHT,
-        docs_per_block: int = DOCS_PER_BLOCK) -> tuple[BloomModel, DataFrame, dict[int, dict[int, int]]]:
+def fit(train: DataFrame, text: str = "text", **options) -> tuple[BloomModel, DataFrame, dict[int, dict[int, int]]]:
     """(model, merged counts, histogram of counts by kind)."""
-    merged, bits, n = count_ngrams(train, text, min_bigram, docs_per_block)
+    model, merged, hist, _ = fit_chunks(pack(train, text=text), **options)
+    return model, merged.where("chunk is null").drop("chunk"), hist
+
+
+def fit_chunks(chunks: DataFrame, *, max_bytes: int = MAX_FILTER_BYTES, bits_per_key: int = BITS_PER_KEY,
+               min_bigram: int = MIN_BIGRAM, weight: float = WEIGHT, docs_per_block: int = DOCS_PER_BLOCK,
+               ) -> tuple[BloomModel, DataFrame, dict[int, dict[int, int]], int]:
+    """(model, merged counts and replies, histogram of counts by kind, bits of a block)."""
+    merged, bits, deal, n = count_ngrams(chunks, min_bigram, docs_per_block)
+    counts = merged.where("chunk is null").select("kind", "block", "h", "c")
     hist: dict[int, dict[int, int]] = {1: {}, 2: {}}
     # one row per distinct count value: grows like the square root of the tokens
-    for r in merged.select("kind", "c").mapInArrow(_histogram, "kind int, c long, n long") \
+    for r in counts.select("kind", "c").mapInArrow(_histogram, "kind int, c long, n long") \
             .groupBy("kind", "c").agg(F.sum("n").alias("n")).collect():
         hist[r["kind"]][r["c"]] = r["n"]
     size, least, top, low, first = {}, {}, {}, {1: 1, 2: min_bigram}, {1: 1, 2: 1}
@@ -317,173 +394,64 @@ def fit(train: DataFrame, text: str = "text", *, max_bytes: int = MAX_FILTER_BYT
             per_block = max(64, -(-per_block // 8) * 8) if keys else 0
             if per_block * (1 << bits) // 8 <= max_bytes // 2 or not keys:
                 break
-            first[kind] += 1                            # the level below is asked from the counts
+            first[kind] += 1                            # the level below is left to the replies
         size[kind], top[kind] = per_block, int(lev[ok].max(initial=0))
         least[kind] = int(c[ok].min(initial=1 + int(c.max(initial=0)))) if first[kind] > 1 else low[kind]
     parts = {k: Part(k, bits, size[k], least[k], top[k], low[k], first[k], bytes(size[k] // 8 << bits)) for k in (1, 2)}
     data = {k: bytearray(p.data) for k, p in parts.items()}
-    for r in merged.mapInArrow(_fill(size, least, low, first), "kind int, block long, bits binary").collect():
+    fill, schema = _fill(size, least, low, first), "kind int, block long, bits binary"
+    blocks = counts.mapInArrow(_fill_rows(fill), schema) if deal == bits else \
+        counts.withColumn("block", F.shiftright("block", deal - bits)).groupBy("kind", "block").applyInArrow(fill, schema)
+    for r in blocks.collect():
         step = size[r["kind"]] // 8                     # all rows together: at most max_bytes
         data[r["kind"]][r["block"] * step:(r["block"] + 1) * step] = r["bits"]
     for k, p in parts.items():
         p.data = bytes(data[k])
     model = BloomModel(sum(c * m for c, m in hist[1].items()), sum(hist[1].values()), n, parts, weight)
-    return model, merged, hist
-
-
-def _unpack_counts(below: int | None = None, from_: int | None = None):
-    def run(batches):
-        for b in batches:
-            for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h, c = np.frombuffer(h, "<u8"), np.frombuffer(c, "<i8")
-                ok = c < below if below is not None else c >= from_
-                for i in range(0, int(ok.sum()), 100_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[ok][i:i + 100_000].view(np.int64), pa.int64()),
-                         pa.array(c[ok][i:i + 100_000], pa.int64())], names=["h", "c"])
-    return run
-
-
-def _table_key(h: np.ndarray, kind: int, block: np.ndarray | None = None) -> np.ndarray:
-    """An n-gram's key in the table of those left out: of a bigram's hash its block and
-    48 bits are kept."""
-    if kind == 2:
-        h = (h & _LOW48) | (block.astype(np.uint64) << np.uint64(48))
-    return W.mix64(h + np.uint64(kind)).view(np.int64)
-
-
-def _left_out(parts: dict[int, Part]):
-    """Packed counts (kind, block, h, c) -> (h, level) of the n-grams that are not in
-    the filter."""
-    limits = {k: (p.first, p.low) for k, p in parts.items()}
-
-    def run(batches):
-        for b in batches:
-            for kind, block, h, c in zip(*(b.column(i).to_pylist() for i in range(4))):
-                first, low = limits[kind]
-                h, lev = np.frombuffer(h, "<u8"), level_of(np.frombuffer(c, "<i8"), low)
-                h, lev = h[lev < first], lev[lev < first]
-                h = _table_key(h, kind, np.full(len(h), block))
-                for i in range(0, len(h), 100_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[i:i + 100_000], pa.int64()), pa.array(lev[i:i + 100_000], pa.int32())],
-                        names=["h", "level"])
+    return model, merged, hist, deal
+
+
+def _score(known, bits: int):
+    """A chunk and its replies -> its rows' scores."""
+    def run(chunk, replies):
+        m = known.value
+        tok, n = _chunk_tokens(chunk.column("lengths")[0].as_py(), chunk.column("text")[0].as_py())
+        start = np.cumsum(n) - n
+        told = {1: [], 2: []}
+        for kind, _, c in sorted(zip(*(replies.column(x).to_pylist() for x in ("kind", "block", "c")))):
+            told[kind].append(_unsqueeze(c).astype(np.int64))
+        u, back = np.unique(tok, return_inverse=True)
+        c = np.concatenate(told[1])
+        l1 = m.level(1, u, np.where(c > 0, level_of(c, m.parts[1].low), 0))[back]
+        logs, c = np.where(c > 0, np.log10(c + 0.1), -1.0)[back], c[back]
+        lh = np.empty_like(l1)
+        lh[1:] = l1[:-1]
+        lh[start] = FIRST
+        u, back = np.unique(_keys(2, bigrams(tok, n)[0], bits), return_inverse=True)
+        h = (u & _LOW48) | ((u >> np.uint64(48)) << np.uint64(64 - bits) if bits else np.uint64(0))
+        l2 = m.level(2, h, np.concatenate(told[2]) if told[2] else np.zeros(len(u), np.int64))[back]
+        return pa.table({
+            "id": chunk.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(n, pa.int64()),
+            "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), start), pa.int64()),
+            "logs": pa.array(np.add.reduceat(logs, start), pa.float64()),
+            "score": pa.array(np.add.reduceat(m.log10(l1, lh, l2), start), pa.float64())})
     return run
 
 
-def _asks(model: BloomModel, tok, n, l1, lh, l2, pair) -> pa.Array:
-    """Per text, the n-grams (role 0: token, 1: the one before, 2: both) that the filter
-    does not hold but the table of those left out may: (h, at), ``at`` being place, role
-    and the filter's three levels in one number (shuffled for every ask)."""
-    start = np.cumsum(n) - n
-    before = np.empty_like(tok)
-    before[1:] = tok[:-1]
-    p1, p2 = model.parts[1], model.parts[2]
-    none = np.zeros(0, np.int64)
-    wanted = [(0, np.flatnonzero(l1 == 0) if p1.first > 1 else none, lambda w: _table_key(tok[w], 1)),
-              (1, np.flatnonzero(lh == 0) if p1.first > 1 else none, lambda w: _table_key(before[w], 1)),
-              (2, np.flatnonzero(l2 == 0) if p2.first > 1 else none,
-               lambda w: _table_key(pair[w], 2, _block(pair[w], p2.block_bits)))]
-    i = np.concatenate([w for _, w, _ in wanted])
-    role = np.concatenate([np.full(len(w), r, np.int64) for r, w, _ in wanted])
-    h = np.concatenate([key(w) for _, w, key in wanted])
-    order = np.argsort(i, kind="stable")
-    i, role, h = i[order], role[order], h[order]
-    doc = np.searchsorted(start, i, side="right") - 1
-    off = np.searchsorted(i, np.concatenate([start, [len(tok)]])).astype(np.int32)
-    at = (i - start[doc]) << 26 | role << 24 | l1[i] << 16 | lh[i] << 8 | l2[i]
-    return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(h), pa.array(at)], names=["h", "at"]))
-
-
-def _corrections(part: DataFrame, merged: DataFrame, model: BloomModel) -> DataFrame:
-    """(row_no, more): what the n-grams left out of the filter add to the scores."""
-    kinds = [k for k, p in model.parts.items() if p.first > 1]
-    held = merged.where(F.col("kind").isin(kinds)).select("kind", "block", "h", "c") \
-        .mapInArrow(_left_out(model.parts), "h long, level int")
-    got = part.select("row_no", F.explode("asks").alias("a")).select("row_no", "a.h", "a.at").join(held, "h")
-    place = F.shiftright("at", 26).alias("place")
-    field = lambda bits, size=255: F.shiftright("at", bits).bitwiseAND(F.lit(size)).cast("int")
-    levels = {c: field(b) for c, b in (("l1", 16), ("lh", 8), ("l2", 0))}
-    known = got.groupBy("row_no", place).agg(*[
-        x for i, (c, level) in enumerate(levels.items()) for x in (
-            F.max(level).alias(c), F.greatest(F.max(level), F.max(F.when(field(24, 3) == i, F.col("level")))).alias(f"{c}_"))])
-    tables = {k: F.array(*[F.lit(float(x)) for x in model.counts_of(k)]) for k in (1, 2)}
-
-    def log10(l1: str, lh: str, l2: str) -> Column:
-        c1, ch, c2 = F.get(tables[1], F.col(l1)), F.get(tables[1], F.col(lh)), F.get(tables[2], F.col(l2))
-        follow = F.least(c2 / F.greatest(ch, c2, F.lit(1.0)), F.lit(1.0))
-        single = F.least((c1 + 0.1) / F.lit(model.tokens + 0.1 * (model.types + 1)), F.lit(1.0))
-        return F.log10(F.lit(model.weight) * follow + F.lit(1 - model.weight) * single)
-
-    return known.groupBy("row_no").agg(F.sum(log10("l1_", "lh_", "l2_") - log10("l1", "lh", "l2")).alias("more"))
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, learn: Column | None = None,
-          hot_types: int = HOT_TYPES, **options) -> DataFrame:
+          hot_types: int | None = None, **options) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row; the
-    model is learned from the rows where ``learn`` holds (all by default)."""
-    train = docs.where(learn) if learn is not None else docs
-    model, merged, hist = fit(train, text, **options)
-    spark = docs.sparkSession
-    unis = merged.where("kind = 1").select("h", "c")
-    # the most frequent types, at most hot_types of them
-    least, total = 1, 0
-    for c in sorted(hist[1], reverse=True):
-        total += hist[1][c]
-        if total > hot_types:
-            least = c + 1
-            break
-    got = unis.mapInArrow(_unpack_counts(from_=least), "h long, c long").toArrow()
-    hot_h = got.column("h").to_numpy().view(np.uint64) if got.num_rows else np.zeros(0, np.uint64)
-    order = np.argsort(hot_h)
-    known = spark.sparkContext.broadcast((model, hot_h[order], got.column("c").to_numpy()[order]))
-    rare_left = least > 1
-    left_out = any(p.first > 1 for p in model.parts.values())
-
-    def run(batches):
-        m, hh, hc = known.value
-        logs = np.log10(hc + 0.1)
-        for b in batches:
-            raw, s, e = W.text_buffers(b.column(1))
-            for i, j in W.slices(s, e):
-                tok, n = tokens(raw, s[i:j], e[i:j])
-                end = np.cumsum(n)
-                start = end - n
-                l1, lh, l2, pair = m.levels(tok, n)
-                lp = np.add.reduceat(m.log10(l1, lh, l2), start)
-                if len(hh):
-                    at = np.minimum(np.searchsorted(hh, tok), len(hh) - 1)
-                    hit = hh[at] == tok
-                    base = np.add.reduceat(np.where(hit, logs[at], 0.0), start)
-                else:
-                    hit, base = np.zeros(len(tok), bool), np.zeros(len(n))
-                n_hit = np.add.reduceat(hit.astype(np.int64), start)
-                rest = tok[~hit].view(np.int64)
-                off = np.concatenate([[0], np.cumsum(n - n_hit)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()),
-                     pa.array(base, pa.float64()), pa.array(lp, pa.float64()),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(rest)),
-                     *([_asks(m, tok, n, l1, lh, l2, pair)] if left_out else [])],
-                    names=["id", "n_tokens", "n_hot", "hot_sum", "score", "rest", *(["asks"] if left_out else [])])
-
-    part = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(
-        run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_hot long, hot_sum double, "
-             "score double, rest array<long>" + (", asks array<struct<h:bigint,at:bigint>>" if left_out else ""))
-    part = keep(part.withColumn("row_no", F.monotonically_increasing_id()), "lm-scored")
-    if left_out:
-        more = _corrections(part, merged, model)
-    if rare_left:
-        counts = unis.mapInArrow(_unpack_counts(below=least), "h long, c long")
-        rare = part.select("row_no", F.explode("rest").alias("h")).join(counts, "h") \
-            .groupBy("row_no").agg(F.count(F.lit(1)).alias("n_rare"), F.sum(F.log10(F.col("c") + 0.1)).alias("rare_sum"))
-        part = part.drop("rest").join(rare, "row_no", "left")
-    else:
-        part = part.withColumn("n_rare", F.lit(0)).withColumn("rare_sum", F.lit(0.0))
-    if left_out:
-        part = part.join(more, "row_no", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
-    known_n = F.col("n_hot") + F.coalesce("n_rare", F.lit(0))
+    model is learned from the rows where ``learn`` holds (all by default).
+    ``hot_types`` (types whose counts were broadcast) has no effect any more: every
+    chunk gets its counts with the replies."""
+    chunks = pack(docs, id_col, text, learn)
+    model, merged, _, bits = fit_chunks(chunks, **options)
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = [1, 2] if model.parts[2].first > 1 else [1]
+    replies = merged.where(F.col("chunk").isNotNull() & F.col("kind").isin(kinds)).select("chunk", "kind", "block", "c")
+    part = chunks.select("chunk", "ids", "lengths", "text").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
+        _score(known, bits), f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_known long, "
+                             "logs double, score double")
     norm = math.log10(model.tokens + 0.1 * (model.types + 1))
-    base = F.col("hot_sum") + F.coalesce("rare_sum", F.lit(0.0)) - (F.col("n_tokens") - known_n) - F.col("n_tokens") * norm
-    return part.select(F.col("id").alias(id_col), "n_tokens", known_n.cast("long").alias("n_known"),
-                       F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return part.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                       (F.col("logs") - F.col("n_tokens") * norm).alias("base_score"), "score")

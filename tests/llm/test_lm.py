@@ -112,3 +112,31 @@ def test_a_bounded_filter_leaves_no_ngram_out(spark):
         got = sorted(lm.score(df, learn=learn, docs_per_block=40, bits_per_key=90, max_bytes=size).collect(), key=key)
         assert [r["doc_id"] for r in got] == [r["doc_id"] for r in whole]
         assert all(abs(a["score"] - b["score"]) < 1e-6 for a, b in zip(got, whole)), size
+
+
+def test_left_out_ngrams_are_not_asked_row_by_row(spark):
+    """However little the filter holds, tokens are not dealt out as rows and joined; what
+    goes back to the texts is a few bits per n-gram and block."""
+    df = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    for size in (30_000, 1_000):
+        plan = lm.score(df, docs_per_block=40, max_bytes=size)._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan, plan
+    chunks = lm.pack(df)
+    merged = lm.fit_chunks(chunks, docs_per_block=400, max_bytes=1_000)[1].where("chunk is not null and kind = 2")
+    told = merged.agg(F.sum(F.length("c"))).first()[0]
+    n = sum(len(lm._unsqueeze(bytes(r["c"]))) for r in merged.collect())
+    assert n > 1_000 and told < n
+
+
+def test_few_training_texts_of_many(spark):
+    """Blocks smaller than those of the filter give the scores of larger ones."""
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learn = F.col("doc_id") < 40
+    key = lambda r: (str(r["doc_id"]), r["score"])
+    for size in (lm.MAX_FILTER_BYTES, 1_000):
+        few, one = (sorted(lm.score(df, learn=learn, docs_per_block=n, bits_per_key=90, max_bytes=size).collect(), key=key)
+                    for n in (10, 1_000))
+        for a, b in zip(few, one, strict=True):
+            assert a["doc_id"] == b["doc_id"] and a["n_known"] == b["n_known"]
+            assert abs(a["score"] - b["score"]) < 1e-6 and abs(a["base_score"] - b["base_score"]) < 1e-6
