@@ -54,6 +54,7 @@ DOCS_PER_BLOCK = 4_000
 MAX_BLOCK_BITS = 16         # a bigram's key holds its block above 48 bits
 CHUNK_BYTES = 6_000_000     # text a task combines at once
 CHUNK_ROWS = 100_000
+FEW = 256                   # numbers that are not compressed
 FIRST = 255                 # in place of the level of the token before a text's first
 
 END = np.uint64(0x5A5A17E9C3D4B2F1)
@@ -101,15 +102,24 @@ def _key_blocks(kind: int, key: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _squeeze(x: np.ndarray) -> bytes:
-    """64-bit numbers, byte by byte of equal weight, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """64-bit numbers, byte by byte of equal weight, without high bytes that are all zero;
+    compressed unless few (their number grows with chunks times blocks: they must be cheap)."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    if len(x) < FEW:
+        return bytes([width]) + planes
+    return bytes([width | 128]) + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unsqueeze(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view("<u8")
+    width = data[0] & 127
+    planes = data[1:]
+    if data[0] & 128:
+        planes = pa.decompress(data[9:], width * int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True)
+    planes = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
 
 
 def _pack(batches):

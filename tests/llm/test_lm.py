@@ -140,3 +140,11 @@ def test_few_training_texts_of_many(spark):
         for a, b in zip(few, one, strict=True):
             assert a["doc_id"] == b["doc_id"] and a["n_known"] == b["n_known"]
             assert abs(a["score"] - b["score"]) < 1e-6 and abs(a["base_score"] - b["base_score"]) < 1e-6
+
+
+def test_numbers_come_back_from_their_bytes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, lm.FEW - 1, lm.FEW, 5_000):
+        for top in (1, 200, 2**34, 2**64 - 1):
+            x = rng.integers(0, top, n, dtype=np.uint64, endpoint=True)
+            assert (lm._unsqueeze(lm._squeeze(x)) == x).all()
