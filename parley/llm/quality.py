@@ -132,9 +132,10 @@ def rules() -> dict[str, Column]:
     """Each rule's vote: 1 good, 0 bad, null abstains.  Most rules only ever
     vote bad: a text that breaks none of them has no vote against it."""
     n, some = F.col("n_words"), F.col("n_words") >= 10
-    by_word = lambda c: F.col(c) / n
-    by_line = lambda c: F.col(c) / F.col("n_lines")
-    by_char = lambda c: F.col(c) / F.col("word_chars")
+    # Spark computes shared quotients before ``some``: a divisor of 0 must give null, not an error
+    by_word = lambda c: F.try_divide(F.col(c), n)
+    by_line = lambda c: F.try_divide(F.col(c), F.col("n_lines"))
+    by_char = lambda c: F.try_divide(F.col(c), F.col("word_chars"))
     bad = lambda c: F.when(some & c, F.lit(0))
     return {
         "symbols_by_word": bad(by_word("n_symbols") > 0.4),
